@@ -1,8 +1,8 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import substring_dedup, window_index
+from . import simhash_dedup, substring_dedup, window_index
 
-_MODULES = (substring_dedup, window_index)
+_MODULES = (substring_dedup, simhash_dedup, window_index)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

@@ -42,3 +42,35 @@ def window_dedup(rows, length=20):
                 gone[i : i + length] = [True] * length
         out[d] = (len(ws), sum(gone), sha(" ".join(w for w, g in zip(ws, gone, strict=True) if not g).encode()))
     return out
+
+
+def simhash(text, shingle=3):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def components(rows, shingle=3, radius=3):
+    """op6: rows (doc_id, text) -> {doc_id: (fingerprint, component_id)}."""
+    import numpy as np
+
+    ids = [d for d, _ in rows]
+    fps = np.array([simhash(t, shingle) for _, t in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= radius):
+            a, b = top(i), top(i + 1 + int(j))
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, d in enumerate(ids):
+        least[top(i)] = min(least.get(top(i), d), d)
+    return {d: (f"{int(fps[i]):016x}", least[top(i)]) for i, d in enumerate(ids)}
