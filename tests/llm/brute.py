@@ -74,3 +74,51 @@ def components(rows, shingle=3, radius=3):
     for i, d in enumerate(ids):
         least[top(i)] = min(least.get(top(i), d), d)
     return {d: (f"{int(fps[i]):016x}", least[top(i)]) for i, d in enumerate(ids)}
+
+
+def canonical(text):
+    import unicodedata
+
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip()
+
+
+def edited(rows):
+    """op10: rows (doc_id, text) -> {doc_id: (n_chars, edited_sha256, fingerprint equals the edited one's, the next one's)}."""
+    rows = sorted(((d, t or "") for d, t in rows), reverse=True)
+    out = {}
+    for i, (d, t) in enumerate(rows):
+        other = rows[(i + 1) % len(rows)][1]
+        h = len(t) // 2
+        e = t[: len(t) - h] + other[:h]
+        out[d] = (len(t), sha(e.encode()), float(canonical(t) == canonical(e)), float(canonical(t) == canonical(other)))
+    return out
+
+
+def secret_spans(text):
+    """op1: the base spans and the entropy spans of a text, as (start, rank, kind, stop)."""
+    import math
+    from collections import Counter
+
+    from adsentry.llm import secret_scan as S
+
+    text, base = text or "", []
+    for rank, (kind, pattern, group, least) in enumerate(
+        (
+            ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+            ("access", r"AKIA[A-Z0-9]+", 0, 16),
+            ("hex", r"[0-9a-f]+", 0, 32),
+        )
+    ):
+        base += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    more = []
+    for m in re.finditer(S.CANDIDATE, text):
+        v, w = m[0], S.WINDOW
+        if any(re.search(a, v) for a in S.ALLOW):
+            continue
+        limit = next(bits for pattern, bits in S.CLASSES.values() if re.search(pattern, v))
+        hot = [i for i in range(len(v) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values()) >= limit - 1e-12]
+        if hot:
+            a, b = m.start() + hot[0], m.start() + hot[-1] + w
+            if not any(x[0] <= a and x[3] >= b for x in base):
+                more.append((a, 3, "entropy", b))
+    return sorted(base + more)
