@@ -122,3 +122,30 @@ def secret_spans(text):
             if not any(x[0] <= a and x[3] >= b for x in base):
                 more.append((a, 3, "entropy", b))
     return sorted(base + more)
+
+
+def leaks(docs, items, size=5, least=0.8):
+    """op7: {(doc_id, item_id): similarity} over all windows, without fingerprints."""
+    from collections import Counter
+
+    def grams(words, g):
+        return Counter(tuple(words[i : i + g]) for i in range(len(words) - g + 1))
+
+    out = {}
+    for item, text in items:
+        own = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        if not own:
+            continue
+        g = min(size, len(own))
+        target = grams(own, g)
+        for d, t in docs:
+            words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            if len(words) < g or not set(target) & set(grams(words, g)):
+                continue
+            for s in range(max(1, len(words) - len(own) + 1)):
+                w = grams(words[s : s + len(own)], g)
+                both = sum((target & w).values())
+                like = both / (sum(target.values()) + sum(w.values()) - both)
+                if like >= least and like > out.get((d, item), 0):
+                    out[d, item] = like
+    return out
