@@ -81,8 +81,8 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same, with words `[^ \\t-\\r]+` as tokens: 64-bit hashes of their bytes."""
+def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same, with words `[^ \\t-\\r]+` as tokens, 64-bit hashes of their bytes; last, the bytes and where words begin and end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
@@ -93,7 +93,7 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     tokens = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _SEED[0])
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     stop = np.cumsum(size)
-    return tokens, np.searchsorted(begin, stop - size), np.searchsorted(begin, stop), data
+    return tokens, np.searchsorted(begin, stop - size), np.searchsorted(begin, stop), (data, begin, end)
 
 
 class Found(NamedTuple):
