@@ -175,6 +175,27 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no such window."""
+    for block in item_blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, good, at = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()], np.ones(b.num_rows, bool), 0
+                while at < len(texts):
+                    stop, size = at, 0
+                    while stop < len(texts) and (size < R.BLOCK or stop == at):
+                        size += len(texts[stop])
+                        stop += 1
+                    good[[at + d for d, *_ in sent.value.search(texts[at:stop])]] = False
+                    at = stop
+                yield b.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +216,19 @@ def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, text string, p_good double, score double, keep boolean")
 
 
+def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores 0.5 or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.RecordBatch.from_arrays([pa.compute.fill_null(b.column("text"), "")], ["text"])
+            scores = [sent.value.score(Block(x)) for _, _, x in texts_in_blocks(text)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *scores]) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("text")
 

@@ -1,8 +1,8 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, exact_digest, pieces, quality, secret_scan, simhash_dedup, substring_dedup, window_index
+from . import decontaminate, exact_digest, html_text, language, pieces, quality, secret_scan, simhash_dedup, substring_dedup, window_index
 
-_MODULES = (secret_scan, substring_dedup, pieces, simhash_dedup, decontaminate, window_index, quality, exact_digest)
+_MODULES = (secret_scan, substring_dedup, language, html_text, pieces, simhash_dedup, decontaminate, window_index, quality, exact_digest)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

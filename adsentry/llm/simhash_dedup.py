@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpoint, shared_folder, stored, table, whole_text
@@ -48,15 +48,17 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rank: Column | None = None) -> DataFrame:
+    """doc_id (or `rank`) and fp, the fingerprint as a signed long."""
+    given = F.col("doc_id").cast("long").alias("doc_id") if rank is None else rank.alias("rank")
+    name, kind = docs.select(given).dtypes[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [simhash(shingle_hashes(x.as_buffer().to_pybytes(), shingle)) for x in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(name), pa.array(np.array(fp, np.uint64).view(np.int64))], [name, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(given, whole_text().alias("text")).mapInArrow(run, f"{name} {kind}, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -152,6 +154,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: of each component the one with the smallest doc_id (null ones
+    last), of several such rows one with the smallest hash of its text."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"))
+    prints = stored(fingerprints(docs, shingle, rank))
+    nodes = prints.groupBy("fp").agg(F.min("rank").alias("least"))
+    reach = components(checkpoint(linked(nodes, radius)))
+    rooted = nodes.join(reach, nodes.fp == reach.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("stay")).select("stay")
+    ranked = docs.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).join(stay, F.col("rank") == F.col("stay"), "left_semi")
+    # rows that are the same in doc_id and text
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy("rank")))
+    return ranked.filter("n = 1").select("row.*")
+
+
 def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
