@@ -49,13 +49,21 @@ class WindowIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, length: int = LENGTH, gram: int = GRAM):
         self.spark, self.path, self.buckets, self.length, self.gram = spark, path or new_path(spark), buckets, length, gram
-        self.levels: list[tuple[int, str]] = []
-        self.steps: list[str] = []
+        self.levels: list[tuple[int, int]] = []  # of each live run, its level and the step that wrote it
+        self.steps = 0
+
+    def read(self, kind: str, schema: str, steps: list[int]) -> DataFrame:
+        """The rows of a kind that some steps wrote; only their folders are read."""
+        rows = self.spark.read.schema(f"{schema}, step int, kind string").parquet(self.path)
+        return rows.filter((F.col("kind") == kind) & F.col("step").isin(steps)).drop("step", "kind")
+
+    def write(self, rows: DataFrame) -> int:
+        self.steps += 1
+        rows.write.partitionBy("kind").parquet(f"{self.path}/step={self.steps}")
+        return self.steps
 
     def runs(self) -> DataFrame:
-        if not self.levels:
-            return self.spark.createDataFrame([], RUN)
-        return self.spark.read.schema(RUN).parquet(*[p for _, p in self.levels])
+        return self.read("run", RUN, [s for _, s in self.levels]) if self.levels else self.spark.createDataFrame([], RUN)
 
     def ingest(self, batch: DataFrame) -> None:
         """Merges a batch (chunk, id, no_id, text) with the runs; writes its new fingerprints and the answers."""
@@ -64,28 +72,24 @@ class WindowIndex:
         def entries(rows: pa.Table) -> pa.Table:
             return R.send_entries(rows, R.word_tokens, length, gram, buckets)
 
-        step = f"{self.path}/step-{len(self.steps)}"
         sent = batch.groupBy("chunk").applyInArrow(entries, R.ENTRIES)
         merged = sent.groupBy("bucket").cogroup(self.runs().groupBy("bucket")).applyInArrow(merge_join, STEP)
-        merged.write.partitionBy("kind").parquet(step)
-        self.steps.append(step)
-        self.levels.append((0, f"{step}/kind=run"))
+        self.levels.append((0, self.write(merged)))
         self.compact()
 
     def compact(self) -> None:
         while len(self.levels) >= FANOUT and len({x for x, _ in self.levels[-FANOUT:]}) == 1:
-            old, level = self.levels[-FANOUT:], self.levels[-1][0]
-            path = f"{self.path}/level-{level + 1}-{len(self.steps)}"
-            self.spark.read.schema(RUN).parquet(*[p for _, p in old]).groupBy("bucket").applyInArrow(merge_runs, RUN).write.parquet(path)
-            self.levels[-FANOUT:] = [(level + 1, path)]
-            for _, p in old:
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            old, level = [s for _, s in self.levels[-FANOUT:]], self.levels[-1][0]
+            merged = self.read("run", RUN, old).groupBy("bucket").applyInArrow(merge_runs, RUN)
+            self.levels[-FANOUT:] = [(level + 1, self.write(merged.withColumn("kind", F.lit("run"))))]
+            for step in old:
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/step={step}/kind=run")
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def resolve(self, docs: DataFrame) -> DataFrame:
         """chunk, doc, start, stop: the ranges of words that go, of all documents ingested."""
         length, gram, buckets = self.length, self.gram, self.buckets
-        said = self.spark.read.schema(ANSWER).parquet(*[f"{s}/kind=answer" for s in self.steps])
+        said = self.read("answer", ANSWER, list(range(1, self.steps + 1)))
 
         def windows(rows: pa.Table, said: pa.Table) -> pa.Table:
             return windows_to_verify(rows, said, length, gram, buckets)
