@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -58,19 +59,26 @@ def folded(host: Column) -> Column:
     return F.translate(host, *D.HOMOGLYPHS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def imitated_brand(host: Column) -> Column:
     """The first brand that a host imitates; null for official domains and others."""
-    tokens = F.split(folded(host), r"[.\-]")
-    domain = folded(domain_of(host))
 
-    def hit(brand: str) -> Column:
-        own = F.array_contains(tokens, brand)
+    def hit(x: Column, brand: str) -> Column:
+        own = F.array_contains(x["tokens"], brand)
         if len(brand) < 5:
             return own
-        return own | F.contains(folded(host), F.lit(brand)) | F.levenshtein(domain, F.lit(brand), 2).between(1, 2)
+        return own | F.contains(x["folded"], F.lit(brand)) | F.levenshtein(x["domain"], F.lit(brand), 2).between(1, 2)
+
+    def judge(x: Column) -> Column:
+        name = F.element_at(F.split(F.substring(x["host"], F.lit(1), F.length(x["host"]) - F.length(x["suffix"]) - 1), r"\."), -1)
+        return F.struct(F.concat_ws(".", name, x["suffix"]).alias("registered"), F.translate(name, *D.HOMOGLYPHS).alias("domain"), x["folded"].alias("folded"), F.split(x["folded"], r"[.\-]").alias("tokens"))
 
-    first = F.coalesce(*[F.when(hit(b), b) for b in D.BRANDS])
-    return F.when(~registered(host).isin(D.OFFICIAL_DOMAINS), first)
+    parts = F.struct(host.alias("host"), suffix_of(host).alias("suffix"), folded(host).alias("folded"))
+    return let(let(parts, judge), lambda x: F.when(~x["registered"].isin(D.OFFICIAL_DOMAINS), F.coalesce(*[F.when(hit(x, b), b) for b in D.BRANDS])))
 
 
 def url_signals(found: Column) -> Column:
@@ -80,15 +88,15 @@ def url_signals(found: Column) -> Column:
         url, host, brand = x["url"], x["host"], x["brand"]
         return S.found(
             F.when(brand.isNotNull(), S.signal("LOOKALIKE_DOMAIN", 0.9, url, hard=True)),
-            F.when(registered(host).isin(D.SHORTENERS), S.signal("URL_SHORTENER", 0.45, url)),
-            F.when(F.element_at(F.split(suffix_of(host), r"\."), -1).isin(D.SUSPICIOUS_TLDS), S.signal("SUSPICIOUS_TLD", 0.4, url)),
+            F.when(x["registered"].isin(D.SHORTENERS), S.signal("URL_SHORTENER", 0.45, url)),
+            F.when(F.element_at(F.split(host, r"\."), -1).isin(D.SUSPICIOUS_TLDS), S.signal("SUSPICIOUS_TLD", 0.4, url)),
             F.when(F.rlike(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")), S.signal("IP_URL", 0.6, url)),
             F.when(F.contains(host, F.lit("xn--")), S.signal("PUNYCODE_URL", 0.6, url)),
-            F.when(brand.isNull() & ~registered(host).isin(D.OFFICIAL_DOMAINS), S.signal("EXTERNAL_LINK", 0.2, url)),
+            F.when(brand.isNull() & ~x["registered"].isin(D.OFFICIAL_DOMAINS), S.signal("EXTERNAL_LINK", 0.2, url)),
         )
 
     hosts = F.transform(found, lambda u: F.struct(u.alias("url"), host_of(u).alias("host")))
-    branded = F.transform(hosts, lambda x: F.struct(x["url"].alias("url"), x["host"].alias("host"), imitated_brand(x["host"]).alias("brand")))
+    branded = F.transform(hosts, lambda x: F.struct(x["url"].alias("url"), x["host"].alias("host"), registered(x["host"]).alias("registered"), imitated_brand(x["host"]).alias("brand")))
     return F.flatten(F.transform(branded, of))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -129,12 +130,21 @@ def codebook_signals(codes: Column) -> Column:
 
 def ngrams(text: Column, most: int = 3) -> Column:
     """Distinct word sequences of up to `most` words, without one-character words, and not of filler words only."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
     fillers = sorted(set(D.GERMAN_WORDS) | set(D.PHRASE_FILLERS))
-    parts = []
-    for n in range(1, most + 1):
-        last = F.size(tokens) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.slice(tokens, i, F.lit(n)))
-        parts.append(F.filter(grams, lambda g: F.exists(g, lambda t: ~t.isin(fillers)) & F.forall(g, lambda t: F.length(t) > 1)))
-    return F.array_distinct(F.transform(F.concat(*parts), lambda g: F.array_join(g, " ")))
+
+    def grams(tokens: Column) -> Column:
+        parts = []
+        for n in range(1, most + 1):
+            last = F.size(tokens) - (n - 1)
+            starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            sliced = F.transform(starts, _slice(tokens, n))
+            parts.append(F.filter(sliced, lambda g: F.exists(g, lambda t: ~t.isin(fillers)) & F.forall(g, lambda t: F.length(t) > 1)))
+        return F.array_distinct(F.transform(F.concat(*parts), lambda g: F.array_join(g, " ")))
+
+    # the tokens are bound once; named inside the functions above they would be found anew for each n-gram
+    return F.element_at(F.transform(F.array(found), grams), 1)
+
+
+def _slice(tokens: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.slice(tokens, i, F.lit(n))

@@ -182,7 +182,7 @@ def flt13_fraud_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRINTS = f"SELECT d.doc_id, d.source, d.lang, {FINGERPRINT_SQL} AS fingerprint, l.toxic AS label, d.doc_id % 5 = 0 AS train_only FROM documents d LEFT JOIN labels l USING (doc_id)"
-UNIQUE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY train_only, source, doc_id) AS n FROM prints) WHERE n = 1"
+UNIQUE = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY train_only, source, doc_id) AS n FROM prints) WHERE n = 1"
 SPLIT = """SELECT doc_id, label, CASE WHEN r <= round_even(n * 0.15, 0) THEN 'test' WHEN r <= round_even(n * 0.3, 0) THEN 'val' ELSE 'train' END AS split FROM
   (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('42|' || fingerprint)) AS r, count(*) OVER (PARTITION BY label) AS n FROM uniq WHERE label IS NOT NULL AND NOT train_only)
   UNION ALL SELECT doc_id, label, 'train' FROM uniq WHERE label IS NOT NULL AND train_only"""

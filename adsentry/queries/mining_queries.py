@@ -1,2 +1,113 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Phrase mining, TF-IDF, similar cases, hashes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import wording as W
+from ..operators import mining as M
+from ..plans import dimensions as D
+from .base import quoted, tables
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
+
+
+def txt29_agg10_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.log_odds(M.gram_counts(_texts(spark, sf_dir), 2))
+    return found.select("gram", F.round("z", 6).alias("z"), "y_s", "y_l")
+
+
+def agg11_join12_14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.candidates(M.log_odds(M.gram_counts(_texts(spark, sf_dir), 2)).withColumn("z", F.round("z", 6)))
+    return found.select("gram", "z", "y_s", "y_l", "covered_by")
+
+
+def _terms(df: DataFrame, key: str) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin(D.ENGLISH_WORDS))
+    return M.term_counts(df, key, words)
+
+
+def ml03_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (items,) = tables(spark, sf_dir, "benchmark")
+    found = M.tfidf(_terms(items, "item_id"), "item_id", items.count())
+    return found.select("item_id", "term", F.round("w", 6).alias("w"))
+
+
+def ml05_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character 3-grams of padded words with their document counts."""
+    (items,) = tables(spark, sf_dir, "benchmark")
+    padded = items.select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    grams = padded.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count_distinct("item_id").alias("df"), F.count("*").alias("n")).filter("df >= 2")
+
+
+def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = tables(spark, sf_dir, "documents", "benchmark")
+    bank = _terms(docs.filter("doc_id % 2 = 0"), "doc_id").withColumnRenamed("doc_id", "d")
+    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, docs.filter("doc_id % 2 = 0").count(), least=0.3)
+    return found.select("q", "d", F.round("score", 6).alias("score"))
+
+
+def win08_top_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items, labels = tables(spark, sf_dir, "documents", "benchmark", "labels")
+    cases = docs.join(labels, "doc_id")
+    bank = _terms(cases, "doc_id").withColumnRenamed("doc_id", "d")
+    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, cases.count())
+    named = found.join(labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label")), "d").withColumn("score", F.round("score", 9))
+    return M.top_per_class(named, 4).select("q", "label", "place", "d")
+
+
+def join15_excluded_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose text is evaluated stay out of the example bank."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    print_ = F.sha1(F.lower("text"))
+    return docs.withColumn("p", print_).join(docs.join(labels, "doc_id").select(print_.alias("p")).distinct(), "p", "left_anti").select("doc_id")
+
+
+def join10_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 63), F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a * 2 + b)
+    hashed = vectors.select("vec_id", bits.alias("hash"))
+    found = M.near_hashes(hashed.select(F.col("vec_id").alias("a"), "hash"), hashed.select(F.col("vec_id").alias("b"), "hash"), 16)
+    return found.filter("a < b")
+
+
+def agg30_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import listings
+
+    found = listings(spark, sf_dir).select(F.explode(W.schemes(F.col("description"))).alias("scheme")).groupBy("scheme").agg(F.count("*").alias("n"))
+    return found.orderBy(F.desc("n"), "scheme").limit(12)
+
+
+QUERIES = {f.__name__: f for f in (txt29_agg10_log_odds, agg11_join12_14_candidates, ml03_tfidf, ml05_char_ngrams, join13_ml14_similar, win08_top_per_class, join15_excluded_bank, join10_near_hashes, agg30_schemes)}
+
+_FILLERS = quoted(sorted(set(D.GERMAN_WORDS) | set(D.PHRASE_FILLERS)))
+_TOKENS = "list_transform(regexp_extract_all(text, '(?i)[a-zäöüßÄÖÜ0-9€]+(?:-[a-zäöüßÄÖÜ0-9]+)*'), lambda x: lower(x))"
+GRAMS = f"""t AS (SELECT doc_id, toxic, {_TOKENS} AS tk FROM documents JOIN labels USING (doc_id)),
+  g AS (SELECT DISTINCT doc_id, toxic, gram FROM (SELECT doc_id, toxic, unnest(list_concat(list_transform(range(1, len(tk) + 1), lambda i: list_slice(tk, i, i)), list_transform(range(1, len(tk)), lambda i: list_slice(tk, i, i + 1)))) AS gl FROM t), LATERAL (SELECT array_to_string(gl, ' ') AS gram)
+    WHERE len(list_filter(gl, lambda x: x NOT IN ({_FILLERS}))) > 0 AND len(list_filter(gl, lambda x: length(x) < 2)) = 0),
+  c AS (SELECT gram, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS y_s, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS y_l FROM g GROUP BY gram), n AS (SELECT sum(y_s)::DOUBLE AS n_s, sum(y_l)::DOUBLE AS n_l FROM c),
+  lo AS (SELECT gram, y_s, y_l, 500 * (y_s + y_l) / (n_s + n_l) AS a, n_s, n_l FROM c, n WHERE y_s >= 3),
+  z AS (SELECT gram, y_s::BIGINT AS y_s, y_l::BIGINT AS y_l, round((ln((y_s + a) / (n_s + 500 - y_s - a)) - ln((y_l + a) / (n_l + 500 - y_l - a))) / sqrt(1 / (y_s + a) + 1 / (y_l + a)), 6) AS z FROM lo)"""
+_COVER = "CASE " + " ".join("WHEN regexp_matches(gram, '(?s)" + "|".join(f"(?:{W.spaced(p)})" for p in ps) + f"') THEN '{code}'" for code, _, _, _, ps in D.LEXICON) + " ELSE '' END"
+_TERM = "unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2 AND w NOT IN (" + quoted(D.ENGLISH_WORDS) + ")))"
+SIMILAR = """bt AS (SELECT doc_id AS d, term, count(*) AS tf FROM (SELECT doc_id, {term} AS term FROM {bank}) GROUP BY ALL), nd AS (SELECT count(*) AS n FROM {bank}),
+  idf AS (SELECT term, ln((1 + (SELECT n FROM nd))::DOUBLE / (1 + count(*))) + 1 AS idf FROM bt GROUP BY term), top AS (SELECT max(idf) AS top FROM idf),
+  qt AS (SELECT item_id AS q, term, count(*) AS tf FROM (SELECT item_id, {term} AS term FROM benchmark) GROUP BY ALL),
+  qw AS (SELECT q, term, (1 + ln(tf)) * coalesce(idf, top) AS w FROM qt LEFT JOIN idf USING (term), top), dw AS (SELECT d, term, (1 + ln(tf)) * idf AS w FROM bt JOIN idf USING (term)),
+  qn AS (SELECT q, sqrt(sum(w * w)) AS n FROM qw GROUP BY q), dn AS (SELECT d, sqrt(sum(w * w)) AS n FROM dw GROUP BY d),
+  sim AS (SELECT q, d, sum(qw.w / qn.n * dw.w / dn.n) AS score FROM qw JOIN qn USING (q) JOIN dw USING (term) JOIN dn USING (d) GROUP BY q, d HAVING count(*) >= 2)"""
+ORACLE_SQL = {
+    "txt29_agg10_log_odds": f"WITH {GRAMS} SELECT * FROM z",
+    "agg11_join12_14_candidates": f"WITH {GRAMS}, p AS (SELECT * FROM z WHERE z > 0 ORDER BY z DESC, gram LIMIT 320) SELECT gram, z, y_s, y_l, {_COVER} AS covered_by FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.gram <> p.gram AND contains(' ' || o.gram || ' ', ' ' || p.gram || ' ') AND o.y_s >= 0.8 * p.y_s) ORDER BY z DESC, gram LIMIT 80",
+    "ml03_tfidf": f"WITH c AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_TERM} AS term FROM benchmark) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2), r AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark))::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN f USING (term)) SELECT item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)), 6) AS w FROM r",
+    "ml05_char_ngrams": "SELECT gram, count(DISTINCT item_id) AS df, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS gram FROM (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) || ' ' AS w FROM benchmark)) GROUP BY gram HAVING count(DISTINCT item_id) >= 2",
+    "join13_ml14_similar": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents WHERE doc_id % 2 = 0)')} SELECT q, d, round(score, 6) AS score FROM sim WHERE score >= 0.3",
+    "win08_top_per_class": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')} SELECT q, label, place, d FROM (SELECT q, d, toxic AS label, row_number() OVER (PARTITION BY q, toxic ORDER BY round(score, 9) DESC, d)::INT AS place FROM sim JOIN labels ON doc_id = d WHERE score >= 0.05) WHERE place <= 2",
+    "join15_excluded_bank": "SELECT doc_id FROM documents WHERE lower(text) NOT IN (SELECT lower(text) FROM documents JOIN labels USING (doc_id))",
+    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i < 64 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 16",
+}

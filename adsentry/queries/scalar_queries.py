@@ -64,6 +64,10 @@ HOST_SQL = r"lower(regexp_extract(regexp_extract(regexp_extract(regexp_replace({
 _TWO = "array_to_string(list_slice(string_split({0}, '.'), -2, -1), '.')"
 SUFFIX_SQL = "CASE WHEN NOT contains({0}, '.') THEN '' WHEN " + _TWO + f" IN ({quoted(D.LONG_SUFFIXES)}) AND len(string_split({{0}}, '.')) > 2 THEN " + _TWO + " ELSE string_split({0}, '.')[-1] END"
 FOREIGN_SQL = rf"list_transform(list_filter(list_zip(regexp_extract_all(regexp_replace(regexp_replace(description, '{C.EMAIL}', ' ', 'g'), '{C.IBAN}', ' ', 'g'), '{C.INTL_PHONE}'), regexp_extract_all(regexp_replace(regexp_replace(description, '{C.EMAIL}', ' ', 'g'), '{C.IBAN}', ' ', 'g'), '{C.INTL_PHONE}', 1)), lambda x: NOT (starts_with(x[2], '49') OR starts_with(x[2], '43') OR starts_with(x[2], '41'))), lambda x: x[1])"
+_DOMAIN = f"string_split(left(h, length(h) - length({SUFFIX_SQL.format('h')}) - 1), '.')[-1]"
+_FOLD = "translate({0}, '013457@', 'oleasta')"
+_BRANDS = " ".join(f"WHEN list_contains(regexp_split_to_array({_FOLD.format('h')}, '[.-]'), '{b}')" + (f" OR contains({_FOLD.format('h')}, '{b}') OR levenshtein({_FOLD.format(_DOMAIN)}, '{b}') BETWEEN 1 AND 2" if len(b) >= 5 else "") + f" THEN '{b}'" for b in D.BRANDS)
+BRAND_SQL = f"array_to_string(list_filter(list_transform(list_transform({URLS_SQL}, lambda x: {HOST_SQL.format('x')}), lambda h: CASE WHEN {_DOMAIN} || '.' || {SUFFIX_SQL.format('h')} IN ({quoted(D.OFFICIAL_DOMAINS)}) THEN NULL {_BRANDS} END), lambda x: x IS NOT NULL), '|')"
 JOINED = "array_to_string({0}, '|')"
 
 
@@ -122,7 +126,7 @@ SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "txt03_hosts": (lambda: joined(F.transform(C.urls(c("description")), C.host_of)), JOINED.format(f"list_transform({URLS_SQL}, lambda x: {HOST_SQL.format('x')})")),
     "txt04_suffixes": (lambda: joined(F.transform(C.urls(c("description")), lambda u: C.suffix_of(C.host_of(u)))), JOINED.format(f"list_transform(list_transform({URLS_SQL}, lambda x: {HOST_SQL.format('x')}), lambda h: {SUFFIX_SQL.format('h')})")),
     "txt05_homoglyphs": (lambda: joined(F.transform(C.urls(c("description")), lambda u: C.folded(C.host_of(u)))), JOINED.format(f"list_transform({URLS_SQL}, lambda x: translate({HOST_SQL.format('x')}, '013457@', 'oleasta'))")),
-    "txt06_imitated_brand": (lambda: joined(F.transform(C.urls(c("description")), lambda u: C.imitated_brand(C.host_of(u)))), None),
+    "txt06_imitated_brand": (lambda: joined(F.transform(F.transform(C.urls(c("description")), C.host_of), C.imitated_brand)), BRAND_SQL),
     "txt07_iban_valid": (lambda: C.iban_valid(F.concat(F.lit("DE"), F.substring((c("doc_id") % 97 + 100).cast("string"), 2, 2), F.lit(" 3704 0044 0532 0130 00"))), "CAST(('370400440532013000' || '1314' || lpad(CAST(doc_id % 97 AS STRING), 2, '0')) AS HUGEINT) % 97 = 1"),
     "txt08_find_ibans": (lambda: joined(find_ibans(c("description"))), "CASE WHEN doc_id % 15 = 4 THEN 'DE89 3704 0044 0532 0130 00' ELSE '' END"),
     "txt09_foreign_phones": (lambda: joined(C.foreign_phones(c("description"))), JOINED.format(FOREIGN_SQL)),

@@ -1,2 +1,193 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Rule scan, fusion, explanation and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize as N
+from ..functions import offer as O
+from ..functions import signals as S
+from ..functions import wording as W
+from ..functions.redact import find_ibans
+from ..operators import evaluation as E
+from ..operators import scoring as C
+from ..plans import dimensions as D
+from .base import cte, listings, quoted, tables
+from .scalar_queries import BADGE_SQL, CAPS_SQL, ENGLISH_SQL, GERMAN_SQL, N_WORDS_SQL, PRICE_SQL, SUBSTITUTES_SQL, TYPE_SQL, UPPER_SQL, _category_sql, lexicon_sql, reference_sql
+
+
+def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all signals of every listing, its score and verdict."""
+    return C.score_listings(listings(spark, sf_dir), ibans=find_ibans(F.col("full_text")))
+
+
+def rule_scan_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with the signals that plain SQL can say as well: phrases and language."""
+    df = listings(spark, sf_dir).withColumns(W.language_features(F.col("description")))
+    language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")])
+    df = df.select("doc_id", F.concat(W.lexicon_signals(F.col("description")), language).alias("signals"))
+    score = F.greatest(S.noisy_or(F.col("signals")), F.when(F.exists("signals", lambda s: s["hard"]), D.HARD_FLOOR).otherwise(0.0))
+    df = df.select("doc_id", F.size("signals").alias("n_signals"), F.round(score, 6).alias("score"))
+    return df.withColumn("verdict", C.verdict(F.col("score")))
+
+
+def txt22_language_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).withColumns(W.language_features(F.col("description")))
+    language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")])
+    return df.select("doc_id", F.array_join(S.codes(language), "|").alias("codes"))
+
+
+def _offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).withColumns(
+        {"price": N.parse_price(F.col("price_raw")), "least": O.reference_min(F.col("title"), F.col("description")), "kind": N.seller_type(F.col("type_raw")), "badges": N.badge_keys(F.array("badge_raw")), "category": N.normalize_category(F.col("category_raw"))}
+    )
+
+
+def prc02_price_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _offer(spark, sf_dir)
+    return df.select("doc_id", F.round(O.price_ratio(F.col("price"), F.col("least")), 6).alias("ratio"), F.array_join(S.codes(O.price_signals(F.col("price"), F.col("least"))), "|").alias("codes"))
+
+
+def prc02_lineitem_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit prices against what the part costs: how many lie far below."""
+    lines, parts = tables(spark, sf_dir, "lineitem", "part")
+    joined = lines.join(parts, lines.l_partkey == parts.p_partkey).withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+    found = joined.withColumn("code", F.try_element_at(S.codes(O.price_signals(F.col("unit"), F.col("p_retailprice") * 1.5)), F.lit(1)))
+    return found.groupBy("p_brand", "code").agg(F.count("*").alias("n"))
+
+
+def sel02_04_seller_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _offer(spark, sf_dir)
+    found = O.seller_signals(F.col("price"), F.col("age"), F.col("ratings"), F.col("kind"), F.col("badges"), F.col("legal_form"))
+    return df.select("doc_id", F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["code"], F.format_string("%.2f", s["weight"]))), "|").alias("signals"))
+
+
+def sel05_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _offer(spark, sf_dir)
+    summary = O.profile_summary(F.col("age"), F.col("kind"), F.col("badges"), F.col("ads"), F.col("legal_form"))
+    return df.select("doc_id", F.array_join(S.codes(O.seller_notes(F.col("price"), F.col("category"), F.col("kind"), F.col("legal_form"), summary)), "|").alias("codes"))
+
+
+def sel06_profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _offer(spark, sf_dir)
+    return df.select("doc_id", O.profile_summary(F.col("age"), F.col("kind"), F.col("badges"), F.col("ads"), F.col("legal_form")).alias("summary"))
+
+
+def sel07_business_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _offer(spark, sf_dir).withColumn("signals", W.lexicon_signals(F.col("description")))
+    adjusted = O.business_adjusted(F.col("signals"), O.commercial(F.col("kind"), F.col("legal_form")))
+    return df.select("doc_id", F.round(S.noisy_or(adjusted), 6).alias("score"))
+
+
+def sco02_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("doc_id", F.round(S.noisy_or(W.lexicon_signals(F.col("description"))), 6).alias("score"))
+
+
+def sco01_grouped_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (events,) = tables(spark, sf_dir, "events")
+    weight = F.least(F.greatest((F.col("event_id") % 5 - 1) / 20, F.lit(0.0)), F.lit(1.0))
+    return events.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.round(1 - F.product(1 - weight), 6).alias("score"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long table of detector scores, some missing, drawn from the rating log."""
+    (events,) = tables(spark, sf_dir, "events")
+    models = F.array(*[F.lit(m) for m in [*D.FUSION_WEIGHTS, "other"]])
+    return events.select(
+        (F.col("event_id") % 2000).alias("listing_id"), F.element_at(models, (F.col("event_id") % 6 + 1).cast("int")).alias("model"), F.when(F.col("event_id") % 7 > 0, (F.col("user_id") % 101) / 100).alias("score"), (F.col("event_type") != "error").alias("available"), (F.col("event_id") % 97 == 0).alias("hard")
+    )
+
+
+def sco03_05_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = C.fuse(_scores(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 3))
+
+
+def sco06_strongest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("doc_id", F.array_join(S.codes(S.strongest_first(W.lexicon_signals(F.col("description")))), "|").alias("codes"))
+
+
+def sco08_only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    content = F.sha2("text", 256)
+    return C.only_new(docs, docs.filter("doc_id % 2 = 0").select(content.alias("content")), content).select("doc_id")
+
+
+def sco09_10_agg08_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, chats = tables(spark, sf_dir, "documents", "labels", "conversations")
+    trained = labels.join(chats.select(F.col("conv_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("toxic").alias("label"))
+    scores = docs.select("doc_id", ((F.col("doc_id") % 100) / 100).alias("score"))
+    return C.abstaining(scores, F.col("doc_id") % 3 == 0, trained)
+
+
+def sco11_linear_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 4))).alias("term"))
+    values = words.withColumn("value", F.lit(0.5))
+    terms = words.groupBy("term").agg(F.count("*").alias("n")).filter("n >= 5").select("term", (F.length("term") / 10).alias("coefficient"))
+    found = C.linear_reasons(values, terms, "doc_id")
+    return found.select("doc_id", "place", "term", F.round("part", 6).alias("part"))
+
+
+def agg27_29_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (labels,) = tables(spark, sf_dir, "labels")
+    score = F.when(F.col("doc_id") % 13 > 0, ((F.col("doc_id") * 37) % 101 + F.col("toxic") * 30) / 131)
+    rows = labels.select((F.col("doc_id") % 4).alias("model"), F.col("toxic").alias("label"), score.alias("score"))
+    found = E.metrics(rows, ["model"])
+    return found.select("model", "n", "failed", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "auc")])
+
+
+def agg32_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in JSON against labels; an invalid answer counts as a prediction of 0."""
+    (labels,) = tables(spark, sf_dir, "labels")
+    answer = F.when(F.col("doc_id") % 9 == 0, "kein JSON").otherwise(F.concat(F.lit('{"label": '), (F.col("doc_id") % 2).cast("string"), F.lit("}")))
+    rows = labels.select("toxic", F.get_json_object(answer, "$.label").cast("int").alias("given"))
+    hit = F.coalesce("given", F.lit(0))
+    return rows.agg(F.count_if(F.col("given").isNull()).alias("invalid"), F.round(F.avg((hit == F.col("toxic")).cast("double")), 9).alias("accuracy"), F.count_if((hit == 1) & (F.col("toxic") == 1)).alias("tp"))
+
+
+QUERIES = {f.__name__: f for f in (
+    rule_scan, rule_scan_phrases, txt22_language_signals, prc02_price_signals, prc02_lineitem_prices, sel02_04_seller_signals, sel05_notes, sel06_profile_summary, sel07_business_adjust, sco02_rule_score, sco01_grouped_noisy_or, sco03_05_fuse,
+    sco06_strongest_first, sco08_only_new, sco09_10_agg08_abstain, sco11_linear_reasons, agg27_29_metrics, agg32_answers,
+)}
+
+LANGUAGE = f"SELECT doc_id, {N_WORDS_SQL} AS n, {GERMAN_SQL} AS g, {ENGLISH_SQL} AS e, {UPPER_SQL} AS u, {CAPS_SQL} AS c, {SUBSTITUTES_SQL} AS s FROM listings"
+CODES = "list_filter([CASE WHEN n >= 20 AND e > 0.08 AND e > g / 2 THEN 'MIXED_ENGLISH' END, CASE WHEN n >= 20 AND u < 0.08 AND c < 0.3 THEN 'NO_NOUN_CAPITALIZATION' END, CASE WHEN s >= 3 THEN 'UMLAUT_SUBSTITUTES' END, CASE WHEN c > 0.3 AND n >= 8 THEN 'SHOUTING' END], lambda x: x IS NOT NULL)"
+NOISY = "1 - list_product(list_transform({0}, lambda x: 1 - x))"
+_WEIGHTS = " ".join(f"WHEN '{m}' THEN {w}" for m, w in D.FUSION_WEIGHTS.items())
+OFFER = f"SELECT doc_id, age, ratings, ads, legal_form, {PRICE_SQL} AS price, {reference_sql()} AS least, {TYPE_SQL} AS kind, {BADGE_SQL} AS badge, {_category_sql()} AS category FROM listings"
+FIRM = "coalesce(kind = 'gewerblich', legal_form IS NOT NULL)"
+DEAR = "coalesce(price >= 200, false)"
+ACTIVE = "CASE WHEN age < 60 THEN 'seit ' || age || CASE WHEN age = 1 THEN ' Tag aktiv' ELSE ' Tagen aktiv' END WHEN age // 30 // 12 > 0 THEN 'seit ' || (age // 30 // 12) || CASE WHEN age // 30 // 12 = 1 THEN ' Jahr aktiv' ELSE ' Jahren aktiv' END ELSE 'seit ' || (age // 30) || ' Monaten aktiv' END"
+BADGE_NAME = "CASE badge " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.BADGES.items()) + " END"
+FORM = "coalesce(' (' || legal_form || ')', '')"
+ORACLE_SQL = {
+    "rule_scan_phrases": cte(
+        f"SELECT doc_id, (len(w) + len(k))::INT AS n_signals, round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) AS score, CASE WHEN round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) >= 0.7 THEN 'hohes Risiko' WHEN round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM s",
+        ("l", LANGUAGE),
+        ("p", f"SELECT doc_id, {lexicon_sql(value='weight')} AS w, list_contains({lexicon_sql(value='hard')}, true) AS h FROM listings"),
+        ("s", f"SELECT doc_id, w, h, {CODES} AS k, list_transform({CODES}, lambda x: CASE WHEN x = 'MIXED_ENGLISH' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) AS lw FROM l JOIN p USING (doc_id)"),
+    ),
+    "txt22_language_signals": cte(f"SELECT doc_id, array_to_string({CODES}, '|') AS codes FROM l", ("l", LANGUAGE)),
+    "prc02_price_signals": cte("SELECT doc_id, round(coalesce(price / least, 1.0), 6) AS ratio, CASE WHEN price / least > 0 AND price / least < 0.4 THEN 'PRICE_FAR_TOO_LOW' WHEN price / least >= 0.4 AND price / least < 0.65 THEN 'PRICE_LOW' ELSE '' END AS codes FROM o", ("o", OFFER)),
+    "prc02_lineitem_prices": "SELECT p_brand, CASE WHEN r > 0 AND r < 0.4 THEN 'PRICE_FAR_TOO_LOW' WHEN r >= 0.4 AND r < 0.65 THEN 'PRICE_LOW' END AS code, count(*) AS n FROM (SELECT p_brand, l_extendedprice / l_quantity / (p_retailprice * 1.5) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL",
+    "sel02_04_seller_signals": cte(
+        f"SELECT doc_id, array_to_string(list_filter([CASE WHEN age <= 1 AND NOT {FIRM} AND {DEAR} THEN 'NEW_ACCOUNT:0.45' WHEN age < 7 THEN 'NEW_ACCOUNT:0.30' WHEN age < 30 THEN 'YOUNG_ACCOUNT:0.10' END, CASE WHEN (coalesce(ratings = 0, false) OR (kind IS NOT NULL AND NOT coalesce(starts_with(badge, 'zufriedenheit_'), false))) AND NOT {FIRM} AND {DEAR} AND (age IS NULL OR age < 365) THEN 'NO_RATINGS_HIGH_VALUE:0.15' END, CASE WHEN kind = 'privat' AND legal_form IS NOT NULL THEN 'COMMERCIAL_AS_PRIVATE:0.15' END, CASE WHEN badge = 'zufriedenheit_naja' THEN 'LOW_SATISFACTION:0.15' END], lambda x: x IS NOT NULL), '|') AS signals FROM o", ("o", OFFER)),
+    "sel05_notes": cte(f"SELECT doc_id, array_to_string(list_filter([CASE WHEN kind IS NOT NULL OR legal_form IS NOT NULL OR age IS NOT NULL OR badge IS NOT NULL OR ads IS NOT NULL THEN 'SELLER_PROFILE' END, CASE WHEN {FIRM} THEN 'COMMERCIAL_SELLER' END, CASE WHEN category = 'dienstleistungen' OR ({FIRM} AND price IS NULL) THEN 'SERVICE_OR_AD' END], lambda x: x IS NOT NULL), '|') AS codes FROM o", ("o", OFFER)),
+    "sel06_profile_summary": cte(f"SELECT doc_id, concat_ws(' · ', CASE WHEN {FIRM} THEN 'Gewerblicher Anbieter' || {FORM} WHEN kind = 'privat' THEN 'Privater Nutzer' || {FORM} END, CASE WHEN age IS NOT NULL THEN {ACTIVE} END, CASE WHEN badge IS NOT NULL THEN {BADGE_NAME} WHEN kind IS NOT NULL THEN 'keine Bewertungs-Abzeichen' END, ads || CASE WHEN ads = 1 THEN ' Anzeige' ELSE ' Anzeigen' END) AS summary FROM o", ("o", OFFER)),
+    "sel07_business_adjust": cte(f"SELECT doc_id, round({NOISY.format(f'list_transform({lexicon_sql()}, lambda c: CASE c ' + ' '.join(f'WHEN {quoted([k])} THEN {w} * CASE WHEN {FIRM} AND {str(k == "OFFPLATFORM_CONTACT").lower()} THEN 0.3 ELSE 1.0 END' for k, w, *_ in D.LEXICON) + ' END::DOUBLE)')}, 6) AS score FROM (SELECT *, {TYPE_SQL} AS kind FROM listings)"),
+    "sco02_rule_score": cte(f"SELECT doc_id, round({NOISY.format(lexicon_sql(value='weight'))}, 6) AS score FROM listings"),
+    "sco01_grouped_noisy_or": "SELECT user_id, event_type AS kind, round(1 - product(1 - least(greatest((event_id % 5 - 1) / 20.0, 0.0), 1.0)), 6) AS score FROM events GROUP BY ALL",
+    "sco03_05_fuse": f"SELECT listing_id, round(score, 3) AS score, CASE WHEN score >= 0.7 THEN 'hohes Risiko' WHEN score >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM (SELECT listing_id, round_even(least(1.0, greatest(coalesce(sum(s * w) / sum(w) FILTER (s IS NOT NULL), 0), CASE WHEN bool_or(hard) THEN 0.75 ELSE 0 END)), 4) AS score FROM (SELECT event_id % 2000 AS listing_id, CASE WHEN event_id % 7 > 0 AND event_type <> 'error' THEN (user_id % 101) / 100.0::DOUBLE END AS s, CASE (['rules', 'text', 'image', 'automl', 'llm', 'other'])[event_id % 6 + 1] {_WEIGHTS} ELSE 1.0 END::DOUBLE AS w, event_id % 97 = 0 AS hard FROM events) GROUP BY listing_id)",
+    "sco06_strongest_first": cte(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform({lexicon_sql()}, lambda c, i: {{'w': -(CASE c {' '.join(f'WHEN {quoted([k])} THEN {w}' for k, w, *_ in D.LEXICON)} END), 'i': i, 'c': c}})), lambda x: x.c), '|') AS codes FROM listings"),
+    "sco08_only_new": "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
+    "sco09_10_agg08_abstain": "WITH t AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels WHERE doc_id IN (SELECT conv_id FROM conversations)) SELECT doc_id, CASE WHEN doc_id % 3 > 0 OR least(p, n) >= 20 THEN (doc_id % 100) / 100.0::DOUBLE END AS score FROM documents, t",
+    "sco11_linear_reasons": "WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4))) AS term FROM documents), c AS (SELECT term, length(term) / 10.0 AS k FROM w GROUP BY term HAVING count(*) >= 5) SELECT doc_id, place, term, round(part, 6)::DOUBLE AS part FROM (SELECT doc_id, term, k * 0.5 AS part, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, term)::INT AS place FROM w JOIN c USING (term)) WHERE place <= 3 AND part > 0.05",
+    "agg27_29_metrics": """WITH r AS (SELECT doc_id % 4 AS model, toxic AS label, CASE WHEN doc_id % 13 > 0 THEN ((doc_id * 37) % 101 + toxic * 30) / 131.0::DOUBLE END AS s FROM labels),
+      k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY s) + (count(*) OVER (PARTITION BY model, s) - 1) / 2.0 AS rk FROM r WHERE s IS NOT NULL),
+      a AS (SELECT model, (sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM k GROUP BY model),
+      m AS (SELECT model, count(s) AS n, count(*) FILTER (s IS NULL) AS failed, count(*) FILTER (s >= 0.5 AND label = 1) AS tp, count(*) FILTER (s >= 0.5 AND label = 0) AS fp, count(*) FILTER (s < 0.5 AND label = 1) AS fn FROM r GROUP BY model)
+      SELECT model, n, failed, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(auc, 9) AS auc FROM m LEFT JOIN a USING (model)""",
+    "agg32_answers": "SELECT count(*) FILTER (doc_id % 9 = 0) AS invalid, round(avg(CASE WHEN CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 2 END = toxic THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) FILTER (doc_id % 9 > 0 AND doc_id % 2 = 1 AND toxic = 1) AS tp FROM labels",
+}
