@@ -87,11 +87,12 @@ def spaced(pattern: str) -> str:
     return pattern.replace(" ?", r"\s*").replace(" ", r"\s+")
 
 
-def lexicon_signals(text: Column) -> Column:
+def lexicon_signals(text: Column, low: Column | None = None) -> Column:
     """One signal for each group of the lexicon that occurs; its first pattern in order that does gives the evidence.
 
-    A generated expression: one pass over the text for each group, no explode and no join."""
-    low = F.lower(text)
+    A generated expression: one pass over the text for each group, no explode and no join. low: the lower-cased text,
+    where a column has it already."""
+    low = F.lower(text) if low is None else low
     out = []
     for code, weight, hard, _, patterns in D.LEXICON:
         together = "(?s)" + "|".join(f"(?:{spaced(p)})" for p in patterns)

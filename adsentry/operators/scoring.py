@@ -24,11 +24,11 @@ def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
             "full_text": N.full_text(F.col("title"), F.col("description"), F.array().cast("array<string>")),
         }
     )
-    df = df.withColumns(W.language_features(F.col("full_text")))
+    df = df.withColumn("low", F.lower("full_text")).withColumns(W.language_features(F.col("full_text")))
     df = df.withColumns({"least_price": O.reference_min(F.col("title"), F.col("description")), "article_errors": W.article_errors(F.col("full_text"))})
     language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes", "article_errors")])
     parts = [
-        W.lexicon_signals(F.col("full_text")),
+        W.lexicon_signals(F.col("full_text"), F.col("low")),
         C.contact_signals(F.col("full_text"), ibans),
         O.price_signals(F.col("price"), F.col("least_price")),
         O.seller_signals(F.col("price"), F.col("age"), F.col("ratings"), F.col("seller_type"), F.col("badges"), F.col("legal_form")),

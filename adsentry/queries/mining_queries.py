@@ -70,7 +70,7 @@ def join15_excluded_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join10_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (vectors,) = tables(spark, sf_dir, "embeddings")
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 63), F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a * 2 + b)
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a * 2 + b)
     hashed = vectors.select("vec_id", bits.alias("hash"))
     found = M.near_hashes(hashed.select(F.col("vec_id").alias("a"), "hash"), hashed.select(F.col("vec_id").alias("b"), "hash"), 16)
     return found.filter("a < b")
@@ -109,5 +109,5 @@ ORACLE_SQL = {
     "join13_ml14_similar": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents WHERE doc_id % 2 = 0)')} SELECT q, d, round(score, 6) AS score FROM sim WHERE score >= 0.3",
     "win08_top_per_class": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')} SELECT q, label, place, d FROM (SELECT q, d, toxic AS label, row_number() OVER (PARTITION BY q, toxic ORDER BY round(score, 9) DESC, d)::INT AS place FROM sim JOIN labels ON doc_id = d WHERE score >= 0.05) WHERE place <= 2",
     "join15_excluded_bank": "SELECT doc_id FROM documents WHERE lower(text) NOT IN (SELECT lower(text) FROM documents JOIN labels USING (doc_id))",
-    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i < 64 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 16",
+    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(list_slice(embedding, 1, 63), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 16",
 }

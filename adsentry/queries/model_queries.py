@@ -1,2 +1,80 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Feature tables, models and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import signals as S
+from ..functions import wording as W
+from ..operators import dataset as T
+from ..operators import evaluation as E
+from ..operators import models as M
+from ..plans import dimensions as D
+from ..sources.writers import chat_format
+from .base import cte, listings, tables
+from .scalar_queries import N_WORDS_SQL, lexicon_sql
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).withColumn("signals", W.lexicon_signals(F.col("description")))
+    codes = ["OFFPLATFORM_PAYMENT", "FAKE_PAYMENT_LINK", "PARCEL_CUSTOMS"]
+    return df.select("doc_id", F.size(W.words(F.col("description"))).alias("n_words"), F.coalesce("age", F.lit(-1)).alias("age"), F.lit(1).alias("constant"), *[S.highest(F.col("signals"), c).alias(f"signal_{c.lower()}") for c in codes])
+
+
+def ml01_win10_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir)
+
+
+def ml02_useful_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _features(spark, sf_dir)
+    return M.aligned(df, M.useful_columns(df, [c for c in df.columns if c != "doc_id"]) + ["unseen"], "doc_id")
+
+
+def ml06_07_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted on one part of the labelled texts and measured on the other."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"), T.fingerprint(F.col("text")).alias("p"))
+    test = F.pmod(F.xxhash64("p"), F.lit(4)) == 0
+    model = M.text_model(rows.filter(~test))
+    scored = M.probability(model, rows.filter(test), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
+    return E.metrics(scored.withColumn("model", F.lit("text")), ["model"])
+
+
+def ml08_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    text = F.col("text")
+    table = docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("label"), F.length(text).cast("double").alias("chars"), (F.length(F.regexp_replace(text, "[^!*&%$#|]", "")) / F.length(text)).alias("signs"), W.caps_share(W.words(text)).alias("caps"))
+    return M.leaderboard(table.na.fill(0.0), ["chars", "signs", "caps"], "doc_id")
+
+
+def ml12_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    classes = vectors.filter("vec_id < 12").select(F.col("vec_id").alias("prompt"), F.col("label").alias("class"), "embedding")
+    found = M.zero_shot(vectors, classes, 10.0)
+    return found.select("vec_id", "class", F.round("p", 6).alias("p"))
+
+
+def ml13_image_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    model = F.when(F.col("vec_id") % 3 > 0, F.abs(F.element_at("embedding", 1).cast("double")) / 10)
+    weight = F.when(F.col("label") == 1, 0.4).otherwise(0.0)
+    return vectors.select("vec_id", F.round(1 - (1 - model) * (1 - weight), 6).alias("score"))
+
+
+def snk11_ml16_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).select(F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"), F.col("title").alias("prompt"), F.concat(F.lit("p="), F.when(F.col("doc_id") % 2 == 0, "0.9").otherwise("0.1")).alias("answer"))
+    return chat_format(df, "Beurteile die Anzeige.")
+
+
+QUERIES = {f.__name__: f for f in (ml01_win10_feature_row, ml02_useful_columns, ml06_07_text_model, ml08_leaderboard, ml12_zero_shot, ml13_image_score, snk11_ml16_finetune)}
+_W = {c: w for c, w, *_ in D.LEXICON}
+_SIGNALS = ", ".join(f"CASE WHEN list_contains(codes, '{c}') THEN {_W[c]} ELSE 0 END::DOUBLE AS signal_{c.lower()}" for c in ("OFFPLATFORM_PAYMENT", "FAKE_PAYMENT_LINK", "PARCEL_CUSTOMS"))
+_BASE = f"SELECT doc_id, {N_WORDS_SQL}::INT AS n_words, coalesce(age, -1) AS age, {lexicon_sql()} AS codes FROM listings"
+ORACLE_SQL = {
+    "ml01_win10_feature_row": cte(f"SELECT doc_id, n_words, age, 1 AS constant, {_SIGNALS} FROM b", ("b", _BASE)),
+    "ml02_useful_columns": cte(f"SELECT doc_id, n_words::DOUBLE AS n_words, age::DOUBLE AS age, {_SIGNALS}, 0.0::DOUBLE AS unseen FROM b", ("b", _BASE)),
+    "ml13_image_score": "SELECT vec_id, round(1 - (1 - CASE WHEN vec_id % 3 > 0 THEN abs(embedding[1]::DOUBLE) / 10 END) * (1 - CASE WHEN label = 1 THEN 0.4::DOUBLE ELSE 0.0 END), 6) AS score FROM embeddings",
+    "ml12_zero_shot": "WITH c AS (SELECT vec_id AS prompt, label AS class, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 12), e AS (SELECT e.vec_id, class, exp(10 * (list_cosine_similarity(e.embedding::DOUBLE[], w) - 1)) AS e FROM embeddings e, c) SELECT vec_id, class, round(sum(e) / sum(sum(e)) OVER (PARTITION BY vec_id), 6) AS p FROM e GROUP BY vec_id, class",
+    "snk11_ml16_finetune": cte("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, to_json({'messages': [{'role': 'system', 'content': 'Beurteile die Anzeige.'}, {'role': 'user', 'content': title}, {'role': 'assistant', 'content': 'p=' || CASE WHEN doc_id % 2 = 0 THEN '0.9' ELSE '0.1' END}]})::STRING AS value FROM listings"""),
+}
