@@ -1,2 +1,66 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Pages and chats as collected sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pages as P
+from .base import tables
+
+
+def pag01_ad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ad_fields(*tables(spark, sf_dir, "pages")).drop("url")
+
+
+def pag04_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.posts(*tables(spark, sf_dir, "pages")).select("page_id", "post_no", F.sha1("text").alias("sha1"))
+
+
+def pag07_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(*tables(spark, sf_dir, "pages")).groupBy("link").agg(F.count("*").alias("n"))
+
+
+def pag08_image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    json = F.to_json(F.struct(F.concat(F.lit("https://"), F.when(F.col("page_id") % 2 == 0, "i.example.org").otherwise(host), F.lit("/"), F.col("page_id")).alias("url"), F.array(F.lit("https://p.example.org/g.jpg")).alias("gallery")))
+    return P.image_urls(pages.select("page_id", json.alias("json")), "page_id", ["i.example.org", "p.example.org"])
+
+
+def txt30_pag05_received_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (chats,) = tables(spark, sf_dir, "conversations")
+    text = F.concat(F.lit("Dann kam diese Nachricht: „"), F.substring(F.regexp_replace("text", '[„“”"]', ""), 1, 400), F.lit("“"))
+    found = P.received_messages(chats.select("conv_id", "turn", text.alias("text")).withColumn("key", F.struct("conv_id", "turn")), "key")
+    return found.select("key.conv_id", "key.turn", F.sha1("quote").alias("sha1"))
+
+
+def pag10_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (events,) = tables(spark, sf_dir, "events")
+    lines = events.select((F.col("user_id")).alias("image"), F.col("event_type").alias("text"), F.col("event_id").alias("top"), F.lit(20).alias("height"))
+    return P.without_overlap(lines).groupBy("image").agg(F.count("*").alias("n"))
+
+
+def pag09_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (events,) = tables(spark, sf_dir, "events")
+    lines = events.select(F.col("user_id").alias("image"), F.col("event_type").alias("text"), (F.col("event_id") * 3).alias("top"), F.col("event_id").alias("left"), F.lit(100).alias("height"))
+    return P.rows_of_boxes(lines).groupBy("image").agg(F.count("*").alias("n"))
+
+
+def win12_pag03_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (chats,) = tables(spark, sf_dir, "conversations")
+    files = chats.select(F.col("conv_id").alias("item"), F.col("turn").alias("file"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("title"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("message"))
+    return P.merged_files(files).select("item", "title", F.size("messages").alias("n_messages"))
+
+
+QUERIES = {f.__name__: f for f in (pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_pag05_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
+_P = r"list_transform(regexp_extract_all(html, '(?s)<{0}\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))"
+ORACLE_SQL = {
+    "pag01_ad_fields": f"""SELECT page_id, ({_P.format('h1')})[1] AS title, len({_P.format('p')})::INT AS n_lines, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, array_to_string(regexp_extract_all(html, '<a href="/([^"]*)"', 1), ' > ') AS breadcrumb FROM pages""",
+    "pag04_posts": f"SELECT page_id, (i - 1)::INT AS post_no, sha1(t) AS sha1 FROM (SELECT page_id, unnest({_P.format('p')}) AS t, generate_subscripts({_P.format('p')}, 1) AS i FROM pages) WHERE t <> ''",
+    "pag07_links": """SELECT link, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY link""",
+    "pag08_image_urls": "SELECT page_id, 'https://p.example.org/g.jpg' AS url FROM pages UNION ALL SELECT page_id, 'https://i.example.org/' || page_id FROM pages WHERE page_id % 2 = 0",
+    "pag10_overlap": "SELECT image, count(*) AS n FROM (SELECT user_id AS image, event_id - lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS gap FROM events) WHERE gap IS NULL OR gap >= 20 GROUP BY image",
+    "pag09_rows": "SELECT image, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT user_id AS image, event_id * 3 - lag(event_id * 3) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) GROUP BY image",
+    "win12_pag03_merged_files": "SELECT conv_id AS item, arg_min(role, turn) FILTER (turn % 2 = 1) AS title, (count(*) FILTER (turn % 2 = 0))::INT AS n_messages FROM conversations GROUP BY conv_id",
+}

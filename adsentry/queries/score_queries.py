@@ -178,7 +178,7 @@ ORACLE_SQL = {
     "sel07_business_adjust": cte(f"SELECT doc_id, round({NOISY.format(f'list_transform({lexicon_sql()}, lambda c: CASE c ' + ' '.join(f'WHEN {quoted([k])} THEN {w} * CASE WHEN {FIRM} AND {str(k == "OFFPLATFORM_CONTACT").lower()} THEN 0.3 ELSE 1.0 END' for k, w, *_ in D.LEXICON) + ' END::DOUBLE)')}, 6) AS score FROM (SELECT *, {TYPE_SQL} AS kind FROM listings)"),
     "sco02_rule_score": cte(f"SELECT doc_id, round({NOISY.format(lexicon_sql(value='weight'))}, 6) AS score FROM listings"),
     "sco01_grouped_noisy_or": "SELECT user_id, event_type AS kind, round(1 - product(1 - least(greatest((event_id % 5 - 1) / 20.0, 0.0), 1.0)), 6) AS score FROM events GROUP BY ALL",
-    "sco03_05_fuse": f"SELECT listing_id, round(score, 2) AS score, CASE WHEN score >= 0.7 THEN 'hohes Risiko' WHEN score >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM (SELECT listing_id, round_even(least(1.0, greatest(coalesce(sum(s * w) / sum(w) FILTER (s IS NOT NULL), 0), CASE WHEN bool_or(hard) THEN 0.75 ELSE 0 END)), 4) AS score FROM (SELECT event_id % 2000 AS listing_id, CASE WHEN event_id % 7 > 0 AND event_type <> 'error' THEN (user_id % 101) / 100.0::DOUBLE END AS s, CASE (['rules', 'text', 'image', 'automl', 'llm', 'other'])[event_id % 6 + 1] {_WEIGHTS} ELSE 1.0 END::DOUBLE AS w, event_id % 97 = 0 AS hard FROM events) GROUP BY listing_id)",
+    "sco03_05_fuse": f"SELECT listing_id, round(score::DECIMAL(8, 4), 2)::DOUBLE AS score, CASE WHEN score >= 0.7 THEN 'hohes Risiko' WHEN score >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM (SELECT listing_id, round_even(least(1.0, greatest(coalesce(sum(s * w) / sum(w) FILTER (s IS NOT NULL), 0), CASE WHEN bool_or(hard) THEN 0.75 ELSE 0 END)), 4) AS score FROM (SELECT event_id % 2000 AS listing_id, CASE WHEN event_id % 7 > 0 AND event_type <> 'error' THEN (user_id % 101) / 100.0::DOUBLE END AS s, CASE (['rules', 'text', 'image', 'automl', 'llm', 'other'])[event_id % 6 + 1] {_WEIGHTS} ELSE 1.0 END::DOUBLE AS w, event_id % 97 = 0 AS hard FROM events) GROUP BY listing_id)",
     "sco06_strongest_first": cte(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform({lexicon_sql()}, lambda c, i: {{'w': -(CASE c {' '.join(f'WHEN {quoted([k])} THEN {w}' for k, w, *_ in D.LEXICON)} END), 'i': i, 'c': c}})), lambda x: x.c), '|') AS codes FROM listings"),
     "sco08_only_new": "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
     "sco09_10_agg08_abstain": "WITH t AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels WHERE doc_id IN (SELECT conv_id FROM conversations)) SELECT doc_id, CASE WHEN doc_id % 3 > 0 OR least(p, n) >= 20 THEN (doc_id % 100) / 100.0::DOUBLE END AS score FROM documents, t",
