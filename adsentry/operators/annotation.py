@@ -60,11 +60,11 @@ def krippendorff(votes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, alpha, percent, shared out of (keys, unit, value): nominal alpha with missing values, the share of units on
     which all agree, and how many units several people rated. Null where it can't be computed."""
     keys = keys or []
-    k = votes.filter(F.col("value").isNotNull()).groupBy(*keys, "unit", "value").agg(F.count("*").alias("k"))
-    units = k.groupBy(*keys, "unit").agg(F.sum("k").alias("m"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("m >= 2")
+    k = votes.filter(F.col("value").isNotNull()).groupBy(*keys, "unit", "value").agg(F.count("*").alias("_k"))
+    units = k.groupBy(*keys, "unit").agg(F.sum("_k").alias("m"), F.count("*").alias("kinds"), F.sum(F.col("_k") * F.col("_k")).alias("squares")).filter("m >= 2")
     # of a unit: pairs of different values, over m - 1
     apart = units.groupBy(*keys).agg(F.sum((F.col("m") * F.col("m") - F.col("squares")) / (F.col("m") - 1)).alias("observed"), F.count("*").alias("shared"), F.avg((F.col("kinds") == 1).cast("double")).alias("percent"))
-    each = k.join(units.select(*keys, "unit", "m"), [*keys, "unit"]).groupBy(*keys, "value").agg(F.sum("k").cast("double").alias("n_c"))
+    each = k.join(units.select(*keys, "unit", "m"), [*keys, "unit"]).groupBy(*keys, "value").agg(F.sum("_k").cast("double").alias("n_c"))
     total = each.groupBy(*keys).agg(F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("n_c")).alias("n_c2"))
     both = apart.join(total, keys) if keys else apart.crossJoin(total)  # without keys both are one row
     expected = F.col("n") * F.col("n") - F.col("n_c2")

@@ -60,6 +60,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     for r in sniffed(spark, path).collect():  # one short row for each file
         kinds.setdefault((r.delimiter, r.encoding), []).append(r.path)
     out = None
+    if any(encoding != "UTF-8" for _, encoding in kinds):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)  # else only Unicode and Latin-1 may be read
     for (delimiter, encoding), paths in sorted(kinds.items()):
         df = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).csv(paths)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
