@@ -104,7 +104,7 @@ def read_listing_folders(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     parts = F.split("path", "/")
     texts = files.filter(~is_image(F.col("content"))).select(
-        F.element_at(parts, -4).alias("label_raw"), F.element_at(parts, -3).alias("category_raw"), F.element_at(parts, -2).alias("item"), F.element_at(parts, -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("text")
+        F.element_at(parts, -4).alias("label_raw"), F.element_at(parts, -3).alias("category_raw"), F.element_at(parts, -2).alias("item"), F.element_at(parts, -1).alias("file"), F.decode("content", "UTF-8").alias("text")
     )
     rows = texts.groupBy("label_raw", "category_raw", "item").agg(F.array_sort(F.collect_list(F.struct("file", "text"))).alias("files"))
     return rows.select(N.label_word(F.col("label_raw")).alias("label"), N.normalize_category(F.col("category_raw")).alias("category"), "item", "files")
