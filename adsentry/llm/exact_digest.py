@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table, whole_text
+from ._common import checkpoint, table, whole_text
 
 QUANTILES = 64
 ROWS_PER_RANGE = 2000
-BROADCAST_ROWS = 100_000  # at most so many (number, number, number) rows are broadcast
+BROADCAST_ROWS = 100_000  # at most so many rows of a few numbers, or of a digest, are broadcast
 
 
 def canonical(text: Column) -> Column:
@@ -44,7 +44,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     group_id is the smallest doc_id; content is the SHA-256 of the canonical text, for joins. Only rows of buckets with
     more than one row carry their text through a shuffle, pre-aggregated."""
     all_rows = digests(docs)
-    shared = all_rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    shared = checkpoint(all_rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
+    if shared.count() <= BROADCAST_ROWS:  # then unique texts need no shuffle; beyond, the join below shuffles them
+        shared = F.broadcast(shared)
     same = all_rows.join(shared, "digest", "left_semi").groupBy("digest", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     return same.filter("n_copies > 1").select("digest", F.sha2("canonical", 256).alias("content"), "group_id", "n_copies")
 
