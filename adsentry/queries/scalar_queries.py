@@ -91,7 +91,9 @@ def reference_sql() -> str:
 
 
 SCHEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(description), '(?s){p}') THEN '{n}' END" for n, p in D.SCHEMES) + "], lambda x: x IS NOT NULL)"
-NO_CHAT = F.array().cast("array<string>")
+def no_chat() -> Column:
+    return F.array().cast("array<string>")
+
 
 # name: (expression, the same in SQL)
 SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
@@ -106,7 +108,7 @@ SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "nrm12_legal_form": (lambda: N.legal_form(F.concat(F.lit("Muster "), F.col("source"), F.lit("  "), F.coalesce("legal_form", F.lit("und Söhne")))), "CASE WHEN legal_form IS NOT NULL THEN legal_form END"),
     "nrm13_seller_type": (lambda: N.seller_type(c("type_raw")), TYPE_SQL),
     "nrm14_chat_only": (lambda: N.chat_only(c("title"), F.when(c("doc_id") % 2 == 0, c("description")), F.when(c("doc_id") % 3 > 0, F.array("text"))), "doc_id % 3 > 0 AND trim(title) = '' AND doc_id % 2 = 1"),
-    "nrm15_full_text": (lambda: F.sha1(N.full_text(c("title"), c("description"), NO_CHAT)), f"sha1({FULL_SQL})"),
+    "nrm15_full_text": (lambda: F.sha1(N.full_text(c("title"), c("description"), no_chat())), f"sha1({FULL_SQL})"),
     "nrm16_account_age": (lambda: N.account_age(c("since_raw"), F.lit(AS_OF).cast("date")), f"greatest(0, date_diff('day', strptime(nullif(regexp_extract(lower(since_raw), 'aktiv seit (\\d+\\.\\d+\\.\\d+)', 1), ''), '%d.%m.%Y')::DATE, DATE '{AS_OF}'))::INT"),
     "nrm17_person_key": (lambda: N.person_key(F.concat(F.lit(" Jörg-Ä. "), c("source"))), f"left(regexp_replace({_TRANS.format("trim(' Jörg-Ä. ' || source)")}, '[^a-z0-9]+', '', 'g'), 30)"),
     "nrm18_title_slug": (lambda: N.title_slug(c("title")), f"CASE WHEN regexp_replace(left(regexp_replace(regexp_replace({_TRANS.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), '-+$', '') = '' THEN 'inserat' ELSE regexp_replace(left(regexp_replace(regexp_replace({_TRANS.format('title')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), '-+$', '') END"),
@@ -186,7 +188,7 @@ def txt36_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nrm22_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = N.prompt_text(c("title"), c("description"), N.parse_price(c("price_raw")), N.normalize_category(c("category_raw")), F.when(c("doc_id") % 2 == 0, F.array("source")).otherwise(NO_CHAT))
+    text = N.prompt_text(c("title"), c("description"), N.parse_price(c("price_raw")), N.normalize_category(c("category_raw")), F.when(c("doc_id") % 2 == 0, F.array("source")).otherwise(no_chat()))
     return listings(spark, sf_dir).select("doc_id", F.sha1(text).alias("value"))
 
 
