@@ -92,7 +92,8 @@ def lexicon_signals(text: Column, low: Column | None = None) -> Column:
 
     A generated expression: one pass over the text for each group, no explode and no join. low: the lower-cased text,
     where a column has it already."""
-    low = F.lower(text) if low is None else low
+    if low is None:  # bound once, as each pattern reads it
+        return F.element_at(F.transform(F.array(F.lower(text)), lambda x: lexicon_signals(text, x)), 1)
     out = []
     for code, weight, hard, _, patterns in D.LEXICON:
         together = "(?s)" + "|".join(f"(?:{spaced(p)})" for p in patterns)
