@@ -26,6 +26,11 @@ BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+# the near-duplicate stage of the pipeline
+STAGE_SHINGLE = 5
+STAGE_RADIUS = 11
+STAGE_LEAST = 0.8
+BLOCK = 512  # texts of a loose group that are compared in one go
 
 
 def shingle_hashes(text: bytes, size: int, hash_of: Callable = xxhash.xxh64_intdigest) -> np.ndarray:
@@ -48,17 +53,20 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rank: Column | None = None) -> DataFrame:
-    """doc_id (or `rank`) and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rank: Column | None = None, keyed: bool = False) -> DataFrame:
+    """doc_id (or `rank`) and fp, the fingerprint as a signed long; if `keyed`, also key, a hash of the text's words."""
     given = F.col("doc_id").cast("long").alias("doc_id") if rank is None else rank.alias("rank")
     name, kind = docs.select(given).dtypes[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [simhash(shingle_hashes(x.as_buffer().to_pybytes(), shingle)) for x in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(name), pa.array(np.array(fp, np.uint64).view(np.int64))], [name, "fp"])
+            texts = [x.as_buffer().to_pybytes() for x in b.column("text").cast(pa.binary())]
+            found = [[simhash(shingle_hashes(x, shingle)) for x in texts]]
+            if keyed:
+                found.append([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in texts])
+            yield pa.RecordBatch.from_arrays([b.column(name), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in found)], [name, "fp", "key"][: 1 + len(found)])
 
-    return docs.select(given, whole_text().alias("text")).mapInArrow(run, f"{name} {kind}, fp long")
+    return docs.select(given, whole_text().alias("text")).mapInArrow(run, f"{name} {kind}, fp long" + ", key long" * keyed)
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -79,7 +87,8 @@ def variants(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    # of a signed number, numpy counts the bits of the absolute value
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 def forest(fp: np.ndarray, radius: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +163,80 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def shared(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct shingles."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def similar_links(fp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """Verified links (i, j), enough of them to keep all connections: of one block, or between the blocks 0 and 1."""
+    root, out = np.arange(len(fp)), []
+    for i in range(1, len(fp)):
+        near = np.flatnonzero(distance(fp[:i], fp[i]) <= radius)
+        if side.any():
+            near = near[side[near] != side[i]]
+        while len(near := near[root[near] != root[i]]):
+            j, near = int(near[0]), near[1:]
+            if shared(sets[i], sets[j]) >= least:
+                out.append((i, j))
+                root[root == root[i]] = root[j]
+    return out
+
+
+def verified(nodes: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """(a, b): links between the nodes (root, key, fp, text) of a root that are within `radius` and similar.
+
+    A large root is cut into blocks, and each two blocks meet in a group of their own."""
+    blocks = nodes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = nodes.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    group = [F.col("root"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
+    dealt = placed.select(*group, F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "key", "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6).cast(pa.binary()).to_pylist(), strict=True):
+                if row[:3] != at:
+                    yield links(rows)
+                    at, rows = row[:3], []
+                rows.append((*row[3:6], np.unique(shingle_hashes(row[6], shingle))))
+        yield links(rows)
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        side, key, fp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        found = similar_links(fp, side, [r[3] for r in rows], radius, least)
+        return pa.RecordBatch.from_arrays([pa.array(key[[x[k] for x in found]] if found else [], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    key = ["root", "p", "q"]
+    return dealt.repartition(*key).sortWithinPartitions(*key, "key").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_LEAST) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: of each component the one with the smallest doc_id (null ones
-    last), of several such rows one with the smallest hash of its text."""
+    last), of several such rows one with the smallest hash of its text.
+
+    Two texts link if their fingerprints are at most `radius` bits apart and their sets of shingles have at least the
+    similarity `least`. Texts of the same words count once. Fingerprints give loose groups; inside these the texts are
+    compared."""
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"))
-    prints = stored(fingerprints(docs, shingle, rank))
-    nodes = prints.groupBy("fp").agg(F.min("rank").alias("least"))
-    reach = components(checkpoint(linked(nodes, radius)))
-    rooted = nodes.join(reach, nodes.fp == reach.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("least").alias("stay")).select("stay")
-    ranked = docs.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).join(stay, F.col("rank") == F.col("stay"), "left_semi")
+    prints = stored(fingerprints(docs, shingle, rank, keyed=True))
+    texts = stored(prints.groupBy("fp", "key").agg(F.min("rank").alias("least")))
+    reach = components(checkpoint(linked(texts.select("fp").distinct(), radius)))
+    rooted = texts.join(reach, texts.fp == reach.node, "left").select("fp", "key", "least", F.coalesce("root", "fp").alias("root"))
+    crowded = rooted.groupBy("root").agg((F.count("*") > 1).alias("crowded"))
+    ranked = docs.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).join(rooted.join(crowded, "root"), F.col("rank") == F.col("least"))
+    ranked = stored(ranked.select("row", "rank", "fp", "key", "root", "crowded"))
+    unsure = ranked.filter("crowded")
+    pairs = verified(unsure.select("root", "key", "fp", whole_text(F.col("row.text")).alias("text")), shingle, radius, least)
+    tied = components(checkpoint(pairs))
+    group = unsure.select("key", "rank").join(tied, F.col("key") == F.col("node"), "left").select("rank", F.coalesce("root", "key").alias("group"))
+    stay = group.groupBy("group").agg(F.min("rank").alias("stay")).select("stay")
+    kept = ranked.filter("NOT crowded").unionByName(unsure.join(stay, F.col("rank") == F.col("stay"), "left_semi"))
     # rows that are the same in doc_id and text
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy("rank")))
-    return ranked.filter("n = 1").select("row.*")
+    kept = kept.select("row", "rank").withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy("rank")))
+    return kept.filter("n = 1").select("row.*")
 
 
 def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

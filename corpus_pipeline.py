@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
+    """One document of each group of texts of five-word similarity 0.8 or more stays, the one with the smallest doc_id."""
     return simhash_dedup.one_of_each(docs)
 
 

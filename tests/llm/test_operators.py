@@ -100,6 +100,48 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "alone"), (3, text), (7, "")]
 
 
+def test_bit_distance_of_signed():
+    import numpy as np
+
+    a, b = np.array([-(2**63) + 1, -1, 5], np.int64), np.array([0, 0xFFFFFFFF, 5], np.int64)
+    assert simhash_dedup.distance(a, b).tolist() == [2, 32, 0]
+
+
+@pytest.mark.parametrize("radius,block", [(5, 512), (11, 512), (11, 7)])
+def test_one_of_each_near(spark, monkeypatch, radius, block):
+    """Near copies of five-word similarity around 0.8 go exactly where fingerprints and texts are close enough."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(0, None), (1, " "), (2, "a b")]
+    for _ in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(200)]
+        for changes in (0, 0, 1, 3, 4, 4, 5, 9):
+            words = list(base)
+            for at in rng.sample(range(200), changes):
+                words[at] = f"v{rng.randrange(900)}"
+            rows.append((len(rows), " ".join(words)))
+    grams = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in ((d, (t or "").split()) for d, t in rows)}
+    prints = {d: brute.simhash(t or "", 5) for d, t in rows}
+    root = {d: d for d, _ in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    near = 0
+    for a in root:
+        for b in range(a):
+            similarity = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            if similarity >= 0.8 and (int(prints[a]) ^ int(prints[b])).bit_count() <= radius:
+                near += similarity < 0.85
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert near > 0
+    got = {r.doc_id for r in simhash_dedup.one_of_each(make(spark, rows), radius=radius).collect()}
+    assert got == {top(d) for d in root}
+
+
 def test_decontaminate(spark, rows):
     rng = random.Random(8)
     texts = [t for _, t in rows if t and len(t.split()) > 40]
