@@ -86,19 +86,24 @@ class WindowIndex:
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/step={step}/kind=run")
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    def resolve(self, docs: DataFrame) -> DataFrame:
-        """chunk, doc, start, stop: the ranges of words that go, of all documents ingested."""
+    def unclear_windows(self, docs: DataFrame) -> DataFrame:
+        """The ranges of words that go for sure, and the windows to verify, dealt by the hash of the whole window."""
         length, gram, buckets = self.length, self.gram, self.buckets
         said = self.read("answer", ANSWER, list(range(1, self.steps + 1)))
 
         def windows(rows: pa.Table, said: pa.Table) -> pa.Table:
             return windows_to_verify(rows, said, length, gram, buckets)
 
+        return docs.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(windows, MOVED)
+
+    def resolve(self, docs: DataFrame) -> DataFrame:
+        """chunk, doc, start, stop: the ranges of words that go, of all documents ingested."""
+        length = self.length
+
         def verify(rows: pa.Table) -> pa.Table:
             return first_windows(rows, length)
 
-        moved = docs.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(windows, MOVED)
-        return moved.groupBy("dest").applyInArrow(verify, R.RANGES)
+        return self.unclear_windows(docs).groupBy("dest").applyInArrow(verify, R.RANGES)
 
 
 def run_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +161,6 @@ def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, bu
         unclear[part] |= np.isin(both[0], both[1])
     # all occurrences but the entry's first, and that one too if it came later than another chunk's
     repeat = later[f.entry] | (np.arange(len(f.doc)) != f.leader[f.entry])
-    head = R.ranges_table(number, f.doc[repeat], f.first[repeat], f.last[repeat] + length)
-    out.append([-1 - number, *head, None, None])
     ask = np.flatnonzero(unclear & ~later)
     o = f.leader[ask]
     times = f.last[o] - f.first[o] + 1
@@ -170,7 +173,15 @@ def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, bu
         if len(mine):
             tokens, starts, _, _ = R.word_tokens(texts)
             window[mine] = R.gram_hash(tokens, length)[starts[doc[mine] - at] + start[mine]]
-    for bucket, part in R.by_group(f.bucket[ask][of]) if len(of) else ():
+    # of equal windows only the chunk's first is sent; the others go
+    order = np.lexsort((start, doc, window))
+    again = np.r_[False, window[order][1:] == window[order][:-1]][: len(order)]
+    first, more = np.sort(order[~again]), order[again]
+    head = R.ranges_table(number, np.r_[f.doc[repeat], doc[more]], np.r_[f.first[repeat], start[more]], np.r_[f.last[repeat], start[more]] + length)
+    out.append([-1 - number, *head, None, None])
+    # a hot anchor has many windows, which are dealt to as many buckets
+    for bucket, at in R.by_group((window[first] % np.uint64(buckets)).astype(np.int64)) if len(first) else ():
+        part = first[at]
         d = doc[part]
         out.append([bucket, number, d.astype(np.int64).tobytes(), start[part].astype(np.int64).tobytes(), None, chunk.ids[d].tobytes(), window[part].tobytes()])
     return rows_table(out, MOVED)

@@ -50,6 +50,23 @@ def test_window_dedup_parameters(spark, rows, length, gram, batches):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.window_dedup(rows, length)
 
 
+def test_window_dedup_hot_line(spark):
+    """The windows of a line that many documents hold between different words don't meet in one group."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line = " ".join(f"line{i}" for i in range(22))
+    rows = [(i, " ".join([*(word() for _ in range(15)), line, *(word() for _ in range(15))])) for i in range(400)]
+    base, n = window_index.batched(make(spark, rows), 1)
+    index = window_index.WindowIndex(spark, buckets=n)
+    base = base.drop("batch")
+    index.ingest(base)
+    sent = index.unclear_windows(base).filter("dest >= 0").groupBy("dest").agg(F.sum(F.octet_length("window") / 8).alias("n"))
+    sizes = sorted(r.n for r in sent.collect())
+    assert len(sizes) == n and sizes[-1] < 2 * sum(sizes) / n
+    got = window_index.dedup_windows(make(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.window_dedup(rows)
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text), (1, text), (None, text), (None, text + " more"), (2, text)]
