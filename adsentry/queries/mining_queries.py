@@ -46,10 +46,13 @@ def ml05_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar cases of all documents, without those of the query's own fingerprint; the tables hold no URLs to compare."""
     docs, items = tables(spark, sf_dir, "documents", "benchmark")
-    bank = _terms(docs.filter("doc_id % 2 = 0"), "doc_id").withColumnRenamed("doc_id", "d")
-    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, docs.filter("doc_id % 2 = 0").count(), least=0.3)
-    return found.select("q", "d", F.round("score", 6).alias("score"))
+    bank = _terms(docs, "doc_id").withColumnRenamed("doc_id", "d")
+    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, docs.count())
+    print_ = F.sha1(F.lower("text"))
+    same = items.select(F.col("item_id").alias("q"), print_.alias("p")).join(docs.select(F.col("doc_id").alias("d"), print_.alias("p")), "p").select("q", "d")
+    return found.join(same, ["q", "d"], "left_anti").select("q", "d", F.round("score", 6).alias("score"))
 
 
 def win08_top_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,3 +203,45 @@ def test_streams(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert [r.v for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()] == ["b"]
+
+
+def test_similar_cases_of_all_documents(spark):
+    """join13 against brute force: odd ids and scores from 0.05 on are there, equal texts are not."""
+    import math
+    import re
+    from collections import Counter
+
+    from adsentry.plans import dimensions as D
+    from adsentry.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    terms = lambda rows: {k: Counter(w for w in re.split("[^a-z]+", t.lower()) if len(w) > 2 and w not in D.ENGLISH_WORDS) for k, t in rows}
+    bank, asked = terms(docs), terms(items)
+    idf = {w: math.log((1 + len(docs)) / (1 + n)) + 1 for w, n in Counter(w for c in bank.values() for w in c).items()}
+    weigh = lambda c: {w: (1 + math.log(n)) * idf.get(w, max(idf.values())) for w, n in c.items()}
+    unit = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    cases, expected = {d: unit(weigh(c)) for d, c in bank.items()}, {}
+    texts = dict(docs)
+    for q, text in items:
+        v = unit(weigh(asked[q]))
+        for d, case in cases.items():
+            both = v.keys() & case.keys()
+            score = sum(v[w] * case[w] for w in both)
+            if len(both) >= 2 and score >= 0.05 and texts[d].lower() != text.lower():
+                expected[q, d] = score
+    got = {(r.q, r.d): r.score for r in QUERIES["join13_ml14_similar"](spark, sf).collect()}
+    assert got == pytest.approx(expected, abs=2e-6)
+    assert any(d % 2 for _, d in got) and min(got.values()) < 0.3
+
+
+def test_image_verdict_of_all_events(spark):
+    import json
+
+    from adsentry.queries import QUERIES
+
+    sf, flags = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("props", "event_type").collect():
+        flags.setdefault(int(json.loads(r.props)["k"]), []).append({"click": "ja", "error": None}.get(r.event_type, "nein"))
+    expected = {t: "betrug" if "ja" in x else "unklar" if None in x else "serioes" for t, x in flags.items()}
+    assert {r.task: r.verdict for r in QUERIES["agg31_image_verdict"](spark, sf).collect()} == expected
