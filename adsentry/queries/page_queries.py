@@ -28,9 +28,9 @@ def pag08_image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.image_urls(pages.select("page_id", json.alias("json")), "page_id", ["i.example.org", "p.example.org"])
 
 
-def txt30_pag05_received_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txt30_received_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     (chats,) = tables(spark, sf_dir, "conversations")
-    text = F.concat(F.lit("Dann kam diese Nachricht: „"), F.substring(F.regexp_replace("text", '[„“”"]', ""), 1, 400), F.lit("“"))
+    text = F.concat(F.lit("Dann kam diese Nachricht: „"), F.regexp_replace("text", '[„“”"]', ""), F.lit("“"))
     found = P.received_messages(chats.select("conv_id", "turn", text.alias("text")).withColumn("key", F.struct("conv_id", "turn")), "key")
     return found.select("key.conv_id", "key.turn", F.sha1("quote").alias("sha1"))
 
@@ -53,7 +53,7 @@ def win12_pag03_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_files(files).select("item", "title", F.size("messages").alias("n_messages"))
 
 
-QUERIES = {f.__name__: f for f in (pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_pag05_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
+QUERIES = {f.__name__: f for f in (pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
 _P = r"list_transform(regexp_extract_all(html, '(?s)<{0}\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))"
 ORACLE_SQL = {
     "pag01_ad_fields": f"""SELECT page_id, ({_P.format('h1')})[1] AS title, len({_P.format('p')})::INT AS n_lines, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, array_to_string(regexp_extract_all(html, '<a href="/([^"]*)"', 1), ' > ') AS breadcrumb FROM pages""",

@@ -245,3 +245,19 @@ def test_image_verdict_of_all_events(spark):
         flags.setdefault(int(json.loads(r.props)["k"]), []).append({"click": "ja", "error": None}.get(r.event_type, "nein"))
     expected = {t: "betrug" if "ja" in x else "unklar" if None in x else "serioes" for t, x in flags.items()}
     assert {r.task: r.verdict for r in QUERIES["agg31_image_verdict"](spark, sf).collect()} == expected
+
+
+def test_whole_messages_are_quoted(spark):
+    import hashlib
+    import re
+
+    from adsentry.queries import QUERIES
+
+    sf, expected = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        quote = re.sub('[„“”"]', "", r.text)
+        if 25 <= len(quote) <= 1500 and len(re.split(r"\s+", quote)) >= 4:
+            expected[r.conv_id, r.turn] = hashlib.sha1(quote.encode()).hexdigest(), len(quote)
+    assert max(n for _, n in expected.values()) > 400
+    got = {(r.conv_id, r.turn): r.sha1 for r in QUERIES["txt30_received_messages"](spark, sf).collect()}
+    assert got == {k: h for k, (h, _) in expected.items()}
