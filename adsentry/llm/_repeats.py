@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +82,34 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes `data[begin[i]:end[i]]`."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _SEED[0])
+
+
+def slices(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive rows of a binary column that hold about `size` bytes; a longer value stands alone."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        stop, total = at + 1, int(sizes[at])
+        while stop < len(sizes) and total + sizes[stop] <= size:
+            total += int(sizes[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
 def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The same, with words `[^ \\t-\\r]+` as tokens, 64-bit hashes of their bytes; last, the bytes and where words begin and end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
     begin, end = edge[::2], edge[1::2]
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    tokens = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _SEED[0])
+    tokens = span_hashes(data, begin, end)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     stop = np.cumsum(size)
     return tokens, np.searchsorted(begin, stop - size), np.searchsorted(begin, stop), (data, begin, end)

@@ -222,7 +222,9 @@ def test_pieces(spark, rows):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    every = rows + [(200, "日本語 \U0001f600"), (201, "a\0b"), (202, "<s> <0x41> ▁x"), (203, "  two   spaces "), (204, "unbroken" * 2000)]
+    rng = random.Random(2)
+    junk = "".join(rng.choice("abcXYZ0129+/é") for _ in range(20_000))
+    every = rows + [(200, "日本語 \U0001f600"), (201, "a\0b"), (202, "<s> <0x41> ▁x"), (203, "  two   spaces "), (204, "unbroken" * 2000), (205, junk), (206, " "), (207, "\0\0"), (208, "字" * 500), (209, "x\n \t\t  y")]
     got = pieces.encoded(make(spark, every))
     found = {r.doc_id: r for r in got.collect()}
     for d, t in every:
@@ -232,6 +234,32 @@ def test_pieces(spark, rows):
     assert all(back[d] == (t or "").replace("▁", " ") for d, t in every)
 
 
+def test_pieces_in_parts(monkeypatch, rows):
+    """A long text encoded part by part, and a cache that is dropped all the time, change nothing."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "PART_BYTES", 300)
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1)
+    monkeypatch.setattr(pieces, "INDEX_CHARS", 100)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    encoder = pieces.Encoder(pieces.Vocabulary(pieces.MODEL))
+    joined = " ".join(t or "" for _, t in rows)
+    for text in (joined, joined + "  ", "a b  " * 300 + " ", "x" * 2000):
+        ids, same = pieces.encode_long(text.encode(), encoder)
+        assert ids.tolist() == model.encode(text) and same
+
+
+def test_pieces_equal_hashes(monkeypatch, rows):
+    """Units that are taken for one another by their hash are found by decoding and encoded again."""
+    monkeypatch.setattr(pieces.R, "span_hashes", lambda data, begin, end, real=pieces.R.span_hashes: real(data, begin, end) % 61 if len(begin) > 40 else real(data, begin, end))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" ".join((t or "").split()[:30]) for _, t in rows]
+    ids, counts, same = pieces.encode_texts([t.encode() for t in texts], pieces.Encoder(pieces.Vocabulary(pieces.MODEL)))
+    assert same.all() and [x for t in texts for x in model.encode(t)] == ids.tolist()
+
+
 def test_language(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     found = language.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").filter(language.held_out())
