@@ -2,11 +2,14 @@
 
 Heuristic labellers vote good, bad or nothing on each document. Their votes over all documents, counted by pattern,
 give their accuracies by expectation-maximisation, and each pattern its posterior probability of being good. The
-posteriors of a sample of about ``SAMPLE`` documents, drawn by a hash of the row, then train a linear scorer over hashed
-words and word shapes, which scores every document; a document is kept from a score of 0.5 on.
-
-Nulls: a null text counts as empty; a text without words scores 0 and is not kept. Null, repeated and missing ids are
-passed on. Other columns are ignored.
+posteriors of a sample then train a linear scorer over hashed words and word shapes, which scores every document; a
+document is kept from a score of 0.5 on. The sample has about ``SAMPLE`` documents and ``SAMPLE_BYTES`` bytes of text at
+most, drawn by a hash of the row; it is dealt to ``SHARDS`` tasks, whose weights are averaged.
+
+Nulls: a null text counts as empty; a text without words scores 0 and is not kept. Null and repeated ids are passed on,
+and rows that occur twice are scored twice. An empty table gives an empty one, and a model that scores every text 0.5.
+Texts are read in blocks of ``BLOCK`` bytes; a longer text is a block of its own and needs some 60 bytes of memory for
+each of its bytes. `kept` leaves other columns as they are, whatever their names; `judged` ignores them.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from . import _repeats as R
 from ._common import table, whole_text
 
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
+BLOCK = 256 << 10
 SHARDS = 8
 WIDTH = 1 << 15
 STEPS = 80
@@ -112,14 +117,9 @@ def pattern_of(votes: np.ndarray) -> np.ndarray:
 
 
 def texts_in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    column, at = batch.column("text").cast(pa.binary()), 0
-    while at < len(column):
-        stop, size = at, 0
-        while stop < len(column) and (size < R.BLOCK or stop == at):
-            size += len(column[stop].as_buffer())
-            stop += 1
+    column = batch.column("text").cast(pa.binary())
+    for at, stop in R.slices(column, BLOCK):
         yield at, stop, column.slice(at, stop - at).to_pylist()
-        at = stop
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,23 +143,31 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return post, tables, prior
 
 
-def fit(texts: list[bytes], target: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer over the mean of the words' features, and the constant last; full-batch Adam."""
-    doc, feature = Block(texts).features()
-    key, count = np.unique(doc * WIDTH + feature, return_counts=True)
-    doc, feature = key // WIDTH, key % WIDTH
-    n = np.maximum(np.bincount(doc, weights=count, minlength=len(texts)) / 3, 1)
-    value = count / n[doc]
+def fit(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], target: np.ndarray) -> np.ndarray:
+    """Weights of a logistic scorer over the mean of the words' features, and the constant last; full-batch Adam.
+
+    blocks: (document, feature, value) of the documents, each block's documents numbered on from those before it."""
+    doc, feature, value = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    del blocks
+    n = len(target)
     w, m, v = (np.zeros(WIDTH + 1) for _ in range(3))
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, weights=w[feature] * value, minlength=len(texts)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / max(len(texts), 1)
+        z = np.bincount(doc, weights=w[feature] * value, minlength=n) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / max(n, 1)
         g = np.append(np.bincount(feature, weights=error[doc] * value, minlength=WIDTH), error.sum()) + 1e-6 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
     return w
 
 
+def mean_features(block: Block, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, share of the document's words) of a block whose first document has the number `at`."""
+    doc, feature = block.features()
+    key, count = np.unique(doc * WIDTH + feature, return_counts=True)
+    doc, feature = key // WIDTH, key % WIDTH
+    return (doc + at).astype(np.int32), feature.astype(np.int32), (count / np.maximum(block.n, 1)[doc]).astype(np.float32)
+
+
 class Model:
     def __init__(self, posterior: np.ndarray, weights: np.ndarray):
         self.posterior, self.weights = posterior, weights
@@ -176,25 +184,35 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [pattern_of(Block(texts).votes()) for _, _, texts in texts_in_blocks(b)]
-            kinds, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts.astype(np.int64))], ["pattern", "n"])
+            found, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, texts in texts_in_blocks(b):
+                block = Block(texts)
+                found.append(pattern_of(block.votes()))
+                size.append(block.size)
+            kinds, which = np.unique(np.concatenate(found), return_inverse=True)
+            size = np.bincount(which, weights=np.concatenate(size), minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(which, minlength=len(kinds))), pa.array(size.astype(np.int64))], ["pattern", "n", "size"])
 
     size = 3 ** len(LABELLERS)  # as many patterns at most
-    counted = rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    pattern, count = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
+    counted = rows.select("text").mapInArrow(vote, "pattern long, n long, size long").groupBy("pattern").agg(F.sum("n"), F.sum("size")).orderBy("pattern").collect()
+    pattern, count, total = (np.array([r[i] for r in counted], np.int64) for i in range(3))
     votes = pattern[None] // 3 ** np.arange(len(LABELLERS))[:, None] % 3
     posterior = np.full(size, 0.5)
     if len(pattern):
         posterior[pattern] = estimate(votes, count)[0]
 
     def train(part: pa.Table) -> pa.Table:
-        part = part.sort_by("h")
-        texts = part["text"].cast(pa.binary()).to_pylist()
-        target = np.concatenate([posterior[pattern_of(Block(x).votes())] for _, _, x in texts_in_blocks(part.select(["text"]).combine_chunks().to_batches()[0])])
-        return pa.table({"weights": pa.array([fit(texts, target).tobytes()], pa.binary())})
+        part = part.sort_by("h").select(["text"]).combine_chunks()
+        blocks, target, at = [], [], 0
+        for batch in part.to_batches():
+            for _, _, texts in texts_in_blocks(batch):
+                block = Block(texts)
+                target.append(posterior[pattern_of(block.votes())])
+                blocks.append(mean_features(block, at))
+                at += len(texts)
+        return pa.table({"weights": pa.array([fit(blocks, np.concatenate(target)).tobytes()], pa.binary())})
 
-    every = max(1, int(count.sum()) // sample)
+    every = max(1, int(count.sum()) // sample, -(-int(total.sum()) // SAMPLE_BYTES))
     drawn = rows.filter(F.pmod("h", F.lit(every)) == 0).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(SHARDS)))
     weights = [np.frombuffer(r.weights) for r in drawn.groupBy("shard").applyInArrow(train, "weights binary").collect()]
     return Model(posterior, np.mean(weights, axis=0) if weights else np.zeros(WIDTH + 1))
