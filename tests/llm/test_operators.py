@@ -199,6 +199,41 @@ def test_secrets(spark):
     assert hidden == "[SECRET] [SECRET]"
 
 
+def test_secrets_of_long_texts(spark):
+    """Long tokens, many hits and many signs take time in proportion to the text."""
+    import time
+
+    rng = random.Random(1)
+    token = "q8Zr1XkT0vLmW5nB7cYd2HsJ9uEaGfPo"
+    texts = ["ab-" * 100_000, "".join(rng.choice(secret_scan.ALPHABET) for _ in range(1_000_000)), "password=abcdefgh1é " * 100_000, (token + " ") * 30_000]
+    began = time.time()
+    found = secret_scan.scan(make(spark, list(enumerate(texts)))).repartition(4)
+    got = {r.doc_id: (r.n, r.last, r.hidden) for r in found.select("doc_id", F.size("secrets").alias("n"), F.try_element_at("secrets", F.lit(-1)).alias("last"), F.sha2(secret_scan.redacted(F.col("text"), F.col("secrets")), 256).alias("hidden")).collect()}
+    assert time.time() - began < 120
+    assert got[0][0] == 0 and got[1][0] == 1 and (got[1][1].start, got[1][1].stop) == (0, 1_000_000)
+    assert got[2][0] == 100_000 and got[2][2] == brute.sha(("[SECRET]é " * 100_000).encode())
+    assert got[3][0] == 30_000 and (got[3][1].start, got[3][1].kind) == (29_999 * 33, "entropy") and got[3][2] == brute.sha(("[SECRET] " * 30_000).encode())
+
+
+def test_secrets_cleaned(spark):
+    rows = [(1, "password=abcdefgh1 é"), (1, "password=abcdefgh1 é"), (None, "none"), (2, None), (3, "")]
+    docs = make(spark, rows).withColumns({"row": F.lit(1), "new": F.lit(2), "n_chars": F.lit(7), "a.b": F.lit(3)})
+    got = secret_scan.clean(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars, r.row, r.new, r["a.b"]) for r in got.collect()) == [(0, "none", 7, 1, 2, 3), (1, "[SECRET] é", 10, 1, 2, 3), (1, "[SECRET] é", 10, 1, 2, 3), (2, "", 7, 1, 2, 3), (3, "", 7, 1, 2, 3)]
+    assert secret_scan.clean(docs.drop("n_chars").limit(0)).count() == 0
+
+
+def test_secrets_by_chance(spark):
+    rng = random.Random(9)
+    texts = []
+    for n in (5, 16, 17, 20, 40, 67):
+        for _ in range(8):
+            texts.append("".join(rng.choice("ab0-_=+ é") for _ in range(200)) + " password = " + "".join(rng.choice(secret_scan.ALPHABET[:n]) for _ in range(rng.randint(20, 90))) + "é" + "".join(rng.choice("0123456789abcdef") for _ in range(40)))
+    got = {r.doc_id: [(s.start, s.kind, s.stop) for s in r.secrets] for r in secret_scan.scan(make(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: [(a, k, b) for a, _, k, b in brute.secret_spans(t)] for i, t in enumerate(texts)}
+
+
 def test_digest(spark, rows):
     got = exact_digest.with_next(make(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"])
     order = sorted(((d, t or "") for d, t in rows), reverse=True)
