@@ -29,12 +29,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the document stays."""
-    found = docs.withColumn("_secrets", secret_scan.spans(F.coalesce("text", F.lit(""))))
-    text = secret_scan.redacted(F.col("text"), F.col("_secrets"))
-    changed = F.size("_secrets") > 0
-    found = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_secrets")
+    """Secrets are replaced by a mark, and n_chars is the new length; no document goes. Null texts stay null."""
+    return secret_scan.clean(docs)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
