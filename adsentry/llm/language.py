@@ -7,8 +7,14 @@ language with the largest corrected share wins; that share is the score.
 
 Filters are learnt from at most about `SAMPLE` documents of each language, drawn by a hash of the row. Nulls: a null text,
 or one without letters, gives `und` with score 0; rows with a null doc_id are predicted but never learnt from. Without
-any labelled row, all predictions are `und`. Languages may be many: masks have as many 64-bit words as they need. On a
-tie the more frequent language wins, and then the first name. Other columns are ignored.
+any labelled row, all predictions are `und`. Languages may be many: masks have as many 64-bit words as they need, and
+more than `MOST_LANGUAGES` different values of lang are an error. On a tie the more frequent language wins, and then the
+first name; so a text with letters but without a known n-gram gets the most frequent language, with score 0. Repeated rows
+are predicted alike, an empty table gives an empty one. Texts are read in blocks of `BLOCK_CHARS` characters; a longer
+text is a block of its own and needs some 80 bytes of memory for each character. Other columns are ignored.
+
+`GRAMS`, the n-grams of each language, is the size of the model: they are counted over the whole sample and the most
+frequent ones kept, the smaller hash on a tie.
 """
 
 from __future__ import annotations
@@ -25,11 +31,12 @@ from ._anchors import join_hash, mix
 from ._common import table
 
 SAMPLE = 2_000
+MOST_LANGUAGES = 4_096
 GRAMS = 6_000
 SIZES = (2, 3, 4)
 SLOTS = 1 << 18
 HASHES = 3
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 250_000
 
 
 @cache
@@ -116,7 +123,9 @@ def held_out() -> F.Column:
 def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = GRAMS) -> Filters:
     """Fits the filters on rows (doc_id, text, lang) that aren't held out."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"the column lang has more than {MOST_LANGUAGES} different values")
     order = [r.lang for r in counted]
     if not order:
         return Filters({}, [])

@@ -7,7 +7,9 @@ on such a variant, where the exact number of differing bits is verified. Equal f
 of exact copies is one row of the index; inside a bucket only the links of a spanning forest come out, not all pairs.
 
 Nulls: a null text counts as empty; the fingerprint of a text without words is 0 and links like any other. Rows with a
-null doc_id take part, and never give a component its number. Other columns are ignored.
+null doc_id take part, and never give a component its number. Repeated rows are in one component; an empty table gives an
+empty one. A text is hashed whole, whatever its length. Other columns are ignored, and `one_of_each` passes them on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -113,14 +115,26 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): verified links between distinct fingerprints, enough of them to keep all connections."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((4, 0), np.int64)
+        left: list[np.ndarray] = []  # of the bucket that may go on in the next batch
         for b in batches:
-            t = np.hstack([left, np.vstack([c.to_numpy().astype(np.int64) for c in b.columns])])
-            new = np.flatnonzero(np.r_[True, (t[:3, 1:] != t[:3, :-1]).any(axis=0)][: t.shape[1]])
-            if len(new):
-                left = t[:, new[-1] :]
-                yield links(t[3], new)
-        yield links(left[3], np.array([0, left.shape[1]]))
+            t = np.vstack([c.to_numpy().astype(np.int64) for c in b.columns])
+            if not t.shape[1]:
+                continue
+            if left and (left[-1][:3, -1] == t[:3, 0]).all():
+                start = np.flatnonzero((t[:3] != t[:3, :1]).any(axis=0))[:1]
+                left.append(t[:, : start[0]] if len(start) else t)
+                if not len(start):
+                    continue
+                t = t[:, start[0] :]
+            if left:
+                whole = np.concatenate([x[3] for x in left])
+                yield links(whole, np.array([0, len(whole)]))
+            new = np.flatnonzero(np.r_[True, (t[:3, 1:] != t[:3, :-1]).any(axis=0)])
+            left = [t[:, new[-1] :]]
+            yield links(t[3], new)
+        if left:
+            whole = np.concatenate([x[3] for x in left])
+            yield links(whole, np.array([0, len(whole)]))
 
     def links(fp: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
         found = [forest(fp[new[i] : new[i + 1]], radius) for i in np.flatnonzero(np.diff(new) > 1)]
@@ -131,13 +145,14 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return variants(nodes, radius).repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of `edges` (a, b): the smallest node that can be reached.
 
-    Alternates large-star and small-star steps; each is one join with the smallest neighbour, and only edges travel."""
+    Alternates large-star and small-star steps until nothing changes, some log(n) rounds for a chain of n nodes; each step
+    is one join with the smallest neighbour, and only edges travel."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
