@@ -1,7 +1,11 @@
 """Raw documents to token ids: quality, near-duplicates, benchmark passages, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
-`documents`; the last returns the ids of every document.
+`documents`, extra ones included; the last returns the ids of every document. An empty table passes all stages.
+
+Hard rows: a null text counts as empty, so it has no words: the classifier rejects it, and the later stages, should one
+reach them, keep it. Null doc_ids are passed on and come last where one document of a group stays. Of rows that occur
+twice the near-duplicate stage keeps one. Texts are read whole by every stage, whatever their length.
 """
 
 from __future__ import annotations
@@ -10,21 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adsentry.llm import decontaminate, pieces, quality, secret_scan, simhash_dedup
-from adsentry.llm._common import stored, table
+from adsentry.llm._common import new_path, remove, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, those without words among them; repeated rows fare alike."""
     return quality.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts of five-word similarity 0.8 or more stays, the one with the smallest doc_id."""
+    """One document of each group of texts of five-word similarity 0.8 or more stays, the one with the smallest doc_id; null
+    ids come last, and of texts without words one stays."""
     return simhash_dedup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold nearly a benchmark item go."""
+    """Documents that hold nearly a benchmark item go; with an empty benchmark all stay, and so do null texts."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -34,7 +39,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document's text, and whether decoding gives the text back."""
+    """doc_id, the ids of the text, whether decoding gives the text back, and how many ids there are: none for null texts."""
     return pieces.encoded(docs).withColumn("n_ids", F.size("ids").cast("long"))
 
 
@@ -50,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote is deleted when the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
