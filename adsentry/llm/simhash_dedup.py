@@ -4,7 +4,14 @@ A fingerprint of 64 bits is cut into so few segments that, of two fingerprints a
 differs in at most one bit (two segments for three bits). Each segment is indexed under all its one-wildcard variants:
 the segment with one bit left out, and which bit that was. Two fingerprints within the radius meet in an equality join
 on such a variant, where the exact number of differing bits is verified. Equal fingerprints count once, so that a group
-of exact copies is one row of the index; inside a bucket only the links of a spanning forest come out, not all pairs.
+of exact copies is one row of the index; inside a bucket only the links of a spanning forest come out, not all pairs. Two
+fingerprints that agree in a whole segment meet under all of its wildcards, but are linked under the first one only.
+
+`one_of_each`, the stage of a pipeline, looks for texts of a similarity instead of a number of bits. Such texts differ in
+so many bits that short segments have to do. A variant then stands for its bucket together with the text's smallest
+shingle under a hash of the segment's own, which similar texts share with the probability of their similarity; and two
+texts link only if some more of these smallest shingles agree. So texts that are alike by chance don't meet, at any size.
+With eight segments of eight bits, texts of similarity 0.8 meet in some bucket with a probability of 0.997.
 
 Nulls: a null text counts as empty; the fingerprint of a text without words is 0 and links like any other. Rows with a
 null doc_id take part, and never give a component its number. Repeated rows are in one component; an empty table gives an
@@ -22,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._anchors import mix
 from ._common import checkpoint, shared_folder, stored, table, whole_text
 
 BITS = 64
@@ -30,8 +38,12 @@ SHINGLE = 3
 SEED = 42
 # the near-duplicate stage of the pipeline
 STAGE_SHINGLE = 5
-STAGE_RADIUS = 11
+STAGE_RADIUS = 15  # gives the number of segments: eight
+STAGE_BITS = 20  # as many bits at most differ in linked texts; of similarity 0.8 some 10 do, 3 more or less
+MINIMA = 8  # smallest shingles of a text under as many hashes
+AGREE = 3  # so many of them at least agree in linked texts; of similarity 0.8, 999 in 1,000 do
 STAGE_LEAST = 0.8
+SEGMENT_AT, WILDCARD_AT = 52, 44  # where a variant holds the segment's and the wildcard's number
 BLOCK = 512  # texts of a loose group that are compared in one go
 
 
@@ -55,20 +67,37 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def smallest_shingles(hashes: np.ndarray) -> np.ndarray:
+    """The smallest shingle under each of `MINIMA` hashes; zeros for a text without words."""
+    if not len(hashes):
+        return np.zeros(MINIMA, np.uint64)
+    return np.array([mix(hashes + np.uint64(k + 1)).min() for k in range(MINIMA)])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rank: Column | None = None, keyed: bool = False) -> DataFrame:
-    """doc_id (or `rank`) and fp, the fingerprint as a signed long; if `keyed`, also key, a hash of the text's words."""
+    """doc_id (or `rank`) and fp, the fingerprint as a signed long; if `keyed`, also key, a hash of the text's words, and
+    minima, the smallest shingles."""
     given = F.col("doc_id").cast("long").alias("doc_id") if rank is None else rank.alias("rank")
     name, kind = docs.select(given).dtypes[0]
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_buffer().to_pybytes() for x in b.column("text").cast(pa.binary())]
-            found = [[simhash(shingle_hashes(x, shingle)) for x in texts]]
+            prints, keys, minima = [], [], []
+            for x in b.column("text").cast(pa.binary()):
+                text = x.as_buffer().to_pybytes()
+                hashes = shingle_hashes(text, shingle)
+                prints.append(simhash(hashes))
+                if keyed:
+                    keys.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED))
+                    minima.append(smallest_shingles(hashes))
+            columns = {name: b.column(name), "fp": signed(prints)}
             if keyed:
-                found.append([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in texts])
-            yield pa.RecordBatch.from_arrays([b.column(name), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in found)], [name, "fp", "key"][: 1 + len(found)])
+                flat = signed(np.concatenate([np.zeros(0, np.uint64), *minima]))
+                columns |= {"key": signed(keys), "minima": pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * MINIMA), flat)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select(given, whole_text().alias("text")).mapInArrow(run, f"{name} {kind}, fp long" + ", key long" * keyed)
+    return docs.select(given, whole_text().alias("text")).mapInArrow(run, f"{name} {kind}, fp long" + ", key long, minima array<long>" * keyed)
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -79,13 +108,19 @@ def segments(radius: int) -> list[tuple[int, int]]:
 
 
 def variants(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(segment, wildcard, rest, fp): each fingerprint under all one-wildcard variants of its segments."""
-    cuts = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(a).alias("a"), F.lit(n).alias("n")) for i, (a, n) in enumerate(segments(radius))])
-    each = nodes.select("fp", F.explode(cuts).alias("c"))
-    # the segment itself, then each of its bits left out
-    each = each.select("fp", F.col("c.s").alias("segment"), "c.n", F.expr("shiftrightunsigned(fp, c.a) & (shiftleft(1L, c.n) - 1)").alias("value"))
-    each = each.select("fp", "segment", "value", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("wildcard"))
-    return each.select("segment", "wildcard", F.expr("value & ~shiftleft(1L, wildcard)").alias("rest"), "fp")
+    """(variant, small, fp, sig): each fingerprint under all one-wildcard variants of its segments.
+
+    A variant is one number: the segment, the wildcard, and the segment's bits without that one. If the nodes have a
+    column minima, small is the segment's smallest shingle and sig the low bytes of all; else both are 0."""
+    cuts = F.array(*[F.struct(F.lit(i).cast("long").alias("s"), F.lit(a).alias("a"), F.lit(n).alias("n")) for i, (a, n) in enumerate(segments(radius))])
+    small, sig = F.lit(0).cast("long"), F.lit(0).cast("long")
+    if "minima" in nodes.columns:
+        small = F.expr("minima[c.s]")
+        sig = F.expr("aggregate(minima, 0L, (x, m) -> shiftleft(x, 8) | (m & 255))")
+    each = nodes.withColumn("sig", sig).withColumn("c", F.explode(cuts)).select("fp", "sig", "c", small.alias("small"))
+    each = each.select("fp", "sig", "small", F.col("c.s").alias("s"), F.expr("shiftrightunsigned(fp, c.a) & (shiftleft(1L, c.n) - 1)").alias("value"), F.explode(F.expr("sequence(0, c.n - 1)")).alias("w"))
+    variant = F.expr(f"shiftleft(s, {SEGMENT_AT}) | shiftleft(CAST(w AS LONG), {WILDCARD_AT}) | (value & ~shiftleft(1L, w))")
+    return each.select(variant.alias("variant"), "small", "fp", "sig")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,26 +128,46 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(fp: np.ndarray, radius: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint that pairs within `radius` connect to a smaller place of `fp`, with the smallest such place's."""
+def forest(fp: np.ndarray, sig: np.ndarray, half: np.ndarray | None, radius: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie each fingerprint that pairs within `radius` connect to the smallest place of `fp` among them. With
+    `half`, the links within each half are taken as known, and only those that are needed besides come out."""
     root = np.arange(len(fp))
-    for at in range(0, len(fp), block):
-        for to in range(at, len(fp), block):
-            x, y = np.nonzero(distance(fp[at : at + block, None], fp[None, to : to + block]) <= radius)
-            x, y = x + at, y + to
-            # links between nodes of different roots pull both roots down to the smaller one, until there are none
-            while len(x := x[apart := root[x] != root[y]]):
-                y = y[apart]
-                low = np.minimum(root[x], root[y])
-                np.minimum.at(root, np.maximum(root[x], root[y]), low)
-                while (root[root] != root).any():
-                    root = root[root]
-    tied = root != np.arange(len(fp))
+
+    def join(known: bool) -> None:
+        for at in range(0, len(fp), block):
+            for to in range(at, len(fp), block):
+                near = distance(fp[at : at + block, None], fp[None, to : to + block]) <= radius
+                if known:
+                    near &= half[at : at + block, None] == half[None, to : to + block]
+                x, y = np.nonzero(near)
+                x, y = x + at, y + to
+                if sig.any():
+                    agree = ((sig[x] ^ sig[y]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= AGREE
+                    x, y = x[agree], y[agree]
+                # links between nodes of different roots pull both roots down to the smaller one, until there are none
+                while len(x := x[apart := root[x] != root[y]]):
+                    y = y[apart]
+                    low = np.minimum(root[x], root[y])
+                    np.minimum.at(root, np.maximum(root[x], root[y]), low)
+                    while (root[root] != root).any():
+                        root[:] = root[root]
+
+    given = np.ones(len(fp), bool)
+    if half is not None and half.any() and not half.all():
+        join(True)
+        given = root == np.arange(len(fp))
+    elif half is not None:
+        return fp[:0], fp[:0]
+    join(False)
+    tied = given & (root != np.arange(len(fp)))
     return fp[tied], fp[root[tied]]
 
 
-def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints, enough of them to keep all connections."""
+def linked(nodes: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
+    """(a, b): verified links between distinct fingerprints, enough of them to keep all connections.
+
+    Those up to `radius` bits apart are sure to meet; what meets is linked up to `bits`, or else `radius`."""
+    first_bit = np.array([a for a, _ in segments(radius)])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []  # of the bucket that may go on in the next batch
@@ -120,29 +175,34 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             t = np.vstack([c.to_numpy().astype(np.int64) for c in b.columns])
             if not t.shape[1]:
                 continue
-            if left and (left[-1][:3, -1] == t[:3, 0]).all():
-                start = np.flatnonzero((t[:3] != t[:3, :1]).any(axis=0))[:1]
+            if left and (left[-1][:2, -1] == t[:2, 0]).all():
+                start = np.flatnonzero((t[:2] != t[:2, :1]).any(axis=0))[:1]
                 left.append(t[:, : start[0]] if len(start) else t)
                 if not len(start):
                     continue
                 t = t[:, start[0] :]
             if left:
-                whole = np.concatenate([x[3] for x in left])
-                yield links(whole, np.array([0, len(whole)]))
-            new = np.flatnonzero(np.r_[True, (t[:3, 1:] != t[:3, :-1]).any(axis=0)])
+                whole = np.hstack(left)
+                yield links(whole, np.array([0, whole.shape[1]]))
+            new = np.flatnonzero(np.r_[True, (t[:2, 1:] != t[:2, :-1]).any(axis=0)])
             left = [t[:, new[-1] :]]
-            yield links(t[3], new)
+            yield links(t, new)
         if left:
-            whole = np.concatenate([x[3] for x in left])
-            yield links(whole, np.array([0, len(whole)]))
-
-    def links(fp: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-        found = [forest(fp[new[i] : new[i + 1]], radius) for i in np.flatnonzero(np.diff(new) > 1)]
+            whole = np.hstack(left)
+            yield links(whole, np.array([0, whole.shape[1]]))
+
+    def links(t: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for i in np.flatnonzero(np.diff(new) > 1):
+            variant, (_, _, fp, sig) = int(t[0, new[i]]), t[:, new[i] : new[i + 1]]
+            wildcard = variant >> WILDCARD_AT & 255
+            half = fp >> (first_bit[variant >> SEGMENT_AT] + wildcard) & 1 if wildcard else None
+            found.append(forest(fp, sig, half, radius if bits is None else bits))
         pairs = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
-    key = ["segment", "wildcard", "rest"]
-    return variants(nodes, radius).repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a long, b long").distinct()
+    key = ["variant", "small"]
+    return variants(nodes, radius).repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a long, b long").filter("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,23 +288,23 @@ def verified(nodes: DataFrame, shingle: int, radius: int, least: float) -> DataF
     return dealt.repartition(*key).sortWithinPartitions(*key, "key").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_LEAST) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_LEAST, bits: int = STAGE_BITS) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: of each component the one with the smallest doc_id (null ones
     last), of several such rows one with the smallest hash of its text.
 
-    Two texts link if their fingerprints are at most `radius` bits apart and their sets of shingles have at least the
-    similarity `least`. Texts of the same words count once. Fingerprints give loose groups; inside these the texts are
-    compared."""
+    Two texts link if their fingerprints are at most `bits` bits apart and their sets of shingles have at least the
+    similarity `least`. Texts of the same words count once. Fingerprints and smallest shingles give loose groups; inside
+    these the texts are compared."""
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"))
     prints = stored(fingerprints(docs, shingle, rank, keyed=True))
-    texts = stored(prints.groupBy("fp", "key").agg(F.min("rank").alias("least")))
-    reach = components(checkpoint(linked(texts.select("fp").distinct(), radius)))
+    texts = stored(prints.groupBy("fp", "key").agg(F.min("rank").alias("least"), F.any_value("minima").alias("minima")))
+    reach = components(checkpoint(linked(texts.select("fp", "minima"), radius, bits)))
     rooted = texts.join(reach, texts.fp == reach.node, "left").select("fp", "key", "least", F.coalesce("root", "fp").alias("root"))
     crowded = rooted.groupBy("root").agg((F.count("*") > 1).alias("crowded"))
     ranked = docs.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).join(rooted.join(crowded, "root"), F.col("rank") == F.col("least"))
     ranked = stored(ranked.select("row", "rank", "fp", "key", "root", "crowded"))
     unsure = ranked.filter("crowded")
-    pairs = verified(unsure.select("root", "key", "fp", whole_text(F.col("row.text")).alias("text")), shingle, radius, least)
+    pairs = verified(unsure.select("root", "key", "fp", whole_text(F.col("row.text")).alias("text")), shingle, bits, least)
     tied = components(checkpoint(pairs))
     group = unsure.select("key", "rank").join(tied, F.col("key") == F.col("node"), "left").select("rank", F.coalesce("root", "key").alias("group"))
     stay = group.groupBy("group").agg(F.min("rank").alias("stay")).select("stay")
