@@ -346,6 +346,71 @@ def test_html(spark):
     assert got == {1: expected, 2: "", 3: "", 4: "only this", 5: "plain & simple < text", 6: "deep, text", 7: "a, b"}
 
 
+LONG = "<p>A paragraph, long enough, with some commas, and words to score. It goes on for a while, and more.</p>"
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        (f'<form id="aspnetForm"><div id="c">{LONG * 3}</div></form>', ["A"] * 3),
+        (f'<article>{LONG}<section class="related-work"><h2>Related work</h2>{LONG * 2}</section></article>', ["A", "Related", "A", "A"]),
+        (f'<article>{LONG}<section class="share-prices"><h2>Share prices</h2>{LONG}</section></article>', ["A", "Share", "A"]),
+        (f'<article>{LONG}<div class="share-buttons"><a href="#">Tweet</a> <a href="#">Mail</a></div></article>', ["A"]),
+        ('<div><p><a href="#">only a link</a></p></div>', ["only"]),
+        (f'<div class="page has-sidebar"><article><h1>Title</h1>{LONG}</article><div class="sidebar"><p>Side, bar, text</p></div></div>', ["Title", "A"]),
+        (f'<div id="main-menu-layout"><div>{LONG * 3}</div></div><div class="comments">{LONG * 9}</div>', ["A"] * 3),
+        (f'<div><h1>Head</h1><div class="content">{LONG * 3}</div></div><div class="f">Imprint</div>', ["Head"] + ["A"] * 3),
+        (f'<div id="x"><div>{LONG * 5}</div><div><p>Short end.</p></div></div>', ["A"] * 5 + ["Short"]),
+        (f'<main><h1>Title</h1>{LONG}<article class="comment"><p>Nice, one, thank, you</p></article></main>', ["Title", "A"]),
+    ],
+)
+def test_html_parts(page, blocks):
+    """Names that wrap the whole article, or that may be a topic, drop nothing of it; each block begins as given."""
+    assert [x.split()[0] for x in html_text.main_text(f"<html><body>{page}</body></html>").split("\n")] == blocks
+
+
+def test_html_long_pages():
+    import time
+
+    began = time.time()
+    for page in ("<div><p>a, b" * 16_000, "<b>" * 8_000 + "</i>" * 8_000, "<i><table>" + "<b>" * 8_000 + "</i>" * 8_000, "<a " * 300_000, '<div class="ad">' * 20_000 + "x", "<p>a, b<ul><li>" * 20_000):
+        html_text.main_text(page)
+    assert html_text.main_text("<div>" * 50_000 + "deep, text") == "deep, text"
+    assert time.time() - began < 20
+
+
+def test_html_points():
+    """Points, link densities and the best container of random trees against a plain recursion."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            if depth < 5 and rng.random() < 0.5:
+                parts.append(("div", tree(depth + 1)))
+            else:
+                parts.append(("p", ", ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(1, 60)))))
+        return parts
+
+    def markup(parts):
+        return "".join(f"<{t}>{x if t == 'p' else markup(x)}</{t}>" for t, x in parts)
+
+    def score(parts):
+        return sum(1 + x.count(",") + min(len(x) // 100, 3) if t == "p" else score(x) / 2 for t, x in parts)
+
+    def containers(parts):
+        yield score(parts), [x for t, x in parts if t == "p"]
+        for t, x in parts:
+            if t == "div":
+                yield from containers(x)
+
+    for _ in range(40):
+        parts = tree(0)
+        page = f"<body>{markup([('div', parts)])}</body>"
+        best = max(containers([("div", parts)]), key=lambda c: c[0])[1]
+        assert set(best) <= set(html_text.main_text(page).split("\n"))
+
+
 def test_html_test_pages(spark):
     import re
 
