@@ -8,9 +8,9 @@ siblings that belong to it are kept with it, and those of the containers around
 that have points of their own or sentences without many links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are known by their tag, role, class or id, and
-take no part. But a part named so stays if it holds an article or main element with most of its text, or, unless it is
-named for comments alone, more than half of the page's text: a form or a "page has-sidebar" around everything is no
-form and no sidebar. Names that may also mean a topic, such as related or share, only mark short parts and parts of links.
+take no part. But a part named so stays if it holds an article or main element with most of its text, or, on a page
+without such elements and unless it is named for comments, more than half of the page's text: a form or a "page
+has-sidebar" around everything is no form and no sidebar. Names that may also mean a topic, such as related or share, only mark short parts and parts of links.
 
 Time and memory grow with the length of a page, however deep its tags are nested. Nulls: a null page counts as empty, and
 an empty page gives the empty text. Broken markup never fails: tags without an end last as long as their parent, ends
@@ -229,7 +229,7 @@ def without_parts(page: Page) -> list[bool]:
         elif said == DROPPED:
             out[i] = True
         elif 2 * core[i] <= chars[i] or page.tag[i] == "article":
-            out[i] = said == MARKED or 2 * plain <= chars[0] - linked[0]
+            out[i] = said == MARKED or core[0] > 0 or 2 * plain <= chars[0] - linked[0]
     return out
 
 
