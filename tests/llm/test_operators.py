@@ -253,6 +253,22 @@ def test_many_ranges(spark):
     assert got == {d: str(order[(i + 1) % len(order)]) for i, d in enumerate(order)}
 
 
+@pytest.mark.parametrize("ids", ["id", "id * id * id", "CASE WHEN id % 3 = 0 THEN id ELSE id * 1000003 + 5 END", "nullif(id, id - id % 2)"])
+def test_even_ranges(spark, ids):
+    """No range has over twice the mean of the rows, whatever the ids."""
+    frame = spark.range(1_000_000).selectExpr(f"{ids} AS doc_id", "CAST(id AS STRING) AS text")
+    n, mean, most = exact_digest.ranged(frame).groupBy("range").count().agg(F.count("*"), F.avg("count"), F.max("count")).first()
+    assert n > 400 and most < 2 * mean
+
+
+def test_next_with_extra_columns(spark):
+    names = ["k", "tie", "q", "range", "extra", "row", "after", "next_text"]
+    frame = make(spark, [(3, "c"), (1, "a"), (2, None), (2, None)]).withColumns({n: F.lit(n) for n in names})
+    got = exact_digest.with_next(frame, ["text"])
+    assert sorted(got.columns) == sorted(frame.columns)
+    assert sorted((r.doc_id, r.next_text or "", r.k, r.extra) for r in got.collect()) == [(1, "c", "k", "extra"), (2, "", "k", "extra"), (2, "a", "k", "extra"), (3, "", "k", "extra")]
+
+
 def test_pieces(spark, rows):
     import sentencepiece
 
@@ -421,6 +437,84 @@ def test_html_test_pages(spark):
         assert r.text.replace("\n", " ").split() == html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()
 
 
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """The rows as tables that the registered queries read."""
+    at = tmp_path_factory.mktemp("tables")
+    make(spark, rows).withColumns({"k": F.lit(1), "row": F.lit(2), "lang": F.when(F.col("doc_id") % 3 > 0, F.lit("en")).otherwise("fr")}).coalesce(2).write.parquet(f"{at}/documents.parquet")
+    items = [(i, " ".join(t.split()[3:25])) for i, t in rows if t and len(t.split()) > 40][:8]
+    spark.createDataFrame([*items, (99, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at), items
+
+
+def registered(spark, folder, n):
+    from adsentry.llm.queries import QUERIES
+
+    return next(q for name, q in QUERIES.items() if name.startswith(f"op{n}_"))(spark, folder[0])
+
+
+def test_query_1(spark, folder, rows):
+    got = {r.doc_id: r for r in registered(spark, folder, 1).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        found = brute.secret_spans(t)
+        line = lambda xs: ",".join(f"{k}:{a}:{b}" for a, _, k, b in xs)
+        assert (got[d].spans, got[d].base_sha256) == (line(found), brute.sha(line([x for x in found if x[2] != "entropy"]).encode()))
+        assert [got[d][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[2] == k for x in found) for k in ("assign", "access", "hex")]
+
+
+def test_query_2(spark, folder, rows):
+    got = registered(spark, folder, 2).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.substring_dedup(rows)
+
+
+def test_query_3(spark, folder, rows):
+    import zlib
+
+    got = {r.doc_id: r for r in registered(spark, folder, 3).collect()}
+    assert {d for d, r in got.items() if r.held_out} == {d for d, _ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in dict(rows)[d] or "")) and 0 <= r.score <= 1 for d, r in got.items())
+
+
+def test_query_5(spark, folder, rows):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = {r.doc_id: (r.ids, r.n_ids, r.round_trip) for r in registered(spark, folder, 5).collect()}
+    assert got == {d: (model.encode(t or ""), len(model.encode(t or "")), True) for d, t in rows}
+
+
+def test_query_6(spark, folder, rows):
+    got = registered(spark, folder, 6).select("doc_id", "fingerprint", "component_id").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.components(rows)
+
+
+def test_query_7(spark, folder, rows):
+    got = {(r.doc_id, r.item_id): r.similarity for r in registered(spark, folder, 7).collect()}
+    assert got and got == pytest.approx(brute.leaks(rows, folder[1]))
+
+
+def test_query_8(spark, folder, rows):
+    got = registered(spark, folder, 8).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.window_dedup(rows)
+
+
+def test_query_10(spark, folder, rows):
+    import xxhash
+
+    def mark(text):
+        data = brute.canonical(text).encode()
+        return f"{xxhash.xxh64_intdigest(data, 42):016x}{xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(b'second half', 42)):016x}"
+
+    got = {r.doc_id: r for r in registered(spark, folder, 10).collect()}
+    expected = brute.edited(rows)
+    assert {d: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for d, r in got.items()} == expected
+    groups = {}
+    for d, t in sorted(rows):
+        groups.setdefault(brute.canonical(t), []).append(d)
+    assert {d: (r.fingerprint, r.group_id, r.n_copies) for d, r in got.items()} == {d: (mark(t), groups[brute.canonical(t)][0], len(groups[brute.canonical(t)])) for d, t in rows}
+
+
 def test_empty_tables(spark):
     none = make(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
