@@ -332,6 +332,97 @@ def test_many_languages():
     assert filters.predict(list(words.values()))[0] == names
 
 
+def test_language_filters_by_sets(spark):
+    """Predictions against exact sets of n-grams: extraction, lookups and the correction for chance."""
+    docs = table(spark, SMALL, "documents")
+    samples = [(r.lang, r.text) for r in docs.filter("text IS NOT NULL").limit(60).collect()] + [("en", "a"), ("en", "it's A1 b-c"), ("fr", "Éé ñ字字 x\0y")]
+
+    def plain(text):
+        words = brute.re.findall(r"[^\W\d_]+", text.lower())
+        for w in words:
+            edged = f"\0{w}\0"
+            for n in language.SIZES:
+                for i in range(len(edged) - n + 1):
+                    yield edged[i : i + n]
+
+    from collections import Counter
+
+    names = ["en", "fr", "de"]
+    rng = random.Random(5)
+    every = sorted({g for _, t in samples for g in plain(t)})
+    sets = {n: set(rng.sample(every, len(every) // 3)) for n in names}
+    import numpy as np
+
+    def hashed(gram):
+        h = language.mix(np.array([ord(c) if c != "\0" else 0 for c in gram], np.uint64) + np.uint64(1))
+        x = h[:1]
+        for k in range(1, len(gram)):
+            x = language.join_hash(x, h[k : k + 1])
+        return x[0]
+
+    filters = language.Filters({n: np.array([hashed(g) for g in v], np.uint64) for n, v in sets.items()}, names)
+    found, scores = filters.predict([t.replace("\0", " ") for _, t in samples])
+    for (_, text), name, score in zip(samples, found, scores, strict=True):
+        count = Counter(plain(text))
+        total = sum(count.values())
+        shares = {n: sum(c for g, c in count.items() if g in v) / max(total, 1) for n, v in sets.items()}
+        if total > 50:
+            assert abs(shares[name] - max(shares.values())) < 0.02 and abs(score - shares[name]) < 0.02
+
+
+def test_expectation_maximisation():
+    """Against a plain loop over labellers, votes and patterns."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(2)
+    patterns = [[rng.choice((quality.BAD, quality.GOOD, quality.NONE)) for _ in range(5)] for _ in range(40)]
+    counts = [rng.randint(1, 50) for _ in patterns]
+    post = [0.95 * 0.3 ** sum(v == quality.BAD for v in p) for p in patterns]
+    for _ in range(25):
+        good, bad = [p * c for p, c in zip(post, counts, strict=True)], [(1 - p) * c for p, c in zip(post, counts, strict=True)]
+        share = [(sum(w) + 1) / (sum(counts) + 2) for w in (bad, good)]
+
+        def chance(weights, i, vote):
+            of = {v: sum(w for w, p in zip(weights, patterns, strict=True) if p[i] == v) + 0.5 for v in (0, 1)}
+            return of[vote] / (of[0] + of[1])
+
+        odds = [[math.log(share[c]) + sum(math.log(chance(w, i, v)) for i, v in enumerate(p) if v != quality.NONE) for c, w in enumerate((bad, good))] for p in patterns]
+        post = [1 / (1 + math.exp(b - g)) for b, g in odds]
+    got = quality.estimate(np.array(patterns).T, np.array(counts), rounds=25)[0]
+    assert got == pytest.approx(post, abs=1e-9)
+
+
+def test_scorer_by_loops():
+    """Steps of the trainer and the score of a text against plain sums."""
+    import numpy as np
+
+    texts = [b"good words here and there", b"BAD!!! ### $$$", b"more good words", b"$$$ ### bad"]
+    target = [1.0, 0.0, 0.9, 0.1]
+    block = quality.Block(texts)
+    doc, feature = block.features()
+    means = [{} for _ in texts]
+    for d, f in zip(doc.tolist(), feature.tolist(), strict=True):
+        means[d][f] = means[d].get(f, 0) + 1 / int(block.n[d])
+    w, m, v = {}, {}, {}
+    for step in range(1, quality.STEPS + 1):
+        grad = {}
+        for x, t in zip(means, target, strict=True):
+            z = sum(w.get(f, 0) * c for f, c in x.items()) + w.get("b", 0)
+            e = (1 / (1 + np.exp(-z)) - t) / len(texts)
+            for f, c in [*x.items(), ("b", 1)]:
+                grad[f] = grad.get(f, 0) + e * c
+        for f in set(grad) | set(w):
+            g = grad.get(f, 0) + 1e-6 * w.get(f, 0)
+            m[f], v[f] = 0.9 * m.get(f, 0) + 0.1 * g, 0.99 * v.get(f, 0) + 0.01 * g * g
+            w[f] = w.get(f, 0) - quality.RATE * (m[f] / (1 - 0.9**step)) / ((v[f] / (1 - 0.99**step)) ** 0.5 + 1e-10)
+    got = quality.fit([quality.mean_features(quality.Block(texts[:2]), 0), quality.mean_features(quality.Block(texts[2:]), 2)], np.array(target))
+    assert [got[f] for f in w if f != "b"] == pytest.approx([x for f, x in w.items() if f != "b"], abs=1e-3) and got[-1] == pytest.approx(w["b"], abs=1e-3)
+    scores = quality.Model(np.zeros(1), got).score(block)
+    assert scores == pytest.approx([1 / (1 + np.exp(-sum(w[f] * c for f, c in x.items()) - w["b"])) for x in means], abs=1e-3)
+
+
 def test_quality(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     model = quality.learn(docs)
