@@ -3,6 +3,9 @@
 Documents are dealt into chunks of some megabytes. Each chunk sends one entry for each distinct pair (anchor string,
 tokens around it) to the bucket of the anchor string, never one for each window and never one for each copy. A bucket
 thus sees a passage once for each chunk, however often it occurs. All arrays travel as Arrow binary columns.
+
+A chunk sends a row to each bucket that it has entries for: one to a bucket and chunk at most, and never more than it has
+entries, so the rows grow in proportion to the text. There are fewer buckets than chunks.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from ._common import whole_text
 
 CHUNK_BYTES = 8 << 20
 BLOCK = 1 << 20  # bytes of text hashed at once
+CHUNKS_PER_BUCKET = 4
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 ENTRIES = "bucket int, chunk int, gram binary, around binary, doc binary"
@@ -40,6 +44,10 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     return own.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), n
 
 
+def buckets_for(chunks: int) -> int:
+    return max(8, -(-chunks // CHUNKS_PER_BUCKET))
+
+
 class Chunk:
     """The documents of a chunk, ordered by id and then text, whatever order they came in."""
 
@@ -183,36 +191,36 @@ def entries_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.concatenate(gram), np.concatenate(around), np.concatenate(doc), row
 
 
-def judge(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries in the order (gram, around, doc): those whose windows all occur in an earlier document; and those that
-    have to be compared window by window, as their anchor also stands between other tokens."""
+def judge(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in the order (gram, around, doc): those whose windows all occur in an earlier document; those that have
+    to be compared window by window, as their anchor also stands between other tokens; and between how many different ones."""
     n = len(gram)
     if not n:
-        return np.zeros(0, bool), np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
     new_gram = np.r_[True, gram[1:] != gram[:-1]]
     new = new_gram | np.r_[True, around[1:] != around[:-1]]
     begin = np.flatnonzero(new_gram)
-    kinds = np.add.reduceat(new.astype(np.int64), begin)
+    kinds = np.repeat(np.add.reduceat(new.astype(np.int64), begin), np.diff(np.r_[begin, n]))
     later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
-    return later, ~later & np.repeat(kinds > 1, np.diff(np.r_[begin, n]))
+    return later, ~later & (kinds > 1), kinds
 
 
-def answers(rows: pa.Table, row: np.ndarray, later: np.ndarray, unclear: np.ndarray) -> pa.Table:
-    """`later` and `unclear` (in the order of `row`), a bit for each entry, back to the chunks that sent the rows."""
+def answers(rows: pa.Table, row: np.ndarray, **bits: np.ndarray) -> pa.Table:
+    """Named bits of the entries (in the order of `row`) back to the chunks that sent the rows."""
     cut = np.searchsorted(row, np.arange(1, rows.num_rows))
-    bits = [[np.packbits(x).tobytes() for x in np.split(y, cut)] for y in (later, unclear)]
-    return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), *(pa.array(x, pa.binary()) for x in bits)], names=["chunk", "bucket", "later", "unclear"])
+    columns = [pa.array([np.packbits(x).tobytes() for x in np.split(y, cut)], pa.binary()) for y in bits.values()]
+    return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), *columns], names=["chunk", "bucket", *bits])
 
 
-def answered(f: Found, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def answered(f: Found, rows: pa.Table, *names: str) -> list[np.ndarray]:
     """The bits of all answers to a chunk, for each of its entries; answers of several rounds add up."""
-    later, unclear = np.zeros(len(f.gram), bool), np.zeros(len(f.gram), bool)
+    out = [np.zeros(len(f.gram), bool) for _ in names]
     parts = dict(by_group(f.bucket))
-    for bucket, a, b in zip(rows["bucket"].to_pylist(), rows["later"].to_pylist(), rows["unclear"].to_pylist(), strict=True):
+    for bucket, *bits in zip(rows["bucket"].to_pylist(), *(rows[x].to_pylist() for x in names), strict=True):
         part = parts[bucket]
-        later[part] |= np.unpackbits(np.frombuffer(a, np.uint8), count=len(part)).astype(bool)
-        unclear[part] |= np.unpackbits(np.frombuffer(b, np.uint8), count=len(part)).astype(bool)
-    return later, unclear
+        for sum_, x in zip(out, bits, strict=True):
+            sum_[part] |= np.unpackbits(np.frombuffer(x, np.uint8), count=len(part)).astype(bool)
+    return out
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,23 +2,30 @@
 
 Longest-previous-factor arrays say for each position how long a string starting there occurs in an earlier document.
 In suffix order, the best earlier match of a suffix is the nearest neighbour above or below that belongs to a smaller
-document; a position is removed with the ``length`` bytes after it if that match is at least ``length`` long.
+document: the previous and next smaller document number, each with the smallest common prefix on the way there. A position
+is removed with the ``length`` bytes after it if that factor is at least ``length`` long.
 
 One suffix array of a whole corpus fits no machine, so suffixes are dealt out by the anchor string of their first
 ``length`` bytes (see ``_anchors``): equal strings meet in one bucket. Copies whose surroundings are equal as well are
 collapsed to their first document before that, so that a bucket holds distinct surroundings and not copies. Each bucket
-sorts the suffixes of what is left, truncated to ``length`` bytes.
+sorts the suffixes of what is left, by their first ``length`` bytes. An anchor that stands between more than ``HOT``
+different surroundings is split: its windows are dealt by the hash of all their ``length`` bytes.
+
+Collapsing trusts hashes: surroundings count as equal if the anchor's hash (32 bits and the bucket, which takes some 20
+more) and a 64-bit hash of all their bytes agree. Over 100 TB, some 5e12 distinct surroundings, any two of them are
+mistaken for one another with a probability of about 1e-10. What is not collapsed is compared byte by byte.
 
 Nulls: a null text counts as empty; rows with a null doc_id count as later than all others, and as equal among
-themselves, as do repeated doc_ids: such rows don't remove each other's bytes. Other columns are ignored.
+themselves, as do repeated doc_ids: such rows don't remove each other's bytes. An empty table gives an empty one. A long
+text is hashed in one go and needs some 60 bytes of memory for each of its bytes. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _repeats as R
@@ -26,12 +33,16 @@ from ._common import table
 
 LENGTH = 50
 GRAM = 16
+HOT = 4096
 MOVED = "dest int, chunk int, doc binary, id binary, start binary, stop binary, first binary, last binary, body binary"
+ANSWERS = f"{R.ANSWERS}, hot binary"
+hash_of = xxhash.xxh3_64_intdigest
 SPANS = "doc_id long, text string, kept binary, removed array<struct<start:int,stop:int>>"
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes starting at `at`, sorted by their first `length` bytes, and whether each begins a run of equal ones."""
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes starting at `at`, sorted by their first `length` bytes, and whether each has these in common with the
+    one before it."""
     words = -(-length // 8)
     padded = np.concatenate([data, np.zeros(8 * words + 8, np.uint8)])
     spread = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -40,34 +51,50 @@ def suffix_order(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int)
         key = np.ascontiguousarray(spread[at + 8 * k]).view(">u8").ravel().astype(np.uint64)
         keep = min(8, length - 8 * k)
         keys.append(key if keep == 8 else key >> np.uint64(8 * (8 - keep)))
-    order = np.lexsort((doc, *keys[::-1]))
-    new = np.zeros(len(at), bool)
-    new[:1] = True
+    order = np.lexsort(keys[::-1])
+    same = np.ones(len(at), bool)
+    same[:1] = False
     for key in keys:
         key = key[order]
-        new[1:] |= key[1:] != key[:-1]
-    return order, new
+        same[1:] &= key[1:] == key[:-1]
+    return order, same
+
+
+def previous_smaller(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place, the smallest `common` on the way to the nearest place before it with a smaller value; 0 if there is
+    none. common[i] is what the places i - 1 and i have in common.
+
+    All places jump at once, each to where its candidate would jump, so a row of n equal values takes log(n) rounds."""
+    place, least = np.arange(len(values)) - 1, common.copy()
+    while True:
+        far = np.flatnonzero((place >= 0) & (least > 0))
+        far = far[values[place[far]] >= values[far]]
+        if not len(far):
+            break
+        least[far] = np.minimum(least[far], least[place[far]])
+        place[far] = place[place[far]]
+    least[place < 0] = 0
+    return least
 
 
 def longest_previous(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Whether the `length` bytes from each of `at` on also start in a document with a smaller number.
-
-    Suffixes that agree in `length` bytes stand in a run, ordered by document. There, no later neighbour has a smaller
-    document, and the previous smaller one is the place before the first suffix of the same document; the factor is
-    long enough if that place is in the run."""
-    order, new = suffix_order(data, at, doc, length)
-    sorted_doc = doc[order]
-    block = new.copy()
-    block[1:] |= sorted_doc[1:] != sorted_doc[:-1]
-    begin = np.maximum.accumulate(np.where(block, np.arange(len(at)), 0))
-    out = np.zeros(len(at), bool)
-    out[order] = ~new[begin]
+    """Of the suffixes at `at`, the longest common prefix with one of a smaller document, up to `length` bytes; prefixes
+    that are shorter count as 0."""
+    order, same = suffix_order(data, at, length)
+    # a suffix that shares `length` bytes with neither neighbour shares them with none
+    near = np.flatnonzero(same | np.r_[same[1:], False][: len(same)])
+    common, docs = np.where(same[near], length, 0), doc[order[near]]
+    before = previous_smaller(docs, common)
+    after = previous_smaller(docs[::-1], np.r_[0, common[:0:-1]][: len(common)])[::-1]
+    out = np.zeros(len(at), np.int64)
+    out[order[near]] = np.maximum(before, after)
     return out
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The chunked documents, and for each chunk the byte ranges that go."""
-    base, n = R.chunked(docs)
+    base, chunks = R.chunked(docs)
+    n = R.buckets_for(chunks)
 
     def entries(rows: pa.Table) -> pa.Table:
         return R.send_entries(rows, R.byte_tokens, length, gram, n)
@@ -75,27 +102,51 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     def collapse(rows: pa.Table) -> pa.Table:
         g, around, doc, row = R.entries_of(rows)
         order = np.lexsort((doc, around, g))
-        later, unclear = np.zeros(len(g), bool), np.zeros(len(g), bool)
-        later[order], unclear[order] = R.judge(g[order], around[order], doc[order])
-        return R.answers(rows, row, later, unclear)
+        later, unclear, crowded = (np.zeros(len(g), bool) for _ in range(3))
+        later[order], unclear[order], kinds = R.judge(g[order], around[order], doc[order])
+        crowded[order] = kinds > HOT
+        return R.answers(rows, row, later=later, unclear=unclear, hot=unclear & crowded)
 
     def contexts(rows: pa.Table, said: pa.Table) -> pa.Table:
         out: list[list] = []
         if rows.num_rows:
             chunk, number = R.Chunk(rows), rows["chunk"][0].as_py()
             f = R.find(chunk, R.byte_tokens, length, gram, n)
-            later, unclear = R.answered(f, said)
+            later, unclear, hot = R.answered(f, said, "later", "unclear", "hot")
             ids = chunk.ids[f.doc]
             all_of_it = later[f.entry] | (ids > ids[f.leader][f.entry])
+            gone = [f.doc[all_of_it], f.first[all_of_it], f.last[all_of_it] + length]
+            # what the chunk itself doesn't decide, with all places in the first document that has it
+            open_, hot = unclear[f.entry] & ~hot[f.entry] & ~all_of_it, hot[f.entry] & ~all_of_it
+            # a hot anchor's windows
+            o = np.flatnonzero(hot)
+            times = f.last[o] - f.first[o] + 1
+            window = np.repeat(f.first[o] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            doc = np.repeat(f.doc[o], times)
+            order = np.lexsort((window, doc))
+            seen: dict[bytes, int] = {}
+            again, alone = [], []
+            for i, d, x in zip(order.tolist(), doc[order].tolist(), window[order].tolist(), strict=True):
+                first = seen.setdefault(chunk.texts[d][x : x + length], d)
+                if chunk.ids[d] > chunk.ids[first]:
+                    again.append(i)
+                else:
+                    alone.append(i)
+            gone = [np.r_[a, b] for a, b in zip(gone, (doc[again], window[again], window[again] + length), strict=True)] if again else gone
+            number, d, a, b = R.ranges_table(number, *gone)
             empty = b""
-            number, d, a, b = R.ranges_table(number, f.doc[all_of_it], f.first[all_of_it], f.last[all_of_it] + length)
             if d:
                 out.append([-1 - number, number, d, empty, a, b, empty, empty, empty])
-            ask = np.flatnonzero(unclear)
-            for bucket, part in R.by_group(f.bucket[ask]):
-                o = f.leader[ask[part]]
-                body = b"".join([chunk.texts[d][x:y] for d, x, y in zip(f.doc[o].tolist(), f.lo[o].tolist(), f.hi[o].tolist(), strict=True)])
-                out.append([bucket, number, *(x.astype(np.int64).tobytes() for x in (f.doc[o], ids[o], f.lo[o], f.hi[o], f.first[o], f.last[o])), body])
+            ask = np.flatnonzero(open_)
+            parts = [(f.bucket[f.entry[ask]], f.doc[ask], f.lo[ask], f.hi[ask], f.first[ask], f.last[ask])]
+            if alone:
+                d, x = doc[alone], window[alone]
+                key = np.fromiter((hash_of(chunk.texts[i][j : j + length]) % n for i, j in zip(d.tolist(), x.tolist(), strict=True)), np.int64, len(d))
+                parts.append((key, d, x, x + length, x, x))
+            bucket, d, lo, hi, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for to, part in R.by_group(bucket) if len(bucket) else ():
+                body = b"".join([chunk.texts[i][x:y] for i, x, y in zip(d[part].tolist(), lo[part].tolist(), hi[part].tolist(), strict=True)])
+                out.append([to, number, *(x.astype(np.int64).tobytes() for x in (d[part], chunk.ids[d[part]], lo[part], hi[part], first[part], last[part])), body])
         return rows_table(out, MOVED)
 
     def match(rows: pa.Table) -> pa.Table:
@@ -111,14 +162,14 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         of = np.repeat(np.arange(len(row)), times)
         shift = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         at = base_at[of] + (c["first"] - c["start"])[of] + shift
-        hit = longest_previous(data, at, c["id"][of], length)
+        hit = longest_previous(data, at, c["id"][of], length) >= length
         of, shift = of[hit], shift[hit]
         begin = c["first"][of] + shift
         out = [R.ranges_table(rows["chunk"][r].as_py(), c["doc"][of[i]], begin[i], begin[i] + length) for r, i in R.by_group(row[of])] if len(of) else []
         return rows_table(out, R.RANGES)
 
     sent = base.groupBy("chunk").applyInArrow(entries, R.ENTRIES)
-    said = sent.groupBy("bucket").applyInArrow(collapse, R.ANSWERS)
+    said = sent.groupBy("bucket").applyInArrow(collapse, ANSWERS)
     moved = base.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(contexts, MOVED)
     return base, moved.groupBy("dest").applyInArrow(match, R.RANGES)
 

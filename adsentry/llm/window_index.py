@@ -132,8 +132,8 @@ def merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
     # in each group of equal fingerprints the old one stands first, then the smallest document
     order = np.lexsort((np.r_[chunk, old_chunk], np.r_[doc, np.zeros(m, np.int64)], ~past, every_around, every_gram))
     later, unclear = np.zeros(n + m, bool), np.zeros(n + m, bool)
-    later[order], unclear[order] = R.judge(every_gram[order], every_around[order], np.arange(n + m))
-    out = [["answer", bucket, c, a, b, None, None, None] for c, _, a, b in zip(*(x.to_pylist() for x in R.answers(new, row, later[:n], unclear[:n]).columns), strict=True)]
+    later[order], unclear[order], _ = R.judge(every_gram[order], every_around[order], np.arange(n + m))
+    out = [["answer", bucket, c, a, b, None, None, None] for c, _, a, b in zip(*(x.to_pylist() for x in R.answers(new, row, later=later[:n], unclear=unclear[:n]).columns), strict=True)]
     fresh = order[~past[order] & ~later[order]]
     # old entries whose anchor now also stands between other words
     touched = np.isin(old_gram, gram[fresh[fresh < n]]) & unclear[n:]
@@ -151,7 +151,7 @@ def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, bu
     chunk, number = R.Chunk(rows), rows["chunk"][0].as_py()
     f = R.find(chunk, R.word_tokens, length, gram, buckets)
     asked = pa.compute.is_valid(said["gram"])
-    later, unclear = R.answered(f, said.filter(pa.compute.invert(asked)))
+    later, unclear = R.answered(f, said.filter(pa.compute.invert(asked)), "later", "unclear")
     parts = dict(R.by_group(f.bucket))
     high = (f.gram >> np.uint64(32)).astype(np.uint32)
     more = said.filter(asked)

@@ -39,6 +39,54 @@ def test_substring_dedup(spark, rows):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.substring_dedup(rows)
 
 
+@pytest.fixture(scope="module")
+def patchwork():
+    """Texts put together from a few passages, cut anywhere, also several times within one text."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    out = []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) - 60)
+            parts += [p[a : a + rng.randint(40, 120)], word()] * rng.choice((1, 1, 2))
+        out.append((i, rng.choice((" ", "\n")).join(parts)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup_patchwork(spark, monkeypatch, patchwork, hot):
+    """Anchors between many different surroundings, also if all of them are split by window."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    got = substring_dedup.dedup_substrings(make(spark, patchwork)).select("doc_id", F.octet_length("text"), F.octet_length("text") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.substring_dedup(patchwork)
+
+
+def test_window_dedup_patchwork(spark, patchwork):
+    got = window_index.dedup_windows(make(spark, patchwork), 6, 3).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.window_dedup(patchwork, 6)
+
+
+def test_longest_previous_factor():
+    """Against all pairs of suffixes; prefixes under the least length count as 0."""
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 40))) for _ in range(6)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        places = [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 4)]
+        base = np.cumsum([0] + [len(t) for t in texts])
+        doc = np.array([d for d, _ in places])
+        rng.shuffle(texts_of := list(range(6)))
+        numbers = np.array(texts_of)[doc]
+        got = substring_dedup.longest_previous(data, np.array([base[d] + i for d, i in places]), numbers, 5)
+        expected = [5 * any(texts[d][i : i + 5] == texts[e][j : j + 5] and texts_of[e] < texts_of[d] for e, j in places) for d, i in places]
+        assert got.tolist() == expected
+
+
 def test_window_dedup(spark, rows):
     got = window_index.dedup_windows(make(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.window_dedup(rows)
