@@ -108,13 +108,55 @@ def test_window_dedup_hot_line(spark):
     index = window_index.WindowIndex(spark, buckets=n)
     base = base.drop("batch")
     index.ingest(base)
-    sent = index.unclear_windows(base).filter("dest >= 0").groupBy("dest").agg(F.sum(F.octet_length("window") / 8).alias("n"))
+    sent = index.unclear_windows(base).filter("dest >= 0").groupBy("dest").agg(F.sum(F.octet_length("size") / 4).alias("n"))
     sizes = sorted(r.n for r in sent.collect())
     assert len(sizes) == n and sizes[-1] < 2 * sum(sizes) / n
     got = window_index.dedup_windows(make(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.window_dedup(rows)
 
 
+def test_window_index_reopened(spark, patchwork):
+    """An index that is opened again goes on from its manifest, and its runs are sorted and merged."""
+    import numpy as np
+
+    base, n = window_index.batched(make(spark, patchwork), 3)
+    index = window_index.WindowIndex(spark, buckets=5, length=6, gram=3)
+    for b in range(3):
+        index.ingest(base.filter(F.col("batch") == b).drop("batch"))
+        index = window_index.WindowIndex(spark, index.path)
+    assert (index.buckets, index.length, index.levels, index.chunks) == (5, 6, [[1, 3], [0, 4]], n)
+    for r in index.runs().collect():
+        keys = window_index.sort_keys(np.frombuffer(r.gram, np.uint32), np.frombuffer(r.around, np.uint64))
+        assert (keys[1:] > keys[:-1]).all()
+    ranges = index.resolve(base.drop("batch"))
+    total = sum(len(brute.re.findall(r"\S+", t)) for _, t in patchwork)
+    removed = sum(int(np.frombuffer(b, np.int64).sum() - np.frombuffer(a, np.int64).sum()) for c in [ranges.groupBy("chunk").agg(F.collect_list("doc"), F.collect_list("start"), F.collect_list("stop")).collect()] for r in c for a, b in merged_parts(r))
+    expected = brute.window_dedup(patchwork, 6)
+    assert removed == sum(x[1] for x in expected.values()) < total
+
+
+def merged_parts(row):
+    import numpy as np
+
+    from adsentry.llm import _repeats
+
+    d, a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in row[1:])
+    d, a, b = _repeats.merged(d, a, b)
+    return [(a.tobytes(), b.tobytes())]
+
+
+def test_merge_order():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((0, 0), (0, 3), (5, 0), (50, 70)):
+        a, b = (np.sort(window_index.sort_keys(rng.integers(0, 4, k, dtype=np.uint32), rng.integers(0, 9, k, dtype=np.uint64))) for k in (n, m))
+        order = window_index.merge_order(a, b)
+        whole = np.concatenate([a, b])[order]
+        assert (whole[1:] >= whole[:-1]).all() and sorted(order.tolist()) == list(range(n + m))
+        assert all(x < y for x, y, u, v in zip(order, order[1:], whole, whole[1:]) if u == v)
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text), (1, text), (None, text), (None, text + " more"), (2, text)]
