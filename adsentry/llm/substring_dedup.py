@@ -138,10 +138,10 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             if d:
                 out.append([-1 - number, number, d, empty, a, b, empty, empty, empty])
             ask = np.flatnonzero(open_)
-            parts = [(f.bucket[f.entry[ask]], f.doc[ask], f.lo[ask], f.hi[ask], f.first[ask], f.last[ask])]
+            parts = [((f.gram[f.entry[ask]] // np.uint64(n) % np.uint64(chunks)).astype(np.int64), f.doc[ask], f.lo[ask], f.hi[ask], f.first[ask], f.last[ask])]
             if alone:
                 d, x = doc[alone], window[alone]
-                key = np.fromiter((hash_of(chunk.texts[i][j : j + length]) % n for i, j in zip(d.tolist(), x.tolist(), strict=True)), np.int64, len(d))
+                key = np.fromiter((hash_of(chunk.texts[i][j : j + length]) % chunks for i, j in zip(d.tolist(), x.tolist(), strict=True)), np.int64, len(d))
                 parts.append((key, d, x, x + length, x, x))
             bucket, d, lo, hi, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             for to, part in R.by_group(bucket) if len(bucket) else ():
