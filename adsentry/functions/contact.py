@@ -137,14 +137,18 @@ def iban_signals(ibans: Column) -> Column:
     return F.transform(ibans, lambda x: F.when(F.substring(x, 1, 2).isin(*D.HOME_IBAN_COUNTRIES), S.signal("IBAN_IN_TEXT", 0.3, shown(x))).otherwise(S.signal("FOREIGN_IBAN", 0.55, shown(x))))
 
 
+def remainder(letters: Column) -> Column:
+    """Of digits and letters, which count from A = 10 on, modulo 97."""
+    digit = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    step = lambda r, c: F.when(digit(c) > 9, (r * 100 + digit(c)) % 97).otherwise((r * 10 + digit(c)) % 97)
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0), lambda r, c: step(r, c).cast("int"))
+
+
 def iban_valid(iban: Column) -> Column:
     """Length 15 to 34 and remainder 1 modulo 97."""
     s = F.upper(F.replace(iban, F.lit(" "), F.lit("")))
     turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
-    digit = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
-    step = lambda r, c: F.when(digit(c) > 9, (r * 100 + digit(c)) % 97).otherwise((r * 10 + digit(c)) % 97)
-    rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda r, c: step(r, c).cast("int"))
-    return F.length(s).between(15, 34) & F.rlike(s, F.lit("^[A-Z0-9]+$")) & (rest == 1)
+    return F.length(s).between(15, 34) & F.rlike(s, F.lit("^[A-Z0-9]+$")) & (remainder(turned) == 1)
 
 
 def contact_signals(text: Column, ibans: Column | None = None) -> Column:
