@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.redact import redact
+from .dataset import fingerprint
+
 
 def latest(log: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
     """The newest record of each key; later arrival on a tie."""
@@ -117,3 +120,18 @@ def image_verdict(flags: DataFrame, key: str) -> DataFrame:
     """Any suspicious image: fraud; all harmless: legitimate; else unclear. flags: key, flag."""
     verdict = F.when(F.coalesce(F.bool_or(F.col("flag") == "ja"), F.lit(False)), "betrug").when(F.bool_and(F.coalesce(F.col("flag") == "nein", F.lit(False))), "serioes").otherwise("unklar")
     return flags.groupBy(key).agg(verdict.alias("verdict"))
+
+
+# What a listing loses before it is shared: who, where, and what is known of it.
+IDENTIFYING = ("seller_name", "location", "url", "label", "scam_type", "source", "warnsignale")
+
+
+def anonymised(listings: DataFrame) -> DataFrame:
+    """RED-09: the listings with their texts redacted and identifying fields null; `task` is the start of the fingerprint
+    of the redacted text, or of the image paths where there is no text, so that it depends on what is shared alone."""
+    changed: dict[str, Column] = {c: redact(c) for c in ("title", "description") if c in listings.columns}
+    if "messages" in listings.columns:
+        changed["messages"] = F.transform("messages", redact)
+    hidden = listings.withColumns(changed | {c: F.lit(None).cast(listings.schema[c].dataType) for c in IDENTIFYING if c in listings.columns})
+    text = F.concat_ws("\n", *[F.col(c) for c in ("title", "description") if c in changed], *([F.array_join("messages", "\n")] if "messages" in changed else []))
+    return hidden.withColumn("task", F.substring(fingerprint(text, F.col("image_paths") if "image_paths" in listings.columns else None), 1, 16))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evaluation
@@ -67,3 +69,28 @@ def zero_shot(vectors: DataFrame, classes: DataFrame, scale: float = 100.0) -> D
     sums = each.groupBy("vec_id", "class").agg(F.sum("e").alias("e"))
     total = sums.groupBy("vec_id").agg(F.sum("e").alias("t"))
     return sums.join(total, "vec_id").select("vec_id", "class", (F.col("e") / F.col("t")).alias("p"))
+
+
+def retrain(models: dict[str, tuple[DataFrame, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]] | str], spark: SparkSession, least: int = 5) -> DataFrame:
+    """ML-11: fits and measures each model: (model, status, n_train, auc, message).
+
+    A model is its table (label, test, ...) with a function that fits on the training part and gives a function from a
+    table to (label, score); or the reason why it is left out. A model with fewer than `least` rows of a class, or one that
+    fails, is reported and stops no other."""
+    out = []
+    for name, given in models.items():
+        if isinstance(given, str):
+            out.append((name, "left out", None, None, given))
+            continue
+        rows, fit = given
+        n, good, bad = rows.filter("NOT test").agg(F.count("*"), F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+        if min(good, bad) < least:
+            out.append((name, "too few rows", n, None, f"{min(good, bad)} of {least}"))
+            continue
+        try:
+            scored = fit(rows.filter("NOT test"))(rows.filter("test")).withColumn("model", F.lit(name))
+            found = evaluation.metrics(scored, ["model"]).first()
+            out.append((name, "trained", n, found.auc if found else None, None))
+        except Exception as e:  # noqa: BLE001  one broken model must not stop the others
+            out.append((name, "failed", n, None, type(e).__name__))
+    return spark.createDataFrame(out, "model string, status string, n_train long, auc double, message string")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
+from ..functions.contact import let
+from ..plans import dimensions as D
+
 QUOTE = r"(?s)(.{0,160})[„“\"]([^„“”\"]{25,1500})[“”\"]"
 CUES = "(?i)schrieb|schreibt|nachricht|antwort|kam|mail|sms|stand"
 
@@ -22,6 +28,68 @@ def ad_fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.try_element_at(tag_texts(F.col("html"), "h1"), F.lit(1)).alias("title"), F.size(tag_texts(F.col("html"), "p")).alias("n_lines"), lang.alias("lang"), F.array_join(crumbs, " > ").alias("breadcrumb"))
 
 
+def row_fields(rows: Column, today: Column) -> Column:
+    """PAG-02: the fields of an advert out of the text rows of its page, from top to bottom.
+
+    The price is the first row that is one; the title is the nearest row above it with words of its own; a row of several
+    steps is the breadcrumb; the place starts at the postcode. The description goes from its heading to the first row that
+    ends it; without a heading it is what is left."""
+    phrases = r"(?U)(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(D.PAGE_PHRASES, key=len, reverse=True)) + r")(?!\w)"
+    starts = lambda key, words: F.rlike(key, F.lit("^(?:" + "|".join(map(re.escape, words)) + ")"))
+
+    def described(row: Column, i: Column) -> Column:
+        key = F.regexp_replace(F.lower(row), r"(?U)^(?:[^\w\s€]+\s*|\w\s+(?=\w\w))+", "")
+        return let(F.trim(key), lambda k: F.struct(row.alias("row"), i.alias("i"), k.alias("key"), words(k).alias("words"), crumb(k).alias("crumb")))
+
+    def words(key: Column) -> Column:
+        return F.size(F.regexp_extract_all(F.regexp_replace(key, phrases, " "), F.lit(r"\p{L}{3,}"), F.lit(0)))
+
+    def crumb(key: Column) -> Column:
+        steps = F.size(F.regexp_extract_all(key, F.lit("[›>»]"), F.lit(0)))
+        return (steps >= 2) | F.contains(key, F.lit("kleinanzeigen")) & (steps > 0)
+
+    def first(xs: Column, test) -> Column:
+        return F.try_element_at(F.filter(xs, test), F.lit(1))
+
+    def fields(xs: Column) -> Column:
+        price = first(xs, lambda x: F.rlike(x["key"], F.lit(D.ROW_PRICE)))
+        return let(F.struct(price.alias("price"), F.coalesce(price["i"], F.size(xs)).alias("end")), lambda p: with_title(xs, p))
+
+    def with_title(xs: Column, p: Column) -> Column:
+        named = F.filter(xs, lambda x: (x["i"] < p["end"]) & (x["words"] > 0) & ~x["crumb"] & ~F.rlike(x["key"], F.lit(D.ROW_COUNTER)))
+        title = F.when(p["price"].isNull(), F.try_element_at(named, F.lit(1))).otherwise(F.try_element_at(named, F.lit(-1)))
+        return let(title, lambda t: all_fields(xs, p, t))
+
+    def all_fields(xs: Column, p: Column, title: Column) -> Column:
+        name = F.trim(F.regexp_replace(title["row"], D.ROW_BADGES, ""))
+        place = first(F.transform(xs, lambda x: F.regexp_extract(x["row"], D.ROW_POSTCODE, 0)), lambda m: m != "")
+        age = first(xs, lambda x: F.rlike(x["row"], F.lit(D.ROW_AGE)))
+        seller = first(xs, lambda x: starts(x["key"], D.SELLER_ROWS))
+        return F.struct(
+            name.alias("title"),
+            N.parse_price(p["price"]["key"]).alias("price"),
+            N.normalize_category(F.coalesce(first(xs, lambda x: x["crumb"])["row"], name)).alias("category"),
+            F.regexp_replace(place, r"^[ ,-]+|[ ,-]+$", "").alias("location"),
+            N.account_age(F.regexp_replace(age["row"], r"\s+", " "), today).alias("account_age_days"),
+            N.seller_type(seller["key"]).alias("seller_type"),
+            description(xs, p, title).alias("description"),
+        )
+
+    def description(xs: Column, p: Column, title: Column) -> Column:
+        head = first(xs, lambda x: x["key"] == "beschreibung")["i"]
+        stop = F.coalesce(first(xs, lambda x: starts(x["key"], D.PAGE_ENDS))["i"], F.size(xs))
+        last = F.coalesce(first(xs, lambda x: (x["i"] > head) & starts(x["key"], D.DESCRIPTION_ENDS + D.PAGE_ENDS))["i"], F.size(xs))
+        under = F.filter(xs, lambda x: (x["i"] > head) & (x["i"] < last))
+        names = F.transform(F.filter(xs, lambda x: starts(x["key"], D.SELLER_ROWS)), lambda x: x["i"] - 1)
+        other = lambda x: (x["i"] < stop) & ~x["i"].eqNullSafe(p["price"]["i"]) & ~x["i"].eqNullSafe(title["i"]) & ~F.array_contains(names, x["i"])
+        plain = lambda x: (x["words"] >= 2) & ~x["crumb"] & ~starts(x["key"], D.DESCRIPTION_ENDS) & ~F.rlike(x["row"], F.lit(D.ROW_POSTCODE))
+        left = F.filter(xs, lambda x: other(x) & plain(x))
+        return F.array_join(F.transform(F.when(head.isNotNull(), under).otherwise(left), lambda x: x["row"]), "\n")
+
+    clean = F.filter(F.transform(rows, lambda r: F.trim(r)), lambda r: r != "")
+    return let(F.transform(clean, described), fields)
+
+
 def posts(pages: DataFrame) -> DataFrame:
     """page_id, post_no, text: the paragraphs of a thread page."""
     return pages.select("page_id", F.posexplode(tag_texts(F.col("html"), "p")).alias("post_no", "text")).filter("text <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,44 @@ def linear_reasons(values: DataFrame, coefficients: DataFrame, key: str, most: i
     each = values.join(coefficients, "term").withColumn("part", F.col("value") * F.col("coefficient")).filter(F.col("part") > least)
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("part"), "term"))
     return each.withColumn("place", n).filter(F.col("place") <= most).select(key, "place", "term", "part")
+
+
+def judgement_signals(score: Column, summary: Column, scheme: Column, language: Column, flags: Column, model: str) -> Column:
+    """TXT-37: a model's judgement as signals: its summary first, then one for each flag (an array of code and evidence),
+    all with the judgement's score, clamped to 0..1, as their weight."""
+    weight = F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    said = F.concat(summary, F.lit(" – Masche: "), scheme, F.lit(", Sprache: "), language, F.lit(f" ({model})"))
+    first = S.found(F.when(F.coalesce(F.trim(summary), F.lit("")) != "", S.signal("LLM_SUMMARY", weight, said)))
+    each = F.transform(flags, lambda f: S.signal(F.concat(F.lit("LLM_"), F.upper(f["code"])), weight, F.nullif(F.substring(f["evidence"], 1, 120), F.lit(""))))
+    return F.concat(first, F.coalesce(each, F.array().cast(S.SIGNALS)))
+
+
+def run_detectors(listings: DataFrame, key: str, detectors: dict[str, Callable[[DataFrame], Column] | str], reuse: DataFrame | None = None) -> DataFrame:
+    """SCO-07: (key, model, score, available, error) of all detectors; a null score is no verdict.
+
+    A detector is a function that builds its score from the listings, or the reason why it is not available. One that
+    cannot be built stands with its error and stops no other. `reuse` (key, model, score) has results that exist."""
+    out = reuse.select(key, "model", "score", F.lit(True).alias("available"), F.lit(None).cast("string").alias("error")) if reuse is not None else None
+    for name, detector in detectors.items():
+        score, available, error = F.lit(None).cast("double"), not isinstance(detector, str), detector if isinstance(detector, str) else None
+        if available:
+            try:
+                score = detector(listings).cast("double")
+                listings.select(score).schema  # noqa: B018  the analysis of the expression
+            except Exception as e:  # noqa: BLE001  a broken detector must not stop the scan
+                score, error = F.lit(None).cast("double"), type(e).__name__
+        rows = listings.select(key, F.lit(name).alias("model"), score.alias("score"), F.lit(available).alias("available"), F.lit(error).cast("string").alias("error"))
+        if reuse is not None:
+            rows = rows.join(reuse.select(key, "model"), [key, "model"], "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def attributions(rows: DataFrame, key: str, coefficients: dict[str, float], top: int = 3) -> DataFrame:
+    """SCO-12: (key, place, feature, value, part, effect): the features that move a linear score most from its mean, by
+    coefficient * (value - mean), and whether they raise or lower it."""
+    means = rows.agg(*[F.avg(c).alias(c) for c in coefficients]).first()
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), (F.lit(float(k)) * (F.col(c) - F.lit(means[c]))).alias("part")) for c, k in coefficients.items()])
+    ranked = F.array_sort(F.transform(F.filter(parts, lambda p: p["part"] != 0), lambda p, i: F.struct((-F.abs(p["part"])).alias("by"), i.alias("i"), p.alias("p"))))
+    each = rows.select(key, F.posexplode(F.slice(ranked, 1, top)).alias("place", "x"))
+    return each.select(key, (F.col("place") + 1).alias("place"), "x.p.feature", "x.p.value", "x.p.part", F.when(F.col("x.p.part") > 0, "erhöht").otherwise("senkt").alias("effect"))

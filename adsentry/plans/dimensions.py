@@ -140,3 +140,18 @@ SCHEMES = [
     ("dreieck", "dreiecksbetrug|dritte"), ("kurier", "kurier|spedition"), ("fake_shop", "fake.?shop"), ("ausweis", "ausweis|selfie"), ("code", "bestätigungscode|sms.?code"), ("scheck", "scheck|überzahl"),
     ("wohnung", "wohnung|kaution"), ("tier", "welpe|transportkosten"), ("ticket", "ticket"), ("konto", "konto.{0,30}(gesperrt|gehackt)"), ("messenger", "whats ?app|telegram"),
 ]
+
+# How the text rows of an advert's page are told apart.
+ROW_PRICE = r"^(?:ab\s+)?\d{1,3}(?:[.\s]\d{3})*(?:,\d{1,2})?\s*(?:€|eur)(?:\s*vb)?$|^vb$|^zu verschenken$"
+ROW_POSTCODE = r"\b\d{5}\s+(?!(?i:km|kilometer|euro|eur|stück|stk|watt|mah)\b)[A-ZÄÖÜ][^\n•·|>›]*"
+ROW_COUNTER = r"^\d+\s*/\s*\d+$"
+ROW_BADGES = r"(?i)^(?:(?:reserviert|gelöscht|top)\s*[•·]?\s*)+"
+ROW_AGE = r"(?i)aktiv seit\s+\d{1,2}\.\d{1,2}\.\d{4}"
+DESCRIPTION_ENDS = ["anzeige melden", "nachricht schreiben", "rechtliche angaben", "sicherheitshinweise", "anzeigen-id", "anzeigennr", "privater nutzer", "gewerblicher nutzer", "aktiv seit"]
+PAGE_ENDS = ["andere anzeigen des anbieters", "alle anzeigen dieses anbieters", "das könnte dich auch interessieren", "ähnliche anzeigen", "weitere anzeigen"]
+SELLER_ROWS = ["privater nutzer", "gewerblicher nutzer"]
+PAGE_PHRASES = [
+    "kleinanzeigen", "was suchst du?", "alle kategorien", "plz oder ort", "registrieren", "einloggen", "oder", "registrieren oder einloggen", "folgen", "anrufen", "merken", "teilen", "anzeige teilen",
+    "zur merkliste hinzufügen", "nachricht senden", "karte", "satellit", "karte satellit", "standort", "details", "ausstattung", "mehr anzeigen", "weniger anzeigen", "hallo!", "top",
+    "zum inhalt springen", "startseite", "inserieren", "meins", "anzeige aufgeben",
+]

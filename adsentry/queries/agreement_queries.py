@@ -58,7 +58,7 @@ def win07_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join01_ratings_of_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = _tasks(spark, sf_dir).filter("task % 2 = 0")
+    tasks = _log(spark, sf_dir).filter("value = 'purchase'").select("task").distinct()  # the others' ratings are orphans
     return _ratings(spark, sf_dir).join(tasks, "task").groupBy("task").agg(F.count("*").alias("n"))
 
 
@@ -187,7 +187,7 @@ ORACLE_SQL = {
     "win05_join03_queue": _sql("SELECT task, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS priority, sha1('3|' || id) AS place FROM tasks LEFT JOIN (SELECT task, count(DISTINCT person) AS n, bool_or(person = 3) AS mine FROM ratings WHERE task % 3 > 0 AND person < task % 4 + 1 GROUP BY task) USING (task) WHERE NOT coalesce(mine, false) AND (n IS NULL OR (n < 2 AND ('0x' || left(id, 8))::BIGINT / 4294967295.0 < 0.25))"),
     "win06_hash_share": _sql("SELECT task FROM tasks WHERE ('0x' || left(id, 8))::BIGINT / 4294967295.0 < 0.25"),
     "win07_balanced_sample": "SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY sha1(CAST(doc_id AS STRING))) > 30 AS rest FROM labels) ORDER BY rest, sha1(CAST(doc_id AS STRING)) LIMIT 60",
-    "join01_ratings_of_tasks": _sql("SELECT task, count(*) AS n FROM ratings JOIN tasks USING (task) WHERE task % 2 = 0 GROUP BY task"),
+    "join01_ratings_of_tasks": _sql("SELECT task, count(*) AS n FROM ratings WHERE task IN (SELECT task FROM log WHERE value = 'purchase') GROUP BY task"),
     "agg18_majority": _sql(MAJORITY.format("ratings")),
     "agg19_join02_consensus": _sql("SELECT * FROM cons", **_consensus("x")),
     "agg22_scheme_of_fraud_votes": _sql("SELECT m.task, coalesce(d.value, winner) AS scheme FROM (" + MAJORITY.format("(SELECT task, CAST(event_id % 3 AS STRING) AS value FROM log WHERE value = 'click')") + ") m LEFT JOIN decisions d ON m.task = d.task"),
@@ -198,5 +198,5 @@ ORACLE_SQL = {
     "agg23_contradictions": _sql("SELECT source, count(*) AS n, count(*) FILTER (verdict = 'click' AND toxic = 0) AS contradictions FROM cons JOIN labels l ON l.doc_id = task JOIN documents d ON d.doc_id = task GROUP BY source", **_consensus("")),
     "agg24_nrm23_quality_hints": "SELECT event_id, CASE WHEN event_id % 7 < 3 AND user_id * 4 > 200 THEN 'sehr schnell' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'Betrug ohne Masche' WHEN event_type <> 'click' AND event_id % 4 >= 2 THEN 'seriös mit Warnsignalen' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'Betrug ohne Warnsignal' END AS hint FROM events",
     "agg25_report": _sql("SELECT status, verdict, count(*) AS n FROM cons GROUP BY ALL", **_consensus("x")),
-    "agg31_image_verdict": _sql("SELECT task, CASE WHEN bool_or(value = 'click') THEN 'betrug' WHEN bool_and(value <> 'error') THEN 'serioes' ELSE 'unklar' END AS verdict FROM log WHERE event_id % 50 = 0 GROUP BY task"),
+    "agg31_image_verdict": _sql("SELECT task, CASE WHEN bool_or(value = 'click') THEN 'betrug' WHEN bool_and(value <> 'error') THEN 'serioes' ELSE 'unklar' END AS verdict FROM log GROUP BY task"),
 }

@@ -75,8 +75,8 @@ def join10_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (vectors,) = tables(spark, sf_dir, "embeddings")
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a * 2 + b)
     hashed = vectors.select("vec_id", bits.alias("hash"))
-    found = M.near_hashes(hashed.select(F.col("vec_id").alias("a"), "hash"), hashed.select(F.col("vec_id").alias("b"), "hash"), 16)
-    return found.filter("a < b")
+    found = M.near_hashes(hashed.select(F.col("vec_id").alias("a"), "hash"), hashed.select(F.col("vec_id").alias("b"), "hash"), 6, F.col("a") < F.col("b"))
+    return found
 
 
 def agg30_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,17 @@ def agg30_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("n"), "scheme").limit(12)
 
 
-QUERIES = {f.__name__: f for f in (txt29_agg10_log_odds, agg11_join12_14_candidates, ml03_tfidf, ml05_char_ngrams, join13_ml14_similar, win08_top_per_class, join15_excluded_bank, join10_near_hashes, agg30_schemes)}
+def ml15_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar labelled cases of each item, as the text that a prompt takes."""
+    docs, items, labels = tables(spark, sf_dir, "documents", "benchmark", "labels")
+    cases = docs.join(labels, "doc_id")
+    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), _terms(cases, "doc_id").withColumnRenamed("doc_id", "d"), cases.count())
+    facts = cases.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label"), F.lit("").alias("title"), F.array("lang", "source").alias("facts"), F.col("text").alias("description"))
+    chosen = M.top_per_class(found.join(facts, "d").withColumn("score", F.round("score", 9)), 4)
+    return M.prompt_blocks(chosen).select("q", F.col("block"))
+
+
+QUERIES = {f.__name__: f for f in (ml15_prompt_block, txt29_agg10_log_odds, agg11_join12_14_candidates, ml03_tfidf, ml05_char_ngrams, join13_ml14_similar, win08_top_per_class, join15_excluded_bank, join10_near_hashes, agg30_schemes)}
 
 _FILLERS = quoted(sorted(set(D.GERMAN_WORDS) | set(D.PHRASE_FILLERS)))
 _TOKENS = "list_transform(regexp_extract_all(text, '(?i)[a-zäöüßÄÖÜ0-9€]+(?:-[a-zäöüßÄÖÜ0-9]+)*'), lambda x: lower(x))"
@@ -109,8 +119,12 @@ ORACLE_SQL = {
     "agg11_join12_14_candidates": f"WITH {GRAMS}, p AS (SELECT * FROM z WHERE z > 0 ORDER BY z DESC, gram LIMIT 320) SELECT gram, z, y_s, y_l, {_COVER} AS covered_by FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.gram <> p.gram AND contains(' ' || o.gram || ' ', ' ' || p.gram || ' ') AND o.y_s >= 0.8 * p.y_s) ORDER BY z DESC, gram LIMIT 80",
     "ml03_tfidf": f"WITH c AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_TERM} AS term FROM benchmark) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2), r AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark))::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN f USING (term)) SELECT item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)), 6) AS w FROM r",
     "ml05_char_ngrams": "SELECT gram, count(DISTINCT item_id) AS df, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS gram FROM (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) || ' ' AS w FROM benchmark)) GROUP BY gram HAVING count(DISTINCT item_id) >= 2",
-    "join13_ml14_similar": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents WHERE doc_id % 2 = 0)')} SELECT q, d, round(score, 6) AS score FROM sim WHERE score >= 0.3",
+    "join13_ml14_similar": f"WITH {SIMILAR.format(term=_TERM, bank='documents')} SELECT q, d, round(score, 6) AS score FROM sim JOIN documents ON doc_id = d JOIN benchmark ON item_id = q WHERE score >= 0.05 AND lower(documents.text) <> lower(benchmark.text)",
     "win08_top_per_class": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')} SELECT q, label, place, d FROM (SELECT q, d, toxic AS label, row_number() OVER (PARTITION BY q, toxic ORDER BY round(score, 9) DESC, d)::INT AS place FROM sim JOIN labels ON doc_id = d WHERE score >= 0.05) WHERE place <= 2",
+    "ml15_prompt_block": f"""WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')},
+      c AS (SELECT q, score, d, toxic AS label, lang, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY q, toxic ORDER BY round(score, 9) DESC, d) AS place FROM sim JOIN labels ON doc_id = d JOIN documents USING (doc_id) WHERE score >= 0.05),
+      k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS n, CASE WHEN length(t) > {M.CASE_CHARS} THEN regexp_replace(substring(t, 1, {M.CASE_CHARS}), ' [^ ]*$', '') || ' …' ELSE t END AS short FROM c WHERE place <= 2)
+      SELECT q, '<vergleichsfaelle>' || chr(10) || '{M.CASE_INTRO}' || chr(10) || string_agg('Fall ' || n || ' – ' || CASE WHEN label = 1 THEN 'BETRUG' ELSE 'SERIÖS' END || ': Chat (' || lang || ', ' || source || ') – ' || short, chr(10) ORDER BY n) || chr(10) || '</vergleichsfaelle>' AS block FROM k GROUP BY q""",
     "join15_excluded_bank": "SELECT doc_id FROM documents WHERE lower(text) NOT IN (SELECT lower(text) FROM documents JOIN labels USING (doc_id))",
-    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(list_slice(embedding, 1, 63), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 16",
+    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(list_slice(embedding, 1, 63), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 6",
 }

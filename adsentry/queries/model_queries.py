@@ -41,6 +41,21 @@ def ml06_07_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.metrics(scored.withColumn("model", F.lit("text")), ["model"])
 
 
+def ml11_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text models of two labels, one that fails, and one that is left out."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    test = F.pmod(F.xxhash64(T.fingerprint(F.col("text"))), F.lit(4)) == 0
+    rows = docs.join(labels, "doc_id").withColumn("test", test)
+
+    def text(train: DataFrame):
+        model = M.text_model(train)
+        return lambda df: M.probability(model, df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
+
+    table = lambda label: rows.select("doc_id", "text", "test", F.col(label).alias("label"))
+    models = {"quality": (table("quality"), text), "toxic": (table("toxic"), text), "broken": (table("quality"), lambda df: lambda test: test.select("missing")), "images": "no image model is installed"}
+    return M.retrain(models, spark)
+
+
 def ml08_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents", "labels")
     text = F.col("text")
@@ -67,7 +82,7 @@ def snk11_ml16_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(df, "Beurteile die Anzeige.")
 
 
-QUERIES = {f.__name__: f for f in (ml01_win10_feature_row, ml02_useful_columns, ml06_07_text_model, ml08_leaderboard, ml12_zero_shot, ml13_image_score, snk11_ml16_finetune)}
+QUERIES = {f.__name__: f for f in (ml01_win10_feature_row, ml02_useful_columns, ml06_07_text_model, ml08_leaderboard, ml11_retrain, ml12_zero_shot, ml13_image_score, snk11_ml16_finetune)}
 _W = {c: w for c, w, *_ in D.LEXICON}
 _SIGNALS = ", ".join(f"CASE WHEN list_contains(codes, '{c}') THEN {_W[c]} ELSE 0 END::DOUBLE AS signal_{c.lower()}" for c in ("OFFPLATFORM_PAYMENT", "FAKE_PAYMENT_LINK", "PARCEL_CUSTOMS"))
 _BASE = f"SELECT doc_id, {N_WORDS_SQL}::INT AS n_words, coalesce(age, -1) AS age, {lexicon_sql()} AS codes FROM listings"

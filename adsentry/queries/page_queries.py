@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import annotation as A
 from ..operators import pages as P
-from .base import tables
+from .base import listings, tables
 
 
 def pag01_ad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ad_fields(*tables(spark, sf_dir, "pages")).drop("url")
 
 
+def pag02_row_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields out of the rows that the page of a listing would show."""
+    rows = F.array(F.lit("1/12"), F.col("category_raw"), F.concat(F.lit("TOP • "), "title"), F.col("price_raw"), F.lit("68159 Mannheim"), F.lit("Max M."), F.col("type_raw"), F.lit("Beschreibung"), F.regexp_replace("description", r"\s+", " "), F.lit("Anzeige melden"), F.lit("Ähnliche Anzeigen"), F.lit("Noch ein Inserat"))
+    found = listings(spark, sf_dir).select("doc_id", P.row_fields(F.filter(rows, lambda r: r.isNotNull()), F.lit("2026-01-01").cast("date")).alias("x"))
+    return found.select("doc_id", "x.title", "x.price", "x.category", "x.location", "x.seller_type", F.sha1("x.description").alias("description_sha1"))
+
+
+def red09_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.anonymised(listings(spark, sf_dir).withColumn("location", F.lit("Mannheim")))
+    return found.select("doc_id", "task", "source", "location", F.sha1("description").alias("description_sha1"))
+
+
 def pag04_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.posts(*tables(spark, sf_dir, "pages")).select("page_id", "post_no", F.sha1("text").alias("sha1"))
 
@@ -53,7 +66,7 @@ def win12_pag03_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_files(files).select("item", "title", F.size("messages").alias("n_messages"))
 
 
-QUERIES = {f.__name__: f for f in (pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
+QUERIES = {f.__name__: f for f in (pag02_row_fields, red09_anonymised, pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
 _P = r"list_transform(regexp_extract_all(html, '(?s)<{0}\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))"
 ORACLE_SQL = {
     "pag01_ad_fields": f"""SELECT page_id, ({_P.format('h1')})[1] AS title, len({_P.format('p')})::INT AS n_lines, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, array_to_string(regexp_extract_all(html, '<a href="/([^"]*)"', 1), ' > ') AS breadcrumb FROM pages""",

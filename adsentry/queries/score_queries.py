@@ -146,8 +146,35 @@ def agg32_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("given").isNull()).alias("invalid"), F.round(F.avg((hit == F.col("toxic")).cast("double")), 9).alias("accuracy"), F.count_if((hit == 1) & (F.col("toxic") == 1)).alias("tp"))
 
 
+def txt37_judgement_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements whose score is the share of capitals, with the first two words as flags."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    words = F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != ""), 1, 2)
+    flags = F.transform(words, lambda w: F.struct(w.alias("code"), F.concat_ws(" ", w, F.col("source")).alias("evidence")))
+    score = F.length(F.regexp_replace("text", "[^A-Z]", "")) * 4 / F.length("text")
+    found = C.judgement_signals(score, F.substring("text", 1, 5), F.col("lang"), F.col("source"), flags, "modell")
+    line = F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["code"], s["evidence"])), "|")
+    return docs.withColumn("line", line).select("doc_id", "line", F.round(F.coalesce(F.try_element_at(found, F.lit(1))["weight"], F.lit(0.0)), 6).alias("weight"))
+
+
+def sco07_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector that works, one that cannot be built, one that is not there, and results that exist already."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    known = labels.select("doc_id", F.lit("known").alias("model"), F.col("toxic").cast("double").alias("score"))
+    detectors = {"length": lambda df: F.least(F.length("text") / 5000, F.lit(1.0)), "broken": lambda df: F.col("missing") + 1, "absent": "not installed", "known": lambda df: F.lit(None).cast("double")}
+    found = C.run_detectors(docs, "doc_id", detectors, known)
+    return found.select("doc_id", "model", F.round("score", 9).alias("score"), "available", "error")
+
+
+def sco12_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.length("text").alias("chars"), F.length(F.regexp_replace("text", "[^!]", "")).alias("bangs"), F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits"), F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("capitals"))
+    found = C.attributions(rows, "doc_id", {"chars": -0.0005, "bangs": 0.4, "digits": 0.03, "capitals": 0.01})
+    return found.select("doc_id", "place", "feature", F.round("part", 6).alias("part"), "effect")
+
+
 QUERIES = {f.__name__: f for f in (
-    rule_scan, rule_scan_phrases, txt22_language_signals, prc02_price_signals, prc02_lineitem_prices, sel02_04_seller_signals, sel05_notes, sel06_profile_summary, sel07_business_adjust, sco02_rule_score, sco01_grouped_noisy_or, sco03_05_fuse,
+    txt37_judgement_signals, sco07_detectors, sco12_attributions, rule_scan, rule_scan_phrases, txt22_language_signals, prc02_price_signals, prc02_lineitem_prices, sel02_04_seller_signals, sel05_notes, sel06_profile_summary, sel07_business_adjust, sco02_rule_score, sco01_grouped_noisy_or, sco03_05_fuse,
     sco06_strongest_first, sco08_only_new, sco09_10_agg08_abstain, sco11_linear_reasons, agg27_29_metrics, agg32_answers,
 )}
 
@@ -161,7 +188,19 @@ DEAR = "coalesce(price >= 200, false)"
 ACTIVE = "CASE WHEN age < 60 THEN 'seit ' || age || CASE WHEN age = 1 THEN ' Tag aktiv' ELSE ' Tagen aktiv' END WHEN age // 30 // 12 > 0 THEN 'seit ' || (age // 30 // 12) || CASE WHEN age // 30 // 12 = 1 THEN ' Jahr aktiv' ELSE ' Jahren aktiv' END ELSE 'seit ' || (age // 30) || ' Monaten aktiv' END"
 BADGE_NAME = "CASE badge " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.BADGES.items()) + " END"
 FORM = "coalesce(' (' || legal_form || ')', '')"
+_PARTS = "regexp_replace(text, '[^{0}]', '', 'g')"
 ORACLE_SQL = {
+    "txt37_judgement_signals": """SELECT doc_id, array_to_string(list_concat(CASE WHEN trim(substring(text, 1, 5)) <> '' THEN ['LLM_SUMMARY:' || substring(text, 1, 5) || ' – Masche: ' || lang || ', Sprache: ' || source || ' (modell)'] ELSE [] END, list_transform(w, lambda x: 'LLM_' || upper(x) || ':' || substring(x || ' ' || source, 1, 120))), '|') AS line,
+        CASE WHEN trim(substring(text, 1, 5)) <> '' OR len(w) > 0 THEN round(least(length(regexp_replace(text, '[^A-Z]', '', 'g')) * 4 / length(text), 1.0), 6) ELSE 0.0 END AS weight
+      FROM (SELECT *, list_slice(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> ''), 1, 2) AS w FROM documents)""",
+    "sco07_detectors": """SELECT doc_id, 'known' AS model, toxic::DOUBLE AS score, true AS available, NULL::VARCHAR AS error FROM labels
+      UNION ALL SELECT doc_id, 'known', NULL, true, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+      UNION ALL SELECT doc_id, 'length', round(least(length(text) / 5000, 1.0), 9), true, NULL FROM documents
+      UNION ALL SELECT doc_id, 'broken', NULL, true, 'AnalysisException' FROM documents UNION ALL SELECT doc_id, 'absent', NULL, false, 'not installed' FROM documents""",
+    "sco12_attributions": f"""WITH r AS (SELECT doc_id, length(text) AS chars, length({_PARTS.format('!')}) AS bangs, length({_PARTS.format('0-9')}) AS digits, length({_PARTS.format('A-Z')}) AS capitals FROM documents),
+      p AS (SELECT doc_id, unnest([{{'f': 'chars', 'i': 0, 'v': -0.0005 * (chars - avg(chars) OVER ())}}, {{'f': 'bangs', 'i': 1, 'v': 0.4 * (bangs - avg(bangs) OVER ())}}, {{'f': 'digits', 'i': 2, 'v': 0.03 * (digits - avg(digits) OVER ())}}, {{'f': 'capitals', 'i': 3, 'v': 0.01 * (capitals - avg(capitals) OVER ())}}]) AS x FROM r),
+      k AS (SELECT doc_id, x.f AS feature, x.v AS part, row_number() OVER (PARTITION BY doc_id ORDER BY abs(x.v) DESC, x.i)::INT AS place FROM p WHERE x.v <> 0)
+      SELECT doc_id, place, feature, round(part, 6) AS part, CASE WHEN part > 0 THEN 'erhöht' ELSE 'senkt' END AS effect FROM k WHERE place <= 3""",
     "rule_scan_phrases": cte(
         f"SELECT doc_id, (len(w) + len(k))::INT AS n_signals, round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) AS score, CASE WHEN round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) >= 0.7 THEN 'hohes Risiko' WHEN round(greatest({NOISY.format('list_concat(w, lw)')}, CASE WHEN h THEN 0.75 ELSE 0 END), 6) >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM s",
         ("l", LANGUAGE),

@@ -14,6 +14,8 @@ from adsentry.functions import wording as W
 from adsentry.operators import annotation as A
 from adsentry.operators import dataset as T
 from adsentry.operators import mining as M
+from adsentry.operators import models as ML
+from adsentry.operators import pages as P
 from adsentry.operators import scoring as C2
 from adsentry.sources import readers, writers
 from adsentry.streaming import live
@@ -95,6 +97,48 @@ def test_sentences(spark):
     assert got[3:] == [[], [], ["Ein Satz.“", "Noch einer. und klein"]]
 
 
+def test_row_fields(spark):
+    top = ["1/12", "Kleinanzeigen Mannheim > Elektronik > Handy", "Anrufen", "TOP • iPhone 15 Pro wie neu", "350 € VB", "68159 Mannheim • 3 km", "Max M.", "Privater Nutzer", "Aktiv seit  03.02.2024"]
+    pages = [
+        [*top, "Beschreibung", " Sehr gut erhalten. ", "", "Mit Hülle.", "Anzeige melden", "Ähnliche Anzeigen", "PS5 Controller"],
+        [*top, "Sehr gut erhalten und mit Hülle", "Merken", "Weitere Anzeigen", "Anderes tolles Inserat"],
+        ["Nur ein Titel hier"],
+        [],
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, x array<string>")
+    got = [r.v for r in df.select("i", P.row_fields(F.col("x"), F.lit("2024-02-13").cast("date")).alias("v")).orderBy("i").collect()]
+    for v in got[:2]:
+        assert (v.title, v.price, v.category, v.location, v.account_age_days, v.seller_type) == ("iPhone 15 Pro wie neu", 350.0, "elektronik", "68159 Mannheim", 10, "privat")
+    assert got[0].description == "Sehr gut erhalten.\nMit Hülle." and got[1].description == "Sehr gut erhalten und mit Hülle"
+    assert (got[2].title, got[2].price, got[2].description) == ("Nur ein Titel hier", None, "")
+    assert got[3].title is None and got[3].description == "" and (got[4] is None or got[4].title is None)
+
+
+def test_anonymised(spark):
+    schema = "title string, description string, messages array<string>, image_paths array<string>, seller_name string, location string, url string, label int, source string, price double"
+    rows = [("Tel 0151 2345678", "Mail max@web.de", ["+44 7700 900123"], [], "Max", "Mannheim", "u", 1, "s", 5.0), ("", "", [], ["b", "a"], None, None, None, None, None, None), ("Tel 0151 9999999", "Mail tom@web.de", ["+44 7700 111111"], [], "Tom", "Köln", "v", 0, "t", 7.0)]
+    a, b, c = A.anonymised(spark.createDataFrame(rows, schema)).collect()
+    assert (a.title, a.description, a.messages) == ("Tel 0111 1111111", "Mail anonym@web.de", ["+44 1111 111111"])
+    assert [a[x] for x in ("seller_name", "location", "url", "label", "source")] == [None] * 5 and a.price == 5.0
+    assert a.task == c.task != b.task and len(b.task) == 16
+
+
+def test_judgement_signals(spark):
+    schema = "score double, summary string, flags array<struct<code:string,evidence:string>>"
+    df = spark.createDataFrame([(1.7, "Kurz", [("link", "x" * 200), ("zahlung", "")]), (None, " ", None)], schema)
+    got = [r.v for r in df.select(C2.judgement_signals(F.col("score"), F.col("summary"), F.lit("phishing"), F.lit("gut"), F.col("flags"), "m").alias("v")).collect()]
+    assert [(s.code, s.weight, s.evidence) for s in got[0]] == [("LLM_SUMMARY", 1.0, "Kurz – Masche: phishing, Sprache: gut (m)"), ("LLM_LINK", 1.0, "x" * 120), ("LLM_ZAHLUNG", 1.0, None)]
+    assert got[1] == []
+
+
+def test_retrain(spark):
+    rows = spark.createDataFrame([(i, i % 2, i % 4 == 3, i % 2 / 2 + 0.25) for i in range(40)], "doc_id long, label int, test boolean, x double")
+    keep = lambda train: lambda test: test.select("label", F.col("x").alias("score"))
+    got = {r.model: (r.status, r.auc, r.message) for r in ML.retrain({"a": (rows, keep), "b": (rows.filter("label = 1"), keep), "c": (rows, lambda df: lambda test: test.select("no")), "d": "not here"}, spark).collect()}
+    assert got["b"][0] == "too few rows" and got["c"][0] == "failed" and got["d"] == ("left out", None, "not here") and got["a"][0] == "trained"
+
+
 def test_article_errors(spark):
     assert values(spark, W.article_errors(x_()), ["Die Handy und das Kamera, der Laptop, die Handy-Hülle"]) == [["Die Handy", "das Kamera"]]
 
