@@ -24,7 +24,7 @@ from ._common import whole_text
 
 CHUNK_BYTES = 8 << 20
 BLOCK = 1 << 20  # bytes of text hashed at once
-CHUNKS_PER_BUCKET = 4
+CHUNKS_PER_BUCKET = 2
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 ENTRIES = "bucket int, chunk int, gram binary, around binary, doc binary"

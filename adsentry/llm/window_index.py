@@ -64,6 +64,7 @@ class WindowIndex:
         self.spark, self.path, self.buckets, self.length, self.gram = spark, path or new_path(spark), buckets, length, gram
         self.levels: list[list[int]] = []  # of each live run, its level and the step that wrote it
         self.steps = self.chunks = 0
+        self.dealt = 2  # windows to verify are dealt to so many times the buckets
         if written := self.manifests():
             found = json.loads(spark.read.text(f"{self.path}/_manifest/{max(written)}").first().value)
             self.levels, self.steps, self.chunks, self.buckets, self.length, self.gram = (found[k] for k in ("levels", "steps", "chunks", "buckets", "length", "gram"))
@@ -122,11 +123,11 @@ class WindowIndex:
 
     def unclear_windows(self, docs: DataFrame) -> DataFrame:
         """The ranges of words that go for sure, and the windows to verify, dealt by the hash of the whole window."""
-        length, gram, buckets = self.length, self.gram, self.buckets
+        length, gram, buckets, dealt = self.length, self.gram, self.buckets, self.dealt * self.buckets
         said = self.read("answer", ANSWER, list(range(1, self.steps + 1)))
 
         def windows(rows: pa.Table, said: pa.Table) -> pa.Table:
-            return windows_to_verify(rows, said, length, gram, buckets)
+            return windows_to_verify(rows, said, length, gram, buckets, dealt)
 
         return docs.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(windows, MOVED)
 
@@ -204,7 +205,7 @@ def merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
     return rows_table(out, STEP)
 
 
-def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
+def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, buckets: int, dealt: int) -> pa.Table:
     out: list[list] = []
     if not rows.num_rows:
         return rows_table(out, MOVED)
@@ -246,7 +247,7 @@ def windows_to_verify(rows: pa.Table, said: pa.Table, length: int, gram: int, bu
     out.append([-1 - number, *head, None, None, None])
     # a hot anchor has many windows, which are dealt to as many buckets
     contents, first = list(seen), np.array(first, np.int64)
-    to = np.fromiter((hash_of(x) % buckets for x in contents), np.int64, len(contents))
+    to = np.fromiter((hash_of(x) % dealt for x in contents), np.int64, len(contents))
     for bucket, part in R.by_group(to) if len(first) else ():
         d, x = doc[first[part]], [contents[j] for j in part.tolist()]
         out.append([bucket, number, d.astype(np.int64).tobytes(), start[first[part]].astype(np.int64).tobytes(), None, chunk.ids[d].tobytes(), np.array([len(y) for y in x], np.int32).tobytes(), b"".join(x)])
