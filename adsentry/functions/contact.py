@@ -15,6 +15,8 @@ from . import signals as S
 EMAIL = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,24}\b"
 TLDS = "|".join(D.COMMON_TLDS + sorted(D.SUSPICIOUS_TLDS))
 URL = rf"""(?i)(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9][a-z0-9-]{{0,62}}(?:\.[a-z0-9-]{{1,63}})*\.(?:{TLDS})\b(?:/[^\s<>"')\]]*)?"""
+MAYBE_URL = r"(?i)://|www\.|\.[a-z]"  # every link has one of these
+MAYBE_IBAN = r"[A-Za-z]{2}\d{2}"
 INTL_PHONE = r"(?:\+|\b00)(\d{1,3})[\s\-/.]?\(?\d{1,5}\)?(?:[\s\-/.]?\d{2,}){1,4}"
 HOME_PHONE = r"(?<![\w+])0\d{2,5}[\s\-/.]?\d{3,}(?:[\s\-/.]?\d{2,}){0,3}"
 IBAN = r"(?i)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b"
@@ -25,13 +27,18 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(every(text, EMAIL)))
+    return F.when(F.contains(text, F.lit("@")), F.array_sort(F.array_distinct(every(text, EMAIL)))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def without_mails(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
 
 
 def urls(text: Column) -> Column:
     """Links and bare domains; mail addresses are blanked first."""
-    found = every(F.regexp_replace(text, EMAIL, " "), URL)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))))
+    found = every(without_mails(text), URL)
+    ends = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    return F.when(F.rlike(text, F.lit(MAYBE_URL)), F.array_sort(F.array_distinct(ends))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def host_of(url: Column) -> Column:
@@ -111,25 +118,36 @@ def email_signals(found: Column) -> Column:
 
 
 def without_ibans(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, " "), IBAN, " ")
+    rest = without_mails(text)
+    return F.when(F.rlike(text, F.lit(MAYBE_IBAN)), F.regexp_replace(rest, IBAN, " ")).otherwise(rest)
 
 
 def phones(text: Column) -> Column:
-    rest = without_ibans(text)
+    return let(without_ibans(text), _phones)
+
+
+def _phones(rest: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(every(rest, INTL_PHONE), every(rest, HOME_PHONE))))
 
 
 def foreign_phones(text: Column) -> Column:
     """International numbers outside the home countries, one for each occurrence."""
-    rest = without_ibans(text)
+    return let(without_ibans(text), _foreign)
+
+
+def _foreign(rest: Column) -> Column:
     both = F.arrays_zip(every(rest, INTL_PHONE).alias("number"), every(rest, INTL_PHONE, 1).alias("code"))
     home = lambda x: reduce(lambda a, b: a | b, [F.startswith(x["code"], F.lit(c)) for c in D.HOME_PHONE_CODES])
     return F.transform(F.filter(both, lambda x: ~home(x)), lambda x: x["number"])
 
 
 def phone_signals(text: Column) -> Column:
-    each = F.transform(foreign_phones(text), lambda n: S.signal("FOREIGN_PHONE", 0.45, n))
-    return F.concat(each, S.found(F.when(F.size(phones(text)) > 0, S.signal("PHONE_IN_TEXT", 0.15, F.try_element_at(phones(text), F.lit(1))))))
+    any_phone = lambda p: S.found(F.when(F.size(p) > 0, S.signal("PHONE_IN_TEXT", 0.15, F.try_element_at(p, F.lit(1)))))
+
+    def of(rest: Column) -> Column:
+        return F.concat(F.transform(_foreign(rest), lambda n: S.signal("FOREIGN_PHONE", 0.45, n)), let(_phones(rest), any_phone))
+
+    return let(without_ibans(text), of)
 
 
 def iban_signals(ibans: Column) -> Column:

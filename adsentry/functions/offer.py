@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans import dimensions as D
 from . import signals as S
+from .contact import let
+from .wording import any_of, stems_of
 
 BUSINESS_CONTACT = ["PHONE_IN_TEXT", "EMAIL_IN_TEXT", "EXTERNAL_LINK", "OFFPLATFORM_CONTACT"]
 HIGH_VALUE = 200
@@ -17,12 +19,19 @@ HIGH_VALUE = 200
 def reference_min(title: Column, description: Column) -> Column:
     """The least usual price of the first known item in the title, else in the description; null for accessories and the like."""
 
-    def first(text: Column) -> Column:
-        low = F.lower(text)
-        return F.coalesce(*[F.when(F.rlike(low, F.lit(p)), F.lit(least)) for p, least, _ in D.PRICE_REFERENCE])
+    def first(low: Column) -> Column:
+        known = list(zip(D.PRICE_REFERENCE, D.PRICE_STEMS, strict=True))
+        return let(stems_of(low, D.PRICE_STEMS), lambda found: F.coalesce(*[F.when(any_of(found, stems) & F.rlike(low, F.lit(p)), F.lit(least)) for (p, least, _), stems in known]))
 
-    other = F.rlike(F.lower(F.coalesce(title, F.lit(""))), F.lit(D.NOT_THE_ITEM))
-    return F.when(~other, F.coalesce(first(title), first(description)))
+    return F.when(~not_the_item(title), F.coalesce(let(F.lower(title), first), let(F.lower(description), first)))
+
+
+def not_the_item(title: Column) -> Column:
+    """Accessories, broken things, and adverts that seek, swap or let."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    words = "|".join(D.NOT_THE_ITEM) + "|(?:" + "|".join(D.NOT_THE_ITEM_STARTS) + r")\w*"
+    games = "".join(f"(?<!{b})" for b in D.BEFORE_GAMES) + rf"\b{D.GAMES}\b"
+    return F.rlike(low, F.lit(rf"(?U)\b(?:{words})\b|{games}"))
 
 
 def price_ratio(price: Column, least: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..plans import dimensions as D
 from . import signals as S
+from .contact import let
 
 WORD = "[A-Za-zÄÖÜäöüß]+"
 LINK = r"(?i)\S*[./@]\S*\.[a-z]{2,}\S*|\S+\.[a-z]{2,}/\S*"
 ARTICLE = r"(?iu)(?<![\p{L}\p{N}_])(der|die|das|ein|eine)\s+([A-Za-zÄÖÜäöüß]+)(?![\p{L}\p{N}_-])"
+CAPITALIZED = "(?<![A-Za-zÄÖÜäöüß])[A-ZÄÖÜ]"
+CAPS = "(?<![A-Za-zÄÖÜäöüß])(?=ß*[A-ZÄÖÜ])[A-ZÄÖÜß]{3,}(?![A-Za-zÄÖÜäöüß])"
 TOKEN = r"(?iu)[a-zäöüß0-9€]+(?:-[a-zäöüß0-9]+)*"
 
 
@@ -30,14 +34,6 @@ def listed(found: Column, table: list[str]) -> Column:
     return F.size(F.filter(F.transform(found, F.lower), lambda w: w.isin(table)))
 
 
-def upper_share(found: Column) -> Column:
-    return share(found, F.size(F.filter(found, lambda w: F.rlike(w, F.lit("^[A-ZÄÖÜ]")))))
-
-
-def caps_share(found: Column) -> Column:
-    return share(found, F.size(F.filter(found, lambda w: F.rlike(w, F.lit("^[A-ZÄÖÜß]{3,}$")) & F.rlike(w, F.lit("[A-ZÄÖÜ]")))))
-
-
 def article_errors(text: Column) -> Column:
     """Pairs of article and noun that cannot stand together."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(2)).alias("n"))
@@ -48,15 +44,23 @@ def article_errors(text: Column) -> Column:
     return F.transform(F.filter(pairs, wrong), lambda p: F.concat(p["a"], F.lit(" "), p["n"]))
 
 
-def language_features(text: Column) -> dict[str, Column]:
-    w = words(text)
+def lowered_words(text: Column) -> Column:
+    return F.transform(words(text), F.lower)
+
+
+def language_features(text: Column, lowered: Column | None = None) -> dict[str, Column]:
+    """lowered: the column of `lowered_words`, where there is one, so that the words are not found anew for each feature."""
+    w = lowered_words(text) if lowered is None else lowered
+    n = F.size(w)
+    known = lambda table: F.size(F.filter(w, lambda x: x.isin(table)))
+    per_word = lambda count: F.when(n == 0, 0.0).otherwise(count / n)
     return {
-        "n_words": F.size(w),
-        "german_ratio": share(w, listed(w, D.GERMAN_WORDS)),
-        "english_ratio": share(w, listed(w, D.ENGLISH_WORDS)),
-        "capitalized_ratio": upper_share(w),
-        "caps_ratio": caps_share(w),
-        "umlaut_substitutes": listed(w, D.UMLAUT_SUBSTITUTES),
+        "n_words": n,
+        "german_ratio": per_word(known(D.GERMAN_WORDS)),
+        "english_ratio": per_word(known(D.ENGLISH_WORDS)),
+        "capitalized_ratio": per_word(F.regexp_count(text, F.lit(CAPITALIZED))),
+        "caps_ratio": per_word(F.regexp_count(text, F.lit(CAPS))),
+        "umlaut_substitutes": known(D.UMLAUT_SUBSTITUTES),
         "exclamations": F.size(F.regexp_extract_all(text, F.lit("!{2,}"), F.lit(0))),
     }
 
@@ -83,31 +87,57 @@ def looks_german(text: Column, least: float = 0.05) -> Column:
 
 
 def spaced(pattern: str) -> str:
-    """A space in a pattern stands for any white space."""
-    return pattern.replace(" ?", r"\s*").replace(" ", r"\s+")
+    """A space in a pattern stands for any white space, and word characters are those of any script."""
+    parts = re.split(r"(\[[^\]]*\])", pattern)
+    wide = [p.replace(" ", r"\s") if p.startswith("[") else p.replace(" ?", r"\s*").replace(" ", r"\s+") for p in parts]
+    return "".join(wide).replace(r"\w", r"[\p{L}\p{N}_]")
+
+
+def stems_of(low: Column, stems: list[str]) -> Column:
+    """Which stems begin at some place of a text, in one pass: '|stem|stem'. Of stems of which one begins with the other
+    the longer stands for both."""
+    tails: dict[str, list[str]] = {}
+    for stem in sorted({s for row in stems for s in row.split()}, key=lambda s: (-len(s), s)):
+        tails.setdefault(stem[0], []).append(re.escape(stem[1:]))
+    second = lambda rest: "".join(sorted({r.removeprefix("\\")[0] for r in rest}))
+    tree = "|".join(f"{first}(?=[{second(rest)}])(?:{'|'.join(rest)})" for first, rest in sorted(tails.items()))
+    return F.concat(F.lit("|"), F.array_join(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({tree}))"), F.lit(1))), "|"))
+
+
+def any_of(found: Column, stems: str) -> Column:
+    """Whether one of some stems is among those of `stems_of`."""
+    return reduce(lambda a, b: a | b, [F.contains(found, F.lit("|" + s)) for s in stems.split()])
+
+
+def phrase(low: Column, found: Column, code: str) -> Column:
+    """What the first pattern of a lexicon group finds, else null. found: the text's stems."""
+    patterns = next(row[4] for row in D.LEXICON if row[0] == code)
+    hit = lambda p: let(F.regexp_extract(low, "(?smd)" + spaced(p), 0), lambda h: F.when(h != "", h))
+    return F.coalesce(*[F.when(any_of(found, stems), hit(p)) for p, stems in zip(patterns, D.STEMS[code], strict=True)])
+
+
+ALL_STEMS = [row for rows in D.STEMS.values() for row in rows]
 
 
 def lexicon_signals(text: Column, low: Column | None = None) -> Column:
     """One signal for each group of the lexicon that occurs; its first pattern in order that does gives the evidence.
 
-    A generated expression: one pass over the text for each group, no explode and no join. low: the lower-cased text,
-    where a column has it already."""
+    A generated expression without explode or join. A pattern runs only on texts that hold one of its stems. low: the
+    lower-cased text, where a column has it already."""
     if low is None:  # bound once, as each pattern reads it
-        return F.element_at(F.transform(F.array(F.lower(text)), lambda x: lexicon_signals(text, x)), 1)
-    out = []
-    for code, weight, hard, _, patterns in D.LEXICON:
-        together = "(?s)" + "|".join(f"(?:{spaced(p)})" for p in patterns)
-        hits = [F.nullif(F.regexp_extract(low, f"(?s){spaced(p)}", 0), F.lit("")) for p in patterns]
-        out.append(F.when(F.rlike(low, F.lit(together)), S.signal(code, weight, F.substring(F.coalesce(*hits), 1, 80), hard)))
-    return S.found(*out)
+        return let(F.lower(text), lambda x: lexicon_signals(text, x))
+    groups = lambda found: S.found(*[let(phrase(low, found, code), _signal_of(code, weight, hard)) for code, weight, hard, _, _ in D.LEXICON])
+    return let(stems_of(low, ALL_STEMS), groups)
+
+
+def _signal_of(code: str, weight: float, hard: bool) -> Callable[[Column], Column]:
+    return lambda hit: F.when(hit.isNotNull(), S.signal(code, weight, F.substring(hit, 1, 80), hard))
 
 
-def covering_group(phrase: Column) -> Column:
+def covering_group(text: Column) -> Column:
     """The first lexicon group that a phrase matches, else ''."""
-    out = F.lit("")
-    for code, _, _, _, patterns in reversed(D.LEXICON):
-        out = F.when(F.rlike(phrase, F.lit("(?s)" + "|".join(f"(?:{spaced(p)})" for p in patterns))), code).otherwise(out)
-    return out
+    first = lambda found: F.coalesce(*[F.when(phrase(text, found, code).isNotNull(), code) for code, *_ in D.LEXICON], F.lit(""))
+    return let(stems_of(text, ALL_STEMS), first)
 
 
 def schemes(text: Column) -> Column:

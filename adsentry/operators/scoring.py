@@ -26,7 +26,8 @@ def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
             "full_text": N.full_text(F.col("title"), F.col("description"), F.array().cast("array<string>")),
         }
     )
-    df = df.withColumn("low", F.lower("full_text")).withColumns(W.language_features(F.col("full_text")))
+    df = df.withColumns({"low": F.lower("full_text"), "low_words": W.lowered_words(F.col("full_text"))})
+    df = df.withColumns(W.language_features(F.col("full_text"), F.col("low_words"))).drop("low_words")
     df = df.withColumns({"least_price": O.reference_min(F.col("title"), F.col("description")), "article_errors": W.article_errors(F.col("full_text"))})
     language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes", "article_errors")])
     parts = [

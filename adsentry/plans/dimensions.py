@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .lexicon import LEXICON, STEMS  # noqa: F401
+
 CATEGORIES = ["elektronik", "haushaltsgeraete", "auto", "moebel", "mode", "tiere", "immobilien", "tickets", "dienstleistungen", "sonstiges"]
 
 # Category by the first list of which a word occurs in a path segment; the order counts.
@@ -91,33 +93,6 @@ ABBREVIATIONS = "bzw ca nr tel usw etc inkl zzgl ggf evtl vgl mio tsd std min dr
 FUSION_WEIGHTS = {"rules": 1.0, "text": 1.5, "image": 0.7, "automl": 1.0, "llm": 1.2}
 HARD_FLOOR, SUSPICIOUS, HIGH_RISK = 0.75, 0.40, 0.70
 
-# Group, weight, hard, codebook signal, and our patterns in lower case; a space stands for any white space.
-LEXICON: list[tuple[str, float, bool, str, list[str]]] = [
-    ("FAKE_PAYMENT_LINK", 0.85, True, "zahlungslink", ["zahlung.{0,40}erhalten.{0,60}link", "geld (empfangen|abholen|freischalten)", "klick(e|en)?( sie)? (auf )?(den|diesen) link", "qr.?code.{0,40}scann", "(karten|bank)daten.{0,40}(eingeben|bestätigen)"]),
-    ("OFFPLATFORM_PAYMENT", 0.6, False, "zahlung_ausserhalb", ["freunde (und|&) familie", "friends (and|&) family", "western ?union|money ?gram", "paysafe ?card|(amazon|steam).?gutschein", "bitcoin|krypto|usdt", "nur (per )?vorkasse"]),
-    ("SHIPPING_OR_ESCROW_STORY", 0.55, False, "versandgeschichte", ["spedition|spediteur", "treuhand", "(mein|ein) kurier (holt|kommt|wird)"]),
-    ("SELLER_ABROAD", 0.45, False, "versandgeschichte", ["(derzeit|momentan|zurzeit|gerade) im ausland", "auf (montage|der bohrinsel)", "nach (england|spanien|italien|polen) (gezogen|versetzt)"]),
-    ("IDENTITY_PHISHING", 0.7, True, "datenabfrage", ["ausweis.{0,40}(schick|send|foto|kopie)", "selfie mit (dem |deinem |ihrem )?ausweis", "(führerschein|reisepass).{0,30}(foto|kopie)"]),
-    ("OFFPLATFORM_CONTACT", 0.35, False, "kontaktwechsel", ["whats ?app|telegram", "(nur|bitte) (per |über )?(e-?mail|mail) (melden|schreiben)", "schreib(en sie)? mir (per|eine) (e-?mail|mail)"]),
-    ("PRESSURE_URGENCY", 0.2, False, "zeitdruck", ["nur (noch )?heute", "wer zuerst (zahlt|überweist)", "viele (andere )?(interessenten|anfragen)", "sofort(ige)? (zahlung|überweisung)", "innerhalb von (12|24|48) stunden", "letzte (chance|gelegenheit)"]),
-    ("OVERPAYMENT_REVERSE", 0.6, False, "geldumweg", ["zu viel (überwiesen|bezahlt)|überzahlung", "differenz(betrag)? (zurück|überweisen|erstatten)"]),
-    ("TRIANGLE_FRAUD", 0.5, False, "geldumweg", ["zahlung (erfolgt )?(durch|über) (einen )?(dritte|bekannte)", "konto (meines|meiner) (bruders|schwester|freundes)"]),
-    ("TRANSLATED_PHRASING", 0.25, False, "vorlagen_sprache", ["hallo (lieber|liebe) (käufer|kunde)", "ich bin (der|die) (eigentümer|besitzer)", "sehr geehrte(r)? (kunde|kundin|nutzer)"]),
-    ("ACCOUNT_PHISHING", 0.65, False, "datenabfrage", ["(ihr|dein) (konto|account|zugang) (wurde|wird|ist) .{0,30}(gesperrt|eingeschränkt)", "(ungewöhnliche|verdächtige) (aktivität|anmeldung)", "(bestätigen|aktualisieren) sie .{0,20}(konto|daten|identität)"]),
-    ("PARCEL_CUSTOMS", 0.55, False, "versandgeschichte", ["(paket|sendung).{0,60}(nicht zugestellt|zurückgehalten)", "(zoll|liefer|versand)gebühr.{0,40}(zahlen|offen)"]),
-    ("CODE_REQUEST", 0.8, True, "datenabfrage", ["(schick|send|nenn|gib)[a-z]* (mir|uns) .{0,20}(code|pin)", "versehentlich .{0,20}code .{0,20}(geschickt|gesendet)"]),
-    ("PAYMENT_PENDING_STORY", 0.6, False, "zahlungslink", ["zahlung (ist|wurde) (bereits )?(reserviert|blockiert|vorgemerkt)", "(geld|betrag) wird (erst )?(freigegeben|ausgezahlt)"]),
-    ("ADVANCE_FEE_SPAM", 0.5, False, "andere_masche", ["(sie|du) (haben|hast) .{0,20}gewonnen", "erbschaft|nachlass eines", "(hohe|garantierte) rendite", "(bearbeitungs|freischalt)gebühr"]),
-    ("BUYER_NO_QUESTIONS", 0.3, False, "desinteresse", ["(kaufe|nehme) (es|ihn|sie) ohne (zu )?(besichtig|anschau)", "zahle (den )?(vollen )?preis (plus|inklusive) versand"]),
-    ("PAYMENT_FIRST", 0.45, False, "zahlung_ausserhalb", ["(geld|zahlung) (zuerst|vorab|im voraus)", "vorab (überweisen|zahlen)", "anzahlung (von|in höhe)"]),
-    ("PICKUP_REFUSED", 0.35, False, "versandgeschichte", ["(abholung|besichtigung) (ist )?(leider )?nicht möglich", "keine (abholung|besichtigung)"]),
-    ("ANIMAL_TRANSPORT_FEE", 0.55, False, "versandgeschichte", ["(transport|flug|impf)(kosten|gebühr).{0,60}(überweis|zahl|vorab)"]),
-    ("RENTAL_SCAM", 0.6, False, "andere_masche", ["schlüssel.{0,20}(per|mit der) (post|dhl|kurier)", "kaution.{0,40}(vorab|vor der besichtigung)"]),
-    ("NEW_NUMBER_FAMILY", 0.6, False, "andere_masche", ["(hallo|hi) (mama|papa).{0,80}(neue nummer|handy kaputt)", "das ist meine neue (handy)?nummer"]),
-    ("SAFE_ACCOUNT_SCAM", 0.8, True, "andere_masche", ["(sicherungs|schutz)konto", "(polizei|bka|europol).{0,80}überweis"]),
-    ("PAYMENT_CONTACT_REQUEST", 0.4, False, "datenabfrage", ["(brauche|schick|sende|nenn)[a-z]* (mir )?(bitte )?(deine|ihre) (e-?mail|handy).{0,60}(zahl|paypal)"]),
-]
-
 # Codebook signals of the contact codes.
 CONTACT_SIGNALS = {
     "IBAN_IN_TEXT": "zahlung_ausserhalb", "FOREIGN_IBAN": "zahlung_ausserhalb", "LOOKALIKE_DOMAIN": "zahlungslink", "URL_SHORTENER": "zahlungslink", "SUSPICIOUS_TLD": "zahlungslink",
@@ -125,14 +100,61 @@ CONTACT_SIGNALS = {
     "FOREIGN_PHONE": "kontaktwechsel", "IMPERSONATION_EMAIL": "andere_masche",
 }
 
-# What an item usually costs at least and at most, used; specific names before general ones.
+# What an item usually costs at least and at most, used; specific names before general ones.
 PRICE_REFERENCE = [
-    ("iphone ?1[5-9]", 450.0, 1300.0), ("iphone ?1[1-4]", 180.0, 700.0), ("iphone", 60.0, 300.0), ("galaxy s2[0-9]", 150.0, 900.0), ("ipad", 100.0, 800.0), ("apple watch", 90.0, 500.0),
-    ("playstation ?5|ps5", 280.0, 500.0), ("xbox series", 200.0, 450.0), ("nintendo switch", 120.0, 300.0), ("rtx ?[0-9]{4}", 250.0, 1500.0), ("macbook", 300.0, 2000.0), ("laptop|notebook", 120.0, 1500.0),
-    ("kamera", 80.0, 1500.0), ("drohne", 100.0, 1200.0), ("thermomix", 350.0, 1200.0), ("waschmaschine", 80.0, 600.0), ("kaffeevollautomat", 120.0, 900.0), ("e-?bike", 500.0, 4000.0), ("golf", 1500.0, 25000.0),
-    ("welpe", 400.0, 2500.0), ("kitten", 150.0, 1500.0),
+    (r"iphone ?1[67] ?pro", 650.0, 1300.0),
+    (r"iphone ?1[45] ?pro", 450.0, 950.0),
+    (r"iphone ?1[3-7]", 300.0, 900.0),
+    (r"iphone ?1[12]", 150.0, 450.0),
+    (r"galaxy z ?(fold|flip) ?[4-7]", 300.0, 1500.0),
+    (r"samsung galaxy s2[3-6]", 300.0, 1000.0),
+    (r"pixel ?(8|9|10)", 200.0, 900.0),
+    (r"ipad pro", 350.0, 1500.0),
+    (r"ipad air", 250.0, 800.0),
+    (r"apple watch (ultra|series ?(9|10|11))", 150.0, 700.0),
+    (r"airpods ?max", 250.0, 500.0),
+    (r"airpods ?pro", 80.0, 220.0),
+    (r"(playstation ?5|ps ?5) ?pro", 500.0, 800.0),
+    (r"playstation ?5|ps ?5", 280.0, 500.0),
+    (r"xbox series x", 250.0, 450.0),
+    (r"steam ?deck", 250.0, 600.0),
+    (r"nintendo switch ?2", 300.0, 500.0),
+    (r"nintendo switch", 120.0, 280.0),
+    (r"meta quest ?3", 250.0, 500.0),
+    (r"rtx ?(5090|4090)", 1300.0, 3000.0),
+    (r"rtx ?(5080|4080)", 700.0, 1300.0),
+    (r"rtx ?(50|40)70", 350.0, 800.0),
+    (r"rtx ?30[89]0", 300.0, 800.0),
+    (r"rx ?(7900|9070)", 400.0, 900.0),
+    (r"macbook (air|pro)", 450.0, 2500.0),
+    (r"sony (a7|alpha ?7)|canon eos r[5-8]|nikon z ?[5-9]", 600.0, 3000.0),
+    (r"dji (mini|air|mavic) ?[2-5]", 250.0, 1500.0),
+    (r"gopro hero ?1[1-3]", 150.0, 400.0),
+    (r"thermomix|tm ?[67]", 500.0, 1400.0),
+    (r"kitchenaid", 150.0, 600.0),
+    (r"jura (e[468]|z10|ena|giga)", 250.0, 1500.0),
+    (r"dyson (v1[0-5]|gen5|airwrap)", 150.0, 550.0),
+    (r"roborock|dreame (l|x)\d", 150.0, 900.0),
+    (r"(waschmaschine|trockner|geschirrspüler|spülmaschine)", 80.0, 700.0),
+    (r"kühlschrank|kühl-gefrier", 60.0, 900.0),
+    (r"e-?bike|pedelec", 500.0, 5000.0),
+    (r"(vw|volkswagen) golf", 3000.0, 35000.0),
+    (r"bmw [1-5]er|audi a[3-6]|mercedes (a|c|e)[- ]?klasse", 4000.0, 50000.0),
+    (r"französische bulldogge|french bulldog", 800.0, 3000.0),
+    (r"golden retriever|labrador", 800.0, 2500.0),
+    (r"zwergspitz|pomeranian|yorkshire|chihuahua|malteser", 600.0, 3000.0),
+    (r"maine coon", 600.0, 2000.0),
+    (r"britisch kurzhaar|\bbkh\b|scottish fold|ragdoll", 400.0, 1500.0),
 ]
-NOT_THE_ITEM = "(hülle|case|cover|folie|panzerglas|kabel|ladegerät|netzteil|adapter|akku|controller|halterung|tasche|karton|zubehör|ersatzteil|defekt|kaputt|bastler|reparatur|spiel|suche|gesucht|tausch|vermiete)"
+# Of each pattern above, in the same order: every text that matches holds one of these.
+PRICE_STEMS = ["iphone", "iphone", "iphone", "iphone", "galaxy", "samsung", "pixel", "ipad", "ipad", "apple", "airpods", "airpods", "playstation ps", "playstation ps", "xbox", "steam", "nintendo", "nintendo", "quest", "4090 5090", "4080 5080", "rtx", "rtx", "7900 9070", "macbook", "canon nikon sony", "dji", "gopro", "thermomix tm", "kitchenaid", "jura", "dyson", "dreame roborock", "geschirrspüler spülmaschine trockner waschmaschine", "kühlschrank kühl-gefrier", "bike pedelec", "golf", "audi bmw mercedes", "bulldog", "labrador retriever", "chihuahua malteser pomeranian yorkshire zwergspitz", "maine", "bkh britisch ragdoll scottish"]
+# Titles of accessories, of broken things, and of adverts that seek or let; "spiele" counts unless it stands after one of five words.
+NOT_THE_ITEM = (
+    "hülle case cover folie schutzfolie panzerglas schutzglas displayschutz kabel ladekabel ladegerät netzteil adapter akku controller fernbedienung halterung ständer tasche karton verpackung zubehör "
+    "ersatzteil ersatzteile defekt kaputt bastler reparatur mainboard platine skin aufkleber spiel game suche gesucht tausch tausche vermiete verleih deckrüde deckkater tierschutz schutzgebühr"
+).split()
+NOT_THE_ITEM_STARTS = ["vermiete", "verleih"]
+GAMES, BEFORE_GAMES = "spiele", [r"mit ", r"und ", r"inkl\. ", r"\+ ", r"\s\d "]
 
 # Described schemes: name and pattern on lower case.
 SCHEMES = [

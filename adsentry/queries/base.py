@@ -16,7 +16,7 @@ EXTRAS = [
     "IBAN DE89 3704 0044 0532 0130 00, nur Vorkasse.",
     "Tel. 0151 23456789, die Handy und das Kamera wie neu.",
     "Siehe http://192.168.10.5/login und www.ebay.de.sicher-kasse.top!",
-    "Das Paket wurde nicht zugestellt: https://xn--dhl-paket-q2a.com/zoll",
+    "Das Paket konnte nicht zugestellt werden: https://xn--dhl-paket-q2a.com/zoll",
     "NUR HEUTE!! fuer Selbstabholer, moechte, koennen, zurueck!!",
     "Schick mir bitte den Code. Viele Interessenten, nur heute.",
     "Kontakt: max.muster@gmail.com, Homepage www.amazon.de und shop.example.co.uk",

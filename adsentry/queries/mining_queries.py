@@ -9,6 +9,7 @@ from ..functions import wording as W
 from ..operators import mining as M
 from ..plans import dimensions as D
 from .base import quoted, tables
+from .scalar_queries import group_pattern
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ GRAMS = f"""t AS (SELECT doc_id, toxic, {_TOKENS} AS tk FROM documents JOIN labe
   c AS (SELECT gram, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS y_s, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS y_l FROM g GROUP BY gram), n AS (SELECT sum(y_s)::DOUBLE AS n_s, sum(y_l)::DOUBLE AS n_l FROM c),
   lo AS (SELECT gram, y_s, y_l, 500 * (y_s + y_l) / (n_s + n_l) AS a, n_s, n_l FROM c, n WHERE y_s >= 3),
   z AS (SELECT gram, y_s::BIGINT AS y_s, y_l::BIGINT AS y_l, round((ln((y_s + a) / (n_s + 500 - y_s - a)) - ln((y_l + a) / (n_l + 500 - y_l - a))) / sqrt(1 / (y_s + a) + 1 / (y_l + a)), 6) AS z FROM lo)"""
-_COVER = "CASE " + " ".join("WHEN regexp_matches(gram, '(?s)" + "|".join(f"(?:{W.spaced(p)})" for p in ps) + f"') THEN '{code}'" for code, _, _, _, ps in D.LEXICON) + " ELSE '' END"
+_COVER = "CASE " + " ".join("WHEN regexp_matches(gram, '" + group_pattern(ps) + f"') THEN '{code}'" for code, _, _, _, ps in D.LEXICON) + " ELSE '' END"
 _TERM = "unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2 AND w NOT IN (" + quoted(D.ENGLISH_WORDS) + ")))"
 SIMILAR = """bt AS (SELECT doc_id AS d, term, count(*) AS tf FROM (SELECT doc_id, {term} AS term FROM {bank}) GROUP BY ALL), nd AS (SELECT count(*) AS n FROM {bank}),
   idf AS (SELECT term, ln((1 + (SELECT n FROM nd))::DOUBLE / (1 + count(*))) + 1 AS idf FROM bt GROUP BY term), top AS (SELECT max(idf) AS top FROM idf),

@@ -75,11 +75,16 @@ def joined(x: Column) -> Column:
     return F.array_join(x, "|")
 
 
+def group_pattern(patterns: list[str]) -> str:
+    """One alternation of a group's patterns, quoted for SQL."""
+    return "(?sm)" + "|".join(f"(?:{W.spaced(x)})" for x in patterns).replace("'", "''")
+
+
 def lexicon_sql(column: str = "description", value: str = "code") -> str:
     """The codes (or evidence) of the lexicon groups in order, as a list."""
     out = []
     for code, weight, hard, _, patterns in D.LEXICON:
-        p = "(?s)" + "|".join(f"(?:{W.spaced(x)})" for x in patterns)
+        p = group_pattern(patterns)
         shown = {"code": f"'{code}'", "weight": f"{weight}::DOUBLE", "hard": str(hard).lower()}[value]
         out.append(f"CASE WHEN regexp_matches(lower({column}), '{p}') THEN {shown} END")
     return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
@@ -87,7 +92,11 @@ def lexicon_sql(column: str = "description", value: str = "code") -> str:
 
 def reference_sql() -> str:
     cases = lambda col: "CASE " + " ".join(f"WHEN regexp_matches(lower({col}), '{p}') THEN {least}::DOUBLE" for p, least, _ in D.PRICE_REFERENCE) + " END"
-    return f"CASE WHEN NOT regexp_matches(lower(title), '{D.NOT_THE_ITEM}') THEN coalesce({cases('title')}, {cases('description')}) END"
+    words = "|".join(D.NOT_THE_ITEM) + "|(?:" + "|".join(D.NOT_THE_ITEM_STARTS) + r")[\p{L}\p{N}_]*"
+    edge = r"(?:^|$|[^\p{L}\p{N}_])"
+    plain = f"regexp_replace(lower(title), '(?:{'|'.join(D.BEFORE_GAMES)}){D.GAMES}', ' ', 'g')"
+    other = f"(regexp_matches(lower(title), '{edge}(?:{words}){edge}') OR regexp_matches({plain}, '{edge}{D.GAMES}{edge}'))"
+    return f"CASE WHEN NOT {other} THEN coalesce({cases('title')}, {cases('description')}) END"
 
 
 SCHEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(description), '(?s){p}') THEN '{n}' END" for n, p in D.SCHEMES) + "], lambda x: x IS NOT NULL)"

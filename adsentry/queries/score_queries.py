@@ -19,12 +19,20 @@ from .scalar_queries import BADGE_SQL, CAPS_SQL, ENGLISH_SQL, GERMAN_SQL, N_WORD
 
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all signals of every listing, its score and verdict."""
-    return C.score_listings(listings(spark, sf_dir), ibans=find_ibans(F.col("full_text")))
+    return C.score_listings(_spread(spark, listings(spark, sf_dir)), ibans=find_ibans(F.col("full_text")))
+
+
+def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A scan that is bound by computing needs all cores: rows of fewer files than cores are dealt to them first, as such
+    files may be one row group each. With more files nothing is shuffled."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def rule_scan_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with the signals that plain SQL can say as well: phrases and language."""
-    df = listings(spark, sf_dir).withColumns(W.language_features(F.col("description")))
+    df = listings(spark, sf_dir).withColumn("low_words", W.lowered_words(F.col("description")))
+    df = df.withColumns(W.language_features(F.col("description"), F.col("low_words")))
     language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")])
     df = df.select("doc_id", F.concat(W.lexicon_signals(F.col("description")), language).alias("signals"))
     score = F.greatest(S.noisy_or(F.col("signals")), F.when(F.exists("signals", lambda s: s["hard"]), D.HARD_FLOOR).otherwise(0.0))
@@ -33,7 +41,8 @@ def rule_scan_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txt22_language_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = listings(spark, sf_dir).withColumns(W.language_features(F.col("description")))
+    df = listings(spark, sf_dir).withColumn("low_words", W.lowered_words(F.col("description")))
+    df = df.withColumns(W.language_features(F.col("description"), F.col("low_words")))
     language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")])
     return df.select("doc_id", F.array_join(S.codes(language), "|").alias("codes"))
 
