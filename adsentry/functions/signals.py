@@ -9,7 +9,7 @@ SIGNAL = "struct<code:string,weight:double,evidence:string,hard:boolean,info:boo
 SIGNALS = f"array<{SIGNAL}>"
 
 
-def signal(code: str | Column, weight: float | Column, evidence: Column | None = None, hard: bool = False, info: bool = False, target: str | None = None) -> Column:
+def signal(code: str | Column, weight: float | Column, evidence: Column | None = None, hard: bool | Column = False, info: bool = False, target: str | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     none = F.lit(None).cast("string")
     fields = (lit(code).alias("code"), lit(weight).cast("double").alias("weight"), (none if evidence is None else evidence).alias("evidence"), F.lit(hard).alias("hard"), F.lit(info).alias("info"), (F.lit(target) if target else none).alias("target"))

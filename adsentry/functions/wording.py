@@ -106,14 +106,26 @@ def stems_of(low: Column, stems: list[str]) -> Column:
 
 def any_of(found: Column, stems: str) -> Column:
     """Whether one of some stems is among those of `stems_of`."""
-    return reduce(lambda a, b: a | b, [F.contains(found, F.lit("|" + s)) for s in stems.split()])
+    return F.rlike(found, F.lit(r"\|(?:" + "|".join(re.escape(x) for x in stems.split()) + ")"))
 
 
-def phrase(low: Column, found: Column, code: str) -> Column:
-    """What the first pattern of a lexicon group finds, else null. found: the text's stems."""
+def phrases(low: Column, found: Column, code: str) -> Column:
+    """What each pattern of a lexicon group finds first, in order; null or '' for those that find nothing. found: the
+    text's stems."""
     patterns = next(row[4] for row in D.LEXICON if row[0] == code)
-    hit = lambda p: let(F.regexp_extract(low, "(?smd)" + spaced(p), 0), lambda h: F.when(h != "", h))
-    return F.coalesce(*[F.when(any_of(found, stems), hit(p)) for p, stems in zip(patterns, D.STEMS[code], strict=True)])
+    hits = [F.when(any_of(found, stems), F.regexp_extract(low, "(?smd)" + spaced(p), 0)) for p, stems in zip(patterns, D.STEMS[code], strict=True)]
+    return F.array(*hits)
+
+
+def groups_of(low: Column) -> Column:
+    """The lexicon groups that occur, in order: code, weight, hard, and what the first pattern that occurs finds."""
+
+    def of(found: Column) -> Column:
+        rows = [F.struct(F.lit(code).alias("code"), F.lit(weight).alias("weight"), F.lit(hard).alias("hard"), phrases(low, found, code).alias("hits")) for code, weight, hard, _, _ in D.LEXICON]
+        return F.filter(F.array(*rows), lambda g: F.exists(g["hits"], lambda h: h != ""))
+
+    first = lambda g: F.element_at(F.filter(g["hits"], lambda h: h != ""), 1)
+    return F.transform(let(stems_of(low, ALL_STEMS), of), lambda g: F.struct(g["code"].alias("code"), g["weight"].alias("weight"), g["hard"].alias("hard"), first(g).alias("hit")))
 
 
 ALL_STEMS = [row for rows in D.STEMS.values() for row in rows]
@@ -126,18 +138,12 @@ def lexicon_signals(text: Column, low: Column | None = None) -> Column:
     lower-cased text, where a column has it already."""
     if low is None:  # bound once, as each pattern reads it
         return let(F.lower(text), lambda x: lexicon_signals(text, x))
-    groups = lambda found: S.found(*[let(phrase(low, found, code), _signal_of(code, weight, hard)) for code, weight, hard, _, _ in D.LEXICON])
-    return let(stems_of(low, ALL_STEMS), groups)
-
-
-def _signal_of(code: str, weight: float, hard: bool) -> Callable[[Column], Column]:
-    return lambda hit: F.when(hit.isNotNull(), S.signal(code, weight, F.substring(hit, 1, 80), hard))
+    return F.transform(groups_of(low), lambda g: S.signal(g["code"], g["weight"], F.substring(g["hit"], 1, 80), g["hard"]))
 
 
 def covering_group(text: Column) -> Column:
     """The first lexicon group that a phrase matches, else ''."""
-    first = lambda found: F.coalesce(*[F.when(phrase(text, found, code).isNotNull(), code) for code, *_ in D.LEXICON], F.lit(""))
-    return let(stems_of(text, ALL_STEMS), first)
+    return F.coalesce(F.try_element_at(groups_of(text), F.lit(1))["code"], F.lit(""))
 
 
 def schemes(text: Column) -> Column:
