@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,7 +165,7 @@ class Coder:
         return count
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def coder_maker(spark: SparkSession, ranks: str | None) -> Callable[[], Coder]:
@@ -172,12 +173,13 @@ def coder_maker(spark: SparkSession, ranks: str | None) -> Callable[[], Coder]:
     import public_tokenizers
 
     sent = spark.sparkContext.broadcast((read_ranks(ranks or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, character_classes()))
+    name = uuid.uuid4().hex
 
     def make() -> Coder:
-        if sent.id not in _coders:
+        if name not in _coders:
             _coders.clear()
-            _coders[sent.id] = Coder(*sent.value)
-        return _coders[sent.id]
+            _coders[name] = Coder(*sent.value)
+        return _coders[name]
 
     return make
 

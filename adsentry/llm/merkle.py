@@ -153,3 +153,45 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
+
+
+def _oracle(levels: int = 7, top_levels: int = 3) -> str:
+    """The same in SQL, with places from a sort, for at most 8^7 rows of a group and 8^3 groups."""
+
+    def climb(name: str, count: int) -> list[str]:
+        parts = []
+        for k in range(count):
+            run = "OVER (PARTITION BY grp, place // 8 ORDER BY place ROWS BETWEEN {})"
+            before, after = run.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), run.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            parts.append(f"{name}_path{k} AS (SELECT grp, place, size, coalesce(string_agg(digest, '') {before}, '') AS b, coalesce(string_agg(digest, '') {after}, '') AS a FROM {name}{k})")
+            above = "CASE WHEN size = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END"
+            parts.append(f"{name}{k + 1} AS (SELECT grp, place // 8 AS place, {above} AS digest, (size + 7) // 8 AS size FROM {name}{k} GROUP BY grp, place // 8, size)")
+        return parts
+
+    def fold(name: str, count: int, source: str) -> tuple[list[str], str]:
+        parts = []
+        for k in range(count):
+            join = f"JOIN {name}_path{k} p ON s.grp IS NOT DISTINCT FROM p.grp AND s.place // {8**k} = p.place"
+            parts.append(f"{name}_fold{k} AS (SELECT s.* REPLACE (CASE WHEN p.size = 1 THEN d ELSE sha256(p.b || d || p.a) END AS d, CASE WHEN p.size = 1 THEN proof ELSE proof || p.b || p.a END AS proof) FROM {source} s {join})")
+            source = f"{name}_fold{k}"
+        return parts, source
+
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    digest = lambda text: f"sha256({' || '.join(part.format(c) for c in COLUMNS[:-1])} || {part.format(text)})"
+    step = "xor(v >> 1, 3988292384 * (v & 1))"
+    table_ = "SELECT i, i AS v FROM range(256) t(i)"
+    for _ in range(8):
+        table_ = f"SELECT i, {step} AS v FROM ({table_})"
+    crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])))"
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    leaves_ = f"SELECT doc_id, lang AS grp, {digest('text')} AS digest, CASE WHEN {crc} % 3 = 0 THEN {digest(lowered)} ELSE {digest('text')} END AS d FROM documents, (SELECT list(v ORDER BY i) AS tab FROM crc)"
+    first = "SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM leaves"
+    top = f"SELECT 0 AS grp, grp AS name, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS place, digest, count(*) OVER () AS size FROM n{levels}"
+    folds, last = fold("n", levels, "(SELECT *, '' AS proof FROM n0)")
+    link = f"linked AS (SELECT f.* EXCLUDE (grp, place), f.digest AS leaf, t.grp, t.place, t.digest AS subroot FROM {last} f JOIN t0 t ON f.grp IS NOT DISTINCT FROM t.name)"
+    top_folds, end = fold("t", top_levels, "linked")
+    body = f"SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, d AS folded_root, d = r.digest AS verified FROM {end} CROSS JOIN (SELECT digest FROM t{top_levels}) r"
+    return "WITH " + ", ".join([f"crc AS ({table_})", f"leaves AS ({leaves_})", f"n0 AS ({first})", *climb("n", levels), f"t0 AS ({top})", *climb("t", top_levels), *folds, link, *top_folds]) + " " + body
+
+
+ORACLE_SQL = {"op13_merkle_manifest": _oracle()}

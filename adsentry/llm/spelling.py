@@ -180,3 +180,30 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_spelling_variants": op12_spelling_variants}
+
+
+def _oracle() -> str:
+    """The same in SQL: pairs from the words without one of their places."""
+    table_ = "SELECT i, i AS v FROM range(256) t(i)"
+    for _ in range(8):
+        table_ = f"SELECT i, xor(v >> 1, 3988292384 * (v & 1)) AS v FROM ({table_})"
+    octets = "[CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..')]"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])))"
+    return f"""
+WITH RECURSIVE crc AS ({table_}), tab AS (SELECT list(v ORDER BY i) AS tab FROM crc),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{LETTERS}{{{SHORTEST},}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+hashed AS (SELECT run, {crc} AS h, length(run) AS size FROM runs, tab),
+spelt AS (SELECT CASE WHEN h % {ONE_IN} = 0 THEN substring(run, 1, h % size) || substring(run, h % size + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM spelt WHERE length(word) >= {SHORTEST} GROUP BY word HAVING count(*) >= {LEAST}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words),
+gone AS (SELECT word, p, substring(word, 1, p - 1) || substring(word, p + 1) AS rest FROM places),
+pairs AS (SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM gone a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM gone a JOIN words b ON a.rest = b.word),
+near AS (SELECT p.word, p.other, w.n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.other) AS k, count(*) OVER (PARTITION BY p.word) AS n_near FROM pairs p JOIN words w ON p.other = w.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= {TIMES} * w.n THEN b.other END AS form, CASE WHEN b.n >= {TIMES} * w.n THEN b.n END AS form_n FROM words w LEFT JOIN near b ON b.word = w.word AND b.k = 1),
+chain AS (SELECT word, word AS root, 0 AS steps FROM forms UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, c.root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) c ON c.word = f.word"""
+
+
+ORACLE_SQL = {"op12_spelling_variants": _oracle()}
