@@ -1,7 +1,7 @@
 """Canonical exact digests: texts that differ only in Unicode form, case or white space get the same fingerprint.
 
-The canonical text is the NFKC form, lower-cased, with runs of white space as one space and none at the ends. Its digest
-is 128 bits of xxhash64 under two seeds. `exact_groups` groups by digest and compares the canonical texts inside equal
+The canonical text is the NFKC form, case-folded (ß is ss, and ς is σ) and in NFKC form again, with runs of white space as
+one space and none at the ends. Its digest is 128 bits of xxhash64 under two seeds. `exact_groups` groups by digest and compares the canonical texts inside equal
 buckets byte by byte, so a collision of digests joins nothing. Everything is an SQL function; no Python runs on rows.
 
 Nulls: a null text counts as empty. Rows with a null doc_id take part, and never give a group its number; in an order by
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, table, whole_text
+from ._common import checkpoint, quoted, table, whole_text
 
 QUANTILES = 128
 STEPS = 1024  # a quantile is cut into so many ranges at most
@@ -25,8 +25,9 @@ BROADCAST_ROWS = 100_000  # at most so many rows of a few numbers, or of a diges
 
 def canonical(text: Column) -> Column:
     """The text whose bytes are compared."""
-    nfkc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(nfkc), r"(?U)\s+", " "))
+    nfkc = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc(text), F.lit(True))
+    return F.trim(F.regexp_replace(nfkc(folded), r"(?U)\s+", " "))
 
 
 def digest(text: Column) -> Column:
@@ -72,7 +73,7 @@ def ranged(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id").cast("long")
     if known < n:
         k = F.coalesce(k, F.lit(-(1 << 62)) - F.abs(tie % (1 << 61)))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k.alias("k"), tie.alias("tie"))
+    keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), k.alias("k"), tie.alias("tie"))
     fine, coarse = (F.array(*[F.lit(b) for b in x]) if x else F.array().cast("array<long>") for x in (bounds, bounds[::16]))
     keyed = keyed.withColumn("q", place(F.col("k"), coarse, fine, 16))
     steps = min(STEPS, -(-n // (QUANTILES * ROWS_PER_RANGE)))
@@ -102,7 +103,7 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     order = Window.partitionBy("range").orderBy("extra", F.desc("k"), F.desc("tie"))
     rows = keyed.withColumn("extra", F.lit(False)).unionByName(behind)
     rows = rows.select("row", "extra", *[F.lead(f"row.{c}").over(order).alias(f"next_{c}") for c in carry])
-    return rows.filter("NOT extra").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in {f"next_{x}" for x in carry}], *[f"next_{c}" for c in carry])
+    return rows.filter("NOT extra").select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in {f"next_{x}" for x in carry}], *[f"next_{c}" for c in carry])
 
 
 def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
