@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, whole_text
+from ._common import quoted, table, whole_text
 
 # The patterns, the group whose length counts, and the least length.
 PATTERNS = {
@@ -35,14 +35,16 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 # Bits of entropy for a window of each character class, tried in this order.
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.2), "letters": (r"^[A-Za-z]+$", 4.1), "any": (r"", 3.75)}
-# Candidates that are no secrets: UUIDs, rules and words joined by signs, placeholders, counted-up characters.
+# Candidates that are no secrets: UUIDs, rules and words joined by signs.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[a-z]([a-z_/=+-]*[a-z])?$",
     r"^[A-Z]([A-Z_/=+-]*[A-Z])?$",
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]",
-    r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop",
 )
+# Parts of a candidate that are no secrets: what stands between / _ = - and holds a placeholder or counted-up characters.
+# Only the part is let off, not what stands beside it.
+PLACEHOLDER = r"(?i)[a-z0-9+]*(?:example|sample|dummy|placeholder|changeme|redacted|your[_-]|0123456789|1234567890|abcdefghij|qwertyuiop)[a-z0-9+]*"
+FILLER = "."  # stands for the characters of such a part; no window with it counts
 SPANS = "array<struct<kind:string,start:int,stop:int,byte_start:int,byte_stop:int>>"
 HITS = "array<struct<start:int,stop:int,byte_start:int,byte_stop:int,value:string>>"
 PACKED = 12  # counts of five bits in one number
@@ -106,7 +108,8 @@ def hot_part(value: Column, limit: Column) -> Column:
     """(first, stop): from the first to the last window of `value` whose entropy reaches `limit`; first is null if none.
 
     With counts c, a window of w characters has log2(w) - sum(c * log2(c)) / w bits; only the two counts that change
-    enter the running sum. Counts are at most w < 32, so twelve of them fit into one number."""
+    enter the running sum. Counts are at most w < 32, so twelve of them fit into one number. Windows that touch a character
+    outside the alphabet do not count."""
     plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     numbers = -(-(len(ALPHABET) + 1) // PACKED)
     # of each character: which number holds its count, one in its place there, and the place
@@ -127,12 +130,16 @@ def hot_part(value: Column, limit: Column) -> Column:
             return let(s["total"] + F.when(same, F.lit(0.0)).otherwise(change), lambda total: judged(s, i, taken, total))
 
         def judged(s: Column, i: Column, taken: Column, total: Column) -> Column:
-            hit = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
+            bad = F.when(codes_at(i) == 0, i).otherwise(s["bad"])
+            hit = (i - bad >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
             first = F.when(s["first"].isNull() & hit, i - WINDOW + 1).otherwise(s["first"])
-            return F.struct(taken.alias("counts"), total.alias("total"), first.alias("first"), F.when(hit, i + 1).otherwise(s["stop"]).alias("stop"))
+            return F.struct(taken.alias("counts"), total.alias("total"), first.alias("first"), F.when(hit, i + 1).otherwise(s["stop"]).alias("stop"), bad.alias("bad"))
+
+        def codes_at(i: Column) -> Column:
+            return codes[i]
 
         no = F.lit(None).cast("int")
-        start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0.0).alias("total"), no.alias("first"), no.alias("stop"))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0.0).alias("total"), no.alias("first"), no.alias("stop"), F.lit(-1).alias("bad"))
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["stop"].alias("stop")))
 
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -147,6 +154,14 @@ def span(kind: Column, x: Column, first: Column | None = None, stop: Column | No
     return F.struct(kind.alias("kind"), *[c.alias(n) for n, c in places.items()])
 
 
+def without_placeholders(value: Column) -> Column:
+    """A candidate of the same length, in which `FILLER` stands for parts that hold a placeholder."""
+    pattern = r"(?<![A-Za-z0-9+])" + PLACEHOLDER  # tried where a part begins only
+    hits = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda h: F.repeat(F.lit(FILLER), F.length(h)))
+    filled = F.array_join(F.zip_with(F.split(value, pattern, -1), hits, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.rlike(value, F.lit(pattern)), filled).otherwise(value)
+
+
 def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     hits = F.filter(located(text, pattern, group), lambda x: F.length(x["value"]) >= least)
     return F.transform(hits, lambda x: span(F.lit(kind), x))
@@ -169,7 +184,7 @@ def spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
         return out
 
     candidates = F.filter(located(text, CANDIDATE), lambda x: ~allowed(x["value"]))
-    hot = F.transform(candidates, lambda x: let(limit(x["value"]), lambda bits: F.struct(x.alias("x"), hot_part(x["value"], bits).alias("part"))))
+    hot = F.transform(candidates, lambda x: let(limit(x["value"]), lambda bits: F.struct(x.alias("x"), hot_part(without_placeholders(x["value"]), bits).alias("part"))))
     hot = F.transform(F.filter(hot, lambda h: h["part"]["first"].isNotNull()), lambda h: span(F.lit("entropy"), h["x"], h["part"]["first"], h["part"]["stop"]))
     rank = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)])
     keyed = F.array_sort(F.transform(F.concat(base, hot), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["stop"].alias("stop"), x.alias("span"))))
@@ -205,8 +220,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose secrets are replaced by a mark; the column n_chars, if there is
     one, gets the new length of a changed text. A text without secrets stays as it is, and so does null."""
     hide = let(spans(whole_text()), lambda found: F.struct((F.size(found) > 0).alias("changed"), redacted(F.col("text"), found).alias("text")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hide.alias("new"))
-    changed, own = F.col("new.changed"), {c: F.col(f"row.`{c}`") for c in docs.columns}
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), hide.alias("new"))
+    changed, own = F.col("new.changed"), {c: F.col("row")[c] for c in docs.columns}
     own["text"] = F.when(changed, F.col("new.text")).otherwise(own["text"])
     if "n_chars" in own:
         own["n_chars"] = F.when(changed, F.length("new.text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
@@ -251,10 +266,12 @@ def _oracle() -> str:
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     base AS ({base}),
     candidates AS (SELECT *, CASE {limit} END AS bits FROM ({_located_sql("entropy", len(PATTERNS), CANDIDATE, 0, 0)}) WHERE NOT ({allowed})),
-    windows AS (SELECT *, unnest(range(0, length(value) - {WINDOW} + 1)) AS w FROM candidates),
+    parted AS (SELECT * EXCLUDE (value), string_split_regex(value, {_quoted(PLACEHOLDER)}) AS parts, regexp_extract_all(value, {_quoted(PLACEHOLDER)}) AS hits FROM candidates),
+    filled AS (SELECT * EXCLUDE (parts, hits), array_to_string([parts[i] || repeat('{FILLER}', coalesce(length(hits[i]), 0)::BIGINT) FOR i IN range(1, len(parts) + 1)], '') AS value FROM parted),
+    windows AS (SELECT *, unnest(range(0, length(value) - {WINDOW} + 1)) AS w FROM filled),
     characters AS (SELECT doc_id, start, w, bits, substr(value, (w + 1 + unnest(range(0, {WINDOW})))::BIGINT, 1) AS c FROM windows),
     counts AS (SELECT doc_id, start, w, bits, c, count(*) AS n FROM characters GROUP BY ALL),
-    hot AS (SELECT doc_id, start, w FROM counts GROUP BY doc_id, start, w, bits HAVING log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= bits),
+    hot AS (SELECT doc_id, start, w FROM counts GROUP BY doc_id, start, w, bits HAVING bool_and(c <> '{FILLER}') AND log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= bits),
     more AS (SELECT doc_id, 'entropy' AS kind, {len(PATTERNS)} AS rank, start + min(w) AS start, start + max(w) + {WINDOW} AS stop FROM hot GROUP BY doc_id, hot.start),
     found AS (
         SELECT doc_id, kind, rank, start, stop FROM base

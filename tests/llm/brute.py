@@ -79,7 +79,8 @@ def components(rows, shingle=3, radius=3):
 def canonical(text):
     import unicodedata
 
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip()
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    return re.sub(r"\s+", " ", nfkc(nfkc(text or "").casefold())).strip()
 
 
 def edited(rows):
@@ -116,7 +117,8 @@ def secret_spans(text):
         if any(re.search(a, v) for a in S.ALLOW):
             continue
         limit = next(bits for pattern, bits in S.CLASSES.values() if re.search(pattern, v))
-        hot = [i for i in range(len(v) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values()) >= limit - 1e-12]
+        v = re.sub(S.PLACEHOLDER, lambda p: S.FILLER * len(p[0]), v)
+        hot = [i for i in range(len(v) - w + 1) if S.FILLER not in v[i : i + w] and -sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values()) >= limit - 1e-12]
         if hot:
             a, b = m.start() + hot[0], m.start() + hot[-1] + w
             if not any(x[0] <= a and x[3] >= b for x in base):
