@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,21 @@ def new_path(spark: SparkSession) -> str:
 def whole_text(column: str | Column = "text") -> Column:
     """The text; the empty string for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def rows_kept(docs: DataFrame, choose: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of `docs`, with all their columns, for which `choose` says so: it gets the texts of a batch and gives booleans.
+    Columns are numbered meanwhile, as Arrow functions fail on names with dots."""
+    at = docs.columns.index("text")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(choose(b.column(at))))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from ._anchors import gram_hash, mix
-from ._common import table, whole_text
+from ._common import rows_kept, table, whole_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -228,15 +228,14 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in item_blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts, good = b.column("text").cast(pa.binary()), np.ones(b.num_rows, bool)
-                for at, stop in R.slices(texts):
-                    found = sent.value.search([x or b"" for x in texts[at:stop].to_pylist()])
-                    good[[at + d for d, *_ in found]] = False
-                yield b.filter(pa.array(good))
+        def good(column: pa.Array, sent=sent) -> np.ndarray:
+            texts, free = column.cast(pa.binary()), np.ones(len(column), bool)
+            for at, stop in R.slices(texts):
+                found = sent.value.search([x or b"" for x in texts[at:stop].to_pylist()])
+                free[[at + d for d, *_ in found]] = False
+            return free
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = rows_kept(docs, good)
     return docs
 
 

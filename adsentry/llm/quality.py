@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats as R
-from ._common import table, whole_text
+from ._common import rows_kept, table, whole_text
 
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
@@ -238,13 +238,12 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text scores 0.5 or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = pa.RecordBatch.from_arrays([pa.compute.fill_null(b.column("text"), "")], ["text"])
-            scores = [sent.value.score(Block(x)) for _, _, x in texts_in_blocks(text)]
-            yield b.filter(pa.array(np.concatenate([np.zeros(0), *scores]) >= 0.5))
+    def good(column: pa.Array) -> np.ndarray:
+        text = pa.RecordBatch.from_arrays([pa.compute.fill_null(column, "")], ["text"])
+        scores = [sent.value.score(Block(x)) for _, _, x in texts_in_blocks(text)]
+        return np.concatenate([np.zeros(0), *scores]) >= 0.5
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_kept(docs, good)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._anchors import mix
-from ._common import checkpoint, shared_folder, stored, table, whole_text
+from ._common import checkpoint, quoted, shared_folder, stored, table, whole_text
 
 BITS = 64
 RADIUS = 3
@@ -301,7 +301,7 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STA
     reach = components(checkpoint(linked(texts.select("fp", "minima"), radius, bits)))
     rooted = texts.join(reach, texts.fp == reach.node, "left").select("fp", "key", "least", F.coalesce("root", "fp").alias("root"))
     crowded = rooted.groupBy("root").agg((F.count("*") > 1).alias("crowded"))
-    ranked = docs.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).join(rooted.join(crowded, "root"), F.col("rank") == F.col("least"))
+    ranked = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), rank.alias("rank")).join(rooted.join(crowded, "root"), F.col("rank") == F.col("least"))
     ranked = stored(ranked.select("row", "rank", "fp", "key", "root", "crowded"))
     unsure = ranked.filter("crowded")
     pairs = verified(unsure.select("root", "key", "fp", whole_text(F.col("row.text")).alias("text")), shingle, bits, least)

@@ -8,8 +8,11 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from adsentry.llm import byte_pairs, merkle, spelling
+from adsentry.llm import byte_pairs, decontaminate, exact_digest, merkle, quality, secret_scan, simhash_dedup, spelling
+
+from . import brute
 
 SF = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -220,3 +223,35 @@ def test_manifest_of_hard_rows(spark, count):
     docs = spark.createDataFrame([(*r, "x") for r in rows], DOCUMENTS + ", `a.place` string")
     got = merkle.manifest(merkle.leaves(docs))
     assert ordered(got.collect()) == ordered(manifest([(r[0], r[3], r[2], r[4], r[1]) for r in rows]))
+
+
+# rules mended later
+
+
+def test_placeholders_spare_their_own_part_only(spark):
+    token = "AbCd9fKq27LmZx83RtYpQw0VnB5sGhJ4"
+    texts = [f"https://host.test/samples/{token}", "Q7xK2mZ9pL4vR8tW1yB6nD3fG5hJ0sAc-example", f"{token[:9]}example{token[9:]}", "key your_1234567890AbCdEfGhIj", f"x/{token}=sample_{token}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.secrets] for r in secret_scan.scan(docs).collect()}
+    assert token in found[0][0]
+    assert found[1] == ["Q7xK2mZ9pL4vR8tW1yB6nD3fG5hJ0sAc-"]
+    assert found[2] == found[3] == []
+    assert len(found[4]) == 1
+    assert {i: [(s, k, e) for s, _, k, e in brute.secret_spans(t)] for i, t in enumerate(texts)} == {r.doc_id: [(s.start, s.kind, s.stop) for s in r.secrets] for r in secret_scan.scan(docs).collect()}
+
+
+def test_case_is_folded(spark):
+    pairs = [("STRASSE und so", "straße und so"), ("ΟΔΟΣ", "οδος"), ("οδοσ", "οδος"), ("ﬁn", "FIN"), ("ＡＢ  c", "ab c"), ("ŉ", "ʼN")]
+    docs = spark.createDataFrame([(i, t) for i, p in enumerate(pairs) for t in p], "doc_id long, text string")
+    found = exact_digest.digests(docs).groupBy("doc_id").agg(F.count_distinct("digest").alias("n"), F.count("*").alias("rows")).collect()
+    assert {(r.n, r.rows) for r in found} == {(1, 2)}
+
+
+def test_stages_take_columns_with_dots(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("a.b", F.col("doc_id") * 2).withColumn("x`y", F.lit("z"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for stage in (quality.kept, simhash_dedup.one_of_each, lambda d: decontaminate.clean(d, items), secret_scan.clean):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r["a.b"] == 2 * r["doc_id"] and r["x`y"] == "z" for r in rows)
