@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import evaluation
+from . import evaluation, text_features
 from .dataset import balanced_weights
+from .storage import stored
 
 
 def useful_columns(train: DataFrame, columns: list[str]) -> list[str]:
@@ -26,34 +26,125 @@ def aligned(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
 
 
-def text_model(train: DataFrame, features: int = 1 << 16, c: float = 4.0):
-    """Logistic regression on hashed words with balanced classes. train: text, label."""
-    weighted = balanced_weights(train.select("text", "label"), "label")
-    total = weighted.agg(F.sum("weight")).first()[0] or 1.0
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(weightCol="weight", regParam=1 / (c * total), standardization=False, maxIter=50)]
-    return Pipeline(stages=steps).fit(weighted)
+class TextModel:
+    """Logistic regression (C, balanced classes) on TF-IDF of words, pairs of words and characters inside words, over a vocabulary
+    that is fitted on the training texts: the `most` frequent terms of each kind that two texts have."""
 
+    KINDS = ("char", "word")
 
-def probability(model, df: DataFrame, key: str) -> DataFrame:
-    """key, score; null for blank texts."""
-    scored = model.transform(df.withColumn("text", F.coalesce("text", F.lit(""))))
-    return scored.select(key, F.when(F.trim("text") != "", vector_to_array("probability")[1]).alias("score"))
+    def __init__(self, train: DataFrame, c: float = 4.0, most: int = 1 << 17, iterations: int = 100):
+        weighted = balanced_weights(train.select("text", "label"), "label").withColumn("row_id", F.monotonically_increasing_id())
+        weighted = stored(weighted)
+        total, n = weighted.agg(F.sum("weight"), F.count("*")).first()
+        self.words = text_features.vocabulary(text_features.term_table(weighted, "row_id", self.KINDS), n, most=most)
+        self.size = 2 * most
+        rows = text_features.vectors(weighted, self.words, "row_id", self.KINDS, self.size)
+        self.model = LogisticRegression(weightCol="weight", regParam=1 / (c * (total or 1.0)), standardization=False, maxIter=iterations).fit(rows)
+
+    def score(self, df: DataFrame, key: str) -> DataFrame:
+        """key, score; null for blank texts."""
+        rows = text_features.vectors(df.select(key, "text"), self.words, key, self.KINDS, self.size)
+        return self.model.transform(rows).select(key, F.when(F.trim(F.coalesce("text", F.lit(""))) != "", vector_to_array("probability")[1]).alias("score"))
 
 
 def folds(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def leaderboard(table: DataFrame, columns: list[str], key: str, n: int = 3) -> DataFrame:
-    """model, auc of a few models by cross-validation over hash folds. table: key, label, columns."""
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(table).withColumn("fold", folds(F.col(key), n)).select(key, "label", "features", "fold").persist()
-    models = {"logistic": LogisticRegression(regParam=0.01), "forest": RandomForestClassifier(numTrees=20, seed=1), "boosted": GBTClassifier(maxIter=5, seed=1)}
+def stratified_folds(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """`rows` (key, label, ...) with `fold`: the rows of each label are dealt to the folds in turn, in the order of a hash. They are
+    ranked in 256 parts of each label, and where a part begins is known from the counts of the parts before it."""
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(256)))
+    counts = parts.groupBy("label", "part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("label", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("label", "part").orderBy(F.xxhash64(key), key)) - 1
+    dealt = parts.withColumn("rank", rank).join(F.broadcast(counts), ["label", "part"])  # 256 rows for each label
+    return dealt.withColumn("fold", F.pmod(F.col("before") + F.col("rank"), F.lit(n)).cast("int")).drop("part", "rank", "before")
+
+
+def fold_count(table: DataFrame, most: int = 5) -> int:
+    """max(2, min(most, rows of the smallest class))."""
+    least = table.groupBy("label").count().agg(F.min("count")).first()[0] or 0
+    return max(2, min(most, least))
+
+
+def out_of_fold(model, rows: DataFrame, n: int) -> DataFrame:
+    """`rows` (features, label, fold, ...) with `score`, the probability by a model that was fitted on the other folds."""
+    out = None
+    for f in range(n):
+        part = model.fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f)).select(*rows.columns, vector_to_array("probability")[1].alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def leaderboard(table: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """model, n, auc of a few models by stratified cross-validation, the best first. table: key, label, columns."""
+    n = fold_count(table)
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(table).select(key, "label", "features")
+    rows = stored(stratified_folds(rows, key, n))
+    models = {
+        **{f"logistic {reg:g}": LogisticRegression(regParam=reg) for reg in (0.001, 0.1)},
+        **{f"forest {depth}": RandomForestClassifier(numTrees=20, maxDepth=depth, seed=1) for depth in (4, 8)},
+        "boosted": GBTClassifier(maxIter=5, seed=1),
+    }
     scored = None
     for name, model in models.items():
-        for f in range(n):
-            part = model.fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f)).select(F.lit(name).alias("model"), "label", vector_to_array("probability")[1].alias("score"))
-            scored = part if scored is None else scored.unionByName(part)
-    return evaluation.metrics(scored, ["model"]).select("model", "n", "auc").orderBy(F.desc("auc"))
+        part = out_of_fold(model, rows, n).select(F.lit(name).alias("model"), "label", "score")
+        scored = part if scored is None else scored.unionByName(part)
+    return evaluation.metrics(scored, ["model"]).select("model", "n", "auc").orderBy(F.desc("auc"), "model")
+
+
+class CascadeForest:
+    """ML-09: layers of forests. The probabilities that a layer's forests give are further features of the next layer. For training they
+    come from cross-validation, so that no row's own label is in its features; for new rows, from forests fitted on all rows. A
+    layer is added while the AUC out of fold rises by more than `gain`.
+
+    MLlib has no extra-trees: two forests try the usual number of features at a split, two a single one."""
+
+    def __init__(self, train: DataFrame, columns: list[str], key: str, trees: int = 20, most: int = 5, gain: float = 1e-3, folds: int = 3):
+        """train: key, label (0 or 1), columns, and optionally `fold` from 0."""
+        if train.select("label").distinct().count() != 2:
+            raise ValueError("a cascade needs rows of both classes")
+        self.columns, self.layers, self.aucs = columns, [], []
+        if "fold" not in train.columns:
+            folds = max(2, min(folds, fold_count(train)))
+            train = stratified_folds(train, key, folds)
+        rows = stored(train.select(key, "label", "fold", *columns))
+        for depth in range(most):
+            layer = self._layer(depth, trees)
+            out = self._assembled(rows, depth).select(key, "label", "fold", "features")
+            for j, forest in enumerate(layer):
+                scored = out_of_fold(forest, out, folds).select(key, F.col("score").alias(f"p{depth}_{j}"))
+                rows = rows.join(scored, key)
+            rows = stored(rows)
+            mean = sum(F.col(f"p{depth}_{j}") for j in range(len(layer))) / len(layer)
+            auc = evaluation.metrics(rows.select(F.lit(depth).alias("layer"), "label", mean.alias("score")), ["layer"]).first().auc
+            if self.layers and auc <= self.aucs[-1] + gain:
+                break
+            self.layers.append([forest.fit(out) for forest in layer])
+            self.aucs.append(auc)
+        self.training = rows
+
+    @staticmethod
+    def _layer(depth: int, trees: int) -> list[RandomForestClassifier]:
+        return [RandomForestClassifier(numTrees=trees, maxDepth=8, seed=42 + 4 * depth + j, featureSubsetStrategy="auto" if j < 2 else "1") for j in range(4)]
+
+    def _features(self, depth: int) -> list[str]:
+        return [*self.columns, *[f"p{depth - 1}_{j}" for j in range(4 if depth else 0)]]
+
+    def _assembled(self, rows: DataFrame, depth: int) -> DataFrame:
+        return VectorAssembler(inputCols=self._features(depth), outputCol="features").transform(rows)
+
+    def score(self, df: DataFrame, key: str) -> DataFrame:
+        """key, score: the mean probability of the last layer."""
+        rows = df.select(key, *self.columns)
+        for depth, layer in enumerate(self.layers):
+            for j, model in enumerate(layer):
+                found = model.transform(self._assembled(rows, depth))
+                rows = found.select(*rows.columns, vector_to_array("probability")[1].alias(f"p{depth}_{j}"))
+        last = len(self.layers) - 1
+        return rows.select(key, (sum(F.col(f"p{last}_{j}") for j in range(4)) / 4).alias("score"))
 
 
 def zero_shot(vectors: DataFrame, classes: DataFrame, scale: float = 100.0) -> DataFrame:

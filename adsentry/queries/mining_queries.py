@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wording as W
 from ..operators import mining as M
+from ..operators import text_features as X
 from ..plans import dimensions as D
 from .base import quoted, tables
 from .scalar_queries import group_pattern
@@ -18,12 +19,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txt29_agg10_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.log_odds(M.gram_counts(_texts(spark, sf_dir), 2))
+    found = M.log_odds(M.gram_counts(_texts(spark, sf_dir)))
     return found.select("gram", F.round("z", 6).alias("z"), "y_s", "y_l")
 
 
 def agg11_join12_14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.candidates(M.log_odds(M.gram_counts(_texts(spark, sf_dir), 2)).withColumn("z", F.round("z", 6)))
+    found = M.candidates(M.log_odds(M.gram_counts(_texts(spark, sf_dir))).withColumn("z", F.round("z", 6)))
     return found.select("gram", "z", "y_s", "y_l", "covered_by")
 
 
@@ -33,17 +34,19 @@ def _terms(df: DataFrame, key: str) -> DataFrame:
 
 
 def ml03_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (items,) = tables(spark, sf_dir, "benchmark")
-    found = M.tfidf(_terms(items, "item_id"), "item_id", items.count())
-    return found.select("item_id", "term", F.round("w", 6).alias("w"))
+    """The weights of all texts' words and pairs of words over the fitted vocabulary."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    terms = X.term_table(docs, "doc_id", ("word",))
+    words = X.vocabulary(terms, docs.count())
+    found = X.weights(terms, words, "doc_id").join(words, ["kind", "place"])
+    return found.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 def ml05_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character 3-grams of padded words with their document counts."""
-    (items,) = tables(spark, sf_dir, "benchmark")
-    padded = items.select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    grams = padded.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count_distinct("item_id").alias("df"), F.count("*").alias("n")).filter("df >= 2")
+    """How many texts have each run of three to five characters inside words, and how often; the runs that two texts have."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    terms = X.term_table(docs, "doc_id", ("char",))
+    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter("df >= 2")
 
 
 def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +105,7 @@ QUERIES = {f.__name__: f for f in (ml15_prompt_block, txt29_agg10_log_odds, agg1
 _FILLERS = quoted(sorted(set(D.GERMAN_WORDS) | set(D.PHRASE_FILLERS)))
 _TOKENS = "list_transform(regexp_extract_all(text, '(?i)[a-zäöüßÄÖÜ0-9€]+(?:-[a-zäöüßÄÖÜ0-9]+)*'), lambda x: lower(x))"
 GRAMS = f"""t AS (SELECT doc_id, toxic, {_TOKENS} AS tk FROM documents JOIN labels USING (doc_id)),
-  g AS (SELECT DISTINCT doc_id, toxic, gram FROM (SELECT doc_id, toxic, unnest(list_concat(list_transform(range(1, len(tk) + 1), lambda i: list_slice(tk, i, i)), list_transform(range(1, len(tk)), lambda i: list_slice(tk, i, i + 1)))) AS gl FROM t), LATERAL (SELECT array_to_string(gl, ' ') AS gram)
+  g AS (SELECT DISTINCT doc_id, toxic, gram FROM (SELECT doc_id, toxic, unnest(list_concat(list_transform(range(1, len(tk) + 1), lambda i: list_slice(tk, i, i)), list_transform(range(1, len(tk)), lambda i: list_slice(tk, i, i + 1)), list_transform(range(1, len(tk) - 1), lambda i: list_slice(tk, i, i + 2)))) AS gl FROM t), LATERAL (SELECT array_to_string(gl, ' ') AS gram)
     WHERE len(list_filter(gl, lambda x: x NOT IN ({_FILLERS}))) > 0 AND len(list_filter(gl, lambda x: length(x) < 2)) = 0),
   c AS (SELECT gram, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS y_s, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS y_l FROM g GROUP BY gram), n AS (SELECT sum(y_s)::DOUBLE AS n_s, sum(y_l)::DOUBLE AS n_l FROM c),
   lo AS (SELECT gram, y_s, y_l, 500 * (y_s + y_l) / (n_s + n_l) AS a, n_s, n_l FROM c, n WHERE y_s >= 3),
@@ -118,8 +121,14 @@ SIMILAR = """bt AS (SELECT doc_id AS d, term, count(*) AS tf FROM (SELECT doc_id
 ORACLE_SQL = {
     "txt29_agg10_log_odds": f"WITH {GRAMS} SELECT * FROM z",
     "agg11_join12_14_candidates": f"WITH {GRAMS}, p AS (SELECT * FROM z WHERE z > 0 ORDER BY z DESC, gram LIMIT 320) SELECT gram, z, y_s, y_l, {_COVER} AS covered_by FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.gram <> p.gram AND contains(' ' || o.gram || ' ', ' ' || p.gram || ' ') AND o.y_s >= 0.8 * p.y_s) ORDER BY z DESC, gram LIMIT 80",
-    "ml03_tfidf": f"WITH c AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_TERM} AS term FROM benchmark) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2), r AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark))::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN f USING (term)) SELECT item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)), 6) AS w FROM r",
-    "ml05_char_ngrams": "SELECT gram, count(DISTINCT item_id) AS df, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS gram FROM (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) || ' ' AS w FROM benchmark)) GROUP BY gram HAVING count(DISTINCT item_id) >= 2",
+    "ml03_tfidf": f"""WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM documents),
+      c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tk) GROUP BY ALL),
+      f AS (SELECT term, count(*) AS df, sum(tf) AS n FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT {X.MOST}),
+      r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN f USING (term))
+      SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS w FROM r""",
+    "ml05_char_ngrams": """WITH w AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM documents),
+      g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4)), list_transform(range(1, length(w) - 3), lambda i: substring(w, i, 5)))) AS term FROM w)
+      SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 2""",
     "join13_ml14_similar": f"WITH {SIMILAR.format(term=_TERM, bank='documents')} SELECT q, d, round(score, 6) AS score FROM sim JOIN documents ON doc_id = d JOIN benchmark ON item_id = q WHERE score >= 0.05 AND lower(documents.text) <> lower(benchmark.text)",
     "win08_top_per_class": f"WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')} SELECT q, label, place, d FROM (SELECT q, d, toxic AS label, row_number() OVER (PARTITION BY q, toxic ORDER BY round(score, 9) DESC, d)::INT AS place FROM sim JOIN labels ON doc_id = d WHERE score >= 0.05) WHERE place <= 2",
     "ml15_prompt_block": f"""WITH {SIMILAR.format(term=_TERM, bank='(SELECT * FROM documents JOIN labels USING (doc_id))')},

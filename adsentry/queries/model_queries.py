@@ -10,6 +10,7 @@ from ..functions import wording as W
 from ..operators import dataset as T
 from ..operators import evaluation as E
 from ..operators import models as M
+from ..operators import text_features as X
 from ..plans import dimensions as D
 from ..sources.writers import chat_format
 from .base import cte, listings, tables
@@ -31,36 +32,61 @@ def ml02_useful_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.aligned(df, M.useful_columns(df, [c for c in df.columns if c != "doc_id"]) + ["unseen"], "doc_id")
 
 
+def _texts(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text, label, test: labelled texts; those of one fingerprint are all in one part."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    test = F.pmod(F.xxhash64(T.fingerprint(F.col("text"))), F.lit(4)) == 0
+    return docs.join(labels, "doc_id").select("doc_id", "text", F.col(label).alias("label"), test.alias("test"))
+
+
 def ml06_07_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model fitted on one part of the labelled texts and measured on the other."""
-    docs, labels = tables(spark, sf_dir, "documents", "labels")
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"), T.fingerprint(F.col("text")).alias("p"))
-    test = F.pmod(F.xxhash64("p"), F.lit(4)) == 0
-    model = M.text_model(rows.filter(~test))
-    scored = M.probability(model, rows.filter(test), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
+    rows = _texts(spark, sf_dir, "quality")
+    scored = M.TextModel(rows.filter("NOT test")).score(rows.filter("test"), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
     return E.metrics(scored.withColumn("model", F.lit("text")), ["model"])
 
 
 def ml11_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text models of two labels, one that fails, and one that is left out."""
-    docs, labels = tables(spark, sf_dir, "documents", "labels")
-    test = F.pmod(F.xxhash64(T.fingerprint(F.col("text"))), F.lit(4)) == 0
-    rows = docs.join(labels, "doc_id").withColumn("test", test)
 
     def text(train: DataFrame):
-        model = M.text_model(train)
-        return lambda df: M.probability(model, df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
+        model = M.TextModel(train)
+        return lambda df: model.score(df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
 
-    table = lambda label: rows.select("doc_id", "text", "test", F.col(label).alias("label"))
-    models = {"quality": (table("quality"), text), "toxic": (table("toxic"), text), "broken": (table("quality"), lambda df: lambda test: test.select("missing")), "images": "no image model is installed"}
+    quality = _texts(spark, sf_dir, "quality")
+    models = {"quality": (quality, text), "toxic": (_texts(spark, sf_dir, "toxic"), text), "broken": (quality, lambda df: lambda test: test.select("missing")), "images": "no image model is installed"}
     return M.retrain(models, spark)
 
 
-def ml08_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+NUMBERS = ["n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "chars", "signs"]
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label and features of the wording of labelled texts."""
     docs, labels = tables(spark, sf_dir, "documents", "labels")
-    text = F.col("text")
-    table = docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("label"), F.length(text).cast("double").alias("chars"), (F.length(F.regexp_replace(text, "[^!*&%$#|]", "")) / F.length(text)).alias("signs"), W.caps_share(W.words(text)).alias("caps"))
-    return M.leaderboard(table.na.fill(0.0), ["chars", "signs", "caps"], "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    wording = {k: v for k, v in W.language_features(text).items() if k in NUMBERS}
+    signs = F.when(F.length(text) > 0, F.length(F.regexp_replace(text, "[^!*&%$#|]", "")) / F.length(text))
+    own = {**wording, "chars": F.length(text), "signs": signs}
+    return docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("label"), *[F.coalesce(own[c].cast("double"), F.lit(0.0)).alias(c) for c in NUMBERS])
+
+
+def ml08_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.leaderboard(_numbers(spark, sf_dir), NUMBERS, "doc_id")
+
+
+def ml09_cascade_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cascade fitted on one part of the labelled texts: how many layers it got, and its AUC on the other part."""
+    rows = _numbers(spark, sf_dir)
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = M.CascadeForest(rows.filter(~test), NUMBERS, "doc_id")
+    scored = model.score(rows.filter(test), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
+    return E.metrics(scored.withColumn("layers", F.lit(len(model.layers))), ["layers"])
+
+
+def ml04_text_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return X.text_components(docs, "doc_id")[1]
 
 
 def ml12_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +108,7 @@ def snk11_ml16_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(df, "Beurteile die Anzeige.")
 
 
-QUERIES = {f.__name__: f for f in (ml01_win10_feature_row, ml02_useful_columns, ml06_07_text_model, ml08_leaderboard, ml11_retrain, ml12_zero_shot, ml13_image_score, snk11_ml16_finetune)}
+QUERIES = {f.__name__: f for f in (ml01_win10_feature_row, ml02_useful_columns, ml06_07_text_model, ml04_text_components, ml08_leaderboard, ml09_cascade_forest, ml11_retrain, ml12_zero_shot, ml13_image_score, snk11_ml16_finetune)}
 _W = {c: w for c, w, *_ in D.LEXICON}
 _SIGNALS = ", ".join(f"CASE WHEN list_contains(codes, '{c}') THEN {_W[c]} ELSE 0 END::DOUBLE AS signal_{c.lower()}" for c in ("OFFPLATFORM_PAYMENT", "FAKE_PAYMENT_LINK", "PARCEL_CUSTOMS"))
 _BASE = f"SELECT doc_id, {N_WORDS_SQL}::INT AS n_words, coalesce(age, -1) AS age, {lexicon_sql()} AS codes FROM listings"
