@@ -177,3 +177,43 @@ PAGE_PHRASES = [
     "zur merkliste hinzufügen", "nachricht senden", "karte", "satellit", "karte satellit", "standort", "details", "ausstattung", "mehr anzeigen", "weniger anzeigen", "hallo!", "top",
     "zum inhalt springen", "startseite", "inserieren", "meins", "anzeige aufgeben",
 ]
+
+# How three kinds of forum software mark the parts of a thread page (tag or "", class, attribute; each "" if free).
+THREAD_PARTS = [
+    # layout, part, tag, class, attribute
+    (0, "post", "article", "message", ""),
+    (0, "body", "", "bbWrapper", ""),
+    (0, "quote", "blockquote", "bbCodeBlock--quote", ""),
+    (0, "quote", "div", "bbCodeBlock--code", ""),
+    (0, "own", "", "", "data-quote"),
+    (0, "member", "", "bbCodeBlock-title", ""),
+    (0, "content", "", "bbCodeBlock-content", ""),
+    (0, "content", "", "bbCodeBlock-expandContent", ""),
+    (0, "content", "pre", "", ""),
+    (0, "junk", "", "bbCodeBlock-expandLink", ""),
+    (0, "title", "h1", "p-title-value", ""),
+    (0, "pages", "", "pageNav-page", ""),
+    (1, "post", "", "wbbPost", ""),
+    (1, "body", "", "messageText", ""),
+    (1, "quote", "blockquote", "quoteBox", ""),
+    (1, "quote", "", "codeBox", ""),
+    (1, "own", "", "", "cite"),
+    (1, "heading", "", "quoteBoxTitle", ""),
+    (1, "content", "", "quoteBoxContent", ""),
+    (1, "content", "pre", "", ""),
+    (1, "title", "h1", "", ""),
+    (2, "post", "div", "post", ""),
+    (2, "body", "", "posttext", ""),
+]
+MEMBER_HEADING = "Zitat von"
+CUE_WINDOW = 160
+RECEIVED_CUES = r"(?i)nachricht|mail|sms|whatsapp|chat|schrieb|schreibt|geschrieben|bekam|bekomme|bekommen|erhalten|erhielt|folgende|folgendes|anfrage|antwort|antwortete|meinte|kam|wortlaut|text|zitat"
+MESSAGE_CHARS = (25, 1500)
+MESSAGE_WORDS = 4
+# Where warning pages have the wording of a fraud.
+ALERT_HEADING = "Warnung vor dieser Nachricht"
+ALERT_ENDS = ["Warnung", "Tipp", "Type Information"]
+ALERT_TIPS = "Allgemeine Tipps"
+DATED_HEADING = r"(?U)^(\d{1,2})\. (\w+) (20\d\d):?\s*(.*)$"
+WARNING_QUOTE = r"(?m)(?:^|(?<=[\s(\[:/]))[„“\"»«‚'](?=\S)([^„“”\"»«\n]{15,600}?)(?<=\S)[“”\"«»‘'](?=[\s.,;:!?)\]–-]|$)"
+ONLY_DATE = r"(?U)^[\d.\s]*(\w+)?[\d.\s]*$"

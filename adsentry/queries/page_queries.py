@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import redact as R
+from ..functions import wording as W
 from ..operators import annotation as A
+from ..operators import markup as K
 from ..operators import pages as P
-from .base import listings, tables
+from .base import cte, listings, tables
 
 
 def pag01_ad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +69,75 @@ def win12_pag03_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_files(files).select("item", "title", F.size("messages").alias("n_messages"))
 
 
-QUERIES = {f.__name__: f for f in (pag02_row_fields, red09_anonymised, pag01_ad_fields, pag04_posts, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
+# Thread pages, warning pages and advert pages that hold the texts of the tables, in the marks of real ones.
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_THREADS = f"""
+SELECT conv_id AS page_id, concat('<html><h1 class="p-title-value">x</h1>', array_join(transform(array_sort(collect_list(struct(turn, post))), p -> p.post), '\n'), '</html>') AS html
+FROM (SELECT conv_id, turn, CASE conv_id % 3
+    WHEN 0 THEN concat('<article class="message"><time datetime="2026-01-05T10:00"></time><div class="bbWrapper"><blockquote class="bbCodeBlock bbCodeBlock--quote" data-quote="Z"><div>', before, '</div></blockquote>Dann kam diese Nachricht:<br><blockquote class="bbCodeBlock--quote"><div class="bbCodeBlock-content">', body, '</div></blockquote></div></article>')
+    WHEN 1 THEN concat('<article class="wbbPost"><i date="2026-01-05"></i><div class="messageText"><blockquote class="quoteBox"><div class="quoteBoxTitle">Zitat von Z</div>', before, '</blockquote><p>Dann kam diese Nachricht:</p><br><div class="codeBox"><pre>', body, '</pre></div></div></article>')
+    ELSE concat('<div class="post"><span class="date">05.01.2026</span><div class="posttext">', body, '</div></div>') END AS post
+  FROM (SELECT conv_id, turn, {_ESCAPED.format('text')} AS body, {_ESCAPED.format("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS before FROM {{conversations}}))
+GROUP BY conv_id"""
+
+
+def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (chats,) = tables(spark, sf_dir, "conversations")
+    return K.thread_posts(spark.sql(_THREADS, conversations=chats))
+
+
+def pag04_thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as thread pages of three layouts, each post quoting the one before and inserting the turn's text."""
+    found = _threads(spark, sf_dir)
+    return found.select("page_id", "post_no", F.sha1("text").alias("text_sha1"), F.sha1(F.array_join(F.transform("external", lambda x: F.concat(x["context"], F.lit("|"), x["quote"])), "|")).alias("external_sha1"), F.col("date").cast("string").alias("date"))
+
+
+def pag05_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages received in these threads as a review list; turns of a whole multiple of seven characters were reviewed before."""
+    (chats,) = tables(spark, sf_dir, "conversations")
+    messages = K.received_messages(_threads(spark, sf_dir)).select("message", F.concat_ws("/", "page_id", "post_no").alias("source"))
+    reviewed = chats.where("length(text) % 7 = 0").select(R.redact(F.col("text")).alias("message"), F.when(F.col("role") == "user", "ja").otherwise("nein").alias("label"), F.lit("before").alias("source"))
+    return K.review_list(messages, reviewed, R.redact, lambda m: F.transform(W.lexicon_signals(m), lambda s: s["code"]))
+
+
+_QUOTABLE = r"""trim(regexp_replace(text, '[„“”«»"\\s]+', ' '))"""
+_RADAR = f"""
+SELECT conv_id AS page_id, 'radar' AS kind, concat('<h1>Radar</h1>', array_join(transform(array_sort(collect_list(struct(turn, part))), p -> p.part), '\n')) AS html
+FROM (SELECT conv_id, turn, concat('<h2>', turn + 1, '. März 2026: Fall ', turn, '</h2><p>Im Umlauf ist „', {_ESCAPED.format(_QUOTABLE)}, '“, sagt man.</p>') AS part FROM {{conversations}})
+GROUP BY conv_id"""
+
+
+def pag06_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as pages of dated sections, a turn in each."""
+    (chats,) = tables(spark, sf_dir, "conversations")
+    found = K.warnings(spark.sql(_RADAR, conversations=chats))
+    return found.select("page_id", "title", "date", F.sha1("message").alias("message_sha1"))
+
+
+_ADVERTS = f"""
+SELECT doc_id AS page_id, concat('<head><link rel="canonical" href="https://x.test/s-anzeige/', doc_id, '"></head><h1 id="viewad-title"><i>Reserviert</i>', {_ESCAPED.format('title')}, '</h1><div id="vap-brdcrmb"><span itemprop="name">', {_ESCAPED.format("coalesce(category_raw, '')")},
+  '</span></div><h2 id="viewad-price">', coalesce(price_raw, ''), '</h2><span id="viewad-locality">', source, '</span><p id="viewad-description-text">', regexp_replace({_ESCAPED.format('description')}, '[.] ', '.<br>'), '</p><div id="viewad-contact"><div id="viewad-profile-box"><b>', coalesce(type_raw, ''), '</b><b>', coalesce(CAST(ads AS STRING), ''), '</b><b>Anzeigen</b></div></div>') AS html
+FROM {{listings}}"""
+
+
+def pag01_advert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings as advert pages, read again."""
+    found = K.advert_fields(spark.sql(_ADVERTS, listings=listings(spark, sf_dir)), F.lit("2026-01-01").cast("date"))
+    return found.select("page_id", "title", F.sha1("description").alias("description_sha1"), F.col("location"), "n_ads", "url")
+
+
+QUERIES = {f.__name__: f for f in (pag02_row_fields, red09_anonymised, pag01_ad_fields, pag04_posts, pag01_advert_page, pag04_thread_posts, pag05_review_list, pag06_warnings, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
 _P = r"list_transform(regexp_extract_all(html, '(?s)<{0}\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))"
+_LINES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \\t\\x{{00a0}}]+', ' ', 'g'), ' ?\\r?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 ORACLE_SQL = {
+    "pag04_thread_posts": f"""SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS post_no, '2026-01-05' AS date,
+      sha1(CASE WHEN conv_id % 3 = 2 THEN t ELSE 'Dann kam diese Nachricht:' || chr(10) || chr(10) || '„' || t || '“' END) AS text_sha1, sha1(CASE WHEN conv_id % 3 = 2 THEN '' ELSE 'Dann kam diese Nachricht:|' || t END) AS external_sha1
+      FROM (SELECT *, {_LINES.format("text")} AS t FROM conversations)""",
+    "pag06_warnings": """SELECT conv_id AS page_id, 'Fall ' || turn AS title, (turn + 1) || '. März 2026' AS date, sha1(q) AS message_sha1
+      FROM (SELECT *, trim(regexp_replace(text, '[„“”«»"\\s]+', ' ', 'g')) AS q FROM conversations) WHERE length(q) BETWEEN 15 AND 600 AND len(list_filter(string_split(q, ' '), lambda w: regexp_matches(w, '\\p{L}{2,}'))) >= 2""",
+    "pag01_advert_page": cte("""SELECT doc_id AS page_id, CASE WHEN t = '' THEN '' ELSE t END AS title, source AS location, ads AS n_ads, 'https://x.test/s-anzeige/' || doc_id AS url,
+      sha1(array_to_string(list_filter(list_transform(string_split(regexp_replace(description, '[.] ', '.' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS description_sha1
+      FROM (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM listings)"""),
     "pag01_ad_fields": f"""SELECT page_id, ({_P.format('h1')})[1] AS title, len({_P.format('p')})::INT AS n_lines, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, array_to_string(regexp_extract_all(html, '<a href="/([^"]*)"', 1), ' > ') AS breadcrumb FROM pages""",
     "pag04_posts": f"SELECT page_id, (i - 1)::INT AS post_no, sha1(t) AS sha1 FROM (SELECT page_id, unnest({_P.format('p')}) AS t, generate_subscripts({_P.format('p')}, 1) AS i FROM pages) WHERE t <> ''",
     "pag07_links": """SELECT link, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY link""",
