@@ -217,3 +217,5 @@ ALERT_TIPS = "Allgemeine Tipps"
 DATED_HEADING = r"(?U)^(\d{1,2})\. (\w+) (20\d\d):?\s*(.*)$"
 WARNING_QUOTE = r"(?m)(?:^|(?<=[\s(\[:/]))[„“\"»«‚'](?=\S)([^„“”\"»«\n]{15,600}?)(?<=\S)[“”\"«»‘'](?=[\s.,;:!?)\]–-]|$)"
 ONLY_DATE = r"(?U)^[\d.\s]*(\w+)?[\d.\s]*$"
+# Public-suffix rules of the kinds that there are; a longer list can be given as a table.
+SUFFIX_RULES = [*COMMON_TLDS, *SUSPICIOUS_TLDS, *LONG_SUFFIXES, "uk", "jp", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "github.io", "blogspot.com"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import annotation as A
+from ..operators import sentences as Z
 from .base import tables
 
 
@@ -138,6 +139,57 @@ def agg26_rules_against_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("signal").agg(F.count_if(has("found") & has("given")).alias("tp"), F.count_if(has("found") & ~has("given")).alias("fp"), F.count_if(~has("found") & has("given")).alias("fn"))
 
 
+SIGNALS = {"click": "zahlungslink", "purchase": "zeitdruck", "view": "vorkasse", "search": "kontakt_extern"}
+
+
+def _rated_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings (task, person, verdict, scheme), marks (task, person, start, stop, signal) and texts (task, text). Whoever rates a text marks
+    the word in it that the number of the rating leads to."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").cast("int").alias("task"), "text")
+    log = A.latest(_log(spark, sf_dir), ["task", "person"], F.desc("ts"), F.desc("event_id")).join(texts, "task")
+    verdict = F.when(F.col("value") == "click", "betrug").when(F.col("value") == "error", "unklar").otherwise("serioes")
+    ratings = log.select("task", "person", verdict.alias("verdict"), F.element_at(F.array(F.lit("vorkasse"), F.lit("phishing"), F.lit("fake")), (F.col("event_id") % 3 + 1).cast("int")).alias("scheme"))
+    words = F.split("text", " ")
+    at = (F.col("event_id") % F.least(F.size(words), F.lit(12))).cast("int")
+    before = F.aggregate(F.slice(words, F.lit(1), at), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    lookup = F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv])
+    signal = F.coalesce(F.try_element_at(lookup, F.col("value")), F.lit("druck"))
+    marks = log.select("task", "person", before.alias("start"), (before + F.length(F.get(words, at))).alias("stop"), signal.alias("signal"))
+    return ratings, marks, texts
+
+
+def agg17_six_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement on verdicts, schemes, sentences and images."""
+    ratings, marks, texts = _rated_texts(spark, sf_dir)
+    sentences = Z.sentence_table(texts.join(ratings.select("task").distinct(), "task"))
+    images = _log(spark, sf_dir).select("task", "person", (F.col("event_id") % 4).alias("image"), F.col("value").alias("kind"), F.when(F.col("value") == "click", "ja").otherwise("nein").alias("flag"))
+    found = A.krippendorff(Z.level_votes(ratings, sentences, Z.marked_sentences(sentences, marks), images), ["level"])
+    return found.select("level", F.round("alpha", 9).alias("alpha"), F.round("percent", 9).alias("percent"), "shared", A.reading(F.col("alpha")).alias("reading"))
+
+
+def _against(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..functions import signals as S
+    from ..functions import wording as W
+    from ..plans import dimensions as D
+
+    ratings, marks, texts = _rated_texts(spark, sf_dir)
+    sentences = Z.sentence_table(texts)
+    human = Z.consensus_sentences(ratings, Z.marked_sentences(sentences, marks))
+    rules = W.codebook_signals(S.codes(W.lexicon_signals(F.col("sentence"))))
+    return Z.rules_against_people(sentences, human, rules, sorted({s for _, _, _, s, _ in D.LEXICON if s}))
+
+
+def agg26_rules_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules against people's consensus, sentence by sentence of all texts."""
+    return _against(spark, sf_dir)[0]
+
+
+def agg26_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 15 sentences that the rules missed, and as many false alarms."""
+    return _against(spark, sf_dir)[1]
+
+
 LOG = "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS task, user_id % 7 AS person, event_type AS value, ts, event_id FROM events"
 RATINGS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, person ORDER BY ts DESC, event_id DESC) AS r FROM log) WHERE r = 1"
 DECISIONS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts DESC, event_id DESC) AS r FROM log WHERE task % 10 = 0 AND person = 0) WHERE r = 1"
@@ -177,7 +229,7 @@ KAPPA = {
 }
 QUERIES = {f.__name__: f for f in (
     win01_latest_ratings, win02_latest_decisions, win03_first_task, win04_last_ratings, win05_join03_queue, win06_hash_share, win07_balanced_sample, join01_ratings_of_tasks, agg18_majority, agg19_join02_consensus, agg22_scheme_of_fraud_votes,
-    agg12_17_alpha, agg15_join09_kappa, agg20_marked_by_most, agg21_image_consensus, agg23_contradictions, agg24_nrm23_quality_hints, agg25_report, agg31_image_verdict, agg26_rules_against_people,
+    agg12_17_alpha, agg15_join09_kappa, agg20_marked_by_most, agg21_image_consensus, agg23_contradictions, agg24_nrm23_quality_hints, agg25_report, agg31_image_verdict, agg26_rules_against_people, agg17_six_levels, agg26_rules_by_sentence, agg26_examples,
 )}
 ORACLE_SQL = {
     "win01_latest_ratings": _sql("SELECT task, person, value FROM ratings"),

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import contact as C
 from ..functions import redact as R
 from ..functions import wording as W
 from ..operators import annotation as A
+from ..operators import hosts as H
+from ..operators import layout as LO
 from ..operators import markup as K
 from ..operators import pages as P
 from .base import cte, listings, tables
@@ -126,10 +129,33 @@ def pag01_advert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "title", F.sha1("description").alias("description_sha1"), F.col("location"), "n_ads", "url")
 
 
-QUERIES = {f.__name__: f for f in (pag02_row_fields, red09_anonymised, pag01_ad_fields, pag04_posts, pag01_advert_page, pag04_thread_posts, pag05_review_list, pag06_warnings, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as lines of a page: the kind of event and its value say where a line stands and how wide it is."""
+    return spark.sql("""SELECT user_id AS image, event_type AS text, CAST(event_id AS DOUBLE) AS top, left, left + 40 + abs(value) * 3 AS right, 20D AS height, 1000D AS width
+      FROM (SELECT *, CASE event_type WHEN 'click' THEN 620D WHEN 'purchase' THEN 600D WHEN 'view' THEN 20D ELSE 40D END + event_id % 3 AS left FROM {events})""", events=tables(spark, sf_dir, "events")[0])
+
+
+def pag09_side_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LO.side_columns(_boxes(spark, sf_dir))
+
+
+def pag09_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LO.layout_rows(_boxes(spark, sf_dir))
+
+
+def txt04_public_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts of all listings' links, parted by the rules."""
+    found = listings(spark, sf_dir).select(F.explode(F.transform(C.urls(F.col("description")), C.host_of)).alias("host"))
+    return H.parted_hosts(found, H.default_rules(spark))
+
+
+QUERIES = {f.__name__: f for f in (pag02_row_fields, red09_anonymised, pag01_ad_fields, pag04_posts, pag01_advert_page, pag09_side_columns, pag09_layout, txt04_public_suffixes, pag04_thread_posts, pag05_review_list, pag06_warnings, pag07_links, pag08_image_urls, txt30_received_messages, pag10_overlap, pag09_rows, win12_pag03_merged_files)}
 _P = r"list_transform(regexp_extract_all(html, '(?s)<{0}\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))"
 _LINES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \\t\\x{{00a0}}]+', ' ', 'g'), ' ?\\r?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_BOXES = """b AS (SELECT user_id AS image, l, l + 40 + abs(value) * 3 AS r FROM (SELECT *, (CASE event_type WHEN 'click' THEN 620 WHEN 'purchase' THEN 600 WHEN 'view' THEN 20 ELSE 40 END + event_id % 3)::DOUBLE AS l FROM events)),
+  c AS (SELECT DISTINCT image, l AS s FROM b WHERE l BETWEEN 450 AND 850), k AS (SELECT c.image, s, count(*) FILTER (l + 10 < s) AS main, count(*) AS n, count(*) FILTER (l + 10 < s AND r - 10 > s) AS crossing FROM c JOIN b ON b.image = c.image GROUP BY ALL)"""
 ORACLE_SQL = {
+    "pag09_side_columns": f"WITH {_BOXES} SELECT image, max(s) - 10 AS start FROM k WHERE main >= 5 AND n - main >= 5 AND crossing <= 2 GROUP BY image",
     "pag04_thread_posts": f"""SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS post_no, '2026-01-05' AS date,
       sha1(CASE WHEN conv_id % 3 = 2 THEN t ELSE 'Dann kam diese Nachricht:' || chr(10) || chr(10) || '„' || t || '“' END) AS text_sha1, sha1(CASE WHEN conv_id % 3 = 2 THEN '' ELSE 'Dann kam diese Nachricht:|' || t END) AS external_sha1
       FROM (SELECT *, {_LINES.format("text")} AS t FROM conversations)""",

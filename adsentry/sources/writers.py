@@ -1,4 +1,5 @@
-"""Writers. All write through Spark, partitioned, and never gather rows on the driver."""
+"""Writers. All write through Spark, partitioned, and never gather rows on the driver. The store of labelled listings is in
+`sources.versions`."""
 
 from __future__ import annotations
 
@@ -11,11 +12,6 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_store(rows: DataFrame, path: str) -> None:
-    """Labelled listings by label and category; a listing whose label changed moves with the next write."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "category").parquet(path)
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

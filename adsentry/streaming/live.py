@@ -1,4 +1,5 @@
-"""Live jobs: messages scored as they come, conversations that gather risk, logs, inboxes, duplicates."""
+"""Live jobs: messages scored as they come, conversations that gather risk, inboxes, duplicates. Logs of which the newest record
+of each key counts are in `sources.versions`."""
 
 from __future__ import annotations
 
@@ -7,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import wording as W
-from ..operators import annotation as A
 
 
 def scored_messages(messages: DataFrame) -> DataFrame:
@@ -22,21 +22,6 @@ def conversation_scores(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg((1 - F.exp(F.sum(F.log(safe)))).alias("score"), F.count("*").alias("messages"))
 
 
-def keep_newest(log: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """A query that keeps the newest record of each key in a Parquet folder. log: keys, ts, ...
-
-    Each batch is merged with the folder's last version and written as a new one, named by the batch; a batch that runs
-    again after a failure writes the same version again."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        rows = batch if old is None else batch.unionByName(old)
-        A.latest(rows, keys, F.desc("ts")).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
-
-
 def inbox(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A stream of a folder's JSON files, each read once; broken lines are skipped."""
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)

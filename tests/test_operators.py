@@ -17,7 +17,7 @@ from adsentry.operators import mining as M
 from adsentry.operators import models as ML
 from adsentry.operators import pages as P
 from adsentry.operators import scoring as C2
-from adsentry.sources import readers, writers
+from adsentry.sources import readers, versions, writers
 from adsentry.streaming import live
 
 
@@ -254,12 +254,13 @@ def test_streams(spark, tmp_path):
     assert {r.conv_id: round(r.score, 2) for r in spark.table("m2").collect()} == {1: 0.6, 2: 0.2}
     (tmp_path / "log").mkdir()
     log = spark.readStream.schema("task string, ts long, v string").json(str(tmp_path / "log"))
+    state = versions.newest_state(spark, str(tmp_path / "out"), log.schema)
     for i, v in enumerate(("a", "b")):
         spark.createDataFrame([("t", i, v)], "task string, ts long, v string").coalesce(1).write.mode("append").json(str(tmp_path / "log"))
-        query = live.keep_newest(log, str(tmp_path / "out"), str(tmp_path / "check"), ["task"])
+        query = versions.keep_newest(log, state, str(tmp_path / "check"), ["task"], [F.col("ts")])
         query.processAllAvailable()
         query.stop()
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()] == ["b"]
+    assert [r.v for r in state.read().collect()] == ["b"]
 
 
 def test_similar_cases_of_all_documents(spark):
