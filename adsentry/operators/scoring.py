@@ -13,6 +13,7 @@ from ..functions import offer as O
 from ..functions import signals as S
 from ..functions import wording as W
 from ..plans import dimensions as D
+from .storage import stored
 
 
 def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
@@ -103,21 +104,24 @@ def judgement_signals(score: Column, summary: Column, scheme: Column, language:
 def run_detectors(listings: DataFrame, key: str, detectors: dict[str, Callable[[DataFrame], Column] | str], reuse: DataFrame | None = None) -> DataFrame:
     """SCO-07: (key, model, score, available, error) of all detectors; a null score is no verdict.
 
-    A detector is a function that builds its score from the listings, or the reason why it is not available. One that
-    cannot be built stands with its error and stops no other. `reuse` (key, model, score) has results that exist."""
+    A detector is a function that builds its score from the listings, or the reason why it is not available. Each is run and its scores are
+    written before the next one, so that one that cannot be built, or that fails on a row, stands with its error and stops no other.
+    `reuse` (key, model, score) has results that exist, and is not run again."""
     out = reuse.select(key, "model", "score", F.lit(True).alias("available"), F.lit(None).cast("string").alias("error")) if reuse is not None else None
     for name, detector in detectors.items():
-        score, available, error = F.lit(None).cast("double"), not isinstance(detector, str), detector if isinstance(detector, str) else None
+        rows = listings
+        if reuse is not None:
+            rows = rows.join(reuse.where(F.col("model") == name).select(key), key, "left_anti")
+        error, available = (detector, False) if isinstance(detector, str) else (None, True)
+        scored = None
         if available:
             try:
-                score = detector(listings).cast("double")
-                listings.select(score).schema  # noqa: B018  the analysis of the expression
+                scored = stored(rows.select(key, detector(rows).cast("double").alias("score")))
             except Exception as e:  # noqa: BLE001  a broken detector must not stop the scan
-                score, error = F.lit(None).cast("double"), type(e).__name__
-        rows = listings.select(key, F.lit(name).alias("model"), score.alias("score"), F.lit(available).alias("available"), F.lit(error).cast("string").alias("error"))
-        if reuse is not None:
-            rows = rows.join(reuse.select(key, "model"), [key, "model"], "left_anti")
-        out = rows if out is None else out.unionByName(rows)
+                error = type(e).__name__
+        scored = rows.select(key, F.lit(None).cast("double").alias("score")) if scored is None else scored
+        part = scored.select(key, F.lit(name).alias("model"), "score", F.lit(available).alias("available"), F.lit(error).cast("string").alias("error"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

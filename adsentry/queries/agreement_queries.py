@@ -13,7 +13,7 @@ from .base import tables
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = tables(spark, sf_dir, "events")
-    return events.select(F.get_json_object("props", "$.k").cast("int").alias("task"), (F.col("user_id") % 7).alias("person"), F.col("event_type").alias("value"), "ts", "event_id")
+    return events.select(F.get_json_object("props", "$.k").cast("int").alias("task"), (F.col("user_id") % 7).alias("person"), F.col("event_type").alias("value"), F.col("value").alias("amount"), "ts", "event_id")
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.latest(_log(spark, sf_dir).filter("task % 10 = 0 AND person = 0"), ["task"], F.desc("ts"), F.desc("event_id"))
+    """Records of an amount of 100 or more stand for decisions."""
+    return A.latest(_log(spark, sf_dir).filter("amount >= 100"), ["task"], F.desc("ts"), F.desc("event_id"))
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,8 @@ def win04_last_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win05_join03_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.queue(_tasks(spark, sf_dir), _ratings(spark, sf_dir).filter("task % 3 > 0 AND person < task % 4 + 1"), "3")
+    """The tasks that person 3 may rate next, where the clicks are the ratings."""
+    return A.queue(_tasks(spark, sf_dir), _ratings(spark, sf_dir).filter("value = 'click'"), "3")
 
 
 def win06_hash_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +192,9 @@ def agg26_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _against(spark, sf_dir)[1]
 
 
-LOG = "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS task, user_id % 7 AS person, event_type AS value, ts, event_id FROM events"
+LOG = "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS task, user_id % 7 AS person, event_type AS value, value AS amount, ts, event_id FROM events"
 RATINGS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, person ORDER BY ts DESC, event_id DESC) AS r FROM log) WHERE r = 1"
-DECISIONS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts DESC, event_id DESC) AS r FROM log WHERE task % 10 = 0 AND person = 0) WHERE r = 1"
+DECISIONS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts DESC, event_id DESC) AS r FROM log WHERE amount >= 100) WHERE r = 1"
 TASKS = "SELECT doc_id::INT AS task, sha1(CAST(doc_id AS STRING)) AS id FROM documents"
 MAJORITY = "SELECT task, value AS winner, next IS NULL OR n > next AS is_unique FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC, value) AS r, lead(n) OVER (PARTITION BY task ORDER BY n DESC, value) AS next FROM (SELECT task, value, count(*) AS n FROM {0} GROUP BY ALL)) WHERE r = 1"
 
@@ -236,7 +238,7 @@ ORACLE_SQL = {
     "win02_latest_decisions": _sql("SELECT task, value FROM decisions"),
     "win03_first_task": _sql("SELECT task, event_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts, event_id) AS r FROM log) WHERE r = 1"),
     "win04_last_ratings": _sql("SELECT task, value FROM ratings WHERE person = 3 ORDER BY ts DESC, event_id DESC LIMIT 5"),
-    "win05_join03_queue": _sql("SELECT task, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS priority, sha1('3|' || id) AS place FROM tasks LEFT JOIN (SELECT task, count(DISTINCT person) AS n, bool_or(person = 3) AS mine FROM ratings WHERE task % 3 > 0 AND person < task % 4 + 1 GROUP BY task) USING (task) WHERE NOT coalesce(mine, false) AND (n IS NULL OR (n < 2 AND ('0x' || left(id, 8))::BIGINT / 4294967295.0 < 0.25))"),
+    "win05_join03_queue": _sql("SELECT task, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS priority, sha1('3|' || id) AS place FROM tasks LEFT JOIN (SELECT task, count(DISTINCT person) AS n, bool_or(person = 3) AS mine FROM ratings WHERE value = 'click' GROUP BY task) USING (task) WHERE NOT coalesce(mine, false) AND (n IS NULL OR (n < 2 AND ('0x' || left(id, 8))::BIGINT / 4294967295.0 < 0.25))"),
     "win06_hash_share": _sql("SELECT task FROM tasks WHERE ('0x' || left(id, 8))::BIGINT / 4294967295.0 < 0.25"),
     "win07_balanced_sample": "SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY sha1(CAST(doc_id AS STRING))) > 30 AS rest FROM labels) ORDER BY rest, sha1(CAST(doc_id AS STRING)) LIMIT 60",
     "join01_ratings_of_tasks": _sql("SELECT task, count(*) AS n FROM ratings WHERE task IN (SELECT task FROM log WHERE value = 'purchase') GROUP BY task"),

@@ -128,9 +128,10 @@ def join04_06_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join05_import_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which no blog has the same content; what blogs have was imported before."""
     (pages,) = tables(spark, sf_dir, "pages")
     hashed = pages.select("page_id", F.sha1("html").alias("sha1"))
-    return T.unseen(hashed, hashed.filter("page_id % 4 = 0"), "sha1").select("page_id")
+    return T.unseen(hashed, pages.filter("url LIKE '%//blog.%'").select(F.sha1("html").alias("sha1")), "sha1").select("page_id")
 
 
 def join08_flt12_merge_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +219,7 @@ ORACLE_SQL = {
     "lab02_store_key": _sql("SELECT doc_id, left(sha1(coalesce(CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id END, fingerprint)), 10) AS store_key FROM prints"),
     "set06_text_dedupe": r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY left(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g'), 300)",
     "join04_06_unseen": _sql("SELECT doc_id FROM prints WHERE NOT train_only AND fingerprint NOT IN (SELECT fingerprint FROM prints WHERE train_only)"),
-    "join05_import_ledger": "SELECT page_id FROM pages WHERE sha1(html) NOT IN (SELECT sha1(html) FROM pages WHERE page_id % 4 = 0)",
+    "join05_import_ledger": "SELECT page_id FROM pages WHERE sha1(html) NOT IN (SELECT sha1(html) FROM pages WHERE url LIKE '%//blog.%')",
     "join08_flt12_merge_reviewed": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.source, 'alt') AS text, l.quality AS label, d.source IS NULL AS source_gone FROM (SELECT * FROM documents WHERE lang <> 'es') d FULL JOIN labels l ON d.doc_id = l.doc_id",
     "join07_bundle_merge": "SELECT conv_id, bundle FROM (SELECT conv_id, turn % 2 AS bundle, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, sum(length(text)) DESC, turn % 2) AS r FROM conversations GROUP BY conv_id, turn % 2) WHERE r = 1",
     "src16_reviewed_list": r"SELECT text_key, quality FROM (SELECT sha1(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g')) AS text_key, quality, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') ORDER BY doc_id) AS r FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) WHERE r = 1",

@@ -117,9 +117,10 @@ def sco06_strongest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sco08_only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (docs,) = tables(spark, sf_dir, "documents")
+    """Documents whose text is that of no labelled one, which were scored before."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
     content = F.sha2("text", 256)
-    return C.only_new(docs, docs.filter("doc_id % 2 = 0").select(content.alias("content")), content).select("doc_id")
+    return C.only_new(docs, docs.join(labels, "doc_id", "left_semi").select(content.alias("content")), content).select("doc_id")
 
 
 def sco09_10_agg08_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +229,7 @@ ORACLE_SQL = {
     "sco01_grouped_noisy_or": "SELECT user_id, event_type AS kind, round(1 - product(1 - least(greatest((event_id % 5 - 1) / 20.0, 0.0), 1.0)), 6) AS score FROM events GROUP BY ALL",
     "sco03_05_fuse": f"SELECT listing_id, round(score::DECIMAL(8, 4), 2)::DOUBLE AS score, CASE WHEN score >= 0.7 THEN 'hohes Risiko' WHEN score >= 0.4 THEN 'verdächtig' ELSE 'unauffällig' END AS verdict FROM (SELECT listing_id, round_even(least(1.0, greatest(coalesce(sum(s * w) / sum(w) FILTER (s IS NOT NULL), 0), CASE WHEN bool_or(hard) THEN 0.75 ELSE 0 END)), 4) AS score FROM (SELECT event_id % 2000 AS listing_id, CASE WHEN event_id % 7 > 0 AND event_type <> 'error' THEN (user_id % 101) / 100.0::DOUBLE END AS s, CASE (['rules', 'text', 'image', 'automl', 'llm', 'other'])[event_id % 6 + 1] {_WEIGHTS} ELSE 1.0 END::DOUBLE AS w, event_id % 97 = 0 AS hard FROM events) GROUP BY listing_id)",
     "sco06_strongest_first": cte(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform({lexicon_sql()}, lambda c, i: {{'w': -(CASE c {' '.join(f'WHEN {quoted([k])} THEN {w}' for k, w, *_ in D.LEXICON)} END), 'i': i, 'c': c}})), lambda x: x.c), '|') AS codes FROM listings"),
-    "sco08_only_new": "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
+    "sco08_only_new": "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))",
     "sco09_10_agg08_abstain": "WITH t AS (SELECT count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM labels WHERE doc_id IN (SELECT conv_id FROM conversations)) SELECT doc_id, CASE WHEN doc_id % 3 > 0 OR least(p, n) >= 20 THEN (doc_id % 100) / 100.0::DOUBLE END AS score FROM documents, t",
     "sco11_linear_reasons": "WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4))) AS term FROM documents), c AS (SELECT term, length(term) / 10.0 AS k FROM w GROUP BY term HAVING count(*) >= 5) SELECT doc_id, place, term, round(part, 6)::DOUBLE AS part FROM (SELECT doc_id, term, k * 0.5 AS part, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, term)::INT AS place FROM w JOIN c USING (term)) WHERE place <= 3 AND part > 0.05",
     "agg27_29_metrics": """WITH r AS (SELECT doc_id % 4 AS model, toxic AS label, CASE WHEN doc_id % 13 > 0 THEN ((doc_id * 37) % 101 + toxic * 30) / 131.0::DOUBLE END AS s FROM labels),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,9 @@ from ..functions import normalize as N
 from ..plans import dimensions as D
 
 SNIFFED = 16_384
+# The manifest of a listing's folder, and the files that belong to listings.
+MANIFEST = "inserat.json"
+LISTING_FILES = r"\.(jpg|jpeg|jfif|jpe|png|webp|html|htm|pdf|txt)$|^inserat\.json$"
 LOG_NAME = r"(aufgaben|einstufungen|entscheidungen)_([a-z0-9]+)\.jsonl$"
 
 
@@ -99,6 +103,29 @@ def label_of_path(path: Column) -> Column:
     return N.label_word(folder)
 
 
+def listing_items(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-09: (label, item, files) of the listings below a folder of label folders, out of the paths alone; no file is read.
+
+    In a label's folder each file is a listing, and so is each sub-folder with all that is below it; but of a sub-folder that holds folders with a
+    manifest, and none itself, these are the listings. Hidden files, and files of other kinds, are none. The label comes from the folder's name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    base = root.rstrip("/").split("://")[-1].replace("file:", "")
+    below = F.split(F.regexp_replace("path", "^.*?" + re.escape(base) + "/", ""), "/")
+    files = found.select("path", below.alias("p")).where(F.size("p") >= 2)
+    name = F.element_at("p", -1)
+    files = files.where(F.rlike(F.lower(name), F.lit(LISTING_FILES)) & ~F.exists("p", lambda x: F.rlike(x, F.lit("^[_.]"))))
+    files = files.select("path", F.get("p", F.lit(0)).alias("label"), F.get("p", F.lit(1)).alias("entry"), F.get("p", F.lit(2)).alias("inner"), F.size("p").alias("depth"), (F.lower(name) == MANIFEST).alias("manifest"))
+    marks = files.where("manifest")
+    own = marks.where("depth = 3").select("label", "entry").distinct().withColumn("own", F.lit(True))
+    nested = marks.where("depth = 4").select("label", "entry", "inner").distinct().withColumn("nested", F.lit(True))
+    holds = nested.select("label", "entry").distinct().withColumn("holds", F.lit(True))
+    each = files.join(own, ["label", "entry"], "left").join(holds, ["label", "entry"], "left").join(nested, ["label", "entry", "inner"], "left")
+    apart = F.col("holds") & F.col("own").isNull()
+    item = F.when((F.col("depth") == 2) & ~F.col("manifest"), F.col("entry")).when(F.col("depth") == 2, None).when(F.coalesce(apart, F.lit(False)), F.when(F.col("nested"), F.concat_ws("/", "entry", "inner"))).otherwise(F.col("entry"))
+    rows = each.withColumn("item", item).where("item IS NOT NULL").groupBy("label", "item").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return rows.select(N.label_word(F.col("label")).alias("label"), "item", "files")
+
+
 def read_listing_folders(spark: SparkSession, path: str) -> DataFrame:
     """One row for each listing: label/category/item/files, with the texts of its files in order of their names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

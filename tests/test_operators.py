@@ -241,6 +241,47 @@ def test_writers(spark, tmp_path):
     assert [tuple(r) for r in writers.write_bundle(files, str(tmp_path / "b")).collect()] == [("anna", "log", 1)]
 
 
+def test_listing_items(spark, tmp_path):
+    """One file, one sub-folder, folders with a manifest in a category's folder, and what is none."""
+    names = ["betrug/a.txt", "betrug/b.html", "betrug/x.exe", "betrug/.c.txt", "betrug/_d/e.txt", "betrug/rad/1.jpg", "betrug/rad/tief/2.txt", "betrug/inserat.json",
+             "serioes/auto/i1/inserat.json", "serioes/auto/i1/foto.PNG", "serioes/auto/i2/inserat.json", "serioes/auto/lose.txt", "serioes/auto/i3/nur.txt", "serioes/moebel/inserat.json", "serioes/moebel/j/inserat.json", "oben.txt"]
+    for n in names:
+        (tmp_path / "in" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / n).write_text("x")
+    got = {(r.label, r.item): [p.split("/in/")[1] for p in r.files] for r in readers.listing_items(spark, str(tmp_path / "in")).collect()}
+    assert got == {
+        (1, "a.txt"): ["betrug/a.txt"], (1, "b.html"): ["betrug/b.html"], (1, "rad"): ["betrug/rad/1.jpg", "betrug/rad/tief/2.txt"],
+        (0, "auto/i1"): ["serioes/auto/i1/foto.PNG", "serioes/auto/i1/inserat.json"], (0, "auto/i2"): ["serioes/auto/i2/inserat.json"],
+        (0, "moebel"): ["serioes/moebel/inserat.json", "serioes/moebel/j/inserat.json"],
+    }
+
+
+def test_detectors_that_fail_on_a_row(spark):
+    docs = spark.createDataFrame([(i, f"{i}") for i in range(5)] + [(9, "kein")], "doc_id long, text string")
+    detectors = {"good": lambda df: F.length("text"), "fails": lambda df: F.col("text").cast("int") / 2 + F.raise_error(F.lit("no")).cast("int"), "unbuilt": lambda df: F.col("nothing"), "absent": "not installed"}
+    got = {}
+    for r in C2.run_detectors(docs, "doc_id", detectors, docs.where("doc_id = 3").select("doc_id", F.lit("good").alias("model"), F.lit(0.5).alias("score"))).collect():
+        got.setdefault(r.model, {})[r.doc_id] = (r.score, r.available, r.error)
+    assert got["good"] == {**{i: (float(len(t)), True, None) for i, t in [(0, "0"), (1, "1"), (2, "2"), (4, "4"), (9, "kein")]}, 3: (0.5, True, None)}
+    assert set(got["absent"].values()) == {(None, False, "not installed")} and len(got["absent"]) == 6
+    assert all(x[0] is None and x[1] and x[2] for k in ("fails", "unbuilt") for x in got[k].values())
+
+
+def test_other_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "a", b"1"), ("test", "b", b"1"), ("test", "c", b"2")], "split string, text string, content binary")
+    writers.write_splits(rows.drop("content"), str(tmp_path / "s"))
+    assert {(r.split, r.text) for r in spark.read.json(str(tmp_path / "s")).collect()} == {("train", "a"), ("test", "b"), ("test", "c")}
+    writers.write_csv(rows.drop("content"), str(tmp_path / "c"))
+    assert {(r.split, r.text) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {("train", "a"), ("test", "b"), ("test", "c")}
+    writers.write_images(rows.select("content"), str(tmp_path / "i"))
+    assert sorted(bytes(r.content) for r in spark.read.parquet(str(tmp_path / "i")).collect()) == [b"1", b"2"]
+    writers.write_annotations(rows.select("text"), rows.select("split"), rows.select("text").limit(1), str(tmp_path / "a"))
+    assert [spark.read.json(str(tmp_path / "a" / n)).count() for n in ("konsens", "saetze", "bilder")] == [3, 3, 1]
+    for v in ("1", "2"):
+        writers.append_report(rows.select("text"), str(tmp_path / "r"), v)
+    assert spark.read.parquet(str(tmp_path / "r")).groupBy("version").count().count() == 2
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
