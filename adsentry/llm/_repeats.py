@@ -10,6 +10,7 @@ entries, so the rows grow in proportion to the text. There are fewer buckets tha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,7 @@ from ._common import whole_text
 CHUNK_BYTES = 8 << 20
 BLOCK = 1 << 20  # bytes of text hashed at once
 CHUNKS_PER_BUCKET = 2
+BLANK = re.compile(rb"[\t-\r ]")
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id: later than all others
 
 ENTRIES = "bucket int, chunk int, gram binary, around binary, doc binary"
@@ -59,10 +61,11 @@ class Chunk:
         self.no_id = rows["no_id"].to_numpy(zero_copy_only=False)[order]
 
     def blocks(self) -> Iterator[tuple[int, list[bytes]]]:
+        """Texts of about `BLOCK` bytes together; a text that is longer stands alone."""
         at = 0
         while at < len(self.texts):
-            stop, size = at, 0
-            while stop < len(self.texts) and (size < BLOCK or stop == at):
+            stop, size = at + 1, len(self.texts[at])
+            while stop < len(self.texts) and size + len(self.texts[stop]) <= BLOCK:
                 size += len(self.texts[stop])
                 stop += 1
             yield at, self.texts[at:stop]
@@ -138,9 +141,42 @@ class Found(NamedTuple):
     bucket: np.ndarray
 
 
+def cut_at_blanks(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about `BLOCK` bytes, cut where a word ends; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        end = BLANK.search(text, at + BLOCK)
+        stop = end.start() if end else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def anchors_of_long(text: bytes, tokens_of: Callable, length: int, gram: int) -> Iterator[Anchors]:
+    """The anchors of one long text, part by part; positions count from its start. The tokens of a part are looked at together with
+    `margin` tokens before and after, on which an anchor and its surroundings may depend; each anchor counts in the part where
+    its first window starts."""
+    margin, base, core = 2 * length, 0, 0
+    held = np.zeros(0, np.uint64)
+    left = len(text)
+    for part in cut_at_blanks(text):
+        left -= len(part)
+        held = np.concatenate([held, tokens_of([part])[0]])
+        limit = base + len(held) - (margin if left else 0)
+        if limit > core:
+            a = anchors(held, np.zeros(1, np.int64), np.array([len(held)]), length, gram)
+            own = (a.first + base >= core) & (a.first + base < limit)
+            yield Anchors(*(x[own] + base if name in ("pos", "first", "last", "lo", "hi") else x[own] for name, x in zip(Anchors._fields, a, strict=True)))
+            core = limit
+        drop = max(0, core - margin - base)
+        held, base = held[drop:], base + drop
+
+
 def find(chunk: Chunk, tokens_of: Callable, length: int, gram: int, buckets: int) -> Found:
     parts: list[Anchors] = []
     for at, texts in chunk.blocks():
+        if len(texts[0]) > BLOCK:
+            parts += [a._replace(doc=a.doc + at) for a in anchors_of_long(texts[0], tokens_of, length, gram)]
+            continue
         tokens, starts, ends, _ = tokens_of(texts)
         a = anchors(tokens, starts, ends, length, gram)
         base = starts[a.doc]

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from adsentry.llm import byte_pairs, decontaminate, exact_digest, merkle, quality, secret_scan, simhash_dedup, spelling
+from adsentry.llm import _repeats, byte_pairs, decontaminate, exact_digest, merkle, quality, secret_scan, simhash_dedup, spelling
 
 from . import brute
 
@@ -255,3 +256,23 @@ def test_stages_take_columns_with_dots(spark):
         assert got.columns == docs.columns
         rows = got.collect()
         assert rows and all(r["a.b"] == 2 * r["doc_id"] and r["x`y"] == "z" for r in rows)
+
+
+# long texts of op2 and op8
+
+
+@pytest.mark.parametrize(("tokens_of", "length", "gram"), [(_repeats.byte_tokens, 50, 16), (_repeats.word_tokens, 20, 8)])
+def test_anchors_of_long_texts_do_not_depend_on_parts(monkeypatch, tokens_of, length, gram):
+    """Cut into parts of a few words, long texts have the anchors, surroundings and places that they have in one part."""
+    rng = random.Random(17)
+    word = lambda: b"".join(rng.choice([b"a", b"b", "é".encode()]) for _ in range(rng.choice([1, 3, 5, 9])))
+    passage = b" ".join(word() for _ in range(90))
+    texts = [b"", b"x" * 5000, b" " * 3000, b"ab " * 900, passage * 6, b"w " * 19] + [b" ".join(word() for _ in range(rng.randrange(700))) + rng.choice([b" ", b"\n", b""]) + passage[rng.randrange(200) :] for _ in range(12)]
+    rows = pa.table({"id": pa.array(range(len(texts))), "no_id": pa.array([False] * len(texts)), "text": pa.array(texts, pa.binary())})
+    chunk, found = _repeats.Chunk(rows), []
+    for block in (1 << 20, 1500, 130, 7):
+        monkeypatch.setattr(_repeats, "BLOCK", block)
+        f = _repeats.find(chunk, tokens_of, length, gram, 8)
+        found.append(sorted(zip(*(x.tolist() for x in (f.doc, f.first, f.last, f.lo, f.hi, f.gram[f.entry], f.around[f.entry])), strict=True)))
+    assert len(found[0]) > 500
+    assert found[0] == found[1] == found[2] == found[3]
