@@ -34,7 +34,7 @@ from ._common import table
 LENGTH = 50
 GRAM = 16
 HOT = 4096
-MOVED = "dest int, chunk int, doc binary, id binary, start binary, stop binary, first binary, last binary, body binary"
+MOVED = "dest int, chunk int, doc binary, id binary, start binary, stop binary, first binary, last binary, copies binary, further binary, body binary"
 ANSWERS = f"{R.ANSWERS}, hot binary"
 hash_of = xxhash.xxh3_64_intdigest
 SPANS = "doc_id long, text string, kept binary, removed array<struct<start:int,stop:int>>"
@@ -116,7 +116,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             ids = chunk.ids[f.doc]
             all_of_it = later[f.entry] | (ids > ids[f.leader][f.entry])
             gone = [f.doc[all_of_it], f.first[all_of_it], f.last[all_of_it] + length]
-            # what the chunk itself doesn't decide, with all places in the first document that has it
+            # what the chunk itself doesn't decide, in the first document that has it
             open_, hot = unclear[f.entry] & ~hot[f.entry] & ~all_of_it, hot[f.entry] & ~all_of_it
             # a hot anchor's windows
             o = np.flatnonzero(hot)
@@ -124,29 +124,38 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             window = np.repeat(f.first[o] - np.cumsum(times) + times, times) + np.arange(times.sum())
             doc = np.repeat(f.doc[o], times)
             order = np.lexsort((window, doc))
-            seen: dict[bytes, int] = {}
-            again, alone = [], []
+            seen: dict[bytes, tuple[int, int]] = {}
+            again, alone, same = [], [], []
             for i, d, x in zip(order.tolist(), doc[order].tolist(), window[order].tolist(), strict=True):
-                first = seen.setdefault(chunk.texts[d][x : x + length], d)
+                first, number_of = seen.setdefault(chunk.texts[d][x : x + length], (d, len(seen)))
                 if chunk.ids[d] > chunk.ids[first]:
                     again.append(i)
                 else:
                     alone.append(i)
+                    same.append(number_of)
             gone = [np.r_[a, b] for a, b in zip(gone, (doc[again], window[again], window[again] + length), strict=True)] if again else gone
             number, d, a, b = R.ranges_table(number, *gone)
             empty = b""
             if d:
-                out.append([-1 - number, number, d, empty, a, b, empty, empty, empty])
+                out.append([-1 - number, number, d, empty, a, b, *[empty] * 5])
             ask = np.flatnonzero(open_)
-            parts = [((f.gram[f.entry[ask]] // np.uint64(n) % np.uint64(chunks)).astype(np.int64), f.doc[ask], f.lo[ask], f.hi[ask], f.first[ask], f.last[ask])]
+            parts = [((f.gram[f.entry[ask]] // np.uint64(n) % np.uint64(chunks)).astype(np.int64), f.entry[ask], f.doc[ask], f.lo[ask], f.hi[ask], f.first[ask], f.last[ask])]
             if alone:
                 d, x = doc[alone], window[alone]
                 key = np.fromiter((hash_of(chunk.texts[i][j : j + length]) % chunks for i, j in zip(d.tolist(), x.tolist(), strict=True)), np.int64, len(d))
-                parts.append((key, d, x, x + length, x, x))
-            bucket, d, lo, hi, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((key, len(f.gram) + np.array(same), d, x, x + length, x, x))
+            bucket, kind, d, lo, hi, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # equal surroundings of one document go once, with how far on the others stand
+            order = np.lexsort((lo, d, kind))
+            bucket, kind, d, lo, hi, first, last = (x[order] for x in (bucket, kind, d, lo, hi, first, last))
+            head = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (d[1:] != d[:-1])][: len(kind)])
+            copies = np.diff(np.r_[head, len(kind)])
+            on = lo - np.repeat(lo[head], copies)
+            bucket, d, lo, hi, first, last = (x[head] for x in (bucket, d, lo, hi, first, last))
             for to, part in R.by_group(bucket) if len(bucket) else ():
                 body = b"".join([chunk.texts[i][x:y] for i, x, y in zip(d[part].tolist(), lo[part].tolist(), hi[part].tolist(), strict=True)])
-                out.append([to, number, *(x.astype(np.int64).tobytes() for x in (d[part], chunk.ids[d[part]], lo[part], hi[part], first[part], last[part])), body])
+                further = np.concatenate([on[head[i] : head[i] + copies[i]] for i in part])
+                out.append([to, number, *(x.astype(np.int64).tobytes() for x in (d[part], chunk.ids[d[part]], lo[part], hi[part], first[part], last[part], copies[part], further)), body])
         return rows_table(out, MOVED)
 
     def match(rows: pa.Table) -> pa.Table:
@@ -164,8 +173,20 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         at = base_at[of] + (c["first"] - c["start"])[of] + shift
         hit = longest_previous(data, at, c["id"][of], length) >= length
         of, shift = of[hit], shift[hit]
-        begin = c["first"][of] + shift
-        out = [R.ranges_table(rows["chunk"][r].as_py(), c["doc"][of[i]], begin[i], begin[i] + length) for r, i in R.by_group(row[of])] if len(of) else []
+        if not len(of):
+            return rows_table([], R.RANGES)
+        # neighbouring windows are one range; it also goes at the further places of the same surroundings
+        head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (shift[1:] != shift[:-1] + 1)])
+        end = np.r_[head[1:], len(of)] - 1
+        of, begin, stop = of[head], c["first"][of[head]] + shift[head], c["first"][of[head]] + shift[end] + length
+        copies, on = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[k].to_pylist()]) for k in ("copies", "further"))
+        from_ = np.cumsum(copies) - copies
+        out = []
+        for r, i in R.by_group(row[of]):
+            times = copies[of[i]]
+            each = np.repeat(i, times)
+            on_ = on[np.repeat(from_[of[i]] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            out.append(R.ranges_table(rows["chunk"][r].as_py(), c["doc"][of[each]], begin[each] + on_, stop[each] + on_))
         return rows_table(out, R.RANGES)
 
     sent = base.groupBy("chunk").applyInArrow(entries, R.ENTRIES)

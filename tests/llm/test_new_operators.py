@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from adsentry.llm import _repeats, byte_pairs, decontaminate, exact_digest, merkle, quality, secret_scan, simhash_dedup, spelling
+from adsentry.llm import _repeats, byte_pairs, decontaminate, exact_digest, merkle, quality, secret_scan, simhash_dedup, spelling, substring_dedup
 
 from . import brute
 
@@ -276,3 +276,15 @@ def test_anchors_of_long_texts_do_not_depend_on_parts(monkeypatch, tokens_of, le
         found.append(sorted(zip(*(x.tolist() for x in (f.doc, f.first, f.last, f.lo, f.hi, f.gram[f.entry], f.around[f.entry])), strict=True)))
     assert len(found[0]) > 500
     assert found[0] == found[1] == found[2] == found[3]
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_periodic_texts(spark, monkeypatch, hot):
+    """Texts whose windows stand in them many times, in several documents, with other words between."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(23)
+    bases = ["wort ", "abc", "ä-", "x", "lange periode mit vielen zeichen und noch mehr davon, über fünfzig bytes; "]
+    texts = [None, ""] + ["".join(rng.choice(bases) * rng.randrange(1, 90) + rng.choice(["", "!", "Q"]) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = substring_dedup.dedup_substrings(docs).select("doc_id", F.octet_length("text"), F.octet_length("text") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.substring_dedup(list(enumerate(texts)))
