@@ -259,15 +259,51 @@ def similar_links(fp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radi
     return out
 
 
+def compared_with_heads(nodes: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """(root, key, fp, text, head, near, border): each node of a root against its head, the node with the smallest key. `near`: they
+    link. `border`: they do not, but a node near the head might be near this one as well; the distance 1 - similarity is a
+    metric, so such a node is at most 2 * (1 - least) from the head, and all others are out of reach."""
+    heads = nodes.groupBy("root").agg(F.min(F.struct("key", "fp", "text")).alias("h")).select("root", F.col("h.key").alias("head"), F.col("h.fp").alias("head_fp"), F.col("h.text").alias("head_text"))
+    joined = nodes.join(heads, "root").where("key <> head").select("root", "key", "fp", "text", "head", "head_fp", "head_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = None, np.zeros(0, np.uint64)
+        for b in batches:
+            texts, head_texts = (b.column(i).cast(pa.binary()) for i in (3, 6))
+            near, border = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
+            close = distance(b.column("fp").to_numpy(), b.column("head_fp").to_numpy()) <= radius
+            for i, (head, text) in enumerate(zip(b.column("head").to_pylist(), texts.to_pylist(), strict=True)):
+                if head != known:
+                    known, own = head, np.unique(shingle_hashes(head_texts[i].as_py(), shingle))
+                like = shared(own, np.unique(shingle_hashes(text, shingle)))
+                near[i] = close[i] and like >= least
+                border[i] = not near[i] and like >= 2 * least - 1 - 1e-9
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near), pa.array(border)], [*b.schema.names[:5], "near", "border"])
+
+    return stored(joined.mapInArrow(run, "root long, key long, fp long, text string, head long, near boolean, border boolean"))
+
+
 def verified(nodes: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
     """(a, b): links between the nodes (root, key, fp, text) of a root that are within `radius` and similar.
 
-    A large root is cut into blocks, and each two blocks meet in a group of their own."""
-    blocks = nodes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    placed = nodes.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    First all are compared with the root's head, which links the copies of a template in one pass. The nodes that are left are compared with each
+    other, and those on the border with the ones near the head. For that a large group is cut into blocks, and two blocks meet
+    in a group of their own."""
+    told = compared_with_heads(nodes, shingle, radius, least)
+    rest = told.where("not near").select("root", "key", "fp", "text")
+    blocks = rest.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = rest.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     group = [F.col("root"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
     dealt = placed.select(*group, F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "key", "fp", "text")
+    # blocks near the head have negative numbers
+    sizes = told.groupBy("root").agg(F.ceil(F.count_if("near") / BLOCK).cast("int").alias("p_n"), F.ceil(F.count_if("border") / BLOCK).cast("int").alias("q_n")).where("p_n > 0 AND q_n > 0")
+    across = told.where("near OR border").join(sizes, "root").withColumn("hash", F.xxhash64("key"))
+    sides = [(0, "near", F.lit(-1) - F.pmod("hash", "p_n"), F.explode(F.sequence(F.lit(0), F.col("q_n") - 1))), (1, "border", None, F.pmod("hash", "q_n"))]
+    for side, which, p, q in sides:
+        own = across.where(which).withColumn("q", q)
+        own = own.withColumn("p", p if p is not None else F.explode(F.sequence(-F.col("p_n"), F.lit(-1))))
+        dealt = dealt.unionByName(own.select("root", F.col("p").cast("int"), F.col("q").cast("int"), F.lit(side).alias("side"), "key", "fp", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -285,7 +321,8 @@ def verified(nodes: DataFrame, shingle: int, radius: int, least: float) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(key[[x[k] for x in found]] if found else [], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     key = ["root", "p", "q"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "key").mapInArrow(run, "a long, b long")
+    found = dealt.repartition(*key).sortWithinPartitions(*key, "key").mapInArrow(run, "a long, b long")
+    return found.unionByName(told.where("near").select(F.col("head").alias("a"), F.col("key").alias("b")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_LEAST, bits: int = STAGE_BITS) -> DataFrame:

@@ -288,3 +288,36 @@ def test_periodic_texts(spark, monkeypatch, hot):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     got = substring_dedup.dedup_substrings(docs).select("doc_id", F.octet_length("text"), F.octet_length("text") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.substring_dedup(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_groups_by_heads_are_those_of_all_pairs(spark, monkeypatch, block):
+    """Chains of texts around the threshold: what links of any two texts connect, the links by heads and blocks connect."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    texts, base = {}, [f"w{i}" for i in range(60)]
+    for root in range(4):
+        words = list(base)
+        for _ in range(25):
+            if rng.random() < 0.25:
+                words = list(rng.choice([base, words]))
+            for at in rng.sample(range(60), rng.choice([0, 1, 1, 2])):
+                words[at] = f"v{rng.randrange(10**6)}"
+            texts[root * 1000 + rng.randrange(1000)] = (root, " ".join(words))
+    grams = {k: {tuple(t.split()[i : i + 5]) for i in range(56)} for k, (_, t) in texts.items()}
+
+    def groups(pairs):
+        top = {k: k for k in texts}
+        for a, b in pairs:
+            old, new = top[a], top[b]
+            top = {k: new if t == old else t for k, t in top.items()}
+        return {frozenset(k for k in top if top[k] == t) for t in top.values()}
+
+    like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    every = [(a, b) for a in texts for b in texts if a < b and texts[a][0] == texts[b][0] and like(a, b) >= 0.8]
+    nodes = spark.createDataFrame([(r, k, 0, t) for k, (r, t) in texts.items()], "root long, key long, fp long, text string")
+    found = [tuple(sorted(r)) for r in simhash_dedup.verified(nodes, 5, 64, 0.8).collect()]
+    assert set(found) <= set(every)
+    assert groups(found) == groups(every)
+    assert 8 < len(groups(every)) < len(texts) - 8
+    assert any(0.6 <= like(a, b) < 0.8 for a in texts for b in texts if a < b)
