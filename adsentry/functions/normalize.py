@@ -156,6 +156,22 @@ def clip_words(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit(" …")))
 
 
+def recent_messages(messages: Column, budget: int = D.MESSAGE_BUDGET) -> Column:
+    """The newest messages, in their order, of `budget` characters together; the last that still fits in part is cut at a space."""
+
+    def shortened(m: Column, room: Column) -> Column:
+        return F.concat(F.regexp_replace(F.left(m, room), r"(?s) [^ ]*$", ""), F.lit(D.SHORTENED))
+
+    def step(s: Column, m: Column) -> Column:
+        room = F.lit(budget) - s["used"]
+        text = F.when(F.length(m) <= room, m).otherwise(shortened(m, room))
+        more = F.struct(F.concat(s["kept"], F.array(text)).alias("kept"), (s["used"] + F.length(text)).alias("used"))
+        return F.when(s["used"] < budget, more).otherwise(s)
+
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
+    return F.aggregate(F.reverse(messages), start, step, lambda s: F.reverse(s["kept"]))
+
+
 def excerpt(text: Column, words: int) -> Column:
     every = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     return F.concat(F.array_join(F.slice(every, 1, words), " "), F.when(F.size(every) > words, " …").otherwise(""))

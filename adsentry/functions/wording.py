@@ -149,7 +149,7 @@ def covering_group(text: Column) -> Column:
 def schemes(text: Column) -> Column:
     """Names of the schemes that a report describes."""
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(f"(?s){p}")), F.lit(name)) for name, p in D.SCHEMES]))
+    return F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(name)) for name, p in D.SCHEMES]))
 
 
 def own_experience(text: Column) -> Column:

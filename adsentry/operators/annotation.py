@@ -93,12 +93,17 @@ def kappas(ratings: DataFrame) -> DataFrame:
     return df.select("a", "b", "n", F.when(pe < 1 - 1e-12, (po - pe) / (1 - pe)).alias("kappa"))
 
 
-def balanced_sample(rows: DataFrame, stratum: str, order: Column, size: int, strata: int) -> DataFrame:
-    """`size` rows: an equal share of each stratum, topped up from the rest, in a hash order."""
-    share = size // strata
-    r = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    ranked = rows.withColumn("_rest", (r > share).cast("int")).withColumn("_o", order)
-    return ranked.orderBy("_rest", "_o").limit(size).drop("_rest", "_o")
+def balanced_sample(rows: DataFrame, stratum: str, order: Column, size: int, values: list) -> DataFrame:
+    """`size` rows: an equal share of each of the strata `values`, topped up from the rest, in a hash order. Each part is a top-k of Spark, which
+    no task needs a whole stratum for: of a stratum at most `size` rows are taken, first those of its share."""
+    share = size // max(len(values), 1)
+    keyed, parts = rows.withColumn("_o", order), None
+    for value in values:
+        first = keyed.where(F.col(stratum).eqNullSafe(value)).orderBy("_o").limit(size)
+        rank = F.row_number().over(Window.orderBy("_o"))  # over `size` rows
+        part = first.withColumn("_rest", (rank > share).cast("int"))
+        parts = part if parts is None else parts.unionByName(part)
+    return rows.limit(0) if parts is None else parts.orderBy("_rest", "_o").limit(size).drop("_rest", "_o")
 
 
 def quality_hint(duration: Column, n_chars: Column, verdict: Column, scheme: Column, marks: Column) -> Column:

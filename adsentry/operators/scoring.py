@@ -42,6 +42,22 @@ def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
     return df.withColumn("signals", found)
 
 
+def feature_vector(listings: DataFrame, key: str, ibans: Column | None = None, images: Column | None = None) -> DataFrame:
+    """FEA-01: key and the numbers of all families: contact, language, price and seller, how many groups of phrases and how many images."""
+    df = with_signals(listings, ibans)
+    groups = F.filter(S.codes(F.col("signals")), lambda code: code.isin([c for c, *_ in D.LEXICON]))
+    language = [F.col(c).cast("double").alias(c) for c in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")]
+    offer = [F.coalesce(F.col("price") / F.col("least_price"), F.lit(-1.0)).alias("price_share"), *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in ("age", "ratings", "ads")], F.size("badges").cast("double").alias("n_badges")]
+    counts = [F.size(F.array_distinct(groups)).cast("double").alias("n_phrase_groups"), (F.lit(0.0) if images is None else F.size(images).cast("double")).alias("n_images")]
+    return df.select(key, *[c.cast("double") for c in C.contact_vector(F.col("full_text"), F.col("signals"), ibans)], *language, *offer, *counts)
+
+
+def suggestion(text: Column) -> tuple[Column, Column]:
+    """TXT-33: the codes of a text's phrases and contact data, and what is suggested to a reviewer: `ja` where there is one, else `?`."""
+    codes = S.codes(F.concat(W.lexicon_signals(text), C.contact_signals(text)))
+    return codes, F.when(F.size(codes) > 0, "ja").otherwise("?")
+
+
 def rule_score(signals: Column) -> Column:
     return S.noisy_or(signals)
 

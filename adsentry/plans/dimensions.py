@@ -156,12 +156,24 @@ NOT_THE_ITEM = (
 NOT_THE_ITEM_STARTS = ["vermiete", "verleih"]
 GAMES, BEFORE_GAMES = "spiele", [r"mit ", r"und ", r"inkl\. ", r"\+ ", r"\s\d "]
 
-# Described schemes: name and pattern on lower case.
+# Schemes that reports describe, name and pattern on lower case.
 SCHEMES = [
-    ("zahlungslink", "link.{0,60}(zahl|geld)|sicher bezahlen"), ("vorkasse", "vorkasse|überwiesen.{0,60}(nie|nicht)"), ("paypal_freunde", "freunde (und|&) familie"), ("phishing", "phishing|zugangsdaten"),
-    ("dreieck", "dreiecksbetrug|dritte"), ("kurier", "kurier|spedition"), ("fake_shop", "fake.?shop"), ("ausweis", "ausweis|selfie"), ("code", "bestätigungscode|sms.?code"), ("scheck", "scheck|überzahl"),
-    ("wohnung", "wohnung|kaution"), ("tier", "welpe|transportkosten"), ("ticket", "ticket"), ("konto", "konto.{0,30}(gesperrt|gehackt)"), ("messenger", "whats ?app|telegram"),
-]
+    ("Fake „Sicher bezahlen“/„Direkt kaufen“", r"sicher(es)? bezahlen|direkt kaufen|sichere zahlung"),
+    ("Phishing-Link/Fake-Seite", r"phishing|fake[- ]?(link|seite)|\blink\b.{0,40}(geschickt|bekommen|erhalten|klick)"),
+    ("PayPal Freunde & Familie", r"freunde (und|&) familie|paypal[- ]?freunde|\bf ?& ?f\b"),
+    ("Vorkasse/Überweisung", r"vorkasse|überwiesen|überweisung|anzahlung"),
+    ("Kurier/Spedition/Ausland", r"kurier|spedit|im ausland|aus dem ausland"),
+    ("Ware kam nicht oder falsch", r"nie angekommen|nicht (verschickt|versendet|angekommen)|leeres? paket|ziegel|\bsteine\b"),
+    ("Käuferschutz/Rückbuchung", r"käuferschutz|rückbuchung|konfliktfall|chargeback|geld zurückgeholt"),
+    ("Gehacktes Konto", r"gehackt|account übernommen|konto übernommen|fremde[nr]? (account|konto)"),
+    ("Dreiecksbetrug", r"dreiecksbetrug|dreieck"),
+    ("Ausweis/Identität", r"ausweis|perso\b|identität"),
+    ("Kontakt außerhalb (WhatsApp, Mail)", r"whats ?app|telegram|per (e-)?mail (weiter|kontakt)"),
+    ("Code-Weitergabe", r"(sms|bestätigungs|sicherheits)[- ]?code|code (geschickt|weitergegeben)"),
+    ("Fake-Zahlungsbeleg/Screenshot", r"screenshot|zahlungsbeleg|fake[- ]?(beleg|bestätigung)"),
+    ("Wohnung/Ferienwohnung", r"wohnung|kaution|vermieter"),
+    ("Tiere", r"welpe|hundebaby|kätzchen|kitten"),
+]
 
 # How the text rows of an advert's page are told apart.
 ROW_PRICE = r"^(?:ab\s+)?\d{1,3}(?:[.\s]\d{3})*(?:,\d{1,2})?\s*(?:€|eur)(?:\s*vb)?$|^vb$|^zu verschenken$"
@@ -219,3 +231,6 @@ WARNING_QUOTE = r"(?m)(?:^|(?<=[\s(\[:/]))[„“\"»«‚'](?=\S)([^„“”\"
 ONLY_DATE = r"(?U)^[\d.\s]*(\w+)?[\d.\s]*$"
 # Public-suffix rules of the kinds that there are; a longer list can be given as a table.
 SUFFIX_RULES = [*COMMON_TLDS, *SUSPICIOUS_TLDS, *LONG_SUFFIXES, "uk", "jp", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "github.io", "blogspot.com"]
+# What of a chat goes into a prompt, and the mark of a shortened text.
+MESSAGE_BUDGET = 6000
+SHORTENED = " … [gekürzt]"

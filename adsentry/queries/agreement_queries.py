@@ -57,7 +57,7 @@ def win06_hash_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win07_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     (labels,) = tables(spark, sf_dir, "labels")
-    return A.balanced_sample(labels, "toxic", F.sha1(F.col("doc_id").cast("string")), 60, 2).select("doc_id", "toxic")
+    return A.balanced_sample(labels, "toxic", F.sha1(F.col("doc_id").cast("string")), 60, [0, 1]).select("doc_id", "toxic")
 
 
 def join01_ratings_of_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

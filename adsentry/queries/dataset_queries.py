@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import wording as W
+from ..functions.redact import redact
 from ..operators import dataset as T
 from .base import cte, listings, tables
 from .scalar_queries import FULL_SQL, GERMAN_OK_SQL, LABEL_SQL, _category_sql
@@ -44,6 +45,11 @@ def set02_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prints(spark, sf_dir).select("doc_id", "fingerprint")
 
 
+def set02_redacted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint that data sets use: of the redacted text, so that other contact data make no other listing."""
+    return listings(spark, sf_dir).select("doc_id", T.fingerprint(redact("description")).alias("fingerprint"))
+
+
 def set08_task_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prints(spark, sf_dir).select("doc_id", F.substring("fingerprint", 1, 16).alias("task_id"))
 
@@ -195,7 +201,7 @@ def _sql(body: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    flt01_02_05_07_drop_reasons, agg05_load_report, flt06_for_annotation, set02_fingerprint, set08_task_id, set03_dedupe, win09_set04_split, agg02_split_counts, agg01_totals, agg03_snk05_statistics, agg03_grouping_sets,
+    flt01_02_05_07_drop_reasons, agg05_load_report, flt06_for_annotation, set02_fingerprint, set02_redacted_fingerprint, set08_task_id, set03_dedupe, win09_set04_split, agg02_split_counts, agg01_totals, agg03_snk05_statistics, agg03_grouping_sets,
     agg06_class_balance, agg07_label_counts, agg09_ml10_weights, agg33_finetune_labels, lab01_upsert, lab02_store_key, set06_text_dedupe, join04_06_unseen, join05_import_ledger, join08_flt12_merge_reviewed,
     join07_bundle_merge, src16_reviewed_list, src13_seed_pages, flt09_page_sample, flt11_rating_problems, flt13_fraud_images,
 )}

@@ -76,11 +76,14 @@ def join15_excluded_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join10_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the vectors against those of the vectors that were seen before, of which each was changed: some of the last numbers have the
+    other sign, as many as the vector's label says."""
     (vectors,) = tables(spark, sf_dir, "embeddings")
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a * 2 + b)
-    hashed = vectors.select("vec_id", bits.alias("hash"))
-    found = M.near_hashes(hashed.select(F.col("vec_id").alias("a"), "hash"), hashed.select(F.col("vec_id").alias("b"), "hash"), 6, F.col("a") < F.col("b"))
-    return found
+    sign = lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))
+    hash_ = lambda bits: F.aggregate(bits, F.expr("0L"), lambda a, b: a * 2 + b)
+    changed = F.transform(F.slice("embedding", 1, 63), lambda x, i: F.when(i >= 63 - F.col("label"), 1 - sign(x)).otherwise(sign(x)))
+    seen = vectors.select(F.col("vec_id").alias("b"), hash_(changed).alias("hash"))
+    return M.near_hashes(vectors.select(F.col("vec_id").alias("a"), hash_(F.transform(F.slice("embedding", 1, 63), sign)).alias("hash")), seen, 6)
 
 
 def agg30_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +139,7 @@ ORACLE_SQL = {
       k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS n, CASE WHEN length(t) > {M.CASE_CHARS} THEN regexp_replace(substring(t, 1, {M.CASE_CHARS}), ' [^ ]*$', '') || ' …' ELSE t END AS short FROM c WHERE place <= 2)
       SELECT q, '<vergleichsfaelle>' || chr(10) || '{M.CASE_INTRO}' || chr(10) || string_agg('Fall ' || n || ' – ' || CASE WHEN label = 1 THEN 'BETRUG' ELSE 'SERIÖS' END || ': Chat (' || lang || ', ' || source || ') – ' || short, chr(10) ORDER BY n) || chr(10) || '</vergleichsfaelle>' AS block FROM k GROUP BY q""",
     "join15_excluded_bank": "SELECT doc_id FROM documents WHERE lower(text) NOT IN (SELECT lower(text) FROM documents JOIN labels USING (doc_id))",
-    "join10_near_hashes": "WITH h AS (SELECT vec_id, list_reduce(list_transform(list_slice(embedding, 1, 63), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT), lambda a, b: (a * 2 + b) % 18446744073709551616::HUGEINT) AS hash FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 6",
+    "join10_near_hashes": """WITH s AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 63), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT) AS s FROM embeddings),
+      h AS (SELECT vec_id, list_reduce(s, lambda a, b: a * 2 + b) AS hash, list_reduce([CASE WHEN i > 63 - label THEN 1 - s[i] ELSE s[i] END FOR i IN range(1, 64)], lambda a, b: a * 2 + b) AS changed FROM s)
+      SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.changed))::INT AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.changed)) <= 6""",
 }

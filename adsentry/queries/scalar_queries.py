@@ -20,10 +20,6 @@ AS_OF = "2026-01-01"
 c = F.col
 
 
-def duck_list(kind: str, body: str, values: str) -> str:
-    return f"list_{kind}({values}, lambda x: {body})"
-
-
 def _category_sql() -> str:
     plain = "replace(replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), ' ', '')"
     cases = " ".join(f"WHEN {' OR '.join(f"contains(x, '{w}')" for w in words)} THEN '{name}'" for name, words in D.CATEGORY_KEYWORDS.items())
@@ -99,7 +95,7 @@ def reference_sql() -> str:
     return f"CASE WHEN NOT {other} THEN coalesce({cases('title')}, {cases('description')}) END"
 
 
-SCHEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(description), '(?s){p}') THEN '{n}' END" for n, p in D.SCHEMES) + "], lambda x: x IS NOT NULL)"
+SCHEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(description), '{p}') THEN '{n}' END" for n, p in D.SCHEMES) + "], lambda x: x IS NOT NULL)"
 def no_chat() -> Column:
     return F.array().cast("array<string>")
 
@@ -156,6 +152,7 @@ SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "txt28_quotes": (lambda: F.size(F.array_distinct(F.filter(F.regexp_extract_all(F.concat(c("text"), F.lit(" „Bitte zahlen Sie den Betrag bis morgen.“")), F.lit("[„“\"]([^„“”\"]{20,400})[“”\"]"), F.lit(1)), lambda q: (F.size(F.split(q, r"\s+")) >= 4) & ~F.rlike(q, F.lit(r"^[\d. ]+$"))))), None),
     "txt29_ngrams": (lambda: F.size(W.ngrams(c("text"))), None),
     "txt31_own_experience": (lambda: W.own_experience(F.concat(F.lit("Ich habe hier gekauft und mir wurde nichts geschickt, das war Betrug. "), c("text"))), "length('Ich habe hier gekauft und mir wurde nichts geschickt, das war Betrug. ' || text) >= 150"),
+    "win11_first_scheme": (lambda: O.first_match(F.lower(c("description")), D.SCHEMES), "CASE " + " ".join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{n}'" for n, p in D.SCHEMES) + " END"),
     "txt32_schemes": (lambda: joined(W.schemes(c("description"))), JOINED.format(SCHEMES_SQL)),
     "txt34_codebook_signals": (lambda: joined(F.array_sort(W.codebook_signals(S.codes(W.lexicon_signals(c("description")))))),
         JOINED.format(f"list_sort(list_distinct(list_transform({lexicon_sql()}, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN '{s}'" for k, _, _, s, _ in D.LEXICON)} END)))")),

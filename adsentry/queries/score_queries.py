@@ -176,6 +176,25 @@ def sco07_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "model", F.round("score", 9).alias("score"), "available", "error")
 
 
+def fea01_feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of all families of all listings."""
+    rows = listings(spark, sf_dir).withColumn("ibans", find_ibans("description"))
+    return C.feature_vector(rows, "doc_id", F.col("ibans"), F.array_compact(F.array(F.col("legal_form"), F.col("badge_raw"))))
+
+
+def txt33_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, suggestion = C.suggestion(F.col("description"))
+    return listings(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(codes), ",").alias("codes"), suggestion.alias("suggestion"))
+
+
+def nrm21_recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation, what of its messages goes into a prompt."""
+    (chats,) = tables(spark, sf_dir, "conversations")
+    ordered = chats.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("messages"))
+    kept = N.recent_messages(F.col("messages"))
+    return ordered.select("conv_id", F.size("messages").alias("n"), F.size(kept).alias("n_kept"), F.sha1(F.array_join(kept, "\n")).alias("sha1"))
+
+
 def sco12_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.length("text").alias("chars"), F.length(F.regexp_replace("text", "[^!]", "")).alias("bangs"), F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits"), F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("capitals"))
@@ -184,7 +203,7 @@ def sco12_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    txt37_judgement_signals, sco07_detectors, sco12_attributions, rule_scan, rule_scan_phrases, txt22_language_signals, prc02_price_signals, prc02_lineitem_prices, sel02_04_seller_signals, sel05_notes, sel06_profile_summary, sel07_business_adjust, sco02_rule_score, sco01_grouped_noisy_or, sco03_05_fuse,
+    txt37_judgement_signals, fea01_feature_vector, txt33_suggestions, nrm21_recent_messages, sco07_detectors, sco12_attributions, rule_scan, rule_scan_phrases, txt22_language_signals, prc02_price_signals, prc02_lineitem_prices, sel02_04_seller_signals, sel05_notes, sel06_profile_summary, sel07_business_adjust, sco02_rule_score, sco01_grouped_noisy_or, sco03_05_fuse,
     sco06_strongest_first, sco08_only_new, sco09_10_agg08_abstain, sco11_linear_reasons, agg27_29_metrics, agg32_answers,
 )}
 

@@ -241,6 +241,51 @@ def test_writers(spark, tmp_path):
     assert [tuple(r) for r in writers.write_bundle(files, str(tmp_path / "b")).collect()] == [("anna", "log", 1)]
 
 
+def test_recent_messages(spark):
+    rng = random.Random(3)
+    chats = [[], ["a" * 7000], ["wort " * 2000], ["x", "y z"], [" "] * 3]
+    chats += [["".join(rng.choice("ab  \n") for _ in range(rng.choice([1, 10, 2500]))) for _ in range(rng.randrange(9))] for _ in range(40)]
+
+    def plain(messages, budget):
+        kept, used = [], 0
+        for m in reversed(messages):
+            if used >= budget:
+                break
+            room = budget - used
+            kept.append(m if len(m) <= room else m[:room].rsplit(" ", 1)[0] + " … [gekürzt]")
+            used += len(kept[-1])
+        return kept[::-1]
+
+    frame = spark.createDataFrame(list(enumerate(chats)), "i int, m array<string>")
+    for budget in (6000, 40, 3):
+        got = {r.i: r.k for r in frame.select("i", N.recent_messages(F.col("m"), budget).alias("k")).collect()}
+        assert got == {i: plain(m, budget) for i, m in enumerate(chats)}
+
+
+def test_suggestions_vector_and_sample(spark):
+    rows = spark.createDataFrame([(0, "Ein Tisch aus Holz"), (1, "Zahl per PayPal Freunde und Familie"), (2, "siehe https://bit.ly/3abc")], "i int, t string")
+    codes, suggestion = C2.suggestion(F.col("t"))
+    got = {r.i: (r.c, r.s) for r in rows.select("i", codes.alias("c"), suggestion.alias("s")).collect()}
+    assert got[0] == ([], "?") and got[1][1] == "ja" and got[1][0] and got[2] == (["URL_SHORTENER", "EXTERNAL_LINK"], "ja")
+
+    from adsentry.queries import QUERIES
+
+    vector = QUERIES["fea01_feature_vector"](spark, "/root/testdata/sf0.001")
+    assert len(vector.columns) == 22 and all(t == "double" for c, t in vector.dtypes if c != "doc_id")
+    rows = {r.doc_id: r for r in vector.collect()}
+    assert len(rows) == 200 and {r.n_images for r in rows.values()} == {0.0, 1.0, 2.0} and max(r.n_phrase_groups for r in rows.values()) > 0 and max(r.n_ibans for r in rows.values()) == 1.0
+
+    strata = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(200)], "i int, s string")
+    sample = A.balanced_sample(strata, "s", F.sha1(F.col("i").cast("string")), 60, ["a", "b"]).groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in sample} == {"a": 40, "b": 20}
+
+
+def test_redacted_fingerprints(spark):
+    texts = ["Rad zu verkaufen, Mail: anna.muster@example.com", "Rad zu verkaufen, Mail: bernd.beispiel@example.com", "Rad zu verkaufen, Mail: keine"]
+    got = [r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fingerprint(R.redact("t")).alias("f")).collect()]
+    assert got[0] == got[1] != got[2]
+
+
 def test_listing_items(spark, tmp_path):
     """One file, one sub-folder, folders with a manifest in a category's folder, and what is none."""
     names = ["betrug/a.txt", "betrug/b.html", "betrug/x.exe", "betrug/.c.txt", "betrug/_d/e.txt", "betrug/rad/1.jpg", "betrug/rad/tief/2.txt", "betrug/inserat.json",
