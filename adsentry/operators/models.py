@@ -36,7 +36,7 @@ class TextModel:
         weighted = balanced_weights(train.select("text", "label"), "label").withColumn("row_id", F.monotonically_increasing_id())
         weighted = stored(weighted)
         total, n = weighted.agg(F.sum("weight"), F.count("*")).first()
-        self.words = text_features.vocabulary(text_features.term_table(weighted, "row_id", self.KINDS), n, most=most)
+        self.words = text_features.vocabulary_of(text_features.term_counts(weighted, "row_id", self.KINDS), n, most=most)
         self.size = 2 * most
         rows = text_features.vectors(weighted, self.words, "row_id", self.KINDS, self.size)
         self.model = LogisticRegression(weightCol="weight", regParam=1 / (c * (total or 1.0)), standardization=False, maxIter=iterations).fit(rows)

@@ -36,17 +36,16 @@ def _terms(df: DataFrame, key: str) -> DataFrame:
 def ml03_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of all texts' words and pairs of words over the fitted vocabulary."""
     (docs,) = tables(spark, sf_dir, "documents")
-    terms = X.term_table(docs, "doc_id", ("word",))
-    words = X.vocabulary(terms, docs.count())
-    found = X.weights(terms, words, "doc_id").join(words, ["kind", "place"])
-    return found.select("doc_id", "term", F.round("w", 6).alias("w"))
+    words = X.vocabulary_of(X.term_counts(docs, "doc_id", ("word",)), docs.count())
+    found = X.weighted(docs, words, "doc_id", ("word",)).select("doc_id", F.explode(F.arrays_zip("place", "w")).alias("x")).select("doc_id", "x.place", "x.w")
+    # as many rows as the vocabulary may have
+    return found.join(F.broadcast(words), "place").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 def ml05_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts have each run of three to five characters inside words, and how often; the runs that two texts have."""
     (docs,) = tables(spark, sf_dir, "documents")
-    terms = X.term_table(docs, "doc_id", ("char",))
-    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter("df >= 2")
+    return X.term_counts(docs, "doc_id", ("char",)).filter("df >= 2").select("term", "df", "n")
 
 
 def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,37 @@ def test_own_label_is_not_in_the_features(spark):
         found.append({r.doc_id: (r.p0_0, r.p0_1, r.p0_2, r.p0_3) for r in model.training.collect()})
     assert found[0][7] == pytest.approx(found[1][7])
     assert found[0] != found[1]
+
+
+def test_terms_are_not_shuffled(spark, texts):
+    """Texts are dealt by key; terms meet only as sums of a task."""
+    docs = spark.createDataFrame(list(texts.items()), "k long, text string")
+    plan = T.term_table(docs, "k", ("char", "word"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(k" in plan
+
+
+def test_term_counts_of_odd_texts(spark):
+    """Repeated and null keys, characters outside the first plane, zeros, and more characters than a code holds, against plain loops."""
+    many = " ".join(chr(0x4E00 + i) + chr(0x4E01 + i) + "x" for i in range(0, 9000, 2))
+    rows = [(1, "ab cd"), (1, "cd ab"), (None, "ab"), (None, "x\0 \0\0\0"), (2, None), (3, "😀😀😀 ab😀"), (4, many), (5, "ab cd" * 50)]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    for kind, plain in (("word", word_terms), ("char", character_terms)):
+        n, by_key = Counter(), defaultdict(set)
+        for k, t in rows:
+            n.update(plain(t))
+            by_key[k].update(plain(t))
+        df = Counter(t for s in by_key.values() for t in s)
+        assert {r.term: (r.df, r.n) for r in T.term_counts(docs, "k", (kind,)).collect()} == {t: (df[t], n[t]) for t in n}
+        assert {(r.k, r.term) for r in T.term_table(docs, "k", (kind,)).collect()} == {(k, t) for k, s in by_key.items() for t in s}
+
+
+def test_products_are_made_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 9)) < 0.3, rng.standard_normal((40, 9)), 0.0)
+    rows = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)], "k long, place array<int>, w array<double>")
+    dense = rng.standard_normal((9, 3))
+    assert T.gram_product(rows, dense) == pytest.approx(x.T @ x @ dense)
+    monkeypatch.setattr(T, "CHUNK", 7)
+    got = [a for b in rows.repartition(1).sortWithinPartitions("k").toArrow().to_batches() for a in T._rows(b)]
+    assert [a[0] for a in got][0] == 0 and sum(a[1] for a in got) == 40 and len(got) > 10
+    assert np.array([r.components for r in T.projected(rows, dense).orderBy("k").collect()]) == pytest.approx(x @ dense)
