@@ -97,8 +97,11 @@ def ml15_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items, labels = tables(spark, sf_dir, "documents", "benchmark", "labels")
     cases = docs.join(labels, "doc_id")
     found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), _terms(cases, "doc_id").withColumnRenamed("doc_id", "d"), cases.count())
-    facts = cases.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label"), F.lit("").alias("title"), F.array("lang", "source").alias("facts"), F.col("text").alias("description"))
-    chosen = M.top_per_class(found.join(facts, "d").withColumn("score", F.round("score", 9)), 4)
+    # the best cases are found by their scores alone, and texts joined to these few; ids that occur twice are ranked once more with them
+    named = found.join(labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label")), "d").withColumn("score", F.round("score", 9))
+    facts = docs.select(F.col("doc_id").alias("d"), F.lit("").alias("title"), F.array("lang", "source").alias("facts"), F.col("text").alias("description"))
+    near = M.top_per_class(named, 4).drop("place")  # four cases of each item at most
+    chosen = M.top_per_class(facts.join(F.broadcast(near), "d"), 4)
     return M.prompt_blocks(chosen).select("q", F.col("block"))
 
 
