@@ -33,7 +33,9 @@ def load_report(rows: DataFrame) -> DataFrame:
 def fingerprint(text: Column, images: Column | None = None) -> Column:
     """SHA-1 of the words of a (redacted) text; of the sorted image paths where there is no text."""
     norm = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
-    other = F.lit("") if images is None else F.array_join(F.array_sort(images), "|")
+    if images is None:
+        return F.sha1(norm)
+    other = F.array_join(F.array_sort(images), "|")
     return F.sha1(F.when(norm == "", other).otherwise(norm))
 
 
