@@ -11,6 +11,7 @@ from ..operators import dataset as T
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import text_features as X
+from ..operators.storage import stored
 from ..plans import dimensions as D
 from ..sources.writers import chat_format
 from .base import cte, listings, tables
@@ -28,7 +29,7 @@ def ml01_win10_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml02_useful_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _features(spark, sf_dir)
+    df = stored(_features(spark, sf_dir))  # numbers only, found once for the choice of columns and for the result
     return M.aligned(df, M.useful_columns(df, [c for c in df.columns if c != "doc_id"]) + ["unseen"], "doc_id")
 
 
@@ -77,7 +78,7 @@ def ml08_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml09_cascade_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cascade fitted on one part of the labelled texts: how many layers it got, and its AUC on the other part."""
-    rows = _numbers(spark, sf_dir)
+    rows = stored(_numbers(spark, sf_dir))  # found once for folds, training and scores
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = M.CascadeForest(rows.filter(~test), NUMBERS, "doc_id")
     scored = model.score(rows.filter(test), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
