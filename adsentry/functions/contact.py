@@ -18,7 +18,7 @@ URL = rf"""(?i)(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9][a-z0-9-]{{0,62}}(?:\.
 MAYBE_URL = r"(?i)://|www\.|\.[a-z]"  # every link has one of these
 MAYBE_IBAN = r"[A-Za-z]{2}\d{2}"
 INTL_PHONE = r"(?:\+|\b00)(\d{1,3})[\s\-/.]?\(?\d{1,5}\)?(?:[\s\-/.]?\d{2,}){1,4}"
-HOME_PHONE = r"(?<![\w+])0\d{2,5}[\s\-/.]?\d{3,}(?:[\s\-/.]?\d{2,}){0,3}"
+HOME_PHONE = r"(?=0)(?<![\w+])0\d{2,5}[\s\-/.]?\d{3,}(?:[\s\-/.]?\d{2,}){0,3}"
 IBAN = r"(?i)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b"
 
 
@@ -122,32 +122,46 @@ def without_ibans(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(MAYBE_IBAN)), F.regexp_replace(rest, IBAN, " ")).otherwise(rest)
 
 
+def maybe_intl(text: Column) -> Column:
+    return F.contains(text, F.lit("+")) | F.contains(text, F.lit("00"))
+
+
+def numbers(text: Column) -> Column:
+    """The international and the home numbers of a text, one for each occurrence. Texts without the digits that these begin with are not searched."""
+    none = lambda rest: F.when(rest.isNotNull(), F.array().cast("array<string>"))
+
+    def of(rest: Column) -> Column:
+        intl = F.when(maybe_intl(rest), every(rest, INTL_PHONE)).otherwise(none(rest))
+        home = F.when(F.contains(rest, F.lit("0")), every(rest, HOME_PHONE)).otherwise(none(rest))
+        return F.struct(intl.alias("intl"), home.alias("home"))
+
+    return let(without_ibans(text), of)
+
+
 def phones(text: Column) -> Column:
-    return let(without_ibans(text), _phones)
+    return let(numbers(text), distinct_phones)
 
 
-def _phones(rest: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(every(rest, INTL_PHONE), every(rest, HOME_PHONE))))
+def distinct_phones(found: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.concat(found["intl"], found["home"])))
 
 
 def foreign_phones(text: Column) -> Column:
     """International numbers outside the home countries, one for each occurrence."""
-    return let(without_ibans(text), _foreign)
+    return _foreign(numbers(text))
 
 
-def _foreign(rest: Column) -> Column:
-    both = F.arrays_zip(every(rest, INTL_PHONE).alias("number"), every(rest, INTL_PHONE, 1).alias("code"))
-    home = lambda x: reduce(lambda a, b: a | b, [F.startswith(x["code"], F.lit(c)) for c in D.HOME_PHONE_CODES])
-    return F.transform(F.filter(both, lambda x: ~home(x)), lambda x: x["number"])
+def _foreign(found: Column) -> Column:
+    code = lambda number: F.regexp_extract(number, INTL_PHONE, 1)
+    home = lambda x: reduce(lambda a, b: a | b, [F.startswith(x, F.lit(c)) for c in D.HOME_PHONE_CODES])
+    return F.filter(found["intl"], lambda number: ~home(code(number)))
 
 
-def phone_signals(text: Column) -> Column:
+def phone_signals(found: Column) -> Column:
+    """Out of what `numbers` finds."""
     any_phone = lambda p: S.found(F.when(F.size(p) > 0, S.signal("PHONE_IN_TEXT", 0.15, F.try_element_at(p, F.lit(1)))))
-
-    def of(rest: Column) -> Column:
-        return F.concat(F.transform(_foreign(rest), lambda n: S.signal("FOREIGN_PHONE", 0.45, n)), let(_phones(rest), any_phone))
-
-    return let(without_ibans(text), of)
+    of = lambda x: F.concat(F.transform(_foreign(x), lambda n: S.signal("FOREIGN_PHONE", 0.45, n)), let(distinct_phones(x), any_phone))
+    return let(found, of)
 
 
 def iban_signals(ibans: Column) -> Column:
@@ -169,18 +183,23 @@ def iban_valid(iban: Column) -> Column:
     return F.length(s).between(15, 34) & F.rlike(s, F.lit("^[A-Z0-9]+$")) & (remainder(turned) == 1)
 
 
-def contact_signals(text: Column, ibans: Column | None = None) -> Column:
-    """Links, mails, phones, and IBANs where they were found before (see `redact.find_ibans`)."""
-    parts = [url_signals(urls(text)), email_signals(emails(text)), phone_signals(text)]
+def contacts(text: Column) -> dict[str, Column]:
+    """What the signals and the numbers of a text's contact data are made of, as columns that are found once."""
+    return {"urls": urls(text), "emails": emails(text), "numbers": numbers(text)}
+
+
+def contact_signals(found: dict[str, Column], ibans: Column | None = None) -> Column:
+    """Links, mails, phones (see `contacts`), and IBANs where they were found before (see `redact.find_ibans`)."""
+    parts = [url_signals(found["urls"]), email_signals(found["emails"]), phone_signals(found["numbers"])]
     return F.concat(*parts, *([] if ibans is None else [iban_signals(ibans)]))
 
 
-def contact_vector(text: Column, signals: Column, ibans: Column | None = None) -> list[Column]:
+def contact_vector(found: dict[str, Column], signals: Column, ibans: Column | None = None) -> list[Column]:
     has = lambda code: F.array_contains(S.codes(signals), code).cast("double")
     return [
-        F.size(urls(text)).alias("n_urls"),
-        F.size(emails(text)).alias("n_emails"),
-        F.size(phones(text)).alias("n_phones"),
+        F.size(found["urls"]).alias("n_urls"),
+        F.size(found["emails"]).alias("n_emails"),
+        F.size(let(found["numbers"], distinct_phones)).alias("n_phones"),
         (F.lit(0) if ibans is None else F.size(ibans)).alias("n_ibans"),
         has("LOOKALIKE_DOMAIN").alias("has_lookalike_domain"),
         has("URL_SHORTENER").alias("has_shortener"),

@@ -27,13 +27,13 @@ def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
             "full_text": N.full_text(F.col("title"), F.col("description"), F.array().cast("array<string>")),
         }
     )
-    df = df.withColumns({"low": F.lower("full_text"), "low_words": W.lowered_words(F.col("full_text"))})
-    df = df.withColumns(W.language_features(F.col("full_text"), F.col("low_words"))).drop("low_words")
+    df = df.withColumns(C.contacts(F.col("full_text")))
+    df = df.withColumns(W.language_features(F.col("full_text")))
     df = df.withColumns({"least_price": O.reference_min(F.col("title"), F.col("description")), "article_errors": W.article_errors(F.col("full_text"))})
     language = W.language_signals(*[F.col(x) for x in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes", "article_errors")])
     parts = [
-        W.lexicon_signals(F.col("full_text"), F.col("low")),
-        C.contact_signals(F.col("full_text"), ibans),
+        W.lexicon_signals(F.col("full_text")),
+        C.contact_signals(_contacts(), ibans),
         O.price_signals(F.col("price"), F.col("least_price")),
         O.seller_signals(F.col("price"), F.col("age"), F.col("ratings"), F.col("seller_type"), F.col("badges"), F.col("legal_form")),
         language,
@@ -42,6 +42,10 @@ def with_signals(listings: DataFrame, ibans: Column | None = None) -> DataFrame:
     return df.withColumn("signals", found)
 
 
+def _contacts() -> dict[str, Column]:
+    return {c: F.col(c) for c in ("urls", "emails", "numbers")}
+
+
 def feature_vector(listings: DataFrame, key: str, ibans: Column | None = None, images: Column | None = None) -> DataFrame:
     """FEA-01: key and the numbers of all families: contact, language, price and seller, how many groups of phrases and how many images."""
     df = with_signals(listings, ibans)
@@ -49,13 +53,17 @@ def feature_vector(listings: DataFrame, key: str, ibans: Column | None = None, i
     language = [F.col(c).cast("double").alias(c) for c in ("n_words", "german_ratio", "english_ratio", "capitalized_ratio", "caps_ratio", "umlaut_substitutes")]
     offer = [F.coalesce(F.col("price") / F.col("least_price"), F.lit(-1.0)).alias("price_share"), *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in ("age", "ratings", "ads")], F.size("badges").cast("double").alias("n_badges")]
     counts = [F.size(F.array_distinct(groups)).cast("double").alias("n_phrase_groups"), (F.lit(0.0) if images is None else F.size(images).cast("double")).alias("n_images")]
-    return df.select(key, *[c.cast("double") for c in C.contact_vector(F.col("full_text"), F.col("signals"), ibans)], *language, *offer, *counts)
+    return df.select(key, *[c.cast("double") for c in C.contact_vector(_contacts(), F.col("signals"), ibans)], *language, *offer, *counts)
 
 
 def suggestion(text: Column) -> tuple[Column, Column]:
     """TXT-33: the codes of a text's phrases and contact data, and what is suggested to a reviewer: `ja` where there is one, else `?`."""
-    codes = S.codes(F.concat(W.lexicon_signals(text), C.contact_signals(text)))
-    return codes, F.when(F.size(codes) > 0, "ja").otherwise("?")
+    codes = S.codes(F.concat(W.lexicon_signals(text), C.contact_signals(C.contacts(text))))
+    return codes, suggested(codes)
+
+
+def suggested(codes: Column) -> Column:
+    return F.when(F.size(codes) > 0, "ja").otherwise("?")
 
 
 def rule_score(signals: Column) -> Column:
@@ -112,9 +120,13 @@ def judgement_signals(score: Column, summary: Column, scheme: Column, language:
     all with the judgement's score, clamped to 0..1, as their weight."""
     weight = F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     said = F.concat(summary, F.lit(" – Masche: "), scheme, F.lit(", Sprache: "), language, F.lit(f" ({model})"))
-    first = S.found(F.when(F.coalesce(F.trim(summary), F.lit("")) != "", S.signal("LLM_SUMMARY", weight, said)))
-    each = F.transform(flags, lambda f: S.signal(F.concat(F.lit("LLM_"), F.upper(f["code"])), weight, F.nullif(F.substring(f["evidence"], 1, 120), F.lit(""))))
-    return F.concat(first, F.coalesce(each, F.array().cast(S.SIGNALS)))
+
+    def of(w: Column) -> Column:
+        first = S.found(F.when(F.coalesce(F.trim(summary), F.lit("")) != "", S.signal("LLM_SUMMARY", w, said)))
+        each = F.transform(flags, lambda f: S.signal(F.concat(F.lit("LLM_"), F.upper(f["code"])), w, F.nullif(F.substring(f["evidence"], 1, 120), F.lit(""))))
+        return F.concat(first, F.coalesce(each, F.array().cast(S.SIGNALS)))
+
+    return C.let(weight, of)  # bound once, as each signal has it
 
 
 def run_detectors(listings: DataFrame, key: str, detectors: dict[str, Callable[[DataFrame], Column] | str], reuse: DataFrame | None = None) -> DataFrame:

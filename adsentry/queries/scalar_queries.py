@@ -138,7 +138,7 @@ SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "txt08_find_ibans": (lambda: joined(find_ibans(c("description"))), "CASE WHEN doc_id % 15 = 4 THEN 'DE89 3704 0044 0532 0130 00' ELSE '' END"),
     "txt09_foreign_phones": (lambda: joined(C.foreign_phones(c("description"))), JOINED.format(FOREIGN_SQL)),
     "txt10_phones": (lambda: joined(C.phones(c("description"))), None),
-    "txt11_15_contact_signals": (lambda: joined(F.transform(C.contact_signals(c("description"), find_ibans(c("description"))), lambda s: F.concat_ws(":", s["code"], s["weight"].cast("string")))), None),
+    "txt11_15_contact_signals": (lambda: joined(F.transform(C.contact_signals(C.contacts(c("description")), find_ibans(c("description"))), lambda s: F.concat_ws(":", s["code"], s["weight"].cast("string")))), None),
     "txt17_n_words": (lambda: F.size(W.words(c("description"))), f"{N_WORDS_SQL}::INT"),
     "txt18_german_ratio": (lambda: F.round(W.language_features(c("description"))["german_ratio"], 9), f"round({GERMAN_SQL}, 9)"),
     "txt18_english_ratio": (lambda: F.round(W.language_features(c("description"))["english_ratio"], 9), f"round({ENGLISH_SQL}, 9)"),
