@@ -177,7 +177,8 @@ def _against(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     ratings, marks, texts = _rated_texts(spark, sf_dir)
     sentences = Z.sentence_table(texts)
-    human = Z.consensus_sentences(ratings, Z.marked_sentences(sentences, marks))
+    touched = Z.sentence_table(texts.join(marks.select("task").distinct(), "task", "left_semi"))  # marks touch no other texts' sentences
+    human = Z.consensus_sentences(ratings, Z.marked_sentences(touched, marks))
     rules = W.codebook_signals(S.codes(W.lexicon_signals(F.col("sentence"))))
     return Z.rules_against_people(sentences, human, rules, sorted({s for _, _, _, s, _ in D.LEXICON if s}))
 
