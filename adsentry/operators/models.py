@@ -10,8 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import evaluation, text_features
-from .dataset import balanced_weights
+from . import evaluation, packed, text_features
 from .storage import stored
 
 
@@ -26,25 +25,31 @@ def aligned(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
 
 
-class TextModel:
-    """Logistic regression (C, balanced classes) on TF-IDF of words, pairs of words and characters inside words, over a vocabulary
-    that is fitted on the training texts: the `most` frequent terms of each kind that two texts have."""
+class TextTable:
+    """Labelled texts as packed sparse rows: TF-IDF of words, pairs of words and characters inside words, over a vocabulary that is fitted
+    on these texts: the `most` frequent terms of each kind that two texts have. Models of several labels can share one."""
+
+    def __init__(self, train: DataFrame, labels: list[str], most: int = 1 << 17):
+        """train: text, labels (0 or 1); rows without one of the labels are left out."""
+        rows = stored(train.select("text", *labels).dropna(subset=labels).withColumn("row_id", F.monotonically_increasing_id()))
+        odd = rows.filter(" OR ".join(f"`{c}` NOT IN (0, 1)" for c in labels))
+        if not odd.isEmpty():
+            raise ValueError("labels are 0 or 1")
+        words = text_features.vocabulary_of(packed.term_counts(rows), rows.count(), most=most)
+        self.words = packed.Vocabulary(words, 2 * most)
+        self.rows = packed.packed(rows, self.words, labels)
 
-    KINDS = ("char", "word")
 
-    def __init__(self, train: DataFrame, c: float = 4.0, most: int = 1 << 17, iterations: int = 100):
-        weighted = balanced_weights(train.select("text", "label"), "label").withColumn("row_id", F.monotonically_increasing_id())
-        weighted = stored(weighted)
-        total, n = weighted.agg(F.sum("weight"), F.count("*")).first()
-        self.words = text_features.vocabulary_of(text_features.term_counts(weighted, "row_id", self.KINDS), n, most=most)
-        self.size = 2 * most
-        rows = text_features.vectors(weighted, self.words, "row_id", self.KINDS, self.size)
-        self.model = LogisticRegression(weightCol="weight", regParam=1 / (c * (total or 1.0)), standardization=False, maxIter=iterations).fit(rows)
+class TextModel:
+    """Logistic regression (C, balanced classes) on a table of texts, fitted until it no longer moves, or for `iterations` steps."""
+
+    def __init__(self, train: DataFrame | TextTable, c: float = 4.0, most: int = 1 << 17, iterations: int = 100, label: str = "label"):
+        self.table = train if isinstance(train, TextTable) else TextTable(train, [label], most)
+        self.weights, self.steps = packed.logistic(self.table.rows, label, self.table.words, c, iterations)
 
     def score(self, df: DataFrame, key: str) -> DataFrame:
         """key, score; null for blank texts."""
-        rows = text_features.vectors(df.select(key, "text"), self.words, key, self.KINDS, self.size)
-        return self.model.transform(rows).select(key, F.when(F.trim(F.coalesce("text", F.lit(""))) != "", vector_to_array("probability")[1]).alias("score"))
+        return packed.scores(df, key, self.table.words, self.weights)
 
 
 def folds(key: Column, n: int) -> Column:

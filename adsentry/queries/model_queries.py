@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import wording as W
-from ..operators import dataset as T
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import text_features as X
@@ -33,29 +37,41 @@ def ml02_useful_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.aligned(df, M.useful_columns(df, [c for c in df.columns if c != "doc_id"]) + ["unseen"], "doc_id")
 
 
-def _texts(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text, label, test: labelled texts; those of one fingerprint are all in one part."""
-    docs, labels = tables(spark, sf_dir, "documents", "labels")
-    test = F.pmod(F.xxhash64(T.fingerprint(F.col("text"))), F.lit(4)) == 0
-    return docs.join(labels, "doc_id").select("doc_id", "text", F.col(label).alias("label"), test.alias("test"))
+def _fingerprints(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else hashlib.sha1(re.sub(r"\W+", " ", t.lower()).strip(" ").encode()).hexdigest() for t in text.to_pylist()], pa.string())
+
+
+def _texts(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:
+    """doc_id, text, labels, test: labelled texts, found once; those of one fingerprint (`dataset.fingerprint`, in Arrow batches) are all in one part."""
+    docs, table = tables(spark, sf_dir, "documents", "labels")
+    test = F.pmod(F.xxhash64(F.arrow_udf(_fingerprints, "string")(F.col("text"))), F.lit(4)) == 0
+    return stored(docs.select("doc_id", "text").join(table.select("doc_id", *labels), "doc_id").withColumn("test", test))
 
 
 def ml06_07_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model fitted on one part of the labelled texts and measured on the other."""
-    rows = _texts(spark, sf_dir, "quality")
+    rows = _texts(spark, sf_dir, "quality").withColumnRenamed("quality", "label")
     scored = M.TextModel(rows.filter("NOT test")).score(rows.filter("test"), "doc_id").join(rows.select("doc_id", "label"), "doc_id")
     return E.metrics(scored.withColumn("model", F.lit("text")), ["model"])
 
 
 def ml11_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text models of two labels, one that fails, and one that is left out."""
+    """Text models of two labels on the same texts, one that fails, and one that is left out."""
+    rows = _texts(spark, sf_dir, "quality", "toxic")
+
+    @cache
+    def shared() -> M.TextTable | None:
+        alike = rows.filter("(quality IS NULL) <> (toxic IS NULL)").isEmpty()
+        return M.TextTable(rows.filter("NOT test"), ["quality", "toxic"]) if alike else None
+
+    def text(label: str):
+        def fit(train: DataFrame):
+            model = M.TextModel(shared(), label=label) if shared() else M.TextModel(train)
+            return lambda df: model.score(df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
 
-    def text(train: DataFrame):
-        model = M.TextModel(train)
-        return lambda df: model.score(df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
+        return rows.withColumnRenamed(label, "label"), fit
 
-    quality = _texts(spark, sf_dir, "quality")
-    models = {"quality": (quality, text), "toxic": (_texts(spark, sf_dir, "toxic"), text), "broken": (quality, lambda df: lambda test: test.select("missing")), "images": "no image model is installed"}
+    models = {"quality": text("quality"), "toxic": text("toxic"), "broken": (rows.withColumnRenamed("quality", "label"), lambda df: lambda test: test.select("missing")), "images": "no image model is installed"}
     return M.retrain(models, spark)
 
 
