@@ -28,9 +28,8 @@ def agg11_join12_14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gram", "z", "y_s", "y_l", "covered_by")
 
 
-def _terms(df: DataFrame, key: str) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin(D.ENGLISH_WORDS))
-    return M.term_counts(df, key, words)
+def _named(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.select(F.col(key).alias(name), "text")
 
 
 def ml03_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +50,7 @@ def ml05_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar cases of all documents, without those of the query's own fingerprint; the tables hold no URLs to compare."""
     docs, items = tables(spark, sf_dir, "documents", "benchmark")
-    bank = _terms(docs, "doc_id").withColumnRenamed("doc_id", "d")
-    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, docs.count())
+    found = M.similar_cases(_named(items, "item_id", "q"), _named(docs, "doc_id", "d"), docs.count())
     print_ = F.sha1(F.lower("text"))
     same = items.select(F.col("item_id").alias("q"), print_.alias("p")).join(docs.select(F.col("doc_id").alias("d"), print_.alias("p")), "p").select("q", "d")
     return found.join(same, ["q", "d"], "left_anti").select("q", "d", F.round("score", 6).alias("score"))
@@ -61,8 +59,7 @@ def join13_ml14_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win08_top_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items, labels = tables(spark, sf_dir, "documents", "benchmark", "labels")
     cases = docs.join(labels, "doc_id")
-    bank = _terms(cases, "doc_id").withColumnRenamed("doc_id", "d")
-    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), bank, cases.count())
+    found = M.similar_cases(_named(items, "item_id", "q"), _named(cases, "doc_id", "d"), cases.count())
     named = found.join(labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label")), "d").withColumn("score", F.round("score", 9))
     return M.top_per_class(named, 4).select("q", "label", "place", "d")
 
@@ -96,7 +93,7 @@ def ml15_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar labelled cases of each item, as the text that a prompt takes."""
     docs, items, labels = tables(spark, sf_dir, "documents", "benchmark", "labels")
     cases = docs.join(labels, "doc_id")
-    found = M.similar_cases(_terms(items, "item_id").withColumnRenamed("item_id", "q"), _terms(cases, "doc_id").withColumnRenamed("doc_id", "d"), cases.count())
+    found = M.similar_cases(_named(items, "item_id", "q"), _named(cases, "doc_id", "d"), cases.count())
     # the best cases are found by their scores alone, and texts joined to these few; ids that occur twice are ranked once more with them
     named = found.join(labels.select(F.col("doc_id").alias("d"), F.col("toxic").alias("label")), "d").withColumn("score", F.round("score", 9))
     facts = docs.select(F.col("doc_id").alias("d"), F.lit("").alias("title"), F.array("lang", "source").alias("facts"), F.col("text").alias("description"))
