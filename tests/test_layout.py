@@ -45,3 +45,16 @@ def test_rows_of_two_columns(spark):
     rows = ["Sehr schönes Fahrrad, kaum gefahren und immer im Keller gestanden.", "Neue Zeile", "Preis 120 €", "Ende"]
     assert got == {(1, False): rows, (1, True): [f"Seite {i}" for i in range(5)], (2, False): rows}
     assert L.layout_rows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_unknown_places(spark):
+    """Lines without a place come last, each in a row of its own."""
+    lines = [(1, "b", None, 5.0, 9.0, 20.0, 1000.0), (1, "a", 3.0, None, 9.0, 20.0, 1000.0), (1, "c", None, 1.0, 9.0, 20.0, 1000.0), (None, "d", 1.0, 1.0, 9.0, None, 1000.0)]
+    got = [(r.image, r.side, r.row, r.text) for r in L.layout_rows(spark.createDataFrame(lines, SCHEMA)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, False, 0, "a"), (1, False, 1, "c"), (1, False, 2, "b"), (None, False, 0, "d")], key=repr)
+
+
+def test_many_images_in_a_batch(spark):
+    """Rows are made in batches of columns, not in a call for each."""
+    plan = L.layout_rows(spark.createDataFrame([(1, "a", 1.0, 1.0, 2.0, 3.0, 4.0)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
