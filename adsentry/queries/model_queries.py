@@ -83,7 +83,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents", "labels")
     text = F.coalesce("text", F.lit(""))
     wording = {k: v for k, v in W.language_features(text).items() if k in NUMBERS}
-    signs = F.when(F.length(text) > 0, F.length(F.regexp_replace(text, "[^!*&%$#|]", "")) / F.length(text))
+    signs = F.when(F.length(text) > 0, (F.length(text) - F.length(F.translate(text, "!*&%$#|", ""))) / F.length(text))
     own = {**wording, "chars": F.length(text), "signs": signs}
     return docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("label"), *[F.coalesce(own[c].cast("double"), F.lit(0.0)).alias(c) for c in NUMBERS])
 
