@@ -122,7 +122,7 @@ def judgement_signals(score: Column, summary: Column, scheme: Column, language:
     said = F.concat(summary, F.lit(" – Masche: "), scheme, F.lit(", Sprache: "), language, F.lit(f" ({model})"))
 
     def of(w: Column) -> Column:
-        first = S.found(F.when(F.coalesce(F.trim(summary), F.lit("")) != "", S.signal("LLM_SUMMARY", w, said)))
+        first = S.found(F.when(F.rlike(summary, F.lit(r"[^\p{Zs}]")), S.signal("LLM_SUMMARY", w, said)))
         each = F.transform(flags, lambda f: S.signal(F.concat(F.lit("LLM_"), F.upper(f["code"])), w, F.nullif(F.substring(f["evidence"], 1, 120), F.lit(""))))
         return F.concat(first, F.coalesce(each, F.array().cast(S.SIGNALS)))
 
