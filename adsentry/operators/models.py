@@ -52,7 +52,19 @@ class TextModel:
 
     def score(self, df: DataFrame, key: str) -> DataFrame:
         """key, score; null for blank texts."""
-        return packed.scores(df, key, self.table.words, self.weights)
+        return packed.scores(df, key, self.table.words, {"score": self.weights})
+
+
+class TextModels:
+    """A `TextModel` for each of several labels, fitted side by side on one table of texts; scores are found side by side, too."""
+
+    def __init__(self, table: TextTable, labels: list[str], c: float = 4.0, iterations: int = 100):
+        self.table = table
+        self.fitted = dict(zip(labels, packed.logistics(table.rows, labels, table.words, c, iterations), strict=True))
+
+    def score(self, df: DataFrame, key: str) -> DataFrame:
+        """key, and a score for each label; null for blank texts."""
+        return packed.scores(df, key, self.table.words, {label: x for label, (x, _) in self.fitted.items()})
 
 
 def folds(key: Column, n: int) -> Column:

@@ -91,13 +91,18 @@ def character_terms(rows: list[list[str]]) -> Iterator[tuple[int, Counts]]:
     ends = np.cumsum([0, *[len(x) + 1 for x in joined]])
     own = [np.concatenate([c[a : max(a, b - n)] for n, c in runs]) for a, b in zip(ends, ends[1:], strict=False)]
     distinct, row, term, tf = tallied([x[x >= 0] for x in own])
-    parts = np.stack([distinct >> BITS * (4 - j) & (1 << BITS) - 1 for j in range(5)], 1)
+    yield 0, (character_names(alphabet, distinct), row, term, tf)
+
+
+def character_names(alphabet: np.ndarray, codes: np.ndarray) -> pa.Array:
+    """What is coded as the numbers of its characters, from 1."""
+    parts = np.stack([codes >> BITS * (4 - j) & (1 << BITS) - 1 for j in range(5)], 1)
     chars = alphabet[parts[parts > 0] - 1]
     sizes = np.zeros(parts.shape, np.int32)
     sizes[parts > 0] = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
     offsets = np.concatenate([[0], np.cumsum(sizes.sum(1))]).astype(np.int32)
     data = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
-    yield 0, (pa.StringArray.from_buffers(len(distinct), pa.py_buffer(offsets), pa.py_buffer(data)), row, term, tf)
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def _counted_singly(words: list[str]) -> Counts:

@@ -57,17 +57,20 @@ def ml06_07_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml11_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text models of two labels on the same texts, one that fails, and one that is left out."""
-    rows = _texts(spark, sf_dir, "quality", "toxic")
+    labels = ["quality", "toxic"]
+    rows = _texts(spark, sf_dir, *labels)
 
     @cache
-    def shared() -> M.TextTable | None:
-        alike = rows.filter("(quality IS NULL) <> (toxic IS NULL)").isEmpty()
-        return M.TextTable(rows.filter("NOT test"), ["quality", "toxic"]) if alike else None
+    def shared() -> DataFrame | None:
+        """doc_id and the scores of all labels, if the same texts have them."""
+        if not rows.filter("(quality IS NULL) <> (toxic IS NULL)").isEmpty():
+            return None
+        return M.TextModels(M.TextTable(rows.filter("NOT test"), labels), labels).score(rows.filter("test"), "doc_id")
 
     def text(label: str):
         def fit(train: DataFrame):
-            model = M.TextModel(shared(), label=label) if shared() else M.TextModel(train)
-            return lambda df: model.score(df, "doc_id").join(df.select("doc_id", "label"), "doc_id")
+            scored = lambda df: shared().select("doc_id", F.col(label).alias("score")) if shared() else M.TextModel(train).score(df, "doc_id")
+            return lambda df: scored(df).join(df.select("doc_id", "label"), "doc_id")
 
         return rows.withColumnRenamed(label, "label"), fit
 

@@ -1,5 +1,7 @@
 """Packed texts and the logistic regression on them, against dense numpy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,46 @@ def test_fingerprints_as_those_of_data_sets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").unionByName(odd)
     own = F.arrow_udf(_fingerprints, "string")(F.col("text"))
     assert docs.where(~own.eqNullSafe(dataset.fingerprint(F.col("text")))).count() == 0
+
+
+def test_labels_share_their_passes(train, table, monkeypatch):
+    """Models fitted side by side are those fitted alone; all labels that are not done are asked for in one pass."""
+    passes, own = [], packed.losses_and_slopes
+    monkeypatch.setattr(packed, "losses_and_slopes", lambda slices, asked: passes.append([i for i, _, _ in asked]) or own(slices, asked))
+    model = M.TextModels(table, ["quality", "toxic"])
+    assert passes[0] == [0, 1] and len(passes) == max(sum(i in p for p in passes) for i in (0, 1))
+    scores = {r.doc_id: r for r in model.score(train, "doc_id").collect()}
+    for label in ("quality", "toxic"):
+        alone = M.TextModel(table, label=label)
+        assert model.fitted[label][0] == pytest.approx(alone.weights, abs=1e-6) and model.fitted[label][1] == alone.steps
+        assert {k: r[label] for k, r in scores.items()} == pytest.approx({r.doc_id: r.score for r in alone.score(train, "doc_id").collect()}, abs=1e-6)
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_entries_of_odd_texts(spark, monkeypatch, chunk):
+    """Characters and words that the vocabulary does not have, more characters than a code holds, and chunks inside a text, against plain loops."""
+    monkeypatch.setattr(packed, "CHUNK", chunk)
+    many = " ".join(chr(0x4E00 + i) + chr(0x4E01 + i) + "x" for i in range(0, 9000, 2))
+    texts = ["", "ab cd ab\x1ccd 😀😀😀", "abcde\xa0éabc ab", " a ", "ab " * 300, "x\0y\0", many, "zz cd ab cd"]
+    for fitted in (texts[:4], texts[:-1]):
+        plain = {"char": [Counter(character_terms(t)) for t in texts], "word": [Counter(word_terms(t)) for t in texts]}
+        # \x1c is white space for Python only
+        plain["char"][1] = Counter(w[i : i + n] for w in (" ab ", " cd ", " ab\x1ccd ", " 😀😀😀 ") for n in (3, 4, 5) for i in range(len(w) - n + 1))
+        places, start = {}, 0
+        for kind in packed.KINDS:
+            terms = sorted(set().union(*plain[kind][: len(fitted)]))[::2]
+            places[kind] = {t: start + i for i, t in enumerate(terms)}
+            start += len(terms)
+        known = packed.Known(places, np.ones(start))
+        assert (known.names is not None) == (len(fitted) > 4)
+        for kind in packed.KINDS:
+            row, place, tf = getattr(known, kind)(texts)
+            want = {(i, places[kind][t]): n for i, c in enumerate(plain[kind]) for t, n in c.items() if t in places[kind]}
+            assert len(row) == len(want) and dict(zip(zip(row.tolist(), place.tolist(), strict=True), tf.tolist(), strict=True)) == want
+            n, df = sum(plain[kind], Counter()), Counter(t for c in plain[kind] for t in c)
+            found = Counter(), Counter()
+            for terms, d, m in packed.COUNTS[kind](texts):
+                for t, x, y in zip(terms.to_pylist(), d.tolist(), m.tolist(), strict=True):
+                    found[0][t] += x
+                    found[1][t] += y
+            assert found == (df, n)
