@@ -38,7 +38,7 @@ class TextTable:
         odd = rows.filter(" OR ".join(f"`{c}` NOT IN (0, 1)" for c in labels))
         if not odd.isEmpty():
             raise ValueError("labels are 0 or 1")
-        words = text_features.vocabulary_of(packed.term_counts(rows), rows.count(), most=most)
+        words = text_features.vocabulary_of(packed.term_counts(rows), rows.count(), most=most, kinds=packed.KINDS)
         self.words = packed.Vocabulary(words, 2 * most)
         self.rows = packed.packed(rows, self.words, labels)
 

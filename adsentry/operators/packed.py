@@ -105,14 +105,14 @@ def _word_counts(texts: list[str]) -> Iterator[tuple[pa.Array, np.ndarray, np.nd
 COUNTS: dict[str, Callable[[list[str]], Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]]] = {"char": _character_counts, "word": _word_counts}
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Up to `SLICE` rows at a time, and of `CHARS` characters if there are several, with their texts in lower case; a null text is ''."""
+def _slices(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Up to `times` `SLICE` rows at a time, and of as many times `CHARS` characters if there are several, with their texts in lower case; a null text is ''."""
     for b in batches:
         texts = [(t or "").lower() for t in b.column("text").to_pylist()]
         sizes = np.cumsum([0, *map(len, texts)])
         at = 0
         while at < b.num_rows:
-            to = min(at + SLICE, max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHARS, "right")) - 1))
+            to = min(at + times * SLICE, max(at + 1, int(np.searchsorted(sizes, sizes[at] + times * CHARS, "right")) - 1))
             yield b.slice(at, to - at), texts[at:to]
             at = to
 
@@ -126,7 +126,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(kind, term, df, n) of all rows. docs: row_id, text."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches):
+        for _, texts in _slices(batches, 3):  # the more texts, the fewer sums of the same term
             for k in KINDS:
                 for terms, df, n in COUNTS[k](texts):
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(terms), pa.string()), terms, pa.array(df, pa.int64()), pa.array(n, pa.int64())], ["kind", "term", "df", "n"])
@@ -263,7 +263,7 @@ def packed(docs: DataFrame, words: Vocabulary, labels: list[str]) -> DataFrame:
     names = ["n", *labels, *[f"{k}_{c}" for k in KINDS for c in TYPES]]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _slices(batches):
+        for b, texts in _slices(batches, 2):
             values = [b.column(c).to_numpy(zero_copy_only=False).astype("u1").tobytes() for c in labels]
             for k in KINDS:
                 for x, kind in zip(_columns(sent.value, k, texts), TYPES.values(), strict=True):

@@ -168,11 +168,17 @@ def vocabulary(terms: DataFrame, n_docs: int, least: int = 2, most: int = MOST)
     return vocabulary_of(terms.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), n_docs, least, most)
 
 
-def vocabulary_of(counts: DataFrame, n_docs: int, least: int = 2, most: int = MOST) -> DataFrame:
-    """The same from (kind, term, df, n)."""
-    counts = stored(counts)
-    parts, start = [], 0
-    for kind, top in sorted(map(tuple, counts.groupBy("kind").agg(F.max("df")).collect())):
+def vocabulary_of(counts: DataFrame, n_docs: int, least: int = 2, most: int = MOST, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The same from (kind, term, df, n). Most terms are in one document only, so these are kept only if one of the `kinds`, which a caller knows,
+    has no others."""
+    tops = lambda rows: sorted(map(tuple, rows.groupBy("kind").agg(F.max("df")).collect()))
+    kept = stored(counts.where(F.col("df") >= least) if kinds else counts)
+    found = tops(kept)
+    if not {k for k, _ in found} >= set(kinds):
+        kept = stored(counts)
+        found = tops(kept)
+    counts, parts, start = kept, [], 0
+    for kind, top in found:
         # `most` rows at most are numbered
         own = counts.where((F.col("kind") == kind) & (F.col("df") >= min(least, top))).orderBy(F.desc("n"), "term").limit(most)
         parts.append(own.selectExpr("kind", "term", f"cast(row_number() over (order by n desc, term) - 1 + {start} as int) as place", f"ln({1 + n_docs}d / (1 + df)) + 1 as idf"))

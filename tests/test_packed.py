@@ -148,3 +148,17 @@ def test_entries_of_odd_texts(spark, monkeypatch, chunk):
                     found[0][t] += x
                     found[1][t] += y
             assert found == (df, n)
+
+
+@pytest.mark.parametrize("texts", [["abcd", "abce"], ["abcd efgh", "efgh ijkl"], ["abcd", "xyz"], ["", None]])
+def test_rare_terms_are_kept_where_there_are_no_others(spark, texts):
+    counts = packed.term_counts(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"))
+    found = [sorted(text_features.vocabulary_of(counts, len(texts), **x).collect()) for x in ({}, {"kinds": packed.KINDS})]
+    assert found[0] == found[1] and {r.kind for r in found[0]} == (set(packed.KINDS) if texts[0] else set())
+
+
+def test_terms_of_one_text_are_not_written(spark, monkeypatch):
+    written, own = [], text_features.stored
+    monkeypatch.setattr(text_features, "stored", lambda df: written.append(own(df)) or written[-1])
+    M.TextTable(spark.createDataFrame([("ein Text", 1), ("ein Wort", 0), ("kein Text", 0)], "text string, label int"), ["label"], most=50)
+    assert written[0].where("df < 2").isEmpty() and not written[0].isEmpty()
